@@ -19,7 +19,7 @@ def plus_seconds(ts: Column | str, seconds: Column | float) -> Column:
     """``ts + seconds``; exact to the microsecond."""
     step = seconds if isinstance(seconds, Column) else F.lit(int(round(seconds * MICROS)))
     if isinstance(seconds, Column):
-        step = (seconds * F.lit(MICROS)).cast("long")
+        step = F.round(seconds.cast("double") * F.lit(float(MICROS))).cast("long")
     return F.timestamp_micros(micros(ts) + step)
 
 

@@ -1,12 +1,13 @@
 """As-of joins by union and sliced running windows (no nested-loop join).
 
 Both inputs are tagged and unioned; the last payload seen at or before a probe is
-its match.  One shuffle on (key, slice) serves any number of probes.
+its match.  One shuffle on (key, slice) serves any number of probes and sources.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +15,61 @@ from tickloom.functions.timecols import MICROS, micros
 from tickloom.operators.slicing import DAY, Running, running
 
 
+@dataclass(frozen=True)
+class Source:
+    """A right side: its rows, time column and the columns to bring over."""
+
+    rows: DataFrame
+    time: str
+    payload: Sequence[str]
+    tie: Sequence[str] = ()
+
+
+def asof_many(
+    left: DataFrame,
+    sources: Mapping[str, Source],
+    keys: Sequence[str],
+    left_time: str,
+    *,
+    direction: str = "backward",
+    strict: bool = False,
+    width_s: int = DAY,
+) -> DataFrame:
+    """Match every left row against several sources in one pass.
+
+    Adds ``{name}obs_time`` and ``{name}{payload}`` per source.
+    """
+    if direction not in ("backward", "forward"):
+        raise ValueError("direction must be backward or forward")
+    sign = 1 if direction == "backward" else -1
+    lcols = [c for c in left.columns if c not in keys]
+    nties = max(len(s.tie) for s in sources.values())
+    # rows sharing an instant: matches first (they count) unless strict
+    both = left.select(
+        *keys, (F.lit(sign) * micros(left_time)).alias("_t"), F.lit(0 if strict else 1).alias("_prio"), F.struct(*lcols).alias("_left")
+    )
+    for name, s in sources.items():
+        tagged = s.rows.filter(F.col(s.time).isNotNull()).select(
+            *keys,
+            (F.lit(sign) * micros(s.time)).alias("_t"),
+            F.lit(1 if strict else 0).alias("_prio"),
+            *[(F.lit(sign) * F.col(c)).cast("double").alias(f"_k{i}") for i, c in enumerate(s.tie)],
+            F.struct(F.col(s.time).alias("obs_time"), *[F.col(c) for c in s.payload]).alias(f"_pack_{name}"),
+        )
+        both = both.unionByName(tagged, allowMissingColumns=True)
+    seen = running(
+        both, keys, F.col("_t"),
+        {f"_hit_{n}": Running("last", F.col(f"_pack_{n}")) for n in sources},
+        tie=[F.col("_prio"), *[F.col(f"_k{i}") for i in range(nties)]],
+        width_s=width_s,
+    ).filter(F.col("_left").isNotNull())
+    return seen.select(
+        *keys,
+        *[F.col(f"_left.`{c}`").alias(c) for c in lcols],
+        *[F.col(f"_hit_{n}.{c}").alias(f"{n}{c}") for n, s in sources.items() for c in ("obs_time", *s.payload)],
+    )
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,48 +93,12 @@ def asof_join(
     Matches older than ``max_age_s`` keep their time but lose their payload and
     are flagged stale, as are rows with no match at all.
     """
-    if direction not in ("backward", "forward"):
-        raise ValueError("direction must be backward or forward")
-    sign = 1 if direction == "backward" else -1
-    probe_after = not strict  # right rows at the same instant count unless strict
-    lcols = [c for c in left.columns if c not in keys]
-    obs = f"{prefix}obs_time"
-    pack = F.struct(F.col(right_time).alias(obs), *[F.col(c).alias(prefix + c) for c in payload])
-    ties = [(F.col(c) if sign > 0 else -F.col(c).cast("double")) for c in tie]
-    rtag = right.filter(F.col(right_time).isNotNull()).select(
-        *keys,
-        (F.lit(sign) * micros(right_time)).alias("_t"),
-        F.lit(0 if probe_after else 1).alias("_prio"),
-        *[t.cast("double").alias(f"_k{i}") for i, t in enumerate(ties)],
-        pack.alias("_pack"),
-        F.lit(None).cast(left.select(F.struct(*lcols).alias("s")).schema["s"].dataType).alias("_left"),
-    )
-    ltag = left.select(
-        *keys,
-        (F.lit(sign) * micros(left_time)).alias("_t"),
-        F.lit(1 if probe_after else 0).alias("_prio"),
-        *[F.lit(None).cast("double").alias(f"_k{i}") for i in range(len(ties))],
-        F.lit(None).cast(rtag.schema["_pack"].dataType).alias("_pack"),
-        F.struct(*lcols).alias("_left"),
-    )
-    both = ltag.unionByName(rtag)
-    seen = running(
-        both,
-        keys,
-        F.col("_t"),
-        {"_hit": Running("last", F.col("_pack"))},
-        tie=[F.col("_prio"), *[F.col(f"_k{i}") for i in range(len(ties))]],
-        width_s=width_s,
-    ).filter(F.col("_left").isNotNull())
-    out = seen.select(
-        *keys,
-        *[F.col(f"_left.`{c}`").alias(c) for c in lcols],
-        F.col(f"_hit.{obs}").alias(obs),
-        *[F.col(f"_hit.{prefix}{c}").alias(prefix + c) for c in payload],
+    out = asof_many(
+        left, {prefix: Source(right, right_time, payload, tie)}, keys, left_time, direction=direction, strict=strict, width_s=width_s
     )
     if max_age_s is None:
         return out
-    return with_staleness(out, left_time, obs, [prefix + c for c in payload], max_age_s, f"{prefix}stale")
+    return with_staleness(out, left_time, f"{prefix}obs_time", [prefix + c for c in payload], max_age_s, f"{prefix}stale")
 
 
 def with_staleness(

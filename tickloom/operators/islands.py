@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.timecols import micros
-from tickloom.operators.slicing import DAY, Running, lagged, running
+from tickloom.operators.slicing import DAY, Running, openings, running
 
 
 def interval_islands(
@@ -45,9 +45,8 @@ def step_islands(
     island: str = "island_start",
     width_s: int = DAY * 30,
 ) -> DataFrame:
-    """Label rows by runs; ``breaks`` may use the previous row's ``carry`` columns."""
-    prev = lagged(df, keys, micros(time), carry, tie=tie, width_s=width_s)
-    opens = F.coalesce(breaks, F.lit(True))
-    return running(
-        prev, keys, micros(time), {island: Running("last", F.when(opens, F.col(time)))}, tie=tie, width_s=width_s
-    ).drop(*carry)
+    """Label rows by runs; ``breaks`` may use the previous row's ``carry`` columns.
+
+    The first row of a key (where the comparison is null) starts a run.
+    """
+    return openings(df, keys, time, {island: F.coalesce(breaks, F.lit(True))}, carry, tie=tie, width_s=width_s)

@@ -6,6 +6,8 @@ known value) is decomposable: fold each (key, time slice) to one summary row,
 run the window over those few summaries, and hand every slice the state it
 starts with.  The row-level window then partitions by (key, slice), so a hot key
 spreads over as many tasks as it has slices while results stay exact.
+
+Slice width is a parameter: pick it so that the busiest (key, slice) fits a task.
 """
 
 from __future__ import annotations
@@ -32,21 +34,6 @@ def slice_of(us: Column, width_s: int) -> Column:
     return F.floor(us / F.lit(width_s * 1_000_000)).cast("long")
 
 
-def _summary(spec: Running, order: Column) -> Column:
-    v = spec.value
-    if spec.kind == "sum":
-        return F.sum(v)
-    if spec.kind == "count":
-        return F.count(v)
-    if spec.kind == "max":
-        return F.max(v)
-    if spec.kind == "min":
-        return F.min(v)
-    if spec.kind == "last":
-        return F.max_by(v, F.when(v.isNotNull(), order))
-    raise ValueError(f"unknown running kind {spec.kind!r}")
-
-
 def _fold(kind: str, c: Column) -> Column:
     if kind in ("sum", "count"):
         return F.sum(c)
@@ -54,7 +41,9 @@ def _fold(kind: str, c: Column) -> Column:
         return F.max(c)
     if kind == "min":
         return F.min(c)
-    return F.last(c, ignorenulls=True)
+    if kind == "last":
+        return F.last(c, ignorenulls=True)
+    raise ValueError(f"unknown running kind {kind!r}")
 
 
 def _combine(kind: str, carry: Column, local: Column) -> Column:
@@ -69,6 +58,24 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+def _sliced(df, keys, time_us, tie, width_s, extra):
+    """Project, slice and shuffle once; returns the base, its columns and order."""
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    base = df.select("*", time_us.alias("_us"), *[c.alias(n) for c, n in zip(tie, ties)], *extra)
+    by = [*keys, SLICE]
+    base = base.withColumn(SLICE, slice_of(F.col("_us"), width_s)).repartition(*[F.col(k) for k in by])
+    return base, by, ties
+
+
+def _whole(base: DataFrame) -> Column:
+    """Touch every column, so that the summary branch reads the very same exchange.
+
+    The row branch and the summary branch then differ in nothing below the
+    shuffle and the planner reuses it instead of running the input twice.
+    """
+    return F.max(F.xxhash64(*base.columns)).alias("_all")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,34 +86,29 @@ def running(
     width_s: int = DAY,
 ) -> DataFrame:
     """Add running columns ordered by ``time_us`` then ``tie`` within ``keys``."""
-    names = list(specs)
-    base = df.withColumn("_us", time_us)
-    ties = []
-    for i, c in enumerate(tie):
-        base = base.withColumn(f"_tie{i}", c)
-        ties.append(f"_tie{i}")
-    # values are materialised before the join so that each is computed once
-    for n in names:
-        base = base.withColumn(f"_v_{n}", specs[n].value)
-    base = base.withColumn(SLICE, slice_of(F.col("_us"), width_s))
+    base, by, ties = _sliced(df, keys, time_us, tie, width_s, [s.value.alias(f"_v_{n}") for n, s in specs.items()])
     order = F.struct("_us", *ties)
-    by = list(keys) + [SLICE]
-    held = {n: Running(specs[n].kind, F.col(f"_v_{n}"), specs[n].exclusive) for n in names}
 
-    summary = base.groupBy(*by).agg(*[_summary(held[n], order).alias(f"_s_{n}") for n in names])
+    def summary(n: str, kind: str) -> Column:
+        v = F.col(f"_v_{n}")
+        if kind == "last":
+            return F.max_by(v, F.when(v.isNotNull(), order))
+        return F.count(v) if kind == "count" else _fold(kind, v)
+
+    slices = base.groupBy(*by).agg(
+        *[summary(n, s.kind).alias(f"_s_{n}") for n, s in specs.items()], _whole(base)
+    ).filter(F.col("_all").isNotNull())
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*by, *[_fold(held[n].kind, F.col(f"_s_{n}")).over(before).alias(f"_c_{n}") for n in names])
+    carry = slices.select(*by, *[_fold(s.kind, F.col(f"_s_{n}")).over(before).alias(f"_c_{n}") for n, s in specs.items()])
 
     within = Window.partitionBy(*by).orderBy("_us", *ties)
-    out = base.join(carry, by, "inner")
     cols = []
-    for n in names:
-        s = held[n]
+    for n, s in specs.items():
         frame = within.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)
-        local = (F.count(s.value) if s.kind == "count" else _fold(s.kind, s.value)).over(frame)
+        v = F.col(f"_v_{n}")
+        local = (F.count(v) if s.kind == "count" else _fold(s.kind, v)).over(frame)
         cols.append(_combine(s.kind, F.col(f"_c_{n}"), local).alias(n))
-    kept = [c for c in df.columns if c not in names]
-    return out.select(*kept, *cols)
+    return base.join(carry, by, "inner").select(*[c for c in df.columns if c not in specs], *cols)
 
 
 def lagged(
@@ -125,3 +127,54 @@ def lagged(
     return out.select(
         *[c for c in df.columns if c not in values], *[F.col(f"_prev.{n}").alias(n) for n in values]
     )
+
+
+def openings(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    opens: Mapping[str, Column],
+    carry: Mapping[str, Column],
+    *,
+    tie: Sequence[Column] = (),
+    width_s: int = DAY,
+) -> DataFrame:
+    """Time of the latest row at which a condition on (previous row, row) held.
+
+    ``carry`` names columns holding the previous row's values (null on the first
+    row of a key); each ``opens`` condition may use them and the row's own columns.
+    Adds one timestamp column per condition, in a single shuffle: rows that start
+    a slice are decided at slice level, from the last row of the slice before.
+    """
+    own = [c for c in df.columns]
+    base, by, ties = _sliced(df, keys, F.unix_micros(F.col(time)), tie, width_s, [c.alias(f"_v_{n}") for n, c in carry.items()])
+    order = F.struct("_us", *ties)
+    within = Window.partitionBy(*by).orderBy("_us", *ties)
+    begun = F.lag(F.lit(True), 1).over(within)  # null on the slice's first row
+    local = base.select(
+        *base.columns, *[F.lag(f"_v_{n}", 1).over(within).alias(n) for n in carry], begun.alias("_begun")
+    )
+    marked = local.select(
+        *base.columns, "_begun",
+        *[F.when(F.col("_begun") & F.coalesce(c, F.lit(False)), F.col(time)).alias(f"_o_{n}") for n, c in opens.items()],
+    )
+    slices = marked.groupBy(*by).agg(
+        F.min_by(F.struct(*base.columns), order).alias("_first"),
+        F.max_by(F.struct(*[F.col(f"_v_{n}").alias(n) for n in carry]), order).alias("_last"),
+        *[F.max(f"_o_{n}").alias(f"_m_{n}") for n in opens],
+        _whole(base),
+    ).filter(F.col("_all").isNotNull())
+    seq = Window.partitionBy(*keys).orderBy(SLICE)
+    head = slices.select(
+        *by, *[F.col(f"_m_{n}") for n in opens], F.col("_first"), F.lag("_last", 1).over(seq).alias("_p")
+    ).select(*by, *[f"_m_{n}" for n in opens], *[F.col(f"_first.{c}").alias(c) for c in own if c not in by], *[F.col(f"_p.{n}").alias(n) for n in carry])
+    head = head.select(*by, *[f"_m_{n}" for n in opens], *[F.when(F.coalesce(c, F.lit(False)), F.col(time)).alias(f"_f_{n}") for n, c in opens.items()])
+    before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    start = head.select(
+        *by, *[F.col(f"_f_{n}") for n in opens],
+        *[F.last(F.coalesce(F.col(f"_m_{n}"), F.col(f"_f_{n}")), ignorenulls=True).over(before).alias(f"_c_{n}") for n in opens],
+    )
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    return marked.join(start, by, "inner").select(
+        *own, *[F.coalesce(F.last(f"_o_{n}", ignorenulls=True).over(upto), F.col(f"_f_{n}"), F.col(f"_c_{n}")).alias(n) for n in opens]
+    )
