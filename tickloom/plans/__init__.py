@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_fills",)
+MODULES = ("q_fills", "q_bars")
 
 
 def _load() -> None:
