@@ -44,13 +44,13 @@ class Tables:
 
     @cached_property
     def quotes(self) -> DataFrame:
-        """Every third event; some one-sided, some crossed."""
+        """One quote per event, mostly some time before it; some one-sided, some crossed."""
         i = F.col("event_id")
         mid = F.round(F.lit(100.0) + F.col("value") / F.lit(10.0))
-        return self.events.filter(i % 3 == 0).select(
+        return self.events.select(
             i.alias("seq"),
             F.col("event_type").alias("market"),
-            F.col("ts").alias("time_exchange"),
+            F.timestamp_micros(micros("ts") - (i % 7) * 90_000_000).alias("time_exchange"),
             F.when(i % 51 == 0, mid + 1).otherwise(mid - 1).alias("best_bid_px"),
             (F.lit(1) + i % 5).cast("double").alias("best_bid_sx"),
             F.when(i % 33 != 0, F.when(i % 51 == 0, mid - 1).otherwise(mid + 1)).alias("best_ask_px"),
@@ -93,16 +93,34 @@ class Tables:
     def oracle(self) -> DataFrame:
         i = F.col("event_id")
         price = F.lit(100.0) + F.col("value") / F.lit(10.0)
-        return self.events.filter(i % 2 == 1).select(
+        return self.events.select(
             i.alias("seq"),
             F.col("event_type").alias("market"),
-            F.col("ts").alias("time_exchange"),
+            F.timestamp_micros(micros("ts") + (i % 4) * 20_000_000).alias("time_exchange"),
             F.when(i % 8 == 1, "Deployer").otherwise("Fallback").alias("update_class"),
             price.alias("oracle_px"),
             (price * (F.lit(1.0) + ((i % 9) - 4) / F.lit(1000.0))).alias("mark_px"),
             (price * (F.lit(1.0) + ((i % 7) - 3) / F.lit(1000.0))).alias("external_perp_px"),
         )
 
+    @cached_property
+    def shocks(self) -> DataFrame:
+        """Tagged events: the large values, each lasting up to two hours."""
+        i, v = F.col("event_id"), F.col("value")
+        wallet = lambda k: ((F.col("user_id") + k) % 20).cast("string")
+        return self.events.filter(v > 120).select(
+            F.concat_ws("-", "event_type", i.cast("string")).alias("event_id"),
+            F.col("event_type").alias("market"),
+            F.col("ts").alias("start_time"),
+            F.timestamp_micros(micros("ts") + (i % 13) * 600_000_000).alias("end_time"),
+            F.when(i % 2 == 0, "BUY").otherwise("SELL").alias("direction"),
+            (F.lit(1) + i % 9).cast("double").alias("aggressor_size"),
+            F.array_sort(F.array_distinct(F.array(wallet(0), wallet(7)))).alias("wallets"),
+            (F.lit(3.0) + (i % 5) / F.lit(2.0)).alias("rate_multiple"),
+            (F.lit(3.0) + (i % 4) / F.lit(4.0)).alias("displacement_multiple"),
+            F.lit("proxy-tagged").alias("tag_label"),
+        )
+
     @cached_property
     def candles_1d(self) -> DataFrame:
         """Daily panel: one market per supplier group and line status."""
@@ -148,12 +166,12 @@ VIEW_SQL: dict[str, str] = {
         CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS taker_side,
         user_id::VARCHAR AS user_taker, event_id AS seq FROM events""",
     "ticks": "SELECT * REPLACE (round(price) AS price) FROM trades",
-    "quotes": """SELECT event_id AS seq, event_type AS market, ts AS time_exchange,
+    "quotes": """SELECT event_id AS seq, event_type AS market, ts - to_microseconds((event_id % 7) * 90000000) AS time_exchange,
         CASE WHEN event_id % 51 = 0 THEN m + 1 ELSE m - 1 END AS best_bid_px,
         (1 + event_id % 5)::DOUBLE AS best_bid_sx,
         CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 51 = 0 THEN m - 1 ELSE m + 1 END AS best_ask_px,
         CASE WHEN event_id % 33 = 0 THEN NULL ELSE (1 + event_id % 11)::DOUBLE END AS best_ask_sx
-        FROM (SELECT *, round(100.0::DOUBLE + value / 10.0::DOUBLE) AS m FROM events WHERE event_id % 3 = 0)""",
+        FROM (SELECT *, round(100.0::DOUBLE + value / 10.0::DOUBLE) AS m FROM events)""",
     "book": """SELECT event_id AS seq, event_type AS market, ts AS time_exchange,
         CASE WHEN (event_id // 50) % 8 = 0 THEN 'SNAPSHOT' WHEN event_id % 10 < 4 THEN 'SET'
              WHEN event_id % 10 < 7 THEN 'ADD' WHEN event_id % 10 = 7 THEN 'SUB' ELSE 'DELETE' END AS update_type,
@@ -162,11 +180,16 @@ VIEW_SQL: dict[str, str] = {
         CASE WHEN event_id % 10 = 7 THEN 1.0 ELSE 2 + event_id % 6 END::DOUBLE AS entry_sx FROM events""",
     "funding": """SELECT event_type AS market, date_trunc('hour', ts) + INTERVAL 1 HOUR AS time_exchange,
         (avg(value) - 50) / 97931 AS funding_rate FROM events GROUP BY 1, 2""",
-    "oracle": """SELECT event_id AS seq, event_type AS market, ts AS time_exchange,
+    "oracle": """SELECT event_id AS seq, event_type AS market, ts + to_microseconds((event_id % 4) * 20000000) AS time_exchange,
         CASE WHEN event_id % 8 = 1 THEN 'Deployer' ELSE 'Fallback' END AS update_class,
         p AS oracle_px, p * (1.0::DOUBLE + (event_id % 9 - 4)::DOUBLE / 1000.0::DOUBLE) AS mark_px,
         p * (1.0::DOUBLE + (event_id % 7 - 3)::DOUBLE / 1000.0::DOUBLE) AS external_perp_px
-        FROM (SELECT *, 100.0::DOUBLE + value / 10.0::DOUBLE AS p FROM events WHERE event_id % 2 = 1)""",
+        FROM (SELECT *, 100.0::DOUBLE + value / 10.0::DOUBLE AS p FROM events)""",
+    "shocks": """SELECT event_type || '-' || event_id AS event_id, event_type AS market, ts AS start_time, ts + to_microseconds((event_id % 13) * 600000000) AS end_time,
+        CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, (1 + event_id % 9)::DOUBLE AS aggressor_size,
+        list_sort(list_distinct([(user_id % 20)::VARCHAR, ((user_id + 7) % 20)::VARCHAR])) AS wallets,
+        3.0::DOUBLE + (event_id % 5)::DOUBLE / 2 AS rate_multiple, 3.0::DOUBLE + (event_id % 4)::DOUBLE / 4 AS displacement_multiple,
+        'proxy-tagged' AS tag_label FROM events WHERE value > 120""",
     "candles_1d": """SELECT concat_ws('-', l_returnflag, l_linestatus, (l_suppkey % 2)::VARCHAR) AS market,
         l_shipdate::TIMESTAMP AS time_open,
         arg_min(p, (l_orderkey, l_linenumber)) AS open, max(p) AS high, min(p) AS low,
