@@ -65,27 +65,27 @@ def draws_of(sizes: DataFrame, group: Sequence[str], n_resamples: int, seed: int
     ).select(*group, "draw", hash_index(seed, F.col("draw"), F.col("slot"), F.col("G")).alias("idx"))
 
 
-def bootstrap_ci(
+def bootstrap_many(
     df: DataFrame,
     group: Sequence[str],
     cluster: str,
     sums: Mapping[str, Column],
-    stat: Stat,
+    stats: Mapping[str, Stat],
     *,
     n: Column | None = None,
     n_resamples: int = RESAMPLES,
     seed: int | Column = 0,
     min_clusters: int = MIN_CLUSTERS,
 ) -> DataFrame:
-    """Point, percentile interval, n, G and low_cluster per group.
+    """Several statistics of the same draws: ``{name}``, ``{name}_ci_low``, ``{name}_ci_high``.
 
-    ``sums`` are per-row expressions whose totals determine ``stat``.  Below
-    ``min_clusters`` the interval is undefined (null), never a zero-width one.
+    ``sums`` are per-row expressions whose totals determine every statistic.  Below
+    ``min_clusters`` the intervals are undefined (null), never of zero width.
     """
     check_settings(n_resamples, min_clusters)
     names = list(sums)
-    g = list(group) or ["_all"]
-    base = df if group else df.withColumn("_all", F.lit(1))
+    g = list(group) or ["_every"]
+    base = df if group else df.withColumn("_every", F.lit(1))
     rows = F.count(F.lit(1)) if n is None else F.sum(n)
     clusters = base.filter(F.col(cluster).isNotNull()).groupBy(*g, cluster).agg(
         *[F.sum(sums[k]).cast("double").alias(f"s_{k}") for k in names], rows.cast("long").alias("_n")
@@ -94,16 +94,22 @@ def bootstrap_ci(
     numbered = clusters.withColumn("idx", F.row_number().over(Window.partitionBy(*g).orderBy(cluster)).cast("long") - 1)
     totals = clusters.groupBy(*g).agg(
         *[F.sum(f"s_{k}").alias(f"t_{k}") for k in names], F.sum("_n").alias("n"), F.count(F.lit(1)).alias("G")
-    ).select(*g, stat({k: F.col(f"t_{k}") for k in names}).alias("point"), "n", "G")
+    ).select(*g, *[s({k: F.col(f"t_{k}") for k in names}).alias(m) for m, s in stats.items()], "n", "G")
     picks = draws_of(totals.filter(F.col("G") >= min_clusters).select(*g, "G"), g, n_resamples, seed)
     per_draw = picks.join(numbered.drop(cluster, "_n"), [*g, "idx"]).groupBy(*g, "draw").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in names])
-    values = per_draw.select(*g, _finite(stat({k: F.col(f"s_{k}") for k in names})).alias("_v"))
-    ci = values.groupBy(*g).agg(F.percentile("_v", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    out = totals.join(ci, g, "left").select(
-        *group, "point", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "n", "G",
-        (F.col("G") < min_clusters).alias("low_cluster"),
-    )
-    return out
+    values = per_draw.select(*g, *[_finite(s({k: F.col(f"s_{k}") for k in names})).alias(f"_v_{m}") for m, s in stats.items()])
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    ci = values.groupBy(*g).agg(*[F.percentile(f"_v_{m}", ends).alias(f"_q_{m}") for m in stats])
+    cols = []
+    for m in stats:
+        cols += [F.col(m), F.col(f"_q_{m}")[0].alias(f"{m}_ci_low"), F.col(f"_q_{m}")[1].alias(f"{m}_ci_high")]
+    return totals.join(ci, g, "left").select(*group, *cols, "n", "G", (F.col("G") < min_clusters).alias("low_cluster"))
+
+
+def bootstrap_ci(df: DataFrame, group: Sequence[str], cluster: str, sums: Mapping[str, Column], stat: Stat, **kw) -> DataFrame:
+    """Point, percentile interval, n, G and low_cluster per group."""
+    out = bootstrap_many(df, group, cluster, sums, {"point": stat}, **kw)
+    return out.withColumnsRenamed({"point_ci_low": "ci_low", "point_ci_high": "ci_high"})
 
 
 def mean_ci(df: DataFrame, group: Sequence[str], cluster: str, value: str, **kw) -> DataFrame:

@@ -16,6 +16,7 @@ from tickloom.plans.q_fills import START, l1_of
 from tickloom.plans.registry import query
 
 WS, WE = "2024-01-02 00:00:00", "2024-01-30 00:00:00"
+END_ALL = "2024-01-31 00:00:00"
 
 
 def rates_of(t: Tables):
