@@ -22,10 +22,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     per_bin = binned.groupBy(*keys, "_b").agg(F.sum("_k").alias("_n"))  # at most CUTS rows per group
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_bin.select(
-        *keys, "_b", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_N")
+        *keys, "_b", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total")
     )
     want = placed.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])).alias("_q"))
-    pos = F.col("_q.p") * (F.col("_N") - 1)
+    pos = F.col("_q.p") * (F.col("_total") - 1)
     hit = want.select(
         *keys, "_b", "_before", F.col("_q.name").alias("_name"), F.floor(pos).alias("_lo"), F.ceil(pos).alias("_hi"), (pos - F.floor(pos)).alias("_w"), "_n"
     ).filter((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_before") + F.col("_n")))

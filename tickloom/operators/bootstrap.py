@@ -12,6 +12,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.session import materialize
+
 RESAMPLES = 2_000
 MIN_CLUSTERS = 5
 Stat = Callable[[Mapping[str, Column]], Column]
@@ -60,7 +62,10 @@ def _finite(c: Column) -> Column:
 def draws_of(sizes: DataFrame, group: Sequence[str], n_resamples: int, seed: int | Column) -> DataFrame:
     """(group, draw, slot) -> cluster index; ``sizes`` has the group and ``G``."""
     draws = sizes.select(*group, "G", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("draw"))
-    return draws.repartition(*group, "draw").select(
+    # an explicit count: these rows are tiny but each one grows into G slots, so
+    # they must not be packed together by size
+    parts = max(8, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return draws.repartition(parts, *group, "draw").select(
         *group, "G", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("G") - 1)).alias("slot")
     ).select(*group, "draw", hash_index(seed, F.col("draw"), F.col("slot"), F.col("G")).alias("idx"))
 
@@ -90,6 +95,7 @@ def bootstrap_many(
     clusters = base.filter(F.col(cluster).isNotNull()).groupBy(*g, cluster).agg(
         *[F.sum(sums[k]).cast("double").alias(f"s_{k}") for k in names], rows.cast("long").alias("_n")
     )
+    clusters = materialize(clusters, "clusters")  # one row per cluster, used three times
     # numbering the clusters of a group: one short row per time block
     numbered = clusters.withColumn("idx", F.row_number().over(Window.partitionBy(*g).orderBy(cluster)).cast("long") - 1)
     totals = clusters.groupBy(*g).agg(
@@ -129,11 +135,11 @@ def quantile_ci(
     """
     check_settings(n_resamples, min_clusters)
     clean = df.filter(F.col(value).isNotNull() & F.col(cluster).isNotNull())
-    counted = clean.groupBy(*group, cluster, value).agg(F.count(F.lit(1)).alias("_k"))
-    ids = clean.select(*group, cluster).distinct().withColumn(
+    counted = materialize(clean.groupBy(*group, cluster, value).agg(F.count(F.lit(1)).alias("_k")), "counted")
+    ids = counted.select(*group, cluster).distinct().withColumn(
         "idx", F.row_number().over(Window.partitionBy(*group).orderBy(cluster)).cast("long") - 1
     )
-    totals = clean.groupBy(*group).agg(F.percentile(value, prob).alias("point"), F.count(F.lit(1)).alias("n")).join(
+    totals = counted.groupBy(*group).agg(F.percentile(value, prob, F.col("_k")).alias("point"), F.sum("_k").alias("n")).join(
         ids.groupBy(*group).agg(F.count(F.lit(1)).alias("G")), list(group)
     )
     weights = draws_of(totals.filter(F.col("G") >= min_clusters).select(*group, "G"), group, n_resamples, seed).groupBy(
@@ -160,6 +166,7 @@ def panel_ci(
     """
     check_settings(n_resamples, min_clusters)
     s = [*group, *strata]
+    panel = materialize(panel, "panel")
     ranked = panel.withColumn("_i", F.row_number().over(Window.partitionBy(*s).orderBy(slot)).cast("long") - 1)
     sizes = panel.groupBy(*s).agg(F.count(F.lit(1)).alias("_m"))
     per_group = panel.groupBy(*group).agg(F.count(F.lit(1)).alias("G"))

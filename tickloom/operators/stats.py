@@ -153,7 +153,8 @@ def coverage_audit(panel: DataFrame, universe: DataFrame, start: Column, end: Co
 # --- oracle premium against realised funding ------------------------------------
 def funding_from_premium(premium: Column, *, interest: Column | float, multiplier: float = 1.0, clamp: float = CLAMP, divisor: float = DIVISOR, cap: float = CAP) -> Column:
     i = interest if isinstance(interest, Column) else F.lit(float(interest))
-    eight = premium + F.least(F.greatest(i - premium, F.lit(-clamp)), F.lit(clamp))
+    # premium + clip(i - premium, -c, c), written so that an inactive clamp is exactly i
+    eight = F.least(F.greatest(i, premium - F.lit(clamp)), premium + F.lit(clamp))
     hourly = F.lit(multiplier) * eight / F.lit(divisor)
     return F.least(F.greatest(hourly, F.lit(-cap)), F.lit(cap))
 
@@ -268,13 +269,13 @@ def iid_floor(partials: DataFrame, hours: DataFrame, endpoint_r2: DataFrame, *,
     if seeds < 100:
         raise ValueError("seeds must be at least 100")
     k = ["market", "settlement_time"]
-    total = partials.groupBy(*k).agg(F.sum("k").alias("N"))
+    total = partials.groupBy(*k).agg(F.sum("k").alias("_all"))
     c = cumulative_minutes(partials).join(hours.select(*k), k, "left_semi").join(total, k)
-    x = c.select(*k, "minute", F.col("ck").cast("double").alias("n"), F.col("N").cast("double").alias("N"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("sim"))
+    x = c.select(*k, "minute", F.col("ck").cast("double").alias("n"), F.col("_all").cast("double").alias("full_n"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("sim"))
     tag = [F.lit(seed), F.col("sim"), F.col("market"), micros("settlement_time"), F.col("minute")]
     a = F.sqrt("n") * hash_normal(F.lit("a"), *tag)
-    b = F.sqrt(F.col("N") - F.col("n")) * hash_normal(F.lit("b"), *tag)
-    m = x.select("minute", "sim", (a / F.col("n")).alias("part"), ((a + b) / F.col("N")).alias("full"))
+    b = F.sqrt(F.col("full_n") - F.col("n")) * hash_normal(F.lit("b"), *tag)
+    m = x.select("minute", "sim", (a / F.col("n")).alias("part"), ((a + b) / F.col("full_n")).alias("full"))
     per = m.groupBy("sim", "minute").agg(r_squared("full", "part").alias("r2"))
     s = per.groupBy("minute").agg(F.avg("r2").alias("m"), F.var_samp("r2").alias("v"), F.count("r2").alias("sims"))
     return s.crossJoin(F.broadcast(endpoint_r2.select("r2"))).select(  # one row

@@ -83,7 +83,7 @@ def _(t: Tables):
     return bs.quantile_ci(fclust(t), ["market"], "cluster_key", "apr", 0.95)
 
 
-add_view("panel", "SELECT market AS strategy, strftime(time_open, '%Y-%m') AS stratum, time_open AS slot, time_open AS period, close - open AS net FROM candles_1d WHERE year(time_open) = 2001", "candles_1d")
+add_view("panel", "SELECT market AS strategy, strftime(time_open, '%Y') AS stratum, date_trunc('month', time_open) AS slot, date_trunc('month', time_open) AS period, sum(close - open) AS net FROM candles_1d GROUP BY ALL", "candles_1d")
 
 
 @query("B3_panel_bootstrap", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY strategy, stratum ORDER BY slot) - 1 AS i, count(*) OVER (PARTITION BY strategy, stratum) AS m, count(*) OVER (PARTITION BY strategy) AS G FROM panel),
@@ -92,9 +92,9 @@ add_view("panel", "SELECT market AS strategy, strftime(time_open, '%Y-%m') AS st
     SELECT a.strategy, round(a.point, 6) AS point, round(q.l, 6) AS ci_low, round(q.h, 6) AS ci_high, a.G, a.G < 5 AS low_cluster FROM (SELECT strategy, avg(net) AS point, count(*) AS G FROM panel GROUP BY 1) a
     JOIN (SELECT strategy, quantile_cont(v, 0.025) AS l, quantile_cont(v, 0.975) AS h FROM v GROUP BY 1) q USING (strategy)""", "panel")
 def _(t: Tables):
-    c = t.candles_1d.filter(F.year("time_open") == 2001)
-    p = c.select(F.col("market").alias("strategy"), F.date_format("time_open", "yyyy-MM").alias("stratum"), F.col("time_open").alias("slot"),
-                 F.col("time_open").alias("period"), (F.col("close") - F.col("open")).alias("net"))
+    month = F.date_trunc("month", "time_open")
+    p = t.candles_1d.groupBy(F.col("market").alias("strategy"), F.date_format("time_open", "yyyy").alias("stratum"), month.alias("slot")).agg(
+        F.sum(F.col("close") - F.col("open")).alias("net")).withColumn("period", F.col("slot"))
     return bs.panel_ci(p, ["strategy"], ["stratum"], "slot", "net", "period", F.avg)
 
 
@@ -295,7 +295,7 @@ def _(t: Tables):
 
 # --- reconciliation --------------------------------------------------------------
 INTEREST = 0.0001
-_PRED = "least(greatest(({p} + least(greatest(" + str(INTEREST) + " - {p}, -0.0005), 0.0005)) / 8.0::DOUBLE, -0.04), 0.04)"
+_PRED = "least(greatest(least(greatest(" + str(INTEREST) + "::DOUBLE, {p} - 0.0005::DOUBLE), {p} + 0.0005::DOUBLE) / 8.0::DOUBLE, -0.04), 0.04)"
 add_view("prem", "SELECT market, seq, time_exchange, update_class, (mark_px - oracle_px) / oracle_px AS p, date_trunc('hour', time_exchange) + INTERVAL 1 HOUR AS settlement_time, minute(time_exchange) AS minute FROM oracle", "oracle")
 add_view("hours", f"""SELECT h.*, f.funding_rate AS realized_funding, {_PRED.format(p='average_premium')} AS predicted_funding FROM (SELECT market, settlement_time, avg(p) AS average_premium, count(*) AS sample_count,
     CASE WHEN bool_or(update_class = 'Fallback') THEN 'Fallback' ELSE 'Deployer' END AS update_class FROM prem GROUP BY 1, 2) h JOIN funding f ON f.market = h.market AND date_trunc('hour', f.time_exchange) = h.settlement_time""", "prem funding")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,14 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write a small, several times used intermediate once and read it back.
+
+    The table lives in the shared folder, so a lost executor costs nothing, the
+    upstream plan runs once, and the planner knows the table's real size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
