@@ -38,3 +38,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     picked = hit.join(ranked, [*keys, "_b"]).groupBy(*keys, "_name").agg(at("_lo").alias("_x"), at("_hi").alias("_y"), F.max("_w").alias("_w"))
     val = F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_w")
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, val)).alias(n) for n in probs])
+
+
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, prob: float, name: str) -> DataFrame:
+    """The element at the position nearest to ``prob * (n - 1)`` (no interpolation).
+
+    For per-event summaries; halves round up.
+    """
+    w = Window.partitionBy(*keys)
+    r = df.filter(F.col(value).isNotNull()).select(
+        *keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n")
+    )
+    return r.filter(F.col("_r") == F.round(F.lit(prob) * (F.col("_n") - 1)) + 1).select(*keys, F.col(value).alias(name))

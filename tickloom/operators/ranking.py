@@ -52,7 +52,7 @@ def tails(df: DataFrame, partition: list[str], value: str, tie: str, share: floa
     w = Window.partitionBy(*partition)
     size = F.ceil(F.count(F.lit(1)).over(w) * F.lit(share))
     lo = F.row_number().over(w.orderBy(F.col(value).asc(), F.col(tie).asc()))
-    hi = F.row_number().over(w.orderBy(F.col(value).desc(), F.col(tie).asc()))
+    hi = F.row_number().over(w.orderBy(F.col(value).desc(), F.col(tie).desc()))
     both = df.select("*", size.alias("_k"), lo.alias("_lo"), hi.alias("_hi"))
     low = both.filter(F.col("_lo") <= F.col("_k")).withColumn("tail", F.lit("low"))
     high = both.filter(F.col("_hi") <= F.col("_k")).withColumn("tail", F.lit("high"))

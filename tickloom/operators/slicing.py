@@ -136,17 +136,21 @@ def openings(
     opens: Mapping[str, Column],
     carry: Mapping[str, Column],
     *,
+    mark: str | None = None,
     tie: Sequence[Column] = (),
     width_s: int = DAY,
 ) -> DataFrame:
     """Time of the latest row at which a condition on (previous row, row) held.
 
+    ``mark`` names another column to report instead of the time.
+
     ``carry`` names columns holding the previous row's values (null on the first
     row of a key); each ``opens`` condition may use them and the row's own columns.
     Adds one timestamp column per condition, in a single shuffle: rows that start
     a slice are decided at slice level, from the last row of the slice before.
     """
     own = [c for c in df.columns]
+    mark = mark or time
     base, by, ties = _sliced(df, keys, F.unix_micros(F.col(time)), tie, width_s, [c.alias(f"_v_{n}") for n, c in carry.items()])
     order = F.struct("_us", *ties)
     within = Window.partitionBy(*by).orderBy("_us", *ties)
@@ -156,19 +160,19 @@ def openings(
     )
     marked = local.select(
         *base.columns, "_begun",
-        *[F.when(F.col("_begun") & F.coalesce(c, F.lit(False)), F.col(time)).alias(f"_o_{n}") for n, c in opens.items()],
+        *[F.when(F.col("_begun") & F.coalesce(c, F.lit(False)), F.col(mark)).alias(f"_o_{n}") for n, c in opens.items()],
     )
     slices = marked.groupBy(*by).agg(
         F.min_by(F.struct(*base.columns), order).alias("_first"),
         F.max_by(F.struct(*[F.col(f"_v_{n}").alias(n) for n in carry]), order).alias("_last"),
-        *[F.max(f"_o_{n}").alias(f"_m_{n}") for n in opens],
+        *[F.max_by(f"_o_{n}", F.when(F.col(f"_o_{n}").isNotNull(), order)).alias(f"_m_{n}") for n in opens],
         _whole(base),
     ).filter(F.col("_all").isNotNull())
     seq = Window.partitionBy(*keys).orderBy(SLICE)
     head = slices.select(
         *by, *[F.col(f"_m_{n}") for n in opens], F.col("_first"), F.lag("_last", 1).over(seq).alias("_p")
     ).select(*by, *[f"_m_{n}" for n in opens], *[F.col(f"_first.{c}").alias(c) for c in own if c not in by], *[F.col(f"_p.{n}").alias(n) for n in carry])
-    head = head.select(*by, *[f"_m_{n}" for n in opens], *[F.when(F.coalesce(c, F.lit(False)), F.col(time)).alias(f"_f_{n}") for n, c in opens.items()])
+    head = head.select(*by, *[f"_m_{n}" for n in opens], *[F.when(F.coalesce(c, F.lit(False)), F.col(mark)).alias(f"_f_{n}") for n, c in opens.items()])
     before = seq.rowsBetween(Window.unboundedPreceding, -1)
     start = head.select(
         *by, *[F.col(f"_f_{n}") for n in opens],

@@ -407,7 +407,7 @@ def _(t: Tables):
     return r.crossJoin(F.broadcast(tot)).select("market", "interval_start", F.format_string("%s_D%02d", F.when(F.col("annualized_rate") < 0, "negative").otherwise("nonnegative"), d.cast("int")).alias("sign_size_decile"))
 
 
-@query("W12_tail_deciles", """WITH r AS (SELECT time_exchange, market, funding_rate, row_number() OVER (PARTITION BY time_exchange ORDER BY funding_rate, market) AS lo, row_number() OVER (PARTITION BY time_exchange ORDER BY funding_rate DESC, market) AS hi, ceil(count(*) OVER (PARTITION BY time_exchange) * 0.1) AS k FROM funding)
+@query("W12_tail_deciles", """WITH r AS (SELECT time_exchange, market, funding_rate, row_number() OVER (PARTITION BY time_exchange ORDER BY funding_rate, market) AS lo, row_number() OVER (PARTITION BY time_exchange ORDER BY funding_rate DESC, market DESC) AS hi, ceil(count(*) OVER (PARTITION BY time_exchange) * 0.1) AS k FROM funding)
     SELECT time_exchange, market, 'low' AS tail FROM r WHERE lo <= k UNION ALL SELECT time_exchange, market, 'high' FROM r WHERE hi <= k""", "funding")
 def _(t: Tables):
     return rk.tails(t.funding, ["time_exchange"], "funding_rate", "market").select("time_exchange", "market", "tail")
