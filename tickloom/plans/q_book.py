@@ -120,9 +120,9 @@ add_view("states4", """WITH p AS (SELECT *, lag(update_type) OVER (PARTITION BY
       FROM e WHERE epoch IS NOT NULL AND update_type <> 'PENDING' AND NOT (update_type = 'SNAPSHOT' AND NOT live)),
     b AS (SELECT *, count(st) OVER (PARTITION BY market, epoch, order_id ORDER BY time_exchange, seq) AS sg FROM a), x AS (SELECT *, sum(coalesce(st, 0) + d) OVER (PARTITION BY market, epoch, order_id, sg ORDER BY time_exchange, seq) AS x FROM b),
     y AS (SELECT *, x - least(0, min(x) OVER (PARTITION BY market, epoch, order_id, sg ORDER BY time_exchange, seq)) AS size FROM x), z AS (SELECT *, coalesce(lag(size) OVER w, 0) AS prior FROM y WINDOW w AS (PARTITION BY market, epoch, order_id ORDER BY time_exchange, seq)),
-    q AS (SELECT *, last_value(CASE WHEN update_type IN ('SNAPSHOT', 'SET') OR (update_type = 'ADD' AND prior <= 0) THEN {'b': buy, 'p': px} END IGNORE NULLS) OVER (PARTITION BY market, epoch, order_id ORDER BY time_exchange, seq) AS at FROM z),
-    r AS (SELECT *, lag(at) OVER (PARTITION BY market, epoch, order_id ORDER BY time_exchange, seq) AS was FROM q),
-    m AS (SELECT market, epoch, time_exchange, seq, was.b AS b, was.p AS price, -prior AS d FROM r UNION ALL SELECT market, epoch, time_exchange, seq, at.b, at.p, size FROM r),
+    q AS (SELECT *, last_value(CASE WHEN update_type IN ('SNAPSHOT', 'SET') OR (update_type = 'ADD' AND prior <= 0) THEN {'b': buy, 'p': px} END IGNORE NULLS) OVER (PARTITION BY market, epoch, order_id ORDER BY time_exchange, seq) AS att FROM z),
+    r AS (SELECT *, lag(att) OVER (PARTITION BY market, epoch, order_id ORDER BY time_exchange, seq) AS was FROM q),
+    m AS (SELECT market, epoch, time_exchange, seq, was.b AS b, was.p AS price, -prior AS d FROM r UNION ALL SELECT market, epoch, time_exchange, seq, att.b, att.p, size FROM r),
     l AS (SELECT market, epoch, time_exchange, seq, CASE WHEN b THEN 'bid' ELSE 'ask' END AS side, price, sum(d) AS d FROM m WHERE price IS NOT NULL GROUP BY ALL)
     SELECT market, epoch, time_exchange, seq, side, price, greatest(0, sum(d) OVER (PARTITION BY market, epoch, side, price ORDER BY time_exchange, seq)) AS size FROM l""", "book4")
 
