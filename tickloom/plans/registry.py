@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.plans import bindings
 from tickloom.session import ensure_conf
@@ -13,6 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def round6(c: Column) -> Column:
+    """Six decimals, halves away from zero on the scaled double; no negative zero."""
+    a = F.abs(c) * F.lit(1e6)
+    f = F.floor(a)
+    near = F.signum(c) * (f + F.when(a - f >= 0.5, 1).otherwise(0)) / F.lit(1e6)
+    return F.when(F.abs(c) < 1e12, near).otherwise(F.round(c, 6)) + F.lit(0.0)
+
+
 def present(df: DataFrame) -> DataFrame:
     """Stable output types: naive timestamps, rounded doubles, joined arrays."""
     cols = []
@@ -21,8 +29,7 @@ def present(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, T.DoubleType):
-            # adding 0.0 turns a rounded -0.0 into 0.0
-            c = F.round(c, 6) + F.lit(0.0)
+            c = round6(c)
         elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.ByteType):
             c = c.cast("long")
         elif isinstance(f.dataType, T.ArrayType):
