@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_fills", "q_bars", "q_joins", "q_stats", "q_portfolio", "q_book", "q_sources", "q_signals", "q_misc")
+MODULES = ("q_fills", "q_bars", "q_joins", "q_stats", "q_portfolio", "q_book", "q_sources", "q_signals", "q_misc", "q_streams")
 
 
 def _load() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.timecols import plus_seconds
-from tickloom.operators import bars as b, conditioning as cn, eventwindows as ew, lookups as lk
+from tickloom.operators import bars as b, conditioning as cn, eventwindows as ew, lookups as lk, spreads as sp
 from tickloom.operators.asof import asof_join, require_match
 from tickloom.operators.fills import study_segment, with_default_rate
 from tickloom.operators.quotes import microprices
@@ -122,9 +122,10 @@ def _(t: Tables):
 @query("J11_twin_series", """SELECT a.market AS market_a, b.market AS market_b, a.time_exchange, round((a.funding_rate - b.funding_rate) * 24 * 365, 6) AS differential_apr
     FROM funding a JOIN funding b ON a.time_exchange = b.time_exchange AND a.market < b.market""", "funding")
 def _(t: Tables):
-    a = t.funding.select(F.col("market").alias("market_a"), "time_exchange", F.col("funding_rate").alias("ra"))
-    bb = t.funding.select(F.col("market").alias("market_b"), "time_exchange", F.col("funding_rate").alias("rb"))
-    return a.join(bb, "time_exchange").filter("market_a < market_b").select("market_a", "market_b", "time_exchange", cn.apr(F.col("ra") - F.col("rb")).alias("differential_apr"))
+    m = t.trades.select("market").distinct()  # the pair list is a small dimension
+    pairs = m.select(F.lit("ALL").alias("underlier"), F.col("market").alias("market_a")).join(m.select(F.col("market").alias("market_b")), F.col("market_a") < F.col("market_b"))
+    d = sp.pair_series(pairs, t.funding, "time_exchange", "funding_rate")
+    return d.select("market_a", "market_b", F.col("time").alias("time_exchange"), cn.apr(F.col("funding_rate_a") - F.col("funding_rate_b")).alias("differential_apr"))
 
 
 ALIASES = {"NATION_7": "NATION_1", "NATION_9": "NATION_2"}

@@ -228,7 +228,7 @@ def _(t: Tables):
     return t.events.select("event_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"), (F.weekday("ts") + 1).alias("weekday"), F.date_format("ts", "yyyy-MM").alias("month"), F.datediff("ts", F.lit("2023-12-25").cast("date")).alias("days"))
 
 
-@query("F17_epochs", "SELECT event_id, epoch_ms(ts) AS ms, epoch(ts)::BIGINT - CASE WHEN epoch(ts) < epoch(ts)::BIGINT THEN 1 ELSE 0 END AS s, make_timestamp_ms(epoch_ms(ts)) AS back FROM events")
+@query("F17_epochs", "SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS s, make_timestamp(epoch_us(ts) // 1000 * 1000) AS back FROM events")
 def _(t: Tables):
     return t.events.select("event_id", F.unix_millis("ts").alias("ms"), F.unix_seconds("ts").alias("s"), F.timestamp_millis(F.unix_millis("ts")).alias("back"))
 
