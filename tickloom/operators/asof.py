@@ -62,6 +62,7 @@ def asof_many(
         {f"_hit_{n}": Running("last", F.col(f"_pack_{n}")) for n in sources},
         tie=[F.col("_prio"), *[F.col(f"_k{i}") for i in range(nties)]],
         width_s=width_s,
+        consume=["_t", "_prio", *[f"_k{i}" for i in range(nties)], *[f"_pack_{n}" for n in sources]],
     ).filter(F.col("_left").isNotNull())
     return seen.select(
         *keys,

@@ -48,7 +48,7 @@ def range_totals(
     cum = running(
         ltag.unionByName(rtag), keys, F.col("_t"),
         {f"_cum_{n}": Running("sum", F.col(f"_in_{n}")) for n in vnames},
-        tie=[F.col("_prio")], width_s=width_s,
+        tie=[F.col("_prio")], width_s=width_s, consume=["_t", "_prio", *[f"_in_{n}" for n in vnames]],
     ).filter(F.col("_lid").isNotNull())
     parts = [
         F.sum(F.when(F.col("label") == label, F.col("_sign") * F.coalesce(F.col(f"_cum_{n}"), F.lit(0.0)))).alias(f"{label}_{n}")

@@ -58,12 +58,17 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(local, carry)
 
 
-def _sliced(df, keys, time_us, tie, width_s, extra):
+def _sliced(df, keys, time_us, tie, width_s, extra, consume=()):
     """Project, slice and shuffle once; returns the base, its columns and order."""
     ties = [f"_tie{i}" for i in range(len(tie))]
-    base = df.select("*", time_us.alias("_us"), *[c.alias(n) for c, n in zip(tie, ties)], *extra)
+    base = df.select(*[c for c in df.columns if c not in consume], time_us.alias("_us"), *[c.alias(n) for c, n in zip(tie, ties)], *extra)
     by = [*keys, SLICE]
-    base = base.withColumn(SLICE, slice_of(F.col("_us"), width_s)).repartition(*[F.col(k) for k in by])
+    # the join below implies non-null keys; saying so here keeps the planner from
+    # adding that filter to one branch only, which would cost the shared exchange
+    known = F.lit(True)
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    base = base.withColumn(SLICE, slice_of(F.col("_us"), width_s)).filter(known).repartition(*[F.col(k) for k in by])
     return base, by, ties
 
 
@@ -84,9 +89,14 @@ def running(
     *,
     tie: Sequence[Column] = (),
     width_s: int = DAY,
+    consume: Sequence[str] = (),
 ) -> DataFrame:
-    """Add running columns ordered by ``time_us`` then ``tie`` within ``keys``."""
-    base, by, ties = _sliced(df, keys, time_us, tie, width_s, [s.value.alias(f"_v_{n}") for n, s in specs.items()])
+    """Add running columns ordered by ``time_us`` then ``tie`` within ``keys``.
+
+    ``consume`` names input columns that only feed the expressions; they are not
+    carried along (a column nobody reads later would cost the shared exchange).
+    """
+    base, by, ties = _sliced(df, keys, time_us, tie, width_s, [s.value.alias(f"_v_{n}") for n, s in specs.items()], consume)
     order = F.struct("_us", *ties)
 
     def summary(n: str, kind: str) -> Column:
@@ -108,7 +118,7 @@ def running(
         v = F.col(f"_v_{n}")
         local = (F.count(v) if s.kind == "count" else _fold(s.kind, v)).over(frame)
         cols.append(_combine(s.kind, F.col(f"_c_{n}"), local).alias(n))
-    return base.join(carry, by, "inner").select(*[c for c in df.columns if c not in specs], *cols)
+    return base.join(carry, by, "inner").select(*[c for c in df.columns if c not in specs and c not in consume], *cols)
 
 
 def lagged(
