@@ -18,7 +18,7 @@ from tickloom.operators.islands import interval_islands
 from tickloom.operators.lookups import join_one_to_one, nearest_join, strict_lookup
 from tickloom.operators.ranges import range_totals, rows_in_windows
 from tickloom.operators.ranking import global_prefix
-from tickloom.operators.slicing import Running, openings, running
+from tickloom.operators.slicing import Running, busiest_slice, fitting_width, openings, running
 
 
 def ticks(n=300, seed=1, span=5000):
@@ -162,6 +162,14 @@ def test_recursive_filter_is_independent_of_chunks(spark):
 
 def test_indicator_specs(spark):
     assert parse_spec("macd:5:10")[1] == {"fast": 5, "slow": 10, "signal": 9}
-    for bad, text in (("nope", "unknown"), ("sma:0", "must be > 0"), ("sma:x", "bad param"), ("sma:1:2", "too many")):
+    for bad, text in (("nope", "no indicator"), ("sma:0", "cannot be"), ("sma:x", "cannot be"), ("sma:1:2", "at most")):
         with pytest.raises(ValueError, match=text):
             parse_spec(bad)
+
+
+def test_slice_width_follows_the_busiest_hour(spark):
+    rows = [("hot", at(i / 100), i, 1.0) for i in range(1000)] + [("cold", at(i * 3600), i, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "market string, t timestamp, seq int, v double")
+    assert fitting_width(df, ["market"], micros("t"), 5000) == 86_400
+    assert fitting_width(df, ["market"], micros("t"), 999) == 1
+    assert busiest_slice(df, ["market"], micros("t"), 1) == 100

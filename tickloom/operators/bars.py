@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.timecols import cluster_key, floor_to, micros
 from tickloom.operators.quotes import spread_bps, two_sided
 
@@ -193,13 +194,14 @@ def effective_spread(trades: DataFrame, group_s: int, minute_s: int = 60, floor_
 def premium_by_minute(oracle: DataFrame, last_minutes: int = 10) -> DataFrame:
     """Mean and median premium for each of the last minutes before settlement."""
     m = F.minute("time_exchange") - 60
-    return (
+    p = (
         oracle.filter((F.col("oracle_px") > 0) & (F.col("mark_px") > 0))
         .select("market", m.cast("long").alias("minute_to_settlement"), (F.col("mark_px") / F.col("oracle_px") - 1).alias("premium"))
         .filter(F.col("minute_to_settlement").between(-last_minutes, -1))
-        .groupBy("market", "minute_to_settlement")
-        .agg(F.avg("premium").alias("mean_premium"), F.percentile("premium", 0.5).alias("median_premium"), F.count(F.lit(1)).alias("n"))
     )
+    k = ["market", "minute_to_settlement"]  # few groups over the whole history: no value map per group
+    mean = p.groupBy(*k).agg(F.avg("premium").alias("mean_premium"), F.count(F.lit(1)).alias("n"))
+    return mean.join(exact_quantiles(p, k, "premium", {"median_premium": 0.5}), k)
 
 
 def signed_notional() -> Column:

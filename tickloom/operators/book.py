@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.functions.timecols import MICROS, micros
 from tickloom.operators.asof import asof_join
 from tickloom.operators.ranges import rows_in_windows
-from tickloom.operators.slicing import DAY, openings
+from tickloom.operators.slicing import DAY, lagged, openings
 
 SETS = ("SNAPSHOT", "SET", "CHANGE", "UPDATE")
 DELETES = ("DELETE", "REMOVE", "DELETE_IF_EXISTS")
@@ -58,10 +58,13 @@ def drop_rotated_snapshot(events: DataFrame, keys: tuple[str, ...], position: st
     return events.join(head, list(keys)).filter(F.coalesce(F.col("time_exchange") != F.col("_drop"), F.lit(True))).drop("_drop")
 
 
-def monotonic_violations(events: DataFrame, keys: tuple[str, ...], position: str) -> DataFrame:
-    """Rows whose time precedes that of the physically previous row."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    return events.withColumn("_p", F.lag("time_exchange", 1).over(w)).filter(F.col("_p") > F.col("time_exchange")).drop("_p")
+def monotonic_violations(events: DataFrame, keys: tuple[str, ...], position: str, rows_per_slice: int = 1_000_000) -> DataFrame:
+    """Rows whose time precedes that of the physically previous row.
+
+    Sliced by position, so that a feed held by one market still spreads out.
+    """
+    prev = lagged(events, list(keys), F.col(position).cast("long"), {"_p": F.col("time_exchange")}, width_s=max(1, rows_per_slice // MICROS))
+    return prev.filter(F.col("_p") > F.col("time_exchange")).drop("_p")
 
 
 def _reflected(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -192,3 +192,24 @@ def openings(
     return marked.join(start, by, "inner").select(
         *own, *[F.coalesce(F.last(f"_o_{n}", ignorenulls=True).over(upto), F.col(f"_f_{n}"), F.col(f"_c_{n}")).alias(n) for n in opens]
     )
+
+
+def busiest_slice(df: DataFrame, keys: Sequence[str], time_us: Column, width_s: int) -> int:
+    """Rows of the fullest (key, slice); a counting pass over the time column."""
+    n = df.groupBy(*keys, slice_of(time_us, width_s).alias(SLICE)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return int(n or 0)
+
+
+def fitting_width(
+    df: DataFrame, keys: Sequence[str], time_us: Column, max_rows: int = 5_000_000,
+    widths: Sequence[int] = (DAY, 21_600, 3_600, 600, 60, 10, 1),
+) -> int:
+    """Widest slice whose busiest (key, slice) stays within ``max_rows``.
+
+    For feeds where one market's single hour may hold a large share of all rows:
+    measure once, then pass the result as ``width_s``.
+    """
+    for w in widths:
+        if busiest_slice(df, keys, time_us, w) <= max_rows:
+            return w
+    return widths[-1]

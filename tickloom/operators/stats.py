@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.timecols import MICROS, micros
 from tickloom.operators.ranking import average_rank
 
@@ -300,12 +301,9 @@ def clamp_split(hours: DataFrame) -> DataFrame:
 
 def residual_summary(hours: DataFrame) -> DataFrame:
     r = "residual_bps"
-    probs = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
-    q = hours.groupBy("update_class").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.sqrt(F.avg(F.col(r) * F.col(r))).alias("rmse"),
-        F.percentile(r, F.array(*[F.lit(p) for p in probs])).alias("q"),
-    )
-    return q.select("update_class", "n", "mean", "rmse", *[F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(probs)])
+    probs = {f"p{int(p * 100):02d}": p for p in (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)}
+    mean = hours.groupBy("update_class").agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.sqrt(F.avg(F.col(r) * F.col(r))).alias("rmse"))
+    return mean.join(exact_quantiles(hours, ["update_class"], r, probs), "update_class")
 
 
 def interest_grid(hours: DataFrame, *, multiplier: float = 1.0, low: float = -0.001, high: float = 0.001, points: int = 4001, clamp: float = CLAMP, divisor: float = DIVISOR, cap: float = CAP) -> DataFrame:
