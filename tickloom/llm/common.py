@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import pyarrow as pa
@@ -44,6 +45,20 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8")
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def mapped_text(docs: DataFrame, rows: Callable[..., Iterator[tuple]], ready: Callable[[], Any] | None = None, *more: str) -> DataFrame:
+    """The documents with new texts: ``rows(state, keys, texts, ...)`` yields (key, text) for each row, in order."""
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    return by_batch(docs, partial(_with_text, rows), DOCUMENT, *names, *more, ready=ready)
+
+
+def _with_text(rows, state, keys, texts, langs, sources, sizes, *more):
+    for (key, text), old, lang, source, size in zip(rows(state, keys, texts, *more), texts, langs, sources, sizes, strict=True):
+        yield key, text, lang, source, size if text == old or text is None else len(text)
+
+
 def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *columns: str, ready: Callable[[], Any] | None = None, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Map Arrow batches: ``rows(state, *column lists)`` yields output rows; ``ready()`` makes the state once per task.
 

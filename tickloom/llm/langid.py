@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tickloom.llm.common import by_batch, pick, table
+from tickloom.llm.common import DOCUMENT, by_batch, pick, table
 
 PIECE, EMBED, HIDDEN = 24, 16, 24
 SAMPLE_DOCS, SAMPLE_TOKENS, MAX_LANGS = 250, 40, 64
@@ -249,5 +249,18 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     return by_batch(rows, labelled, "doc_id long, held_out boolean, lang_pred string, score double", "doc_id", "held_out", "text", ready=lambda: Labeller(shipped.value))
 
 
+def relabels(labeller: Labeller, keys: list, texts: list, sources: list, sizes: list):
+    for key, text, source, size, (lang, score) in zip(keys, texts, sources, sizes, labeller.label(texts), strict=True):
+        yield key, text, lang, source, size, score
+
+
+def relabelled(docs: DataFrame, least: float, net: Network | None = None) -> DataFrame:
+    """The documents with ``lang`` as predicted, without those of no language or of a score under ``least``."""
+    net = net or train(examples(docs))
+    shipped = docs.sparkSession.sparkContext.broadcast(net)
+    out = by_batch(docs, relabels, DOCUMENT + ", score double", "doc_id", "text", "source", "n_chars", ready=lambda: Labeller(shipped.value))
+    return out.filter((F.col("lang") != "und") & (F.col("score") >= least)).drop("score")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

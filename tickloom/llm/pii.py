@@ -16,7 +16,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import by_batch, pick, sha, table
+from tickloom.llm.common import by_batch, mapped_text, pick, sha, table
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -139,3 +139,13 @@ def find(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
+
+
+def masks(anchors, keys: list, texts: list):
+    for key, text in zip(keys, texts, strict=True):
+        yield key, text if text is None else masked(text, spans(anchors, text))
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """The documents with every span replaced by its kind; ``n_chars`` follows the new text."""
+    return mapped_text(docs, masks, ready=automaton)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, langid, pii, quality, sharding
+from tickloom.llm import bpe, fmindex, langid, pii, quality, sharding
 
 QUERIES = {
+    "op1_fm_decontaminate": fmindex.query,
     "op6_byte_bpe": bpe.query,
     "op7_risk_rules": quality.query,
     "op8_hash_tree": sharding.query,
     "op9_bigru_language": langid.query,
     "op10_pii_anchors": pii.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL}
