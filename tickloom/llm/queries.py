@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, fmindex, langid, pii, quality, sharding
+from tickloom.llm import bpe, fmindex, langid, pii, quality, sharding, templates
 
 QUERIES = {
     "op1_fm_decontaminate": fmindex.query,
+    "op5_template_html": templates.query,
     "op6_byte_bpe": bpe.query,
     "op7_risk_rules": quality.query,
     "op8_hash_tree": sharding.query,
