@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.session import shared_dir
@@ -32,9 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of the finished job go once the JVM has dropped its plan; else they stay until some later collection.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def sha(data: bytes) -> str:
@@ -80,3 +88,42 @@ def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+class WordNumbers:
+    """Words -> 64-bit hashes through a memory of bounded size; a worker's vocabulary is hashed once."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.number, self.hashes = most, {}, np.zeros(1 << 12, np.uint64)
+
+    def hash(self, words: list[bytes]) -> np.ndarray:
+        number = self.number
+        if len(number) > self.most:
+            number.clear()
+        known = len(number)
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        if len(number) > known:
+            while len(number) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[known : len(number)] = [xxhash.xxh3_64_intdigest(w) for w in list(number)[known:]]
+        return self.hashes[ids]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose output bits look independent (the SplitMix64 finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: An odd multiplier of rolling hashes modulo 2**64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams(values: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` values."""
+    n = len(values) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(size if n > 0 else 0):
+        out = out * BASE + values[k : k + n]
+    return mix(out)

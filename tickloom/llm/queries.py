@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, fmindex, langid, pii, quality, sharding, templates
+from tickloom.llm import bpe, fmindex, langid, parity, pii, quality, sharding, templates
 
 QUERIES = {
     "op1_fm_decontaminate": fmindex.query,
+    "op4_parity_join": parity.query,
     "op5_template_html": templates.query,
     "op6_byte_bpe": bpe.query,
     "op7_risk_rules": quality.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_bigru_language": langid.query,
     "op10_pii_anchors": pii.query,
 }
-ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL}
+ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL, "op4_parity_join": parity.SQL}
