@@ -15,10 +15,12 @@ Repeated documents are reported each; repeated items count once. Only the named
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import ALNUM_LOWER, by_batch, pick, table, utf8, written
+from tickloom.llm.common import ALNUM_LOWER, by_batch, mapped_text, pick, table, utf8, written
 
 WINDOW = 10
 SHARD_WORDS, SAMPLE = 1 << 20, 16
@@ -203,9 +205,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(block: tuple[list, list], keys: list, texts: list, *earlier: list):
+def scan(carried: int, block: tuple[list, list], keys: list, texts: list, *more: list):
     """One chunk of documents, cut into shards; equal texts of a shard are indexed once."""
     windows, items = block
+    carry, earlier = more[:carried], more[carried:]
     shard: dict[str | None, list[int]] = {}
     words: list[list[bytes]] = []
     size = 0
@@ -215,7 +218,7 @@ def scan(block: tuple[list, list], keys: list, texts: list, *earlier: list):
                 ids = sorted({x for k in found for x in items[k]})
                 for j in own:
                     both = merged([*spans, *((s["start"], s["stop"]) for s in earlier[0][j])]) if earlier else spans
-                    yield keys[j], text, len(words[list_at[text]]), [{"start": a, "stop": b} for a, b in both], sorted({*ids, *earlier[1][j]}) if earlier else ids
+                    yield keys[j], text, len(words[list_at[text]]), [{"start": a, "stop": b} for a, b in both], sorted({*ids, *earlier[1][j]}) if earlier else ids, *(c[j] for c in carry)
             shard, words, size = {}, [], 0
             if i == len(keys):
                 return
@@ -238,21 +241,26 @@ def item_windows(_, ids: list, texts: list):
 FOUND = "doc_id long, text string, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For every document: ``n_words``, merged ``spans`` of its words inside any test window, and the ``items`` they are of."""
+def find(docs: DataFrame, benchmark: DataFrame, carry: str = "") -> DataFrame:
+    """For every document: ``n_words``, merged ``spans`` of its words inside any test window, and the ``items`` they are of.
+
+    ``carry`` declares further columns ("name type, ...") that come along unchanged.
+    """
     spark = docs.sparkSession
     rows = pick(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("string"))
     tests = by_batch(rows, item_windows, "item string, window string", "item_id", "text").distinct()
     blocks = max(1, -(-tests.count() // BLOCK_WINDOWS))
-    out = pick(docs, "doc_id", "text")
+    others = [c.split()[0] for c in carry.split(",") if c]
+    schema = FOUND + (f", {carry}" if carry else "")
+    out = pick(docs, "doc_id", "text", *others)
     for b in range(blocks):
         own = tests.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()  # of bounded size
         of: dict[str, list[str]] = {}
         for r in sorted(own, key=lambda r: (r["window"], r["item"] or "")):
             of.setdefault(r["window"], []).extend([r["item"]] if r["item"] is not None else [])
         shipped = spark.sparkContext.broadcast(([tuple(w.encode("utf-8").split()) for w in of], list(of.values())))
-        columns = ["doc_id", "text"] + (["spans", "items"] if b else [])
-        out = by_batch(out, scan, FOUND, *columns, ready=lambda shipped=shipped: shipped.value)
+        columns = ["doc_id", "text", *others] + (["spans", "items"] if b else [])
+        out = by_batch(out, partial(scan, len(others)), schema, *columns, ready=lambda shipped=shipped: shipped.value)
         if b + 1 < blocks:
             out = written(out, "decontaminated")
     return out
@@ -274,6 +282,13 @@ def cut(_, keys: list, texts: list, spans: list):
         yield key, text
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without their spans; those of which no word is left go."""
+    found = find(docs, benchmark, "lang string, source string, n_chars long")
+    rest = F.aggregate("spans", F.col("n_words"), lambda n, s: n - s["stop"] + s["start"])
+    return mapped_text(found.filter((rest > 0) | (F.col("n_words") == 0)), cut, None, "spans")
+
+
 def report(found: DataFrame) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

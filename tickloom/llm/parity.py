@@ -31,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, utf8, written
 from tickloom.llm.components import labels
@@ -42,6 +42,8 @@ DENSE = 1024
 #: Files in a bucket, about, and the smallest band.
 BUCKET_FILES = 1 << 20
 FIRST_BAND = 64
+#: Stands for a null doc_id, which counts as the largest.
+LAST = (1 << 63) - 1
 
 
 def shingles(memory: WordNumbers, text: str | None) -> np.ndarray:
@@ -176,7 +178,8 @@ def dense(own: np.ndarray) -> np.ndarray:
 def sketches(memory: WordNumbers, names: list, texts: list):
     for name, text in zip(names, texts, strict=True):
         own = shingles(memory, text)
-        yield name, text, len(own), dense(own).tobytes()
+        if identity(own) == name:  # rows may share a doc_id
+            yield name, text, len(own), dense(own).tobytes()
 
 
 def similar(memory: WordNumbers, firsts: list, seconds: list, lefts: list, rights: list):
@@ -220,7 +223,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, n_shingles, set_id; roots: id, root for the sets with links)."""
     spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "text")
+    rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     sets = written(by_batch(rows, sets_of, "doc_id long, n_shingles long, set_id long", "doc_id", "text", ready=WordNumbers), "sets")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(0.6 * total) // BUCKET_FILES))
@@ -261,7 +264,27 @@ def join(docs: DataFrame) -> DataFrame:
     own = sets.join(roots, sets["set_id"] == roots["id"], "left").select("doc_id", "n_shingles", F.coalesce("root", "set_id").alias("root"))
     names = own.filter("n_shingles > 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
     out = own.join(names, (F.col("root") == F.col("r")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "n_shingles", F.nullif(F.coalesce("least", "doc_id"), F.lit(LAST)).alias("component_id"))
+
+
+def named(memory: WordNumbers, texts: list, *others: list):
+    for text, *own in zip(texts, *others, strict=True):
+        yield *own, text, identity(shingles(memory, text))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The documents without near copies: of each component the one of smallest doc_id stays."""
+    sets, roots = linked(docs)
+    own = sets.join(roots, sets["set_id"] == roots["id"], "left").withColumn("root", F.coalesce("root", "set_id"))
+    full = own.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("w")).select("w.doc_id", "w.set_id")
+    winners = full.union(own.filter("n_shingles = 0").select("doc_id", "set_id")).distinct().select("doc_id", F.col("set_id").alias("_set"))
+    rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    # Rows may share a doc_id, so the text must be the winner's; a row given twice stays once.
+    schema = "doc_id long, lang string, source string, n_chars long, _set long, text string, _own long"
+    mine = by_batch(rows.join(winners, "doc_id"), named, schema, "text", "doc_id", "lang", "source", "n_chars", "_set", ready=WordNumbers)
+    once = Window.partitionBy("doc_id", "_set").orderBy("text", "lang", "source")
+    kept = mine.filter("_own = _set").withColumn("_row", F.row_number().over(once)).filter("_row = 1")
+    return kept.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "text", "lang", "source", "n_chars")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, fmindex, langid, parity, pii, quality, sharding, templates
+from tickloom.llm import bpe, fmindex, langid, parity, phrases, pii, quality, sharding, suffixes, templates
 
 QUERIES = {
     "op1_fm_decontaminate": fmindex.query,
+    "op2_phrase_automata": phrases.query,
+    "op3_suffix_levels": suffixes.query,
     "op4_parity_join": parity.query,
     "op5_template_html": templates.query,
     "op6_byte_bpe": bpe.query,
@@ -14,4 +16,4 @@ QUERIES = {
     "op9_bigru_language": langid.query,
     "op10_pii_anchors": pii.query,
 }
-ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL, "op4_parity_join": parity.SQL}
+ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL, "op4_parity_join": parity.SQL, "op2_phrase_automata": phrases.SQL}
