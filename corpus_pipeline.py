@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import bpe, common, langid, pii
+from tickloom.llm import bpe, common, fmindex, langid, parity, pii
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose best language has a lower mean probability than this are rejected, as are those without a letter.
@@ -20,6 +20,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.relabelled(docs, LEAST_SCORE).select(*COLUMNS)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return parity.survivors(docs).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of the benchmark; documents that consist of nothing else go."""
+    return fmindex.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every span found."""
     return pii.mask(docs).select(*COLUMNS)
@@ -32,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language", language), ("personal_data", personal_data), ("tokens", tokens)]
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("personal_data", personal_data), ("tokens", tokens)]
 
 #: The network and the merge queue cannot be stated in SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
