@@ -100,13 +100,14 @@ def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     counted = judged.filter(~F.col("base_failed")).join(good, "doc_id").groupBy("stratum")
     sums = [F.sum(rejects(rule, cut).cast("long")).alias(f"{rule}_{i}") for rule, (_, _, grid) in GRID.items() for i, cut in enumerate(grid)]
     counts = {r["stratum"]: r for r in counted.agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
-    level = delta / (len(BANDS) + 1) / sum(len(g) for _, _, g in GRID.values())
+    level = delta / (len(BANDS) + 1) / len(GRID)
     out = {}
     for stratum, row in counts.items():
         for rule, (_, _, grid) in GRID.items():
-            passed = [cut for i, cut in enumerate(grid) if lower_tail(row[f"{rule}_{i}"], row["n"], alpha) <= level]
-            if passed:
-                out[stratum, rule] = passed[0]
+            for i in reversed(range(len(grid))):
+                if lower_tail(row[f"{rule}_{i}"], row["n"], alpha) > level:
+                    break
+                out[stratum, rule] = grid[i]
     return out
 
 
