@@ -6,10 +6,11 @@ host of few pages joins a pool of such hosts), so no host, however large, lands
 1. Every page becomes tokens: tags (with class and id) and words. Comments, scripts and styles are skipped whole.
 2. Tokens with the same occurrence vector (counts over the group's pages) form a class.
 3. A class of tags is valid as skeleton if its tokens occur at most once a page, on at least half of the pages, and in one order
-   on all of them. Valid classes nest: the order of all their tokens gives the template, the open skeleton elements its nesting.
-4. What lies between skeleton tokens are slots. Slots inside elements for menus, headers, footers, sidebars, notices, adverts,
-   forms and comments are template matter; of the others, those inside the innermost element that holds most of the text over
-   the group are the main slots. Their text is extracted from each page.
+   on all of them. Valid classes nest: together they must still have one order on all pages, which makes the template.
+4. A slot is a place in the template, named by the skeleton elements open around it (where most pages have them, so that an end
+   tag missing on one page does no harm). Text inside elements for menus, headers, footers, sidebars, notices, adverts, forms
+   and comments is template matter; of the other slots, those inside the innermost skeleton element that holds most of the
+   text over the group are the main ones. Their text is extracted from each page.
 
 Blocks end at block tags; ``<br>`` counts as white space. References are decoded, white space in a block becomes one space, and
 blocks are joined by \n. A missing end (cut pages) ends the slot with the page. Null and empty pages give an empty text; a null
@@ -121,70 +122,72 @@ def nested(template: list[str], keys: tuple[str, ...], where: list[dict[str, int
     return order
 
 
-def paths(template: list[str], kinds: dict[str, Token]) -> list[tuple[str, ...]]:
-    """Open skeleton elements of each slot; slot i follows template token i - 1."""
-    stack: list[str] = []
-    out = [()]
-    for key in template:
-        kind, name, _, _ = kinds[key]
+State = tuple[tuple[str, ...], bool]
+
+
+def walk(page: list[Token], template: set[str], around: dict[str, tuple[str, ...]] | None = None) -> list[State]:
+    """For each token: the skeleton elements open around it (its slot), and whether any open element is template matter.
+
+    ``around`` gives the slot in which each skeleton element stands on most pages; elements left open before one are closed.
+    """
+    stack: list[tuple[str, str, bool]] = []
+    out: list[State] = []
+    for kind, name, key, aside in page:
+        if kind == "open":
+            if around and key in around:
+                for i, (_, own, _) in enumerate(stack):
+                    if own in template and own not in around[key]:
+                        del stack[i:]
+                        break
+            if name in BLOCK:  # ends an open paragraph of the same block
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "p":
+                        del stack[i:]
+                    elif stack[i][0] in BLOCK:
+                        break
+        slot = tuple(k for _, k, _ in stack if k in template)
+        out.append((slot, any(x for _, _, x in stack)))
         if kind == "open" and name not in VOID:
-            stack.append(key)
+            stack.append((name, key, aside))
         elif kind == "close":
             for i in range(len(stack) - 1, -1, -1):
-                if kinds[stack[i]][1] == name:
+                if stack[i][0] == name:
                     del stack[i:]
                     break
-        out.append(tuple(stack))
     return out
 
 
-def slots_of(page: list[Token], number: dict[str, int]) -> list[int]:
-    """The slot that each token lies in; a skeleton token belongs to the slot that it opens."""
-    out, slot, seen = [], 0, set()
-    for kind, _, key, _ in page:
-        if kind != "text" and key in number and key not in seen:
-            slot = number[key] + 1
-            seen.add(key)
-        out.append(slot)
-    return out
-
-
-def main_slots(pages: list[list[Token]], template: list[str], kinds: dict[str, Token]) -> tuple[set[int], dict[str, int]]:
-    path = paths(template, kinds)
-    number = {k: i for i, k in enumerate(template)}
-    fine = [not any(kinds[k][3] for k in p) for p in path]
+def main_element(pages: list[list[Token]], template: set[str]) -> tuple[tuple[str, ...], dict[str, tuple[str, ...]]]:
+    """The slot of the innermost skeleton element that holds most text, and where each skeleton element stands."""
+    places: dict[str, Counter] = defaultdict(Counter)
+    for page in pages:
+        for t, (slot, _) in zip(page, walk(page, template), strict=True):
+            if t[0] == "open" and t[2] in template:
+                places[t[2]][slot] += 1
+    around = {k: min(c, key=lambda p: (-c[p], len(p), p)) for k, c in places.items()}
     weight: Counter = Counter()
+    names = {}
     for page in pages:
-        for t, s in zip(page, slots_of(page, number), strict=True):
-            if t[0] == "text" and fine[s]:
-                weight[s] += len(t[2])
-    total = sum(weight.values())
-    best: tuple[str, ...] = ()
-    for p in {q[: i + 1] for q in path for i in range(len(q))}:
-        inside = sum(w for s, w in weight.items() if path[s][: len(p)] == p)
-        holds = kinds[p[-1]][1] in BLOCK and (2 * inside > total or kinds[p[-1]][1] in CENTRE and inside)
-        if holds and len(p) > len(best) and not (best and kinds[best[-1]][1] in CENTRE and kinds[p[-1]][1] not in CENTRE):
-            best = p
-        elif holds and kinds[p[-1]][1] in CENTRE and not (best and kinds[best[-1]][1] in CENTRE):
+        for t, (slot, aside) in zip(page, walk(page, template, around), strict=True):
+            names[t[2]] = t[1]
+            if t[0] == "text" and not aside:
+                weight[slot] += len(t[2])
+    total, best = sum(weight.values()), ()
+    for p in sorted({q[: i + 1] for q in weight for i in range(len(q))}, key=lambda p: (len(p), p)):
+        inside = sum(w for q, w in weight.items() if q[: len(p)] == p)
+        centre, name = bool(best) and names[best[-1]] in CENTRE, names[p[-1]]
+        if name in CENTRE and inside and not centre or name in BLOCK and 2 * inside > total and (not centre or name in CENTRE):
             best = p
-    return {s for s, p in enumerate(path) if fine[s] and p[: len(best)] == best}, number
+    return best, around
 
 
-def text_of(page: list[Token], slots: list[int], main: set[int]) -> str:
-    blocks, part, skipped = [], [], []
-    for (kind, name, key, aside), slot in zip(page, slots, strict=True):
+def text_of(page: list[Token], states: list[State], best: tuple[str, ...]) -> str:
+    blocks, part = [], []
+    for (kind, name, key, _), (slot, aside) in zip(page, states, strict=True):
         if kind == "text":
-            if slot in main and not skipped:
+            if not aside and slot[: len(best)] == best:
                 part.append(key)
-            continue
-        if skipped:
-            if kind == "open" and name == skipped[0]:
-                skipped.append(name)
-            elif kind == "close" and name == skipped[0]:
-                skipped.pop()
-        elif aside and kind == "open" and name not in VOID and slot in main:
-            skipped.append(name)
-        if name == "br":
+        elif name == "br":
             part.append(" ")
         elif name in BLOCK:
             blocks.append("".join(part))
@@ -196,20 +199,16 @@ def text_of(page: list[Token], slots: list[int], main: set[int]) -> str:
 
 def extract_group(pages: list[str]) -> list[str]:
     parsed = [tokens(p) for p in pages]
-    kinds = {t[2]: t for page in parsed for t in page if t[0] != "text"}
-    if len(pages) >= LEAST:
-        template = skeleton(parsed)
-    else:  # too few pages to compare: the tags that each page has once
-        template = []
+    template = set(skeleton(parsed)) if len(pages) >= LEAST else set()
+    shared = main_element(parsed, template)
     out = []
-    shared = main_slots(parsed, template, kinds) if template else None
     for page in parsed:
-        own = shared
-        if not own or not any(t[2] in own[1] for t in page):
-            once = Counter(t[2] for t in page if t[0] != "text")
-            single = [t[2] for t in page if t[0] != "text" and once[t[2]] == 1]
-            own = main_slots([page], single, kinds)
-        out.append(text_of(page, slots_of(page, own[1]), own[0]))
+        own, (best, around) = template, shared
+        if not any(t[2] in template for t in page):  # nothing to compare with: the tags that the page has once
+            counts = Counter(t[2] for t in page if t[0] != "text")
+            own = {k for k, n in counts.items() if n == 1}
+            best, around = main_element([page], own)
+        out.append(text_of(page, walk(page, own, around), best))
     return out
 
 
