@@ -124,8 +124,13 @@ class Family:
 
 def repeated(rows: list[dict]) -> list[list[int]]:
     """For each piece, the starts of its windows that also occur in an earlier piece or further left."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"], rows[i]["v"], rows[i]["start"] + rows[i]["first"]))
+    place = lambda i: (rows[i]["doc_id"], rows[i]["v"], rows[i]["start"] + rows[i]["first"], rows[i]["anchor"], rows[i]["first"])
     out: list[list[int]] = [[] for _ in rows]
+    first: dict[tuple, int] = {}
+    for i in range(len(rows)):
+        if first.setdefault(place(i), i) != i:  # of a row given twice
+            out[i] = out[first[place(i)]]
+    order = [first[p] for p in sorted(first)]
     family, k = Family(), 0
     while k < len(order):
         own, size = [], 0
