@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.functions.rows import COPIES, folded, unfolded
 from tickloom.functions.timecols import cluster_key, micros, plus_seconds
 from tickloom.operators.asof import Source, asof_join, asof_many, require_match, with_staleness
 from tickloom.operators.quotes import L1, microprices, two_sided
@@ -121,7 +122,7 @@ def fill_markouts(
         raise ValueError("horizons must be positive")
     fcols = fills.columns
     labels = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("s")) for k, v in [("entry", 0), *horizons.items()]])
-    probes = fills.select("*", F.explode(labels).alias("_h")).select("*", plus_seconds("fill_time", F.col("_h.s")).alias("_target"))
+    probes = folded(fills).select("*", F.explode(labels).alias("_h")).select("*", plus_seconds("fill_time", F.col("_h.s")).alias("_target"))
     seen = asof_many(
         probes,
         {"": Source(microprices(l1), "time_exchange", ["microprice"]), "f_": Source(funding, "time_exchange", ["funding_rate"])},
@@ -129,13 +130,13 @@ def fill_markouts(
     )
     seen = with_staleness(seen, "_target", "obs_time", ["microprice"], max_quote_age_s, "stale")
     entry = F.col("_h.label") == "entry"
-    wide = seen.groupBy(*fcols).agg(
+    wide = seen.groupBy(*fcols, COPIES).agg(
         F.max(F.when(entry, F.col("stale"))).alias("_es"),
         F.max(F.when(entry, F.col("f_funding_rate"))).alias("_rate"),
         *[F.max(F.when(F.col("_h.label") == k, F.col("microprice"))).alias(f"_m_{k}") for k in horizons],
         *[F.max(F.when(F.col("_h.label") == k, F.col("stale"))).alias(f"_s_{k}") for k in horizons],
     )
-    wide = wide.withColumn("funding_hourly_rate", require_match(F.col("_rate"), "no funding rate known by fill time"))
+    wide = unfolded(wide).withColumn("funding_hourly_rate", require_match(F.col("_rate"), "no funding rate known by fill time"))
     sign = F.when(F.col("side") == "buy", F.lit(1.0)).otherwise(F.lit(-1.0))
     out = []
     for k, s in horizons.items():

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.functions.rows import COPIES, folded, unfolded
 from tickloom.functions.timecols import MICROS, micros, plus_seconds
 from tickloom.operators.asof import asof_join
 from tickloom.operators.islands import step_islands
@@ -50,9 +51,9 @@ def trailing_reference(bars: DataFrame, *, rows: int = 5, recency_s: float = 180
 def forward_price(events: DataFrame, bars: DataFrame, time: str, horizons: Mapping[str, float], tolerance_s: float, price: str = "med") -> DataFrame:
     """Price of the first bar in ``[t+h, t+h+tolerance]`` per horizon, as columns."""
     h = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("s")) for k, v in horizons.items()]))
-    p = events.select("*", h.alias("_h")).select("*", plus_seconds(time, F.col("_h.s")).alias("_probe"))
+    p = folded(events).select("*", h.alias("_h")).select("*", plus_seconds(time, F.col("_h.s")).alias("_probe"))
     j = asof_join(p, bars.select("market", "bar", price), ["market"], "_probe", "bar", [price], direction="forward", prefix="f_", max_age_s=tolerance_s, width_s=MONTH)
-    return j.groupBy(*events.columns).agg(*[F.max(F.when(F.col("_h.k") == k, F.col(f"f_{price}"))).alias(f"px_{k}") for k in horizons])
+    return unfolded(j.groupBy(*events.columns, COPIES).agg(*[F.max(F.when(F.col("_h.k") == k, F.col(f"f_{price}"))).alias(f"px_{k}") for k in horizons]))
 
 
 def harvest_fills(bars: DataFrame, deltas_bps: Sequence[float], *, cooldown_s: float = 3600, horizons: Mapping[str, float], tolerance_s: float = 600, recency_s: float = 1800) -> DataFrame:
