@@ -208,7 +208,7 @@ def _(t: Tables):
 def _(t: Tables):
     o = t.raw("orders")
     for f in ("o_totalprice:gt:200000", "o_orderpriority:contains:URGENT", "o_orderstatus:ne:F", "o_orderdate:ge:1997-01-01"):
-        o = o.filter(tb.filter_column(t.raw("orders"), f))
+        o = tb.selected(o, [f])
     return o.select("o_orderkey", "o_totalprice")
 
 
@@ -218,11 +218,6 @@ def _(t: Tables):
     return rows.select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(total))  # one row
 
 
-@query("P3_schema_table", "SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS dtype FROM (DESCRIBE orders)")
-def _(t: Tables):
-    return tb.schema_table(t.raw("orders"))
-
-
 @query("P4_file_preview", "SELECT time_exchange, round(price, 6) AS price, (SELECT count(*) FROM trades WHERE market = 'view' AND strftime(time_exchange, '%Y%m%d') = '20240105') AS total FROM (SELECT * FROM trades WHERE market = 'view' AND strftime(time_exchange, '%Y%m%d') = '20240105' ORDER BY time_exchange LIMIT 20)", "trades")
 def _(t: Tables):
     f = ar.scan_trades(t.spark, archive_root(t), "l4", ["time_exchange", "price"]).filter("market = 'xyz:view' and partition = '2024010500'")
