@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,8 +36,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode) a fresh temporary folder is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    fresh temporary folder serves a local session; elsewhere it is an error,
+    since each machine would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,19 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a small, several times used intermediate once and read it back.
 
