@@ -210,16 +210,6 @@ def test_wallet_windows_pair_settlement_and_placebo(spark):
     assert (e["short_open_close_share"], e["baseline_short_open_close_share"], e["short_open_close_share_difference"]) == (0.5, 1.0, -0.5)
 
 
-def test_iid_floor_is_the_sampled_share(spark):
-    # with every hour fully and evenly sampled, R2 at minute m is about (m+1)/60
-    s = spark.range(300).select(F.lit("m").alias("market"), F.timestamp_seconds(F.col("id") * 3600).alias("settlement_time")).select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("minute"), F.lit(0.0).alias("premium"))
-    part = s.groupBy("market", "settlement_time", "minute").agg(F.sum("premium").alias("s"), F.count(F.lit(1)).alias("k"))
-    one = spark.createDataFrame([(1.0,)], "r2 double")
-    got = {r["minute"]: r["iid_floor"] for r in st.iid_floor(part, part.select("market", "settlement_time").distinct(), one).collect()}
-    for k in (5, 29, 59):
-        assert got[k] == pytest.approx((k + 1) / 60, abs=0.03)
-
-
 def burst_tape(spark, extra=()):
     rows, i = [], 0
     for k in range(65):

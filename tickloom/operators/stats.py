@@ -252,38 +252,6 @@ def shuffle_floor(samples: DataFrame, hours: DataFrame, *, interest: float, mult
     return per.groupBy("minute").agg(F.avg("r2").alias("shuffle_r2"), F.count("r2").alias("shuffles"))
 
 
-def hash_normal(*parts: Column) -> Column:
-    """Standard normal from a 64-bit hash (Box-Muller on its two halves)."""
-    h = F.xxhash64(*parts)
-    hi = F.shiftrightunsigned(h, 32).cast("double")
-    lo = h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
-    two32 = F.lit(4294967296.0)
-    return F.sqrt(-2.0 * F.ln((hi + 1.0) / (two32 + 1.0))) * F.cos(F.lit(6.283185307179586) * lo / two32)
-
-
-def iid_floor(partials: DataFrame, hours: DataFrame, endpoint_r2: DataFrame, *, seeds: int = 100, seed: int = 0) -> DataFrame:
-    """R2 a partial mean of iid samples would reach: mean and variance over seeds.
-
-    Simulates, per hour and minute, the observed sum and its unobserved
-    complement from the actual sample counts, then scales by the endpoint R2.
-    """
-    if seeds < 100:
-        raise ValueError("seeds must be at least 100")
-    k = ["market", "settlement_time"]
-    total = partials.groupBy(*k).agg(F.sum("k").alias("_all"))
-    c = cumulative_minutes(partials).join(hours.select(*k), k, "left_semi").join(total, k)
-    x = c.select(*k, "minute", F.col("ck").cast("double").alias("n"), F.col("_all").cast("double").alias("full_n"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("sim"))
-    tag = [F.lit(seed), F.col("sim"), F.col("market"), micros("settlement_time"), F.col("minute")]
-    a = F.sqrt("n") * hash_normal(F.lit("a"), *tag)
-    b = F.sqrt(F.col("full_n") - F.col("n")) * hash_normal(F.lit("b"), *tag)
-    m = x.select("minute", "sim", (a / F.col("n")).alias("part"), ((a + b) / F.col("full_n")).alias("full"))
-    per = m.groupBy("sim", "minute").agg(r_squared("full", "part").alias("r2"))
-    s = per.groupBy("minute").agg(F.avg("r2").alias("m"), F.var_samp("r2").alias("v"), F.count("r2").alias("sims"))
-    return s.crossJoin(F.broadcast(endpoint_r2.select("r2"))).select(  # one row
-        "minute", (F.col("m") * F.col("r2")).alias("iid_floor"), (F.col("v") * F.col("r2") * F.col("r2")).alias("iid_floor_seed_variance"), "sims"
-    )
-
-
 def regression_stats(hours: DataFrame, multiplier: float = 1.0) -> DataFrame:
     y, x = "realized_funding", "predicted_funding"
     return hours.agg(

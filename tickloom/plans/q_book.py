@@ -88,9 +88,9 @@ def _(t: Tables):
     return bk.sanitize(states_of(t)).groupBy("market", "fix").agg(F.count(F.lit(1)).alias("n"), F.sum("clean_sx").alias("clean_total"))
 
 
-@query("P9_pre_snapshot_trim", "SELECT market, count(*) AS n, min(time_exchange) AS first_time FROM (SELECT *, min(CASE WHEN update_type = 'SNAPSHOT' THEN time_exchange END) OVER (PARTITION BY market) AS f FROM book WHERE seq > 100) WHERE time_exchange >= f GROUP BY 1", "book")
+@query("P9_pre_snapshot_trim", "SELECT market, count(*) AS n, min(time_exchange) AS first_time FROM (SELECT *, min(CASE WHEN update_type = 'SNAPSHOT' THEN time_exchange END) OVER (PARTITION BY market) AS f FROM book) WHERE time_exchange >= f GROUP BY 1", "book")
 def _(t: Tables):
-    return bk.trim_before_snapshot(t.book.filter("seq > 100")).groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.min("time_exchange").alias("first_time"))
+    return bk.trim_before_snapshot(t.book).groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.min("time_exchange").alias("first_time"))
 
 
 @query("P9_rotated_snapshot", """WITH d AS (SELECT *, date_trunc('day', time_exchange) AS day, (seq + 5000) % 10000 AS pos FROM book), h AS (SELECT market, day, arg_min(time_exchange, pos) AS ft, arg_min(update_type, pos) AS ut, min(time_exchange) AS mn FROM d GROUP BY 1, 2)

@@ -152,9 +152,9 @@ def _(t: Tables):
     return markets_dim(t).select("market", "underlier")
 
 
-@query("J13_one_to_one_join", """SELECT s_suppkey, s_name, n, round(total, 6) AS total FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON s_suppkey = l_suppkey""")
+@query("J13_one_to_one_join", """SELECT s_suppkey, s_name, n, round(total, 6) AS total FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey""")
 def _(t: Tables):
-    agg = t.raw("lineitem").filter("l_quantity > 40").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"))
+    agg = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"))
     return lk.join_one_to_one(t.raw("supplier").select("s_suppkey", "s_name"), agg, ["s_suppkey"])
 
 
@@ -349,10 +349,10 @@ def _(t: Tables):
     return ew.pairs_from_legs(legs_of(t))
 
 
-@query("A16_matched_pairs", """WITH f AS (SELECT l.pair_id, l.window_type, t.seq FROM leg_rows l JOIN trades t ON t.market = l.market AND t.price > 106 AND t.time_exchange BETWEEN l.window_start AND l.window_end)
+@query("A16_matched_pairs", """WITH f AS (SELECT l.pair_id, l.window_type, t.seq FROM leg_rows l JOIN trades t ON t.market = l.market AND t.time_exchange BETWEEN l.window_start AND l.window_end)
     SELECT pair_id, window_type, seq FROM f WHERE pair_id IN (SELECT pair_id FROM f GROUP BY 1 HAVING count(DISTINCT window_type) = 2)""", "leg_rows trades")
 def _(t: Tables):
-    f = rows_in_windows(legs_of(t), t.trades.filter("price > 106").select("market", "seq", "time_exchange"), ["market"], "window_start", "window_end", "time_exchange")
+    f = rows_in_windows(legs_of(t), t.trades.select("market", "seq", "time_exchange"), ["market"], "window_start", "window_end", "time_exchange")
     return ew.matched_pairs(f.select("pair_id", "window_type", "seq"))
 
 

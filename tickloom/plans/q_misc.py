@@ -77,9 +77,9 @@ def _(t: Tables):
     return sp.half_spreads(t.quotes)
 
 
-@query("A47_spread_table", "SELECT market, round(coalesce(h.half_spread_bps, 2 * (SELECT quantile_cont(half_spread_bps, 0.5) FROM halves WHERE market IN ('click', 'view'))), 6) AS half_spread_bps, CASE WHEN h.market IS NOT NULL THEN 'measured' ELSE 'assumed_2x_class_median' END AS spread_source FROM (SELECT DISTINCT market FROM trades) LEFT JOIN (SELECT * FROM halves WHERE market IN ('click', 'view', 'error')) h USING (market)", "halves trades")
+@query("A47_spread_table", "SELECT market, round(coalesce(h.half_spread_bps, 2 * (SELECT quantile_cont(half_spread_bps, 0.5) FROM halves WHERE market IN ('click', 'view'))), 6) AS half_spread_bps, CASE WHEN h.market IS NOT NULL THEN 'measured' ELSE 'assumed_2x_class_median' END AS spread_source FROM (SELECT DISTINCT market FROM trades) LEFT JOIN halves h USING (market)", "halves trades")
 def _(t: Tables):
-    m = sp.half_spreads(t.quotes).filter(F.col("market").isin("click", "view", "error")).drop("segments")
+    m = sp.half_spreads(t.quotes).drop("segments")
     return sp.spread_table(t.trades, m, ["click", "view"])
 
 
@@ -113,7 +113,7 @@ def _(t: Tables):
 
 
 # --- brackets: hours stand for minutes ------------------------------------------
-add_view("brk", """WITH f AS (SELECT market, time_exchange AS s, CASE WHEN funding_rate > 0 THEN 'positive' WHEN funding_rate < 0 THEN 'negative' ELSE 'zero' END AS sign FROM funding WHERE hour(time_exchange) % 8 = 0),
+add_view("brk", """WITH f AS (SELECT market, time_exchange AS s, CASE WHEN funding_rate > 0 THEN 'positive' WHEN funding_rate < 0 THEN 'negative' ELSE 'zero' END AS sign FROM funding),
     w AS (SELECT f.*, b.k AS bracket, u.kind, CASE WHEN b.k < 0 THEN s + to_hours(u.sh) - to_hours(abs(b.k)) ELSE s + to_hours(u.sh) END AS a, CASE WHEN b.k < 0 THEN s + to_hours(u.sh) ELSE s + to_hours(u.sh) + to_hours(abs(b.k)) END AS z FROM f, (VALUES (-10), (-5), (-1), (1), (5), (10)) b(k), (VALUES ('event', 0), ('control', 30)) u(kind, sh)),
     r AS (SELECT market, s, sign, bracket, kind, ln(arg_max(close, time_close) / arg_min(open, time_close)) AS ret, count(*) AS n FROM w JOIN candles_1h c USING (market) WHERE c.time_close > a AND c.time_close < z GROUP BY ALL)
     SELECT e.market, e.s AS settlement_time, e.sign AS funding_sign, e.bracket::BIGINT AS bracket, e.ret AS event_return, c.ret AS baseline_return, e.n AS event_bars, c.n AS baseline_bars, e.market || '|' || strftime(time_bucket(INTERVAL '6 hours', e.s), '%Y-%m-%dT%H:%M:%S') AS cluster_key
@@ -122,7 +122,7 @@ add_view("brk", """WITH f AS (SELECT market, time_exchange AS s, CASE WHEN fundi
 
 def windows_of(t: Tables):
     rate = F.col("funding_rate")
-    s = t.funding.filter(F.hour("time_exchange") % 8 == 0).select("market", F.col("time_exchange").alias("settlement_time"), F.when(rate > 0, "positive").when(rate < 0, "negative").otherwise("zero").alias("funding_sign"))
+    s = t.funding.select("market", F.col("time_exchange").alias("settlement_time"), F.when(rate > 0, "positive").when(rate < 0, "negative").otherwise("zero").alias("funding_sign"))
     return br.bracket_windows(s, "settlement_time", unit_s=3600, control_s=30 * 3600)
 
 
@@ -131,7 +131,7 @@ def brackets_of(t: Tables):
 
 
 @query("F12_bracket_windows", """SELECT market, time_exchange AS settlement_time, b.k::BIGINT AS bracket, u.kind, CASE WHEN b.k < 0 THEN time_exchange + to_hours(u.sh) - to_hours(abs(b.k)) ELSE time_exchange + to_hours(u.sh) END AS a, CASE WHEN b.k < 0 THEN time_exchange + to_hours(u.sh) ELSE time_exchange + to_hours(u.sh) + to_hours(abs(b.k)) END AS z
-    FROM funding, (VALUES (-10), (-5), (-1), (1), (5), (10)) b(k), (VALUES ('event', 0), ('control', 30)) u(kind, sh) WHERE hour(time_exchange) % 8 = 0""", "funding")
+    FROM funding, (VALUES (-10), (-5), (-1), (1), (5), (10)) b(k), (VALUES ('event', 0), ('control', 30)) u(kind, sh)""", "funding")
 def _(t: Tables):
     return windows_of(t).drop("funding_sign")
 

@@ -372,12 +372,6 @@ def _(t: Tables):
     return st.shuffle_floor(samples_of(t), hours_of(t), interest=INTEREST)
 
 
-@query("A34_iid_floor")
-def _(t: Tables):
-    h = hours_of(t)
-    return st.iid_floor(st.minute_partials(samples_of(t)), h, st.regression_stats(h).select(F.col("r_squared").alias("r2")))
-
-
 @query("F4_funding_from_premium", f"SELECT market, settlement_time, round({_PRED.format(p='average_premium')} * 1e4, 6) AS predicted_bps FROM hours", "hours")
 def _(t: Tables):
     return hours_of(t).select("market", "settlement_time", (F.col("predicted_funding") * 1e4).alias("predicted_bps"))
