@@ -13,7 +13,7 @@ from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.timecols import micros
 from tickloom.operators.asof import asof_join
 from tickloom.operators.harvest import cooldown
-from tickloom.operators.indicators import ewm, parse_spec
+from tickloom.operators.indicators import Macd, compute, ewm, read_spec
 from tickloom.operators.islands import interval_islands
 from tickloom.operators.lookups import join_one_to_one, nearest_join, strict_lookup
 from tickloom.operators.ranges import range_totals, rows_in_windows
@@ -161,10 +161,16 @@ def test_recursive_filter_is_independent_of_chunks(spark):
 
 
 def test_indicator_specs(spark):
-    assert parse_spec("macd:5:10")[1] == {"fast": 5, "slow": 10, "signal": 9}
-    for bad, text in (("nope", "no indicator"), ("sma:0", "cannot be"), ("sma:x", "cannot be"), ("sma:1:2", "at most")):
+    assert read_spec("macd:5:10") == read_spec("macd:slow=10:fast=5") == Macd(5, 10, 9)
+    for bad, text in (("nope", "known indicators"), ("sma:0", "cannot use"), ("sma:x", "takes int"), ("sma:1:2", "no free parameter"), ("sma:5:period=6", "no free parameter"), ("bbands:mult=nan", "cannot use")):
         with pytest.raises(ValueError, match=text):
-            parse_spec(bad)
+            read_spec(bad)
+
+
+def test_indicators_share_one_pass(spark):
+    bars = spark.createDataFrame([("m", at(i), float(i % 7)) for i in range(40)], "market string, time_open timestamp, close double")
+    both = compute(["sma:3", "bbands:period=5"], bars)
+    assert both.columns == ["market", "time_open", "sma_3", "bb_mid_5", "bb_upper_5", "bb_lower_5"] and both.count() == 40
 
 
 def test_slice_width_follows_the_busiest_hour(spark):

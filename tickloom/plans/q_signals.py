@@ -19,8 +19,7 @@ _P = "OVER (PARTITION BY market ORDER BY time_open)"
 @query("W5_sma_bollinger", """SELECT market, time_open, round(CASE WHEN rn >= 20 THEN m END, 6) AS bb_mid_20, round(CASE WHEN rn >= 20 THEN m + 2 * s END, 6) AS bb_upper_20, round(CASE WHEN rn >= 20 THEN m - 2 * s END, 6) AS bb_lower_20, round(CASE WHEN rn >= 10 THEN m10 END, 6) AS sma_10
     FROM (SELECT market, time_open, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s, avg(close) OVER v AS m10, row_number() OVER (PARTITION BY market ORDER BY time_open) AS rn FROM candles_1d WINDOW w AS (PARTITION BY market ORDER BY time_open ROWS 19 PRECEDING), v AS (PARTITION BY market ORDER BY time_open ROWS 9 PRECEDING))""", "candles_1d")
 def _(t: Tables):
-    c = t.candles_1d
-    return ind.compute("bbands", c).join(ind.compute("sma:10", c), ["market", "time_open"])
+    return ind.compute(["bbands", "sma:period=10"], t.candles_1d)
 
 
 @query("W6_vwap", f"SELECT market, time_open, round(sum((high + low + close) / 3 * volume) {_P} / sum(volume) {_P}, 6) AS vwap FROM candles_1d", "candles_1d")
@@ -39,8 +38,7 @@ add_view("c1", f"SELECT *, row_number() {_P} - 1 AS i, coalesce(close - lag(clos
 @query("W8_recursive_filters", f"""WITH e AS (SELECT market, time_open, i, {_ema('close', 2 / 21)} AS ema, {_ema('close', 2 / 13)} - {_ema('close', 2 / 27)} AS macd, {_ema('greatest(d, 0)', 1 / 14)} AS g, {_ema('greatest(-d, 0)', 1 / 14)} AS l, {_ema('tr', 1 / 14)} AS atr FROM c1)
     SELECT market, time_open, round(ema, 6) AS ema_20, round(100 * g / nullif(g + l, 0), 6) AS rsi_14, round(macd, 6) AS macd, round({_ema('macd', 2 / 10)}, 6) AS macd_signal, round(macd - {_ema('macd', 2 / 10)}, 6) AS macd_hist, round(atr, 6) AS atr_14 FROM e""", "c1")
 def _(t: Tables):
-    c, k = materialize(t.candles_1d, "candles"), ["market", "time_open"]
-    return ind.compute("ema:20", c).join(ind.compute("rsi", c), k).join(ind.compute("macd", c), k).join(ind.compute("atr:14", c), k)
+    return ind.compute(["ema:20", "rsi", "macd", "atr:14"], materialize(t.candles_1d, "candles"))
 
 
 @query("X1_indicator_registry", f"SELECT market, time_open, round(CASE WHEN row_number() {_P} >= 3 THEN avg(close) OVER (PARTITION BY market ORDER BY time_open ROWS 2 PRECEDING) END, 6) AS sma_3 FROM candles_1h", "candles_1h")
