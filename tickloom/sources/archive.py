@@ -23,8 +23,8 @@ FEEDS = {
     ("LIMITBOOK_FULL", "l4"): "time_exchange time_coinapi is_buy update_type entry_px entry_sx order_id is_trigger order_type hl4_status".split(),
     ("HLORACLEPRICES", "l4"): "time_exchange time_coinapi coin_id update_class mark_px oracle_px external_perp_px".split(),
 }
-FLOATS = {"price", "base_amount", "ask_px", "ask_sx", "bid_px", "bid_sx", "entry_px", "entry_sx", "orig_size", "trigger_px", "mark_px", "oracle_px", "external_perp_px"}
-BOOLS = {"is_buy", "reduce_only", "is_trigger", "is_position_tpsl", "is_child"}
+FLOATS = {"price", "base_amount", "ask_px", "ask_sx", "bid_px", "bid_sx", "entry_px", "entry_sx", "mark_px", "oracle_px", "external_perp_px"}
+BOOLS = {"is_buy", "is_trigger"}
 TIMES = ("time_exchange", "time_coinapi")
 
 
