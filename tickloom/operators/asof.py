@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickloom.functions.timecols import MICROS, micros
 from tickloom.operators.slicing import DAY, Running, running
@@ -25,6 +25,12 @@ class Source:
     tie: Sequence[str] = ()
 
 
+def _signed(rows: DataFrame, column: str, sign: int) -> Column:
+    """A tie key that sorts along the direction; whole numbers keep all their digits."""
+    whole = isinstance(rows.schema[column].dataType, T.IntegralType)
+    return F.lit(sign) * F.col(column).cast("long" if whole else "double")
+
+
 def asof_many(
     left: DataFrame,
     sources: Mapping[str, Source],
@@ -53,7 +59,7 @@ def asof_many(
             *keys,
             (F.lit(sign) * micros(s.time)).alias("_t"),
             F.lit(1 if strict else 0).alias("_prio"),
-            *[(F.lit(sign) * F.col(c)).cast("double").alias(f"_k{i}") for i, c in enumerate(s.tie)],
+            *[_signed(s.rows, c, sign).alias(f"_k{i}") for i, c in enumerate(s.tie)],
             F.struct(F.col(s.time).alias("obs_time"), *[F.col(c) for c in s.payload]).alias(f"_pack_{name}"),
         )
         both = both.unionByName(tagged, allowMissingColumns=True)

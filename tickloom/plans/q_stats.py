@@ -286,11 +286,14 @@ def _(t: Tables):
     return st.gap_rows(t.funding)
 
 
-@query("A45_carry_evidence", f"""WITH p1 AS ({_lag_sql(1)}), a AS (SELECT market, regr_slope(y, x) AS phi FROM p1 GROUP BY 1), h AS (SELECT market, CASE WHEN phi > 0 AND phi < 1 THEN ln(0.5) / ln(phi) END AS hl FROM a)
-    SELECT market, round(hl, 6) AS half_life, CASE WHEN hl IS NULL THEN 'insufficient' WHEN 0.6 >= 0.5 AND hl >= 24 THEN 'carry' ELSE 'measured_fail' END AS carry_evidence FROM h""", "seg")
-def _(t: Tables):
-    a = st.ar1(t.funding, "funding_rate")
-    return a.select("market", F.col("shock_half_life_hours").alias("half_life"), st.carry_evidence(F.lit(0.6), F.col("shock_half_life_hours")).alias("carry_evidence"))
+@query("A45_carry_evidence", f"""WITH p1 AS ({_lag_sql(1)}), a AS (SELECT market, regr_slope(y, x) AS phi FROM p1 GROUP BY 1), h AS (SELECT market, CASE WHEN phi > 0 AND phi < 1 THEN ln(0.5) / ln(phi) END AS hl FROM a),
+    l AS (SELECT market, rk, lag(rk) OVER (PARTITION BY market ORDER BY week) AS pv FROM weekly), x AS (SELECT market, {_AR.format(p='market', v='rk')} AS ra, {_AR.format(p='market', v='pv')} AS rb FROM l WHERE pv IS NOT NULL),
+    c AS (SELECT market, CASE WHEN var_pop(ra) > 0 AND var_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM x GROUP BY 1), n AS (SELECT market, count(*) AS k FROM weekly GROUP BY 1), r AS (SELECT market, CASE WHEN k >= 4 THEN rho END AS rho FROM n LEFT JOIN c USING (market))
+    SELECT market, round(rho, 6) AS rho, round(hl, 6) AS half_life, CASE WHEN hl IS NULL OR rho IS NULL THEN 'insufficient' WHEN rho >= 0.5 AND hl >= 24 THEN 'carry' ELSE 'measured_fail' END AS carry_evidence FROM h LEFT JOIN r USING (market)""", "seg weekly")
+def _(t: Tables):
+    rho = st.rank_persistence(st.weekly_ranks(t.funding)).select("market", F.col("week_over_week_rank_corr").alias("rho"))
+    a = st.ar1(t.funding, "funding_rate").join(rho, "market", "left")
+    return a.select("market", "rho", F.col("shock_half_life_hours").alias("half_life"), st.carry_evidence(F.col("rho"), F.col("shock_half_life_hours")).alias("carry_evidence"))
 
 
 # --- reconciliation --------------------------------------------------------------
