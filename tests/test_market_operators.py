@@ -77,7 +77,7 @@ def tape(seed, n=220):
 def test_book_windows_equal_a_fold(spark, seed):
     ev = tape(seed)
     df = spark.createDataFrame([("m", i, *e) for i, e in enumerate(ev)], "market string, seq long, time_exchange timestamp, update_type string, is_buy boolean, entry_px double, entry_sx double")
-    st_ = bk.level_states(df, width_s=20)
+    st_ = bk.level_states(df, width_s=20, strict=False)
     want = book_fold(ev)
     l1 = {r["time_exchange"]: tuple(r)[2:] for r in bk.l1_after_batches(st_, width_s=30).collect()}
     for t, bids, asks in want:
@@ -106,7 +106,7 @@ def test_order_level_book_equals_a_fold(spark, seed):
         ev.append((at(t), kind, f"o{r.randrange(8)}", buy, float(100 + (-1 if buy else 1) * r.randrange(1, 4)), float(r.randrange(1, 5)), r.random() < 0.85))
     rows = [("m", i, tt, k, o, b, p, q, "0" if live else "1", "Limit", "OPEN") for i, (tt, k, o, b, p, q, live) in enumerate(ev)]
     df = spark.createDataFrame(rows, "market string, seq long, time_exchange timestamp, update_type string, order_id string, is_buy boolean, entry_px double, entry_sx double, is_trigger string, order_type string, hl4_status string")
-    l1 = {x["time_exchange"]: tuple(x)[2:] for x in bk.l1_after_batches(bk.order_level_states(df), width_s=40).collect()}
+    l1 = {x["time_exchange"]: tuple(x)[2:] for x in bk.l1_after_batches(bk.order_level_states(df, strict=False), width_s=40).collect()}
     for tt, bids, asks in order_fold(ev):
         if tt in l1:
             b, a = max(bids, default=None), min(asks, default=None)
@@ -116,7 +116,7 @@ def test_order_level_book_equals_a_fold(spark, seed):
 def test_sanitize_drops_orphans_and_clamps(spark):
     ev = [(at(0), "SNAPSHOT", True, 99.0, 5.0), (at(1), "SUB", True, 98.0, 1.0), (at(2), "SUB", True, 99.0, 8.0), (at(3), "ADD", True, 99.0, 2.0)]
     df = spark.createDataFrame([("m", i, *e) for i, e in enumerate(ev)], "market string, seq long, time_exchange timestamp, update_type string, is_buy boolean, entry_px double, entry_sx double")
-    got = [(r["fix"], r["clean_sx"], r["size"]) for r in bk.sanitize(bk.level_states(df)).orderBy("seq").collect()]
+    got = [(r["fix"], r["clean_sx"], r["size"]) for r in bk.sanitize(bk.level_states(df, strict=False)).orderBy("seq").collect()]
     assert [g[0] for g in got] == ["kept", "orphan_dropped", "oversize_clamped", "kept"]
     assert got[2][1] == 5.0 and got[3][2] == 2.0
     with pytest.raises(Exception, match="unsupported book update_type"):
@@ -270,3 +270,29 @@ def test_pages_hold_what_is_asked_for(spark):
 
     rows, total = page(spark.range(12_000).toDF("id"), number=2, size=5_000, sort="id")
     assert [r["id"] for r in rows.collect()] == list(range(5_000, 10_000)) and total.first()["total"] == 12_000
+
+
+EVENT = "market string, seq long, time_exchange timestamp, update_type string, is_buy boolean, entry_px double, entry_sx double"
+
+
+@pytest.mark.parametrize(("row", "message"), [
+    ((at(2), "SUB", True, 98.0, 1.0), "SUB of absent level"), ((at(2), "SUB", True, 99.0, 8.0), "SUB of more than"), ((at(2), "SET", True, 99.0, -1.0), "negative size"), ((at(-5), "SET", True, 99.0, 1.0), "runs backwards"),
+])
+def test_a_strict_book_refuses_unsound_rows(spark, row, message):
+    sound = [(at(0), "SNAPSHOT", True, 99.0, 5.0), (at(1), "ADD", True, 99.0, 2.0)]
+    frame = lambda ev: spark.createDataFrame([("m", i, *e) for i, e in enumerate(ev)], EVENT)
+    assert [r["size"] for r in bk.level_states(frame(sound)).orderBy("seq").collect()] == [5.0, 7.0]
+    with pytest.raises(Exception, match=message):
+        bk.level_states(frame([*sound, row])).collect()
+
+
+@pytest.mark.parametrize(("row", "message"), [
+    ((at(2), "SUB", "o9", True, 99.0, 1.0), "SUB of absent order"), ((at(2), "ADD", "o1", True, 98.0, 1.0), "ADD moves order o1"), ((at(2), "ADD", None, True, 98.0, 1.0), "without an order id"),
+])
+def test_a_strict_order_book_refuses_unsound_rows(spark, row, message):
+    sound = [(at(0), "SNAPSHOT", "o1", True, 99.0, 5.0), (at(1), "SUB", "o1", True, 99.0, 2.0)]
+    schema = "market string, seq long, time_exchange timestamp, update_type string, order_id string, is_buy boolean, entry_px double, entry_sx double, is_trigger string, order_type string, hl4_status string"
+    frame = lambda ev: spark.createDataFrame([("m", i, *e, "0", "Limit", "OPEN") for i, e in enumerate(ev)], schema)
+    assert [r["size"] for r in bk.order_level_states(frame(sound)).orderBy("seq").collect()] == [5.0, 3.0]
+    with pytest.raises(Exception, match=message):
+        bk.order_level_states(frame([*sound, row])).collect()

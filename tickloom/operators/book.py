@@ -82,8 +82,41 @@ def _reflected(rows: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("prior", F.coalesce(F.lag("size", 1).over(w), F.lit(0.0))).drop("_seg", "_x", "_raw")
 
 
-def level_states(events: DataFrame, width_s: int = DAY) -> DataFrame:
-    """Each update with its level's size before (``prior``) and after (``size``)."""
+def in_order(events: DataFrame, width_s: int = DAY) -> DataFrame:
+    """The events; running it fails where ``seq`` runs against the clock of a market."""
+    seen = lagged(events, ["market"], micros("time_exchange"), {"_seq": F.col("seq")}, tie=[F.col("seq")], width_s=width_s)
+    back = F.concat(F.lit("book time runs backwards at seq "), F.col("_seq").cast("string"))
+    return seen.withColumn("seq", F.when(_must(~(F.col("_seq") > F.col("seq")), back), F.col("seq"))).drop("_seq")
+
+
+def _must(rule: Column, message: Column | str) -> Column:
+    """True where the rule holds or cannot be judged, an error elsewhere."""
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.when(F.coalesce(rule, F.lit(True)), F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+
+
+def _sound(states: DataFrame, what: str) -> DataFrame:
+    """The states; running it fails on sizes that no book can have."""
+    sub, at = F.col("update_type") == "SUB", F.concat(F.lit(" at seq "), F.col("seq").cast("string"))
+    rules = {
+        f"negative size of {what}": F.col("entry_sx") >= 0,
+        f"SUB of absent {what}": ~(sub & (F.col("prior") <= 0)),
+        f"SUB of more than the {what} holds": ~(sub & (F.col("entry_sx") > F.col("prior") * (1 + TINY) + TINY)),
+    }
+    for message, rule in rules.items():
+        states = states.filter(_must(rule, F.concat(F.lit(message), at)))
+    return states
+
+
+def level_states(events: DataFrame, width_s: int = DAY, *, strict: bool = True) -> DataFrame:
+    """Each update with its level's size before (``prior``) and after (``size``).
+
+    ``strict`` fails on what a sound feed cannot hold: a negative size, a SUB of an
+    absent level or of more than it holds, and time that runs against ``seq``.
+    Otherwise the walk forgives them, as ``sanitize`` needs.
+    """
+    if strict:
+        events = in_order(events, width_s)
     e = with_epochs(events, width_s).filter(F.col("epoch").isNotNull())
     u, sx = F.col("update_type"), F.col("entry_sx")
     known = u.isin(*SETS, *DELETES, "ADD", "SUB")
@@ -94,7 +127,8 @@ def level_states(events: DataFrame, width_s: int = DAY) -> DataFrame:
         F.when(u.isin(*SETS), F.greatest(sx, F.lit(0.0))).when(u.isin(*DELETES), F.lit(0.0)).alias("set_to"),
         F.when(u == "ADD", sx).when(u == "SUB", -sx).otherwise(F.lit(0.0)).alias("delta"),
     )
-    return _reflected(r, ["market", "epoch", "side", "price"])
+    states = _reflected(r, ["market", "epoch", "side", "price"])
+    return _sound(states, "level") if strict else states
 
 
 def sanitize(states: DataFrame) -> DataFrame:
@@ -238,12 +272,15 @@ def sample_depth(states: DataFrame, samples: DataFrame, levels: int | None = Non
     )
 
 
-def order_level_states(events: DataFrame, width_s: int = DAY) -> DataFrame:
+def order_level_states(events: DataFrame, width_s: int = DAY, *, strict: bool = True) -> DataFrame:
     """Order-keyed feed folded to price levels, in the shape of ``level_states``.
 
     Triggers, non-limit and non-open orders never rest; pending and rejected rows
     change nothing.  Every order update moves size between at most two levels.
+    ``strict`` also fails on a missing order id and on an ADD that moves an order.
     """
+    if strict:
+        events = in_order(events, width_s)
     e = with_epochs(events, width_s).filter(F.col("epoch").isNotNull() & ~F.col("update_type").isin(*IGNORED))
     u, sx = F.col("update_type"), F.col("entry_sx")
     status = F.upper(F.trim(F.coalesce(F.col("hl4_status"), F.lit(""))))
@@ -260,6 +297,9 @@ def order_level_states(events: DataFrame, width_s: int = DAY) -> DataFrame:
     at = F.last(F.when(places, F.struct("_buy", "_px")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     s = s.withColumn("_at", at)
     s = s.withColumn("_was", F.lag("_at", 1).over(w))
+    if strict:
+        moves = (F.col("update_type") == "ADD") & (F.col("prior") > 0) & (F.struct("_buy", "_px") != F.struct("_was._buy", "_was._px"))
+        s = _sound(s, "order").filter(_must(F.col("order_id").isNotNull(), "book row without an order id")).filter(_must(~moves, F.concat(F.lit("ADD moves order "), "order_id")))
     move = lambda at_, d: F.struct(F.col(f"{at_}._buy").alias("buy"), F.col(f"{at_}._px").alias("price"), d.alias("d"))
     moved = s.select("market", "epoch", "time_exchange", "seq", F.explode(F.array(move("_was", -F.col("prior")), move("_at", F.col("size")))).alias("m"))
     lv = moved.filter("m.price is not null").groupBy("market", "epoch", "time_exchange", "seq", F.when(F.col("m.buy"), "bid").otherwise("ask").alias("side"), F.col("m.price").alias("price")).agg(F.sum("m.d").alias("d"))

@@ -13,7 +13,7 @@ from tickloom.session import materialize
 
 
 def states_of(t: Tables):
-    return bk.level_states(t.book)
+    return bk.level_states(t.book, strict=False)  # the derived feed has orphan and oversize subs
 
 
 add_view("epochs", """SELECT *, last_value(CASE WHEN update_type = 'SNAPSHOT' AND NOT coalesce(pt = 'SNAPSHOT', false) THEN seq END IGNORE NULLS) OVER (PARTITION BY market ORDER BY time_exchange, seq) AS epoch
@@ -35,6 +35,13 @@ def _(t: Tables):
     return states_of(t).select("market", "epoch", "side", "price", "time_exchange", "seq", "size", "prior")
 
 
+@query("T1_strict_book", "SELECT market, epoch, side, price, time_exchange, seq, size FROM states WHERE NOT (update_type = 'SUB' AND prior <= 0)", "states")
+def _(t: Tables):
+    fixed = bk.sanitize(states_of(t)).filter("fix <> 'orphan_dropped'")
+    clean = fixed.select("market", "seq", "time_exchange", "update_type", (F.col("side") == "bid").alias("is_buy"), F.col("price").alias("entry_px"), F.col("clean_sx").alias("entry_sx"))
+    return bk.level_states(clean).select("market", "epoch", "side", "price", "time_exchange", "seq", "size")
+
+
 @query("T1_level_intervals", "SELECT * FROM intervals", "intervals")
 def _(t: Tables):
     return bk.level_intervals(states_of(t))
@@ -129,7 +136,7 @@ add_view("states4", """WITH p AS (SELECT *, lag(update_type) OVER (PARTITION BY
 
 @query("T2_order_level_states", "SELECT * FROM states4", "states4")
 def _(t: Tables):
-    return bk.order_level_states(book4(t))
+    return bk.order_level_states(book4(t), strict=False)
 
 
 @query("T4_order_level_l1", """WITH e AS (SELECT market, epoch, lead(s) OVER (PARTITION BY market ORDER BY epoch) AS en FROM (SELECT market, epoch, min(time_exchange) AS s FROM states4 GROUP BY 1, 2)),
@@ -137,7 +144,25 @@ def _(t: Tables):
     SELECT b.market, b.time_exchange, max(price) FILTER (side = 'bid') AS best_bid_px, arg_max(size, price) FILTER (side = 'bid') AS best_bid_sx, min(price) FILTER (side = 'ask') AS best_ask_px, arg_min(size, price) FILTER (side = 'ask') AS best_ask_sx
     FROM b LEFT JOIN v ON v.market = b.market AND v.size > 0 AND v.a <= b.time_exchange AND (v.z IS NULL OR b.time_exchange < v.z) GROUP BY 1, 2""", "states4")
 def _(t: Tables):
-    return bk.l1_after_batches(materialize(bk.order_level_states(book4(t)), "states4"))
+    return bk.l1_after_batches(materialize(bk.order_level_states(book4(t), strict=False), "states4"))
+
+
+add_view("intervals4", """WITH e AS (SELECT market, epoch, lead(s) OVER (PARTITION BY market ORDER BY epoch) AS en FROM (SELECT market, epoch, min(time_exchange) AS s FROM states4 GROUP BY 1, 2)),
+    i AS (SELECT market, epoch, side, price, time_exchange AS from_time, size, lead(time_exchange) OVER (PARTITION BY market, epoch, side, price ORDER BY time_exchange, seq) AS nx FROM states4)
+    SELECT market, epoch, side, price, from_time, coalesce(nx, en) AS to_time, size FROM i JOIN e USING (market, epoch)""", "states4")
+
+
+@query("T5_order_level_depth", f"SELECT * FROM (SELECT b.market, b.time_exchange, side, {_LV.replace('market', 'b.market').replace('time_exchange', 'b.time_exchange')} AS level, price, size FROM (SELECT DISTINCT market, time_exchange FROM states4) b JOIN intervals4 i ON i.market = b.market AND i.size > 0 AND i.from_time <= b.time_exchange AND (i.to_time IS NULL OR b.time_exchange < i.to_time)) WHERE level <= 3", "intervals4")
+def _(t: Tables):
+    return bk.depth_after_batches(materialize(bk.order_level_states(book4(t), strict=False), "states4"), 3)
+
+
+@query("T6_order_level_sampled", f"""WITH s AS (SELECT DISTINCT market, start_time AS ts FROM shocks), h AS (SELECT s.market, s.ts AS time_exchange, i.side, i.price, i.size, (SELECT max(time_exchange) FROM states4 x WHERE x.market = s.market AND x.time_exchange <= s.ts) AS depth_source_time
+      FROM s JOIN intervals4 i ON i.market = s.market AND i.size > 0 AND i.from_time <= s.ts AND (i.to_time IS NULL OR s.ts < i.to_time))
+    SELECT * FROM (SELECT market, time_exchange, depth_source_time, side, {_LV} AS level, price, size FROM h) WHERE level <= 4""", "intervals4 shocks")
+def _(t: Tables):
+    states = materialize(bk.order_level_states(book4(t), strict=False), "states4")
+    return bk.sample_depth(states, t.shocks.select("market", F.col("start_time").alias("sample_time")), 4)
 
 
 _PRE = 3 * 3600
