@@ -179,3 +179,29 @@ def test_slice_width_follows_the_busiest_hour(spark):
     assert fitting_width(df, ["market"], micros("t"), 5000) == 86_400
     assert fitting_width(df, ["market"], micros("t"), 999) == 1
     assert busiest_slice(df, ["market"], micros("t"), 1) == 100
+
+
+def test_statistics_by_name_or_by_function(spark):
+    from tickloom.operators.bootstrap import bootstrap_ci, statistic
+
+    df = spark.createDataFrame([("m", f"c{i % 8}", float(i)) for i in range(64)], "market string, c string, v double")
+    sums = {"n": F.lit(1), "x": F.col("v")}
+    named = bootstrap_ci(df, ["market"], "c", sums, "mean").first()
+    own = bootstrap_ci(df, ["market"], "c", sums, lambda s: s["x"] / s["n"]).first()
+    assert named == own and named["point"] == pytest.approx(31.5)
+    for bad in ("median", "ratio"):
+        with pytest.raises(ValueError, match="statistic"):
+            statistic(bad, sums)
+
+
+def test_candle_sources(spark):
+    from tickloom.sources.candles import CandleSources
+
+    known = CandleSources()
+    known.add("own", lambda interval: spark.createDataFrame([("a", 1), ("b", 2)], "market string, n int"), "1h")
+    assert [tuple(r) for r in known.candles("own", "1h", "b").collect()] == [("b", 2, "own", "1h")]
+    for name, interval in (("own", "1d"), ("other", "1h")):
+        with pytest.raises(ValueError, match="no source"):
+            known.candles(name, interval)
+    with pytest.raises(ValueError, match="known already"):
+        known.add("own", lambda i: None)

@@ -55,6 +55,28 @@ def half_life_stat(s: Mapping[str, Column]) -> Column:
     return F.when((phi > 0) & (phi < 1), F.ln(F.lit(0.5)) / F.ln(phi))
 
 
+#: Statistics by name, each with the sums that it needs; ``statistic`` also takes any function of the sums.
+STATISTICS: dict[str, tuple[Stat, tuple[str, ...]]] = {
+    "mean": (mean_stat, ("n", "x")),
+    "ratio": (ratio_stat, ("num", "den")),
+    "slope": (slope_stat, ("n", "x", "y", "xx", "xy")),
+    "std": (std_stat, ("n", "x", "xx")),
+    "half_life": (half_life_stat, ("n", "x", "y", "xx", "xy")),
+}
+
+
+def statistic(which: str | Stat, sums: Mapping[str, Column]) -> Stat:
+    """A statistic by name, checked against the sums at hand, or one's own function."""
+    if callable(which):
+        return which
+    if which not in STATISTICS:
+        raise ValueError(f"no statistic {which!r}: choose from {', '.join(STATISTICS)} or pass a function of the sums")
+    found, needs = STATISTICS[which]
+    if absent := [k for k in needs if k not in sums]:
+        raise ValueError(f"statistic {which!r} needs the sums {', '.join(absent)}")
+    return found
+
+
 def _finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
@@ -112,9 +134,9 @@ def bootstrap_many(
     return totals.join(ci, g, "left").select(*group, *cols, "n", "G", (F.col("G") < min_clusters).alias("low_cluster"))
 
 
-def bootstrap_ci(df: DataFrame, group: Sequence[str], cluster: str, sums: Mapping[str, Column], stat: Stat, **kw) -> DataFrame:
-    """Point, percentile interval, n, G and low_cluster per group."""
-    out = bootstrap_many(df, group, cluster, sums, {"point": stat}, **kw)
+def bootstrap_ci(df: DataFrame, group: Sequence[str], cluster: str, sums: Mapping[str, Column], stat: str | Stat, **kw) -> DataFrame:
+    """Point, percentile interval, n, G and low_cluster per group; ``stat`` is a name or a function of the sums."""
+    out = bootstrap_many(df, group, cluster, sums, {"point": statistic(stat, sums)}, **kw)
     return out.withColumnsRenamed({"point_ci_low": "ci_low", "point_ci_high": "ci_high"})
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.timecols import cluster_key, floor_to, horizon_seconds
 from tickloom.operators import bootstrap as bs, brackets as br, conditioning as cn, fills as fl, lookups as lk, spreads as sp, stats as st
@@ -13,6 +15,7 @@ from tickloom.plans.q_joins import _BUCKET, _STATE, markets_dim
 from tickloom.plans.q_stats import _STD, boot_sql, ci_names
 from tickloom.plans.registry import query
 from tickloom.session import materialize
+from tickloom.sources.candles import CandleSources
 
 # venues of the derived markets (fixed values)
 DEX = {"click": "alpha", "view": "beta", "error": "alpha", "purchase": "beta", "signup": "gamma"}
@@ -154,15 +157,16 @@ def _(t: Tables):
 
 @query("X2_named_statistics", ci_names(boot_sql("brk", ["market"], "cluster_key", {"num": "event_bars", "den": "baseline_bars"}, {"point": "{s}num / nullif({s}den, 0)"})), "brk")
 def _(t: Tables):
-    named = {"ratio": bs.ratio_stat, "mean": bs.mean_stat, "slope": bs.slope_stat, "std": bs.std_stat, "half_life": bs.half_life_stat}
-    return bs.bootstrap_ci(brackets_of(t), ["market"], "cluster_key", {"num": F.col("event_bars"), "den": F.col("baseline_bars")}, named["ratio"])
+    return bs.bootstrap_ci(brackets_of(t), ["market"], "cluster_key", {"num": F.col("event_bars"), "den": F.col("baseline_bars")}, "ratio")
 
 
-@query("X3_source_registry", "SELECT market, '1h' AS interval, count(*) AS bars FROM candles_1h GROUP BY 1 UNION ALL SELECT market, '1d', count(*) FROM candles_1d GROUP BY 1", "candles_1h candles_1d")
+@query("X3_source_registry", "SELECT 'bars' AS source, market, '1h' AS interval, count(*) AS bars FROM candles_1h GROUP BY 2 UNION ALL SELECT 'bars', market, '1d', count(*) FROM candles_1d GROUP BY 2 UNION ALL SELECT 'prints', market, '1h', count(DISTINCT date_trunc('hour', time_exchange)) FROM trades GROUP BY 2", "candles_1h candles_1d trades")
 def _(t: Tables):
-    sources = {"1h": lambda: t.candles_1h, "1d": lambda: t.candles_1d}
-    parts = [f().select("market", F.lit(k).alias("interval")) for k, f in sources.items()]
-    return parts[0].unionByName(parts[1]).groupBy("market", "interval").agg(F.count(F.lit(1)).alias("bars"))
+    known = CandleSources()
+    known.add("bars", lambda interval: {"1h": t.candles_1h, "1d": t.candles_1d}[interval].select("market", "time_open"), "1h", "1d")
+    known.add("prints", lambda _: t.trades.groupBy("market", F.date_trunc("hour", "time_exchange").alias("time_open")).agg(F.avg("price").alias("close")).select("market", "time_open"), "1h")
+    every = reduce(DataFrame.unionByName, [known.candles(s, i) for s, intervals in known.offers().items() for i in intervals])
+    return every.groupBy("source", "market", "interval").agg(F.count(F.lit(1)).alias("bars"))
 
 
 # --- census products --------------------------------------------------------------
