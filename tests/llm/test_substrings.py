@@ -132,13 +132,15 @@ def test_linked_sets_always_share_enough_files():
                 continue
             shared = set(np.concatenate([k for k, _ in parity.filings(a)]).tolist()) & set(np.concatenate([k for k, _ in parity.filings(b)]).tolist())
             assert len(shared) > max(min(m for _, m in parity.filings(x)) for x in (a, b)) or len(shared) > 0
-            apart = np.bitwise_count(parity.dense(a) ^ parity.dense(b)).sum()
+            apart = parity.least_apart(parity.dense(a).tobytes(), parity.dense(b).tobytes())
             assert apart <= len(a) + len(b) - 2 * both <= parity.most_different(len(a), len(b))
 
 
 def test_shingles_of_short_texts():
     memory = WordNumbers()
-    assert [len(parity.shingles(memory, t)) for t in (None, "", "a", "a b c d", "a b c d e", "a b c d e f", "a a a a a a a")] == [0, 0, 1, 1, 1, 2, 1]
+    texts = [None, "", "a", "a b c d", "a b c d e", "a b c d e f", "a a a a a a a"]
+    assert [len(s) for s in parity.shingle_sets(memory, texts)] == [0, 0, 1, 1, 1, 2, 1]
+    assert all((s == parity.shingle_sets(memory, [t])[0]).all() for t, s in zip(texts, parity.shingle_sets(memory, texts), strict=True))
 
 
 def test_components_of_chains_and_hubs(spark):

@@ -90,22 +90,32 @@ def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *
     return df.select(*columns).mapInArrow(run, schema)
 
 
+class Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class WordNumbers:
     """Words -> 64-bit hashes through a memory of bounded size; a worker's vocabulary is hashed once."""
 
     def __init__(self, most: int = 400_000):
-        self.most, self.number, self.hashes = most, {}, np.zeros(1 << 12, np.uint64)
+        self.most, self.number, self.hashes = most, Numbers(), np.zeros(1 << 12, np.uint64)
 
     def hash(self, words: list[bytes]) -> np.ndarray:
         number = self.number
         if len(number) > self.most:
             number.clear()
         known = len(number)
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         if len(number) > known:
             while len(number) > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[known : len(number)] = [xxhash.xxh3_64_intdigest(w) for w in list(number)[known:]]
+            new = np.flatnonzero(ids >= known)  # new words got ascending numbers, each at its first place
+            new = new[np.diff(np.maximum.accumulate(ids[new]), prepend=known - 1) > 0]
+            self.hashes[known : len(number)] = [xxhash.xxh3_64_intdigest(words[i]) for i in new.tolist()]
         return self.hashes[ids]
 
 

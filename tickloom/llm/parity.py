@@ -4,8 +4,8 @@ A set's sketch is cut into blocks by a hash of the shingle; a block is the XOR o
 shingle that only one of two sets has disturbs a single block: the number of blocks in which two sketches differ is at most
 the symmetric difference. Two linked sets of sizes a and b differ in at most (a + b) / 7 shingles, so among enough blocks some
 must agree (pigeonhole): a set files the blocks it has under (size band, block, XOR), and only sets that share a file are
-compared. A second, dense parity sketch (each shingle flips one of ``DENSE`` bits) has a Hamming distance that bounds the
-difference from below and turns most false candidates away before shingles are compared.
+compared. A second, dense parity sketch (each shingle flips one of about two bits per shingle) has a Hamming distance that
+bounds the difference from below and turns false candidates away before texts are fetched and shingles compared.
 
 Bands are octaves of the set size. A set files in its own band and, if it may have smaller partners there, in the one below.
 Let d be the largest difference that it can have from a partner in a band. It files non-empty blocks in a fixed order until
@@ -15,8 +15,8 @@ raised, never a silent loss). Two linked sets then share at least 1 + m of the f
 A file of more than ``CROWD`` sets is crowded: a passage that many documents have, or a large family of copies. Sets with at
 most m crowded files share an uncrowded one with every partner, so crowded files are needed only between the few sets with
 more ("swamped": members of large families). There every set is compared with the smallest of each crowded file, and
-then only with those members that are still in another component and share 1 + m crowded files. No pairs within a family are
-listed, and no link between different components is lost.
+then only with those members that are still in another component. So a family's pairs are not listed, and no link between
+different components is lost.
 
 Equal texts and equal sets are one node throughout. Files travel packed, one row per (chunk of documents, bucket of files),
 and are matched in numpy inside tasks of bounded size; pairs, verification and components are DataFrame work.
@@ -31,6 +31,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, utf8, written
@@ -38,20 +40,23 @@ from tickloom.llm.components import labels
 
 SHINGLE = 5
 CROWD = 24
-DENSE = 1024
-#: Files in a bucket, about, and the smallest band.
-BUCKET_FILES = 1 << 20
+#: Bytes of text for each bucket of files (about a tenth as many files), and the smallest band.
+BUCKET_BYTES = 8 << 20
 FIRST_BAND = 64
 #: Stands for a null doc_id, which counts as the largest.
 LAST = (1 << 63) - 1
 
 
-def shingles(memory: WordNumbers, text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = utf8(text).translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(grams(memory.hash(words), min(SHINGLE, len(words))) ^ np.uint64(min(SHINGLE, len(words))))
+def shingle_sets(memory: WordNumbers, texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; words are hashed for all texts at once."""
+    split = [utf8(t).translate(LOWER).split() for t in texts]
+    hashes = memory.hash([w for words in split for w in words])
+    long, start, out = grams(hashes, SHINGLE), 0, []
+    for words in split:
+        n = len(words)
+        out.append(np.unique(long[start : start + n - SHINGLE + 1] if n >= SHINGLE else grams(hashes[start : start + n], n) ^ np.uint64(n) if n else long[:0]))
+        start += n
+    return out
 
 
 def identity(own: np.ndarray) -> int:
@@ -92,45 +97,62 @@ def filings(own: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def sets_of(memory: WordNumbers, keys: list, texts: list):
-    for key, text in zip(keys, texts, strict=True):
-        own = shingles(memory, text)
-        yield key, len(own), identity(own)
+def dense(own: np.ndarray) -> np.ndarray:
+    """A parity sketch of a power of two bits, at least two per shingle."""
+    size = 1 << max(6, (2 * len(own) - 1).bit_length())
+    bits = np.bincount((mix(own) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little")
+
+
+def least_apart(one: bytes, two: bytes) -> int:
+    """Hamming distance of two dense sketches; the longer one is folded first, which keeps it a parity sketch."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (one, two)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
-def files_of(buckets: int, memory: WordNumbers, texts: list):
-    """One row per bucket: the chunk's sets, and its files sorted by key."""
-    names, margins, keys, of = [], [], [], []
-    seen: set[int] = set()
-    for text in set(texts):
-        own = shingles(memory, text)
-        name = identity(own)
-        if not len(own) or name in seen:
-            continue
-        seen.add(name)
+FILED = "bucket long, doc_id long, size long, set_id long, sketch binary, info binary, keys binary, owners binary"
+
+
+def filed(buckets: int, memory: WordNumbers, ids: list, texts: list):
+    """One row per document with its set; one row per bucket with the chunk's sets and their files, sorted by key."""
+    distinct = list(set(texts))
+    of = {t: (len(own), identity(own), dense(own).tobytes(), own) for t, own in zip(distinct, shingle_sets(memory, distinct), strict=True)}
+    for i, t in zip(ids, texts, strict=True):
+        size, name, sketch, _ = of[t]
+        yield i % buckets, i, size, name, sketch, None, None, None
+    names, keys, owners = [], [], []
+    for size, name, own in {name: (size, name, own) for size, name, _, own in of.values() if size}.values():
         for key, margin in filings(own):
             keys.append(key)
-            of.append(np.full(len(key), len(names), np.uint32))
-            names.append((name, len(own), margin))
+            owners.append(np.full(len(key), len(names), np.uint32))
+            names.append((name, size, margin))
     if not keys:
         return
-    key, owner = np.concatenate(keys), np.concatenate(of)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
     info = np.array(names, np.int64)
     bucket = (key >> np.uint64(40)) % np.uint64(buckets)
-    order = np.lexsort((key, bucket))
+    order = np.argsort(bucket, kind="stable")
     key, owner, bucket = key[order], owner[order], bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(key)]
+    cuts = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(key)]
     for a, b in zip(cuts, cuts[1:]):
         used, local = np.unique(owner[a:b], return_inverse=True)
         low = np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :5])
-        yield int(bucket[a]), info[used].tobytes(), low.tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()
+        yield int(bucket[a]), None, None, None, None, info[used].tobytes(), low.tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()
 
 
-PAIR = "kind string, key long, a long, b long, extra long"
+PAIR = "kind string, key long, a long, b long, extra long, sketch binary"
 
 
 def matched(part: pa.Table) -> pa.Table:
-    """Files of one bucket: pairs out of uncrowded ones, memberships of crowded ones."""
+    """Files of one bucket: pairs out of uncrowded ones, memberships of crowded ones; rows of documents pass through."""
+    bucket = part["bucket"][0].as_py()
+    rows = part.filter(pc.is_valid(part["set_id"]))
+    through = pa.table({"kind": pa.array(["set"] * len(rows), pa.string()), "key": rows["doc_id"], "a": rows["set_id"], "b": rows["size"], "extra": rows["size"], "sketch": rows["sketch"]})
+    part = part.filter(pc.is_null(part["set_id"]))
+    if not len(part):
+        return through
     infos, keys, owners, base = [], [], [], 0
     for info, key, owner in zip(part["info"].to_pylist(), part["keys"].to_pylist(), part["owners"].to_pylist(), strict=True):
         n = len(key) // 5
@@ -160,57 +182,65 @@ def matched(part: pa.Table) -> pa.Table:
     pairs = np.unique(np.stack([name[a[near]], name[b[near]]]), axis=1) if near.any() else np.zeros((2, 0), np.int64)
     crowded = np.repeat(sizes > CROWD, sizes)
     n, m = pairs.shape[1], int(crowded.sum())
-    bucket = part["bucket"][0].as_py()
-    return pa.table({
+    found = pa.table({
         "kind": pa.array(["pair"] * n + ["crowd"] * m, pa.string()),
         "key": pa.array(np.concatenate([np.zeros(n, np.int64), mix(key[crowded] ^ mix(np.full(m, bucket, np.uint64))).view(np.int64)])),
         "a": pa.array(np.concatenate([pairs[0], name[crowded]])), "b": pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)])),
-        "extra": pa.array(np.concatenate([np.zeros(n, np.int64), info[owner[crowded], 2]])),
+        "extra": pa.array(np.concatenate([np.zeros(n, np.int64), info[owner[crowded], 2]])), "sketch": pa.nulls(n + m, pa.binary()),
     })
+    return pa.concat_tables([found, through.cast(found.schema)])
 
 
-def dense(own: np.ndarray) -> np.ndarray:
-    """Parity of each of DENSE bits."""
-    bits = np.bincount((mix(own) % np.uint64(DENSE)).astype(np.int64), minlength=DENSE) & 1
-    return np.packbits(bits.astype(np.uint8))
+def packed_texts(_, names: list, texts: list):
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for name, text in zip(names, texts, strict=True):
+        yield name, pack(utf8(text))
 
 
-def sketches(memory: WordNumbers, names: list, texts: list):
-    for name, text in zip(names, texts, strict=True):
-        own = shingles(memory, text)
-        if identity(own) == name:  # rows may share a doc_id
-            yield name, text, len(own), dense(own).tobytes()
+def near(_, firsts: list, seconds: list, sizes: list, others: list, lefts: list, rights: list):
+    """Pairs whose dense sketches don't rule a link out."""
+    for a, b, i, j, one, two in zip(firsts, seconds, sizes, others, lefts, rights, strict=True):
+        if least_apart(one, two) <= most_different(i, j):
+            yield a, b
 
 
 def similar(memory: WordNumbers, firsts: list, seconds: list, lefts: list, rights: list):
-    """Exact check of candidate pairs; neighbouring rows often share a side."""
-    last: dict[int, np.ndarray] = {}
-    for a, b, left, right in zip(firsts, seconds, lefts, rights, strict=True):
-        sets = {}
-        for name, text in ((a, left), (b, right)):
-            sets[name] = last[name] if name in last else shingles(memory, text)
+    """Exact check of candidate pairs."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    texts = {**dict(zip(firsts, lefts, strict=True)), **dict(zip(seconds, rights, strict=True))}
+    names = list(texts)
+    sets = dict(zip(names, shingle_sets(memory, [open_(texts[n]).decode("utf-8") for n in names]), strict=True))
+    for a, b in zip(firsts, seconds, strict=True):
         both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
             yield a, b
-        last = sets
 
 
-def hamming(_, firsts: list, seconds: list, sizes: list, others: list, lefts: list, rights: list):
-    one = np.frombuffer(b"".join(lefts), np.uint64).reshape(len(lefts), -1)
-    two = np.frombuffer(b"".join(rights), np.uint64).reshape(len(rights), -1)
-    apart = np.bitwise_count(one ^ two).sum(1)
-    for i in np.flatnonzero(7 * apart.astype(np.int64) <= np.array(sizes) + np.array(others)).tolist():
-        yield firsts[i], seconds[i]
+def promising(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The pairs that sketches allow."""
+    a = kinds.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
+    b = kinds.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
+    return by_batch(pairs.join(a, "a").join(b, "b"), near, "a long, b long", "a", "b", "sa", "sb", "ka", "kb")
+
+
+def fetched(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
+    """Packed texts of all sets in the pairs, each from its first document."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = rows.join(wanted.join(kinds, "id").select("id", "doc_id"), "doc_id")
+    return written(by_batch(own, mine, "id long, packed binary", "id", "text", ready=WordNumbers), "texts")
+
+
+def mine(memory: WordNumbers, names: list, texts: list):
+    """Rows may share a doc_id: only a text of the very set counts."""
+    good = [i for i, own in enumerate(shingle_sets(memory, texts)) if identity(own) == names[i]]
+    yield from packed_texts(None, [names[i] for i in good], [texts[i] for i in good])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are linked."""
-    a = nodes.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
-    b = nodes.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
-    close = by_batch(pairs.join(a, "a").join(b, "b"), hamming, "a long, b long", "a", "b", "sa", "sb", "ka", "kb")
-    left = nodes.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = nodes.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    return by_batch(close.join(right, "b").join(left, "a"), similar, "a long, b long", "a", "b", "left", "right", ready=WordNumbers)
+    left = texts.select(F.col("id").alias("a"), F.col("packed").alias("left"))
+    right = texts.select(F.col("id").alias("b"), F.col("packed").alias("right"))
+    return by_batch(pairs.join(right, "b").join(left, "a"), similar, "a long, b long", "a", "b", "left", "right", ready=WordNumbers)
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -224,38 +254,36 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, n_shingles, set_id; roots: id, root for the sets with links)."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    sets = written(by_batch(rows, sets_of, "doc_id long, n_shingles long, set_id long", "doc_id", "text", ready=WordNumbers), "sets")
-    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(0.6 * total) // BUCKET_FILES))
-    packed = by_batch(rows, partial(files_of, buckets), "bucket long, info binary, keys binary, owners binary", "text", ready=WordNumbers)
+    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
+    packed = by_batch(rows, partial(filed, buckets), FILED, "doc_id", "text", ready=WordNumbers)
     found = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(matched, PAIR), "files")
+    sets = found.filter("kind = 'set'").select(F.col("key").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("a").alias("set_id"), "sketch")
     # Sets with more crowded files than their margin; they alone can need one.
     crowd = found.filter("kind = 'crowd'").select("key", F.col("a").alias("id"), F.col("extra").alias("margin"))
     swamped = crowd.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("margin").alias("margin")).filter("n > margin")
     members = written(crowd.select("key", "id").join(swamped.select("id", "margin"), "id"), "crowd")
     heads = members.groupBy("key").agg(F.min("id").alias("head"))
     stars = members.join(heads, "key").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    pairs = written(found.filter("kind = 'pair'").select("a", "b").union(stars).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
-    first = sets.groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"))
-    chosen = wanted.join(first, "id")
-    texts = rows.join(chosen, "doc_id")
-    nodes = written(by_batch(texts, sketches, "id long, text string, size long, sketch binary", "id", "text", ready=WordNumbers), "nodes")
+    candidates = found.filter("kind = 'pair'").select("a", "b").union(stars).distinct()
+    kinds = sets.groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
+    pairs = written(promising(candidates, kinds), "pairs")
+    texts = fetched(pairs, kinds, rows)
     # One pair for each set first; then those that still lead to another component.
-    links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes), "links")
-    roots = labels(links)
-    more = apart(pairs, roots)
-    links = written(links.union(verified(more, nodes)), "links")
+    links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "links")
+    more = apart(pairs, labels(links))
+    links = written(links.union(verified(more, texts)), "links")
     roots = written(labels(links), "roots")
-    inside = members.join(roots, "id", "left").select("key", "id", "margin", F.coalesce("root", "id").alias("root"))
+    # Swamped sets of one crowded file that are still apart.
+    inside = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     left = written(inside.join(mixed, "key"), "rest")
-    other = left.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("margin").alias("margin_b"))
-    rest = left.withColumnRenamed("id", "a").join(other, "key").filter("root < root_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("margin", "margin_b")).alias("m")).filter("n > 0").select("a", "b")
-    extra = written(verified(rest, nodes), "links")
-    if not extra.isEmpty():
-        roots = written(labels(links.union(extra)), "roots")
-    return sets, roots
+    other = left.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    rest = left.withColumnRenamed("id", "a").join(other, "key").filter("root < root_b").select("a", "b").distinct()
+    rest = written(promising(rest.join(pairs, ["a", "b"], "left_anti"), kinds), "pairs")
+    if not rest.isEmpty():
+        roots = written(labels(links.union(verified(rest, fetched(rest, kinds, rows)))), "roots")
+    return sets.drop("sketch"), roots
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -268,8 +296,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def named(memory: WordNumbers, texts: list, *others: list):
-    for text, *own in zip(texts, *others, strict=True):
-        yield *own, text, identity(shingles(memory, text))
+    for text, found, *own in zip(texts, shingle_sets(memory, texts), *others, strict=True):
+        yield *own, text, identity(found)
 
 
 def survivors(docs: DataFrame) -> DataFrame:
