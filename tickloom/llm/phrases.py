@@ -1,10 +1,11 @@
 """Substring dedup by repeated-phrase automata: every word inside a phrase of 35 words that recurs anywhere is removed.
 
 Recurring passages are confirmed in two steps: stretches around anchors that occur twice (see ``stretches``), then, inside the
-task that holds all stretches of an anchor, by counting their 35-word phrases over all documents. The confirmed phrases of
-each shard of anchors are compiled into an Aho-Corasick automaton over words (a word is one letter of the automaton), and all
-stretches of the shard are streamed through it to locate every occurrence. Shards hold about ``stretches.FLUSH`` phrases, so an
-automaton's size is bounded; a stretch meets the one automaton that can contain its phrases, so work stays linear.
+task that holds all stretches of an anchor, by counting their 35-word phrases over all documents. The confirmed passages of
+each shard of anchors are compiled into an Aho-Corasick automaton over words (a word is one letter of the automaton): stretches
+that recur whole as one key, and of the others each phrase that recurs. All stretches of the shard are streamed through it to
+locate every occurrence. Shards hold about ``stretches.FLUSH`` phrases, so an automaton's size is bounded; a stretch meets the
+one automaton that can contain its phrases, so work stays linear.
 
 Words are runs of non-white characters, unchanged. Phrases are judged on the input; both copies go, in one document or two.
 Null, empty and short texts have no phrase and stay as they are. A row given twice repeats all its phrases. Other columns are
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.common import WordNumbers, by_batch, grams, sha, table, utf8
-from tickloom.llm.stretches import Scheme, candidates, judged, merged, numbered, with_spans
+from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans
 
 PHRASE, GRAM = 35, 8
 
@@ -39,27 +40,31 @@ def letters(rows: list[dict]) -> list[str]:
     return ["".join([char(number.setdefault(w, len(number))) for w in row["piece"].split(b" ")]) for row in rows]
 
 
-def located(rows: list[dict]) -> list[list[int]]:
-    """For each piece, the starts of its phrases that recur."""
+def located(rows: list[dict]) -> list[list[tuple[int, int]]]:
+    """For each piece, the words inside phrases that recur."""
     pieces = letters(rows)
     counts: Counter = Counter()
     for row, text in zip(rows, pieces, strict=True):
         for i in range(len(text) - PHRASE + 1):
             counts[text[i : i + PHRASE]] += row["copies"]
-    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for phrase, n in counts.items():
-        if n > 1:
-            found.add_word(phrase)
-    if not len(found):
+    passages = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for row, text in zip(rows, pieces, strict=True):
+        if row["copies"] > 1:
+            passages.add_word(text)
+            continue
+        for i in range(len(text) - PHRASE + 1):
+            if counts[phrase := text[i : i + PHRASE]] > 1:
+                passages.add_word(phrase)
+    if not len(passages):
         return [[] for _ in rows]
-    found.make_automaton()
-    return [[end - PHRASE + 1 for end, _ in found.iter(text)] for text in pieces]
+    passages.make_automaton()
+    return [joined(sorted((end - size + 1, end + 1) for end, size in passages.iter(text))) for text in pieces]
 
 
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of words to remove; they may overlap."""
     occ, _, pieces = candidates(SCHEME, rows)
-    marks = judged(pieces, PHRASE, located).select("anchor", "stretch", "a", "b")
+    marks = judged(pieces, located).select("anchor", "stretch", "a", "b")
     return occ.join(marks, ["anchor", "stretch"]).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 

@@ -21,7 +21,7 @@ the id alone are documents of their own. A null id counts as the largest.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,8 +144,8 @@ def candidates(scheme: Scheme, rows: DataFrame) -> tuple[DataFrame, DataFrame, D
     """(occ, distinct, pieces); pieces lie together and sorted by route, then document order."""
     from functools import partial
 
-    every = entries(scheme, rows)
-    repeated = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
+    # A table, so that both sides of the join are plain exchanges and Spark can split a hot anchor.
+    repeated = written(entries(scheme, rows).groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor"), "anchors")
     occ = written(entries(scheme, rows).join(repeated, "anchor"), "occurrences")
     kinds = occ.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "v", "start")).alias("first"), F.min("n").alias("n"))
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k"))
@@ -159,14 +159,14 @@ def candidates(scheme: Scheme, rows: DataFrame) -> tuple[DataFrame, DataFrame, D
 SPAN = "anchor long, stretch long, doc_id long, v long, start int, a int, b int"
 
 
-def judged(pieces: DataFrame, window: int, judge: Callable[[list[dict]], list[list[int]]]) -> DataFrame:
-    """Values, relative to the stretch's start, that ``judge`` marks: it gets whole routes and names windows of each piece."""
+def judged(pieces: DataFrame, judge: Callable[[list[dict]], list[list[tuple[int, int]]]]) -> DataFrame:
+    """Values, relative to the stretch's start, that ``judge`` marks: it gets whole routes and names ranges of each piece."""
 
     def run(batches):
         def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             out = []
             for row, found in zip(rows, judge(rows), strict=True):
-                for a, b in covered(found, window):
+                for a, b in found:
                     out.append((row["anchor"], row["stretch"], row["doc_id"], row["v"], row["start"], a + row["first"], b + row["first"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
@@ -188,31 +188,24 @@ def judged(pieces: DataFrame, window: int, judge: Callable[[list[dict]], list[li
     return pieces.mapInArrow(run, SPAN)
 
 
-def covered(starts: list[int], window: int) -> list[tuple[int, int]]:
-    """Merged ranges of the windows at ascending starts."""
+def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in ascending order of start, merged where they touch."""
     out: list[tuple[int, int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + window)
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            if b > out[-1][1]:
+                out[-1] = (out[-1][0], b)
         else:
-            out.append((s, s + window))
+            out.append((a, b))
     return out
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Each document with the list of its removed ranges (doc_id, v, a, b), null where there is none."""
+    spans = written(spans, "spans")
     per = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return rows.join(per, ["doc_id", "v"], "left").withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or []):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-__all__ = ["Scheme", "candidates", "judged", "merged", "numbered", "utf8", "with_spans"]
+    return joined(sorted((s["a"], s["b"]) for s in spans or []))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.common import BASE, by_batch, mix, sha, table, utf8
-from tickloom.llm.stretches import Scheme, candidates, judged, merged, numbered, with_spans
+from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans
 
 DEPTH, GRAM = 100, 24
 #: Windows in a batch.
@@ -122,8 +122,8 @@ class Family:
         return seen
 
 
-def repeated(rows: list[dict]) -> list[list[int]]:
-    """For each piece, the starts of its windows that also occur in an earlier piece or further left."""
+def repeated(rows: list[dict]) -> list[list[tuple[int, int]]]:
+    """For each piece, the bytes inside windows that also occur in an earlier piece or further left."""
     place = lambda i: (rows[i]["doc_id"], rows[i]["v"], rows[i]["start"] + rows[i]["first"], rows[i]["anchor"], rows[i]["first"])
     out: list[list[int]] = [[] for _ in rows]
     first: dict[tuple, int] = {}
@@ -147,13 +147,13 @@ def repeated(rows: list[dict]) -> list[list[int]]:
         seen = family.add(b"".join(rows[i]["piece"] for i in own), begin[of] + inside)
         for j, s in zip(of[seen].tolist(), inside[seen].tolist(), strict=True):
             out[own[j]].append(s)
-    return out
+    return [joined((s, s + DEPTH) for s in found) for found in out]
 
 
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of bytes to remove; they may overlap."""
     occ, distinct, pieces = candidates(SCHEME, rows)
-    firsts = judged(pieces, DEPTH, repeated).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    firsts = judged(pieces, repeated).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     first = distinct.filter("copies > 1").select("anchor", "stretch", F.col("doc_id").alias("d1"), F.col("v").alias("v1"), F.col("start").alias("s1"))
     later = occ.join(first, ["anchor", "stretch"]).filter("doc_id <> d1 OR v <> v1 OR start <> s1")
     return firsts.union(later.select("doc_id", "v", F.col("start").alias("a"), (F.col("start") + F.col("n") + DEPTH - 1).alias("b")))
