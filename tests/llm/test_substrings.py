@@ -107,6 +107,7 @@ def test_levels_merge_geometrically():
 @pytest.mark.parametrize("crowd", [24, 3])
 def test_similarity_join(spark, docs, crowd, monkeypatch):
     monkeypatch.setattr(parity, "CROWD", crowd)
+    monkeypatch.setattr(parity, "BLOCK", 3 if crowd == 3 else 1500)  # many blocks, some of them empty
     same(rows(parity.join(fx.frame(spark, docs, crowd == 3)), ("doc_id", "n_shingles", "component_id")), fx.components(docs))
 
 

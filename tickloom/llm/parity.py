@@ -4,7 +4,7 @@ A set's sketch is cut into blocks by a hash of the shingle; a block is the XOR o
 shingle that only one of two sets has disturbs a single block: the number of blocks in which two sketches differ is at most
 the symmetric difference. Two linked sets of sizes a and b differ in at most (a + b) / 7 shingles, so among enough blocks some
 must agree (pigeonhole): a set files the blocks it has under (size band, block, XOR), and only sets that share a file are
-compared. A second, dense parity sketch (each shingle flips one of about two bits per shingle) has a Hamming distance that
+compared. A second, dense parity sketch (each shingle flips one of at least four bits per shingle) has a Hamming distance that
 bounds the difference from below and turns false candidates away before texts are fetched and shingles compared.
 
 Bands are octaves of the set size. A set files in its own band and, if it may have smaller partners there, in the one below.
@@ -14,9 +14,9 @@ raised, never a silent loss). Two linked sets then share at least 1 + m of the f
 
 A file of more than ``CROWD`` sets is crowded: a passage that many documents have, or a large family of copies. Sets with at
 most m crowded files share an uncrowded one with every partner, so crowded files are needed only between the few sets with
-more ("swamped": members of large families). There every set is compared with the smallest of each crowded file, and
-then only with those members that are still in another component. So a family's pairs are not listed, and no link between
-different components is lost.
+more ("swamped": members of large families). There every set is compared with ``HEADS`` members of each crowded file, and
+then, in blocks of sketches, with those that are still in another component. So a family's pairs are not listed, and no link
+between different components is lost.
 
 Equal texts and equal sets are one node throughout. Files travel packed, one row per (chunk of documents, bucket of files),
 and are matched in numpy inside tasks of bounded size; pairs, verification and components are DataFrame work.
@@ -43,6 +43,8 @@ CROWD = 24
 #: Bytes of text for each bucket of files (about a tenth as many files), and the smallest band.
 BUCKET_BYTES = 8 << 20
 FIRST_BAND = 64
+#: Members of a crowded file that everyone in it is compared with first, and those compared in one block later.
+HEADS, BLOCK = 3, 1500
 #: Stands for a null doc_id, which counts as the largest.
 LAST = (1 << 63) - 1
 
@@ -98,18 +100,23 @@ def filings(own: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def dense(own: np.ndarray) -> np.ndarray:
-    """A parity sketch of a power of two bits, at least two per shingle."""
-    size = 1 << max(6, (2 * len(own) - 1).bit_length())
+    """A parity sketch of a power of two bits, at least four per shingle."""
+    size = 1 << max(6, (4 * len(own) - 1).bit_length())
     bits = np.bincount((mix(own) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little")
 
 
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A shorter parity sketch of the same set."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def least_apart(one: bytes, two: bytes) -> int:
-    """Hamming distance of two dense sketches; the longer one is folded first, which keeps it a parity sketch."""
+    """Hamming distance of two dense sketches, the longer one folded."""
     a, b = sorted((np.frombuffer(x, np.uint64) for x in (one, two)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    return int(np.bitwise_count(a ^ fold(b, len(a))).sum())
 
 
 FILED = "bucket long, doc_id long, size long, set_id long, sketch binary, info binary, keys binary, owners binary"
@@ -243,6 +250,46 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return by_batch(pairs.join(right, "b").join(left, "a"), similar, "a long, b long", "a", "b", "left", "right", ready=WordNumbers)
 
 
+def still_apart(part: pa.Table) -> pa.Table:
+    """Pairs out of two blocks of a crowded file that lie in different components and that sketches allow.
+
+    Of all the files that two sets share, the one of the smallest key names the pair.
+    """
+    own = part.to_pylist()
+    left, right = ([r for r in own if r["block"] == own[0][side]] for side in ("p", "q"))
+    if not left or not right:  # a block that no member fell into
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    names, roots, sizes = (np.array([r[c] for r in right], np.int64) for c in ("id", "root", "size"))
+    raw = [np.frombuffer(r["sketch"], np.uint64) for r in right]
+    first, second = [], []
+    words = min(len(r["sketch"]) for r in own) // 8
+    folded = np.stack([fold(x, words) for x in raw])
+    files = [set(r["files"]) for r in right]
+    for r in left:
+        distance = np.bitwise_count(folded ^ fold(np.frombuffer(r["sketch"], np.uint64), words)).sum(1, dtype=np.int64)
+        near_ = 7 * distance <= sizes + r["size"]
+        other = roots > r["root"] if r["p"] == r["q"] else roots != r["root"]
+        for j in np.flatnonzero(near_ & other).tolist():
+            if min(files[j] & set(r["files"])) == r["key"]:
+                first.append(r["id"])
+                second.append(int(names[j]))
+    return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
+
+
+def remaining(members: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Candidate pairs of swamped sets that share a crowded file and are still in different components.
+
+    A file is compared in blocks of about ``BLOCK`` members, so neither a task nor a table holds its pairs.
+    """
+    inside = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    left = written(inside.join(mixed, "key"), "rest")
+    files = left.groupBy("id").agg(F.collect_set("key").alias("files"))
+    rows = left.join(files, "id").join(kinds.select("id", "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_j")).withColumns({"p": F.least("block", "_j"), "q": F.greatest("block", "_j")})
+    return dealt.select("key", "p", "q", "block", "id", "root", "size", "sketch", "files").groupBy("key", "p", "q").applyInArrow(still_apart, "a long, b long")
+
+
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components so far."""
     own = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
@@ -263,8 +310,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowd = found.filter("kind = 'crowd'").select("key", F.col("a").alias("id"), F.col("extra").alias("margin"))
     swamped = crowd.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("margin").alias("margin")).filter("n > margin")
     members = written(crowd.select("key", "id").join(swamped.select("id", "margin"), "id"), "crowd")
-    heads = members.groupBy("key").agg(F.min("id").alias("head"))
-    stars = members.join(heads, "key").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    heads = members.groupBy("key").agg(F.array_distinct(F.array(F.min("id"), *[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(HEADS - 1)])).alias("heads"))
+    stars = members.join(heads, "key").select("id", F.explode("heads").alias("head")).filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
     candidates = found.filter("kind = 'pair'").select("a", "b").union(stars).distinct()
     kinds = sets.groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
     pairs = written(promising(candidates, kinds), "pairs")
@@ -274,13 +321,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = apart(pairs, labels(links))
     links = written(links.union(verified(more, texts)), "links")
     roots = written(labels(links), "roots")
-    # Swamped sets of one crowded file that are still apart.
-    inside = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = written(inside.join(mixed, "key"), "rest")
-    other = left.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    rest = left.withColumnRenamed("id", "a").join(other, "key").filter("root < root_b").select("a", "b").distinct()
-    rest = written(promising(rest.join(pairs, ["a", "b"], "left_anti"), kinds), "pairs")
+    rest = written(remaining(members.select("key", "id"), roots, kinds).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         roots = written(labels(links.union(verified(rest, fetched(rest, kinds, rows)))), "roots")
     return sets.drop("sketch"), roots
