@@ -26,7 +26,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import pick, table
+from tickloom.llm.common import pick, table, written
 
 #: Pages in a group, and the least that a host needs for groups of its own.
 GROUP, LEAST = 48, 8
@@ -224,7 +224,8 @@ def extract(pages: DataFrame) -> DataFrame:
     small = F.col("_n") < LEAST
     few = counts.agg(F.coalesce(F.sum(F.when(small, F.col("_n"))), F.lit(0)).alias("n")).first()["n"]
     dealt = counts.select(F.col("_host").alias("_h"), F.when(small, F.lit("")).otherwise(F.col("_host")).alias("_group"), F.greatest(F.lit(1), F.round(F.when(small, F.lit(few)).otherwise(F.col("_n")) / GROUP)).cast("long").alias("_parts"))
-    joined = rows.join(dealt, F.col("_host") == F.col("_h"))
+    # As a table its size is known: Spark broadcasts it if it is small, and else splits large hosts in a shuffled join.
+    joined = rows.join(written(dealt, "hosts"), F.col("_host") == F.col("_h"))
     part = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.col("_parts"))
     keyed = joined.select("page_id", "url", "html", "_group", part.alias("_part"))
     return keyed.groupBy("_group", "_part").applyInPandas(group, "page_id long, url string, text string, n_chars long")
