@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bigru_language": langid.query,
     "op10_pii_anchors": pii.query,
 }
-ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL, "op4_parity_join": parity.SQL, "op2_phrase_automata": phrases.SQL}
+ORACLE: dict[str, str] = {"op1_fm_decontaminate": fmindex.SQL, "op4_parity_join": parity.SQL, "op2_phrase_automata": phrases.SQL, "op3_suffix_levels": suffixes.SQL}

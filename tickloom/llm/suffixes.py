@@ -194,3 +194,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(1, length(x) // 2 + 1)) AS k FROM d),
+w AS (SELECT doc_id, k, substr(x, 2 * k - 1, 2) AS b, CASE WHEN 2 * k + 198 <= length(x) THEN md5(substr(x, 2 * k - 1, 200)) END AS h FROM p),
+r AS (SELECT doc_id, k, b, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, k) > 1 AS again FROM w),
+g AS (SELECT doc_id, k, b, coalesce(max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone FROM r),
+s AS (SELECT doc_id, k, b, gone, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM g),
+a AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, count(*) FILTER (gone = 1 AND before = 0) AS spans, string_agg(b, '' ORDER BY k) FILTER (gone = 0) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
