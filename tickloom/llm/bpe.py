@@ -23,7 +23,7 @@ from tickloom.llm.common import by_batch, pick, sha, table
 #: A rank file is shipped to the executors whole, up to this size.
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Distinct pre-tokens that a worker remembers, and the longest of them.
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_CHARS = 200_000, 64
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:

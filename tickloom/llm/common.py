@@ -67,7 +67,7 @@ def _with_text(rows, state, keys, texts, langs, sources, sizes, *more):
         yield key, text, lang, source, size if text == old or text is None else len(text)
 
 
-def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *columns: str, ready: Callable[[], Any] | None = None, chunk_bytes: int = 8 << 20) -> DataFrame:
+def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *columns: str, ready: Callable[[], Any] | None = None, chunk_bytes: int = 3 << 20) -> DataFrame:
     """Map Arrow batches: ``rows(state, *column lists)`` yields output rows; ``ready()`` makes the state once per task.
 
     Long batches are cut into chunks of about ``chunk_bytes``, which bounds a worker's memory.

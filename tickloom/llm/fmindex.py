@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.llm.common import ALNUM_LOWER, by_batch, mapped_text, pick, table, utf8, written
 
 WINDOW = 10
-SHARD_WORDS, SAMPLE = 1 << 20, 16
+SHARD_WORDS, SHARD_BYTES, SAMPLE = 1 << 20, 8 << 20, 16
 BLOCK_WINDOWS = 200_000
 
 
@@ -260,7 +260,7 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: str = "") -> DataFrame:
             of.setdefault(r["window"], []).extend([r["item"]] if r["item"] is not None else [])
         shipped = spark.sparkContext.broadcast(([tuple(w.encode("utf-8").split()) for w in of], list(of.values())))
         columns = ["doc_id", "text", *others] + (["spans", "items"] if b else [])
-        out = by_batch(out, partial(scan, len(others)), schema, *columns, ready=lambda shipped=shipped: shipped.value)
+        out = by_batch(out, partial(scan, len(others)), schema, *columns, ready=lambda shipped=shipped: shipped.value, chunk_bytes=SHARD_BYTES)
         if b + 1 < blocks:
             out = written(out, "decontaminated")
     return out

@@ -27,7 +27,7 @@ from tickloom.llm.common import DOCUMENT, by_batch, pick, table
 PIECE, EMBED, HIDDEN = 24, 16, 24
 SAMPLE_DOCS, SAMPLE_TOKENS, MAX_LANGS = 250, 40, 64
 EPOCHS, BATCH, RATE = 3, 256, 6e-3
-CACHED = 200_000
+CACHED = 120_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
