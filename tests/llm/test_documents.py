@@ -242,6 +242,30 @@ def test_template_without_article(spark):
     assert "<div c>" in templates.skeleton(parsed) and "</p>" not in templates.skeleton(parsed)
 
 
+def test_pages_of_one_host_built_in_different_ways(spark):
+    page = "<html><body class={kind}><nav>menu</nav>{open}<h1>Head {n}</h1><p>" + "words of the page {n} " * 6 + "</p>{close}<footer>foot</footer></body></html>"
+    want = lambda n: f"Head {n}\n" + " ".join([f"words of the page {n}"] * 6)
+    body = [page.format(kind="single" if n < 30 else "page", open="<article>", close="</article>", n=n) for n in range(48)]
+    assert templates.extract_group(body) == [want(n) for n in range(48)]
+    tags = lambda n: ("<article>", "</article>") if n < 30 else ("<div class=post>", "</div>") if n < 40 else ("<main>", "</main>")
+    mixed = [page.format(kind="x", open=tags(n)[0], close=tags(n)[1], n=n) for n in range(48)]
+    assert templates.extract_group(mixed) == [want(n) for n in range(48)]
+    one = page.format(kind="x", open="<div class=post>", close="</div>", n=1)
+    others = [page.format(kind="x", open="<article>", close="</article>", n=n) for n in range(2, 16)]
+    rows = [(n, f"http://s{n}.example/", h) for n, h in enumerate([one, *others], 1)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: want(n) for n in range(1, 16)}
+
+
+def test_small_hosts_are_not_compared(spark):
+    # <div id=a> is on most pages of the pool, yet it is main text on none of the last host.
+    page = "<html><body><div id=a>{a}</div><div id=b>{b}</div></body></html>"
+    rows = [(n, f"http://s{n}.example/", page.format(a=f"long text {n} " * 20, b="short")) for n in range(20)] + [(99, "http://other.example/", page.format(a="menu", b="the article of this page " * 9))]
+    got = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[99] == " ".join(["the article of this page"] * 9)
+    assert all(got[n] == " ".join([f"long text {n}"] * 20) for n in range(20))
+
+
 def test_empty_tables(spark):
     none = fx.frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

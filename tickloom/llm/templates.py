@@ -1,7 +1,7 @@
 r"""Main text of web pages by equivalence-class template deduction.
 
-Pages of one host are compared in groups of about ``GROUP`` (a large host is cut into many groups by a hash of the page, a
-host of few pages joins a pool of such hosts), so no host, however large, lands in one task. In a group:
+Pages of one host are compared in groups of about ``GROUP`` (a large host is cut into many groups by a hash of the page), so no
+host, however large, lands in one task. Hosts of few pages travel together, but are never compared with one another. In a group:
 
 1. Every page becomes tokens: tags (with class and id) and words. Comments, scripts and styles are skipped whole.
 2. Tokens with the same occurrence vector (counts over the group's pages) form a class.
@@ -10,7 +10,9 @@ host of few pages joins a pool of such hosts), so no host, however large, lands
 4. A slot is a place in the template, named by the skeleton elements open around it (where most pages have them, so that an end
    tag missing on one page does no harm). Text inside elements for menus, headers, footers, sidebars, notices, adverts, forms
    and comments is template matter; of the other slots, those inside the innermost skeleton element that holds most of the
-   text over the group are the main ones. Their text is extracted from each page.
+   text over the group are the main ones. Their text is extracted from each page, wherever the main element stands on it.
+5. A page on which this gives no text, or whose host has fewer than ``LEAST`` pages, takes the tags that it has once itself as
+   its skeleton.
 
 Blocks end at block tags; ``<br>`` counts as white space. References are decoded, white space in a block becomes one space, and
 blocks are joined by \n. A missing end (cut pages) ends the slot with the page. Null and empty pages give an empty text; a null
@@ -39,6 +41,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ASIDE = frozenset("head title nav header footer aside form button menu dialog input label legend fieldset".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 CENTRE = frozenset("article main".split())
+#: Blocks of one paragraph or line, too small to be a page's main element.
+LEAF = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary".split())
 
 Token = tuple[str, str, str, bool]
 
@@ -157,8 +161,8 @@ def walk(page: list[Token], template: set[str], around: dict[str, tuple[str, ...
     return out
 
 
-def main_element(pages: list[list[Token]], template: set[str]) -> tuple[tuple[str, ...], dict[str, tuple[str, ...]]]:
-    """The slot of the innermost skeleton element that holds most text, and where each skeleton element stands."""
+def main_element(pages: list[list[Token]], template: set[str]) -> tuple[str | None, dict[str, tuple[str, ...]]]:
+    """The key of the innermost skeleton element that holds most text, and where each skeleton element stands."""
     places: dict[str, Counter] = defaultdict(Counter)
     for page in pages:
         for t, (slot, _) in zip(page, walk(page, template), strict=True):
@@ -171,21 +175,26 @@ def main_element(pages: list[list[Token]], template: set[str]) -> tuple[tuple[st
         for t, (slot, aside) in zip(page, walk(page, template, around), strict=True):
             names[t[2]] = t[1]
             if t[0] == "text" and not aside:
-                weight[slot] += len(t[2])
-    total, best = sum(weight.values()), ()
+                weight[slot] += len(t[2].strip())
+    total, best = sum(weight.values()), None
+    inside: Counter = Counter()
+    for q, w in weight.items():
+        for k in set(q):
+            inside[k] += w
     for p in sorted({q[: i + 1] for q in weight for i in range(len(q))}, key=lambda p: (len(p), p)):
-        inside = sum(w for q, w in weight.items() if q[: len(p)] == p)
-        centre, name = bool(best) and names[best[-1]] in CENTRE, names[p[-1]]
-        if name in CENTRE and inside and not centre or name in BLOCK and 2 * inside > total and (not centre or name in CENTRE):
-            best = p
+        key = p[-1]
+        centre, name = best is not None and names[best] in CENTRE, names[key]
+        if name in CENTRE and inside[key] and not centre or name in BLOCK and name not in LEAF and 2 * inside[key] > total and (not centre or name in CENTRE):
+            best = key
     return best, around
 
 
-def text_of(page: list[Token], states: list[State], best: tuple[str, ...]) -> str:
+def text_of(page: list[Token], states: list[State], best: str | None) -> str:
+    """The text inside the element ``best``, wherever it stands on the page; None is the whole page."""
     blocks, part = [], []
     for (kind, name, key, _), (slot, aside) in zip(page, states, strict=True):
         if kind == "text":
-            if not aside and slot[: len(best)] == best:
+            if not aside and (best is None or best in slot):
                 part.append(key)
         elif name == "br":
             part.append(" ")
@@ -198,22 +207,31 @@ def text_of(page: list[Token], states: list[State], best: tuple[str, ...]) -> st
 
 
 def extract_group(pages: list[str]) -> list[str]:
+    """The main texts of pages of one host."""
     parsed = [tokens(p) for p in pages]
     template = set(skeleton(parsed)) if len(pages) >= LEAST else set()
-    shared = main_element(parsed, template)
+    best, around = main_element(parsed, template) if template else (None, {})
     out = []
     for page in parsed:
-        own, (best, around) = template, shared
-        if not any(t[2] in template for t in page):  # nothing to compare with: the tags that the page has once
+        text = text_of(page, walk(page, template, around), best) if any(t[2] in template for t in page) else ""
+        if not text:  # built otherwise, or nothing to compare with: the tags that the page has once
             counts = Counter(t[2] for t in page if t[0] != "text")
             own = {k for k, n in counts.items() if n == 1}
-            best, around = main_element([page], own)
-        out.append(text_of(page, walk(page, own, around), best))
+            key, places = main_element([page], own)
+            text = text_of(page, walk(page, own, places), key)
+        out.append(text)
     return out
 
 
 def group(frame: pd.DataFrame) -> pd.DataFrame:
-    texts = extract_group([h if isinstance(h, str) else "" for h in frame["html"]])
+    pages = [h if isinstance(h, str) else "" for h in frame["html"]]
+    hosts: dict[str, list[int]] = defaultdict(list)
+    for i, host in enumerate(frame["_host"]):
+        hosts[host].append(i)
+    texts = [""] * len(pages)
+    for own in hosts.values():
+        for i, text in zip(own, extract_group([pages[i] for i in own]), strict=True):
+            texts[i] = text
     return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -223,11 +241,12 @@ def extract(pages: DataFrame) -> DataFrame:
     counts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
     small = F.col("_n") < LEAST
     few = counts.agg(F.coalesce(F.sum(F.when(small, F.col("_n"))), F.lit(0)).alias("n")).first()["n"]
-    dealt = counts.select(F.col("_host").alias("_h"), F.when(small, F.lit("")).otherwise(F.col("_host")).alias("_group"), F.greatest(F.lit(1), F.round(F.when(small, F.lit(few)).otherwise(F.col("_n")) / GROUP)).cast("long").alias("_parts"))
+    dealt = counts.select(F.col("_host").alias("_h"), F.when(~small, F.col("_host")).alias("_group"), F.greatest(F.lit(1), F.round(F.when(small, F.lit(few)).otherwise(F.col("_n")) / GROUP)).cast("long").alias("_parts"))
     # As a table its size is known: Spark broadcasts it if it is small, and else splits large hosts in a shuffled join.
     joined = rows.join(written(dealt, "hosts"), F.col("_host") == F.col("_h"))
-    part = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.col("_parts"))
-    keyed = joined.select("page_id", "url", "html", "_group", part.alias("_part"))
+    # A null group is the pool of small hosts, dealt host by host.
+    part = F.pmod(F.when(F.col("_group").isNull(), F.xxhash64("_host")).otherwise(F.xxhash64("page_id", "url", F.length("html"))), F.col("_parts"))
+    keyed = joined.select("page_id", "url", "html", "_host", "_group", part.alias("_part"))
     return keyed.groupBy("_group", "_part").applyInPandas(group, "page_id long, url string, text string, n_chars long")
 
 
