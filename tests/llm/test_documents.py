@@ -266,6 +266,23 @@ def test_small_hosts_are_not_compared(spark):
     assert all(got[n] == " ".join([f"long text {n}"] * 20) for n in range(20))
 
 
+def test_marks_do_not_swallow_articles():
+    article = "long words of an article " * 9
+    want = article.strip()
+    for start, end in (
+        ("<body class='has-sidebar'>", ""), ("<body class=sidebar>", ""), ("<main class='no-sidebar'>", "</main>"), ("<main class=widget>", "</main>"),
+        ("<article class='post comments-open'>", "</article>"), ("<article class='post comments'>", "</article>"), ("<div id='content-sidebar-wrap'>", "</div>"), ("<div class='col sidebar'>", "</div>"),
+    ):
+        page = f"<html><head><title>t</title></head>{start}<p>{article}</p>{end}<div class='sidebar'>menu</div><div class='a ad'>buy</div></html>"
+        for n in (1, 12):
+            assert templates.extract_group([page.replace("words", f"words{k}") for k in range(n)]) == [want.replace("words", f"words{k}") for k in range(n)], (start, n)
+    notice = "<div class=cookie>" + "the same notice everywhere " * 30 + "</div>"
+    assert templates.extract_group([f"<html><body><div id=c>text {k}</div>{notice}</body></html>" for k in range(12)]) == [f"text {k}" for k in range(12)]
+    for tag in ("<svg width='1'/>", "<svg />", "<select-box>", "<svg-icon>x</svg-icon>", "<script src='x'/>"):
+        assert templates.extract_group([f"<article><p>before{tag} after</p></article>"]) == ["beforex after" if "x<" in tag else "before after"]
+    assert templates.extract_group(["<article>a <math><mi>x</mi></math> b<script src=/a/>var c = 1;</script><svg><text>t</text></svg></article>"]) == ["a x b"]
+
+
 def test_empty_tables(spark):
     none = fx.frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

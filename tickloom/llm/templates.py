@@ -3,13 +3,14 @@ r"""Main text of web pages by equivalence-class template deduction.
 Pages of one host are compared in groups of about ``GROUP`` (a large host is cut into many groups by a hash of the page), so no
 host, however large, lands in one task. Hosts of few pages travel together, but are never compared with one another. In a group:
 
-1. Every page becomes tokens: tags (with class and id) and words. Comments, scripts and styles are skipped whole.
+1. Every page becomes tokens: tags (with class and id) and words. Comments, scripts, styles and the like are skipped whole.
 2. Tokens with the same occurrence vector (counts over the group's pages) form a class.
 3. A class of tags is valid as skeleton if its tokens occur at most once a page, on at least half of the pages, and in one order
    on all of them. Valid classes nest: together they must still have one order on all pages, which makes the template.
 4. A slot is a place in the template, named by the skeleton elements open around it (where most pages have them, so that an end
    tag missing on one page does no harm). Text inside elements for menus, headers, footers, sidebars, notices, adverts, forms
-   and comments is template matter; of the other slots, those inside the innermost skeleton element that holds most of the
+   and comments is template matter, unless such an element is known by its class, id or role alone and holds most of a page's
+   text; of the other slots, those inside the innermost skeleton element that holds most of the
    text over the group are the main ones. Their text is extracted from each page, wherever the main element stands on it.
 5. A page on which this gives no text, or whose host has fewer than ``LEAST`` pages, takes the tags that it has once itself as
    its skeleton.
@@ -32,15 +33,17 @@ from tickloom.llm.common import pick, table, written
 
 #: Pages in a group, and the least that a host needs for groups of its own.
 GROUP, LEAST = 48, 8
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select|math)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[A-Za-z/!?][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>?|[^<]+|<""", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select)(?=[\s/>]|\Z)(?!(?:[^<>"']|"[^"]*"|'[^']*')*(?<=[\s"'])/>|/>)(?:[^>"']|"[^"]*"|'[^']*')*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[A-Za-z/!?][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>?|[^<]+|<""", re.S | re.I)
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements that never hold main text, by name and by words of their class, id or role.
+#: Elements that never hold main text, by name and by a whole class, id or role. The latter say nothing of WHOLE elements, nor
+#: of one that holds most of a page's text.
 ASIDE = frozenset("head title nav header footer aside form button menu dialog input label legend fieldset".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 CENTRE = frozenset("article main".split())
+WHOLE = CENTRE | {"html", "body"}
 #: Blocks of one paragraph or line, too small to be a page's main element.
 LEAF = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary".split())
 
@@ -60,7 +63,7 @@ def tokens(page: str) -> list[Token]:
                 out.append(("close", name, f"</{name}>", False))
                 continue
             marks = [next(filter(None, x[1:]), "") for x in NAMED.findall(raw)]
-            words = {w for x in marks for w in re.split(r"[^a-z0-9]+", x.lower())}
+            words = {w for x in marks for w in x.lower().split()} if name not in WHOLE else set()
             out.append(("open", name, f"<{name} {' '.join(marks)}>".replace(" >", ">"), name in ASIDE or bool(words & ASIDE_WORDS)))
             if raw.endswith("/>") and name not in VOID:
                 out.append(("close", name, f"</{name}>", False))
@@ -206,9 +209,32 @@ def text_of(page: list[Token], states: list[State], best: str | None) -> str:
     return "\n".join(b for b in clean if b)
 
 
+def spared(pages: list[list[Token]]) -> list[list[Token]]:
+    """The pages; a marked element that holds most of its page's text is no template matter.
+
+    Text that stands on most pages of the host counts for nothing here.
+    """
+    own = [{t[2] for t in page if t[0] == "text"} for page in pages]
+    common = {k for k, n in Counter(k for texts in own for k in texts).items() if 2 * n > len(pages)} if len(pages) >= LEAST else set()
+    out = []
+    for page in pages:
+        marked = {i for i, t in enumerate(page) if t[3] and t[1] not in ASIDE}
+        if marked:
+            plain = [(t[0], t[1], str(i), False) if i in marked else t for i, t in enumerate(page)]
+            total, inside = 0, Counter()
+            for t, (slot, aside) in zip(plain, walk(plain, {str(i) for i in marked}), strict=True):
+                if t[0] == "text" and not aside and t[2] not in common and (n := len(t[2].strip())):
+                    total += n
+                    for i in slot:
+                        inside[i] += n
+            page = [t[:3] + (False,) if i in marked and 2 * inside[str(i)] > total else t for i, t in enumerate(page)]
+        out.append(page)
+    return out
+
+
 def extract_group(pages: list[str]) -> list[str]:
     """The main texts of pages of one host."""
-    parsed = [tokens(p) for p in pages]
+    parsed = spared([tokens(p) for p in pages])
     template = set(skeleton(parsed)) if len(pages) >= LEAST else set()
     best, around = main_element(parsed, template) if template else (None, {})
     out = []
