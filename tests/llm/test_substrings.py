@@ -79,6 +79,20 @@ def test_suffixes(spark, docs, crowd, monkeypatch):
     same(rows(suffixes.report(fx.frame(spark, unique)), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")), fx.suffixes(unique))
 
 
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_hot_passages_do_not_end_in_one_task(spark, operator, monkeypatch):
+    monkeypatch.setattr(stretches, "CROWD", 5)
+    rng = random.Random(8)
+    passage = fx.prose(rng, 60)
+    docs = [(i, f"{fx.prose(rng, 50, 10**6)} {passage} {fx.prose(rng, 50, 10**6)}", "en", "s", 1) for i in range(40)]
+    own = stretches.numbered(fx.frame(spark, docs))
+    _, distinct, pieces = stretches.candidates(operator.SCHEME, own)
+    assert distinct.filter("crowded").count() > 40
+    assert all(r["count"] <= 5 for r in pieces.groupBy("anchor").count().collect())
+    got, columns = operator.report(fx.frame(spark, docs)), ("doc_id", "n_words", "n_removed", "kept_sha256") if operator is phrases else ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    same(rows(got, columns), fx.phrases(docs) if operator is phrases else fx.suffixes(docs))
+
+
 def test_repeated_rows_of_one_document_do_not_remove_each_other(spark, docs):
     text = docs[0][1]
     got = rows(suffixes.report(fx.frame(spark, [(1, text, "en", "s", 1)] * 2 + [(2, text, "en", "s", 1)])), ("doc_id", "n_removed"))

@@ -5,7 +5,7 @@ task that holds all stretches of an anchor, by counting their 35-word phrases ov
 each shard of anchors are compiled into an Aho-Corasick automaton over words (a word is one letter of the automaton): stretches
 that recur whole as one key, and of the others each phrase that recurs. All stretches of the shard are streamed through it to
 locate every occurrence. Shards hold about ``stretches.FLUSH`` phrases, so an automaton's size is bounded; a stretch meets the
-one automaton that can contain its phrases, so work stays linear.
+one automaton that can contain its phrases, so work stays linear. Phrases of crowded anchors are counted as rows instead.
 
 Words are runs of non-white characters, unchanged. Phrases are judged on the input; both copies go, in one document or two.
 Null, empty and short texts have no phrase and stay as they are. A row given twice repeats all its phrases. Other columns are
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.common import WordNumbers, by_batch, grams, sha, table, utf8
-from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans
+from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans, windows
 
 PHRASE, GRAM = 35, 8
 
@@ -63,8 +63,11 @@ def located(rows: list[dict]) -> list[list[tuple[int, int]]]:
 
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of words to remove; they may overlap."""
-    occ, _, pieces = candidates(SCHEME, rows)
+    occ, distinct, pieces = candidates(SCHEME, rows)
     marks = judged(pieces, located).select("anchor", "stretch", "a", "b")
+    crowded = windows(SCHEME, rows, distinct)
+    if crowded is not None:
+        marks = marks.union(crowded.select("anchor", "stretch", F.col("first").alias("a"), (F.col("first") + PHRASE).alias("b")))
     return occ.join(marks, ["anchor", "stretch"]).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 

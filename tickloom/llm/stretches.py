@@ -10,10 +10,12 @@ mostly share theirs, so a document falls into stretches of consecutive windows w
     occ       entries of repeated anchors                   a join that Spark can split at hot anchors
     distinct  one row per different stretch                 copies cost one row here, however many there are
     pieces    values of the distinct stretches alone        routed to tasks by anchor
+    windows   the windows of crowded anchors                one row per different window after partial counts
 
 A task that judges pieces sees all windows that can equal one another together. An anchor with more than ``CROWD`` distinct
-stretches (a common passage in ever new surroundings) is routed window by window instead, by a hash of the window, so it
-spreads over all tasks. Counts and order refer to all documents; nothing is sampled, capped or dropped.
+stretches (a common passage in ever new surroundings) is judged window by window instead: equal windows, named by 128-bit
+hashes, are counted with partial aggregation, and the counts are joined back to the windows, a join that Spark can split at hot
+windows. Counts and order refer to all documents; nothing is sampled, capped or dropped.
 
 A document is known by its doc_id and a hash of its text. Rows that share both are one document given twice; rows that share
 the id alone are documents of their own. A null id counts as the largest.
@@ -35,7 +37,8 @@ from tickloom.llm.common import BASE, by_batch, mix, pick, utf8, written
 CROWD = 2_000
 LAST = (1 << 63) - 1
 ENTRY = "anchor long, stretch long, doc_id long, v long, start int, n int"
-PIECE = "route long, anchor long, stretch long, copies long, doc_id long, v long, start int, first int, n int, piece binary"
+PIECE = "anchor long, stretch long, copies long, doc_id long, v long, start int, n int, piece binary"
+WINDOW = "h1 long, h2 long, anchor long, stretch long, copies long, doc_id long, v long, start int, first int"
 #: Windows that a task judges at once.
 FLUSH = 40_000
 
@@ -121,27 +124,55 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text")
 
 
-def pieces_of(scheme: Scheme, memory, keys: list, marks: list, texts: list, wanted: list):
+def pieces_of(scheme: Scheme, _, keys: list, marks: list, texts: list, wanted: list):
     for key, mark, text, own in zip(keys, marks, texts, wanted, strict=True):
         values = scheme.cut(text)
         for s in own:
             a, n = s["start"], s["n"]
-            if s["crowded"]:
-                for i in range(n):
-                    piece = scheme.join(values[a + i : a + i + scheme.window])
-                    yield int(memory(piece)), s["anchor"], s["stretch"], s["copies"], key, mark, a, i, 1, piece
-            else:
-                yield s["anchor"], s["anchor"], s["stretch"], s["copies"], key, mark, a, 0, n, scheme.join(values[a : a + n + scheme.window - 1])
+            yield s["anchor"], s["stretch"], s["copies"], key, mark, a, n, scheme.join(values[a : a + n + scheme.window - 1])
 
 
-def piece_hash():
+def windows_of(scheme: Scheme, memory, keys: list, marks: list, texts: list, wanted: list):
+    for key, mark, text, own in zip(keys, marks, texts, wanted, strict=True):
+        values = scheme.cut(text)
+        for s in own:
+            for i in range(s["n"]):
+                at = s["start"] + i
+                yield *memory(scheme.join(values[at : at + scheme.window])), s["anchor"], s["stretch"], s["copies"], key, mark, s["start"], i
+
+
+def window_hash():
     import xxhash
 
-    return lambda piece: xxhash.xxh3_64_intdigest(piece) - (1 << 63)
+    def halves(window: bytes) -> tuple[int, int]:
+        high, low = divmod(xxhash.xxh3_128_intdigest(window), 1 << 64)
+        return high - (1 << 63), low - (1 << 63)
+
+    return halves
+
+
+def texts_of(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The documents in which the stretches stand first, with the list of these."""
+    wanted = distinct.groupBy("doc_id", "v").agg(F.collect_list(F.struct("anchor", "stretch", "copies", "start", "n")).alias("wanted"))
+    return rows.join(wanted, ["doc_id", "v"])
+
+
+def windows(scheme: Scheme, rows: DataFrame, distinct: DataFrame) -> DataFrame | None:
+    """The windows of crowded anchors that occur twice or more: anchor, stretch, doc_id, v, start, first (window of the stretch),
+    and the least (doc_id, v, start) at which an equal window stands. None if no anchor is crowded."""
+    from functools import partial
+
+    crowded = distinct.filter("crowded")
+    if crowded.isEmpty():
+        return None
+    each = written(by_batch(texts_of(rows, crowded), partial(windows_of, scheme), WINDOW, "doc_id", "v", "text", "wanted", ready=window_hash), "windows")
+    place = F.struct("doc_id", "v", (F.col("start") + F.col("first")).alias("start"))
+    kinds = each.groupBy("h1", "h2").agg(F.sum("copies").alias("_n"), F.min(place).alias("least")).filter("_n > 1")
+    return each.join(written(kinds.select("h1", "h2", "least"), "recurring"), ["h1", "h2"]).select("anchor", "stretch", "doc_id", "v", "start", "first", "least")
 
 
 def candidates(scheme: Scheme, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(occ, distinct, pieces); pieces lie together and sorted by route, then document order."""
+    """(occ, distinct, pieces); pieces, of anchors that are not crowded, lie together and sorted by anchor, then document order."""
     from functools import partial
 
     # A table, so that both sides of the join are plain exchanges and Spark can split a hot anchor.
@@ -150,24 +181,22 @@ def candidates(scheme: Scheme, rows: DataFrame) -> tuple[DataFrame, DataFrame, D
     kinds = occ.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "v", "start")).alias("first"), F.min("n").alias("n"))
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k"))
     distinct = written(kinds.join(crowds, "anchor").select("anchor", "stretch", "copies", "first.doc_id", "first.v", "first.start", "n", (F.col("_k") > CROWD).alias("crowded")), "stretches")
-    wanted = distinct.groupBy("doc_id", "v").agg(F.collect_list(F.struct("anchor", "stretch", "copies", "start", "n", "crowded")).alias("wanted"))
-    texts = rows.join(wanted, ["doc_id", "v"])
-    pieces = by_batch(texts, partial(pieces_of, scheme), PIECE, "doc_id", "v", "text", "wanted", ready=piece_hash)
-    return occ, distinct, pieces.repartition("route").sortWithinPartitions("route", "doc_id", "v", "start", "first")
+    pieces = by_batch(texts_of(rows, distinct.filter("NOT crowded")), partial(pieces_of, scheme), PIECE, "doc_id", "v", "text", "wanted")
+    return occ, distinct, pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "v", "start")
 
 
 SPAN = "anchor long, stretch long, doc_id long, v long, start int, a int, b int"
 
 
 def judged(pieces: DataFrame, judge: Callable[[list[dict]], list[list[tuple[int, int]]]]) -> DataFrame:
-    """Values, relative to the stretch's start, that ``judge`` marks: it gets whole routes and names ranges of each piece."""
+    """Values, relative to the stretch's start, that ``judge`` marks: it gets all pieces of an anchor and names ranges of each."""
 
     def run(batches):
         def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             out = []
             for row, found in zip(rows, judge(rows), strict=True):
                 for a, b in found:
-                    out.append((row["anchor"], row["stretch"], row["doc_id"], row["v"], row["start"], a + row["first"], b + row["first"]))
+                    out.append((row["anchor"], row["stretch"], row["doc_id"], row["v"], row["start"], a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -175,10 +204,10 @@ def judged(pieces: DataFrame, judge: Callable[[list[dict]], list[list[tuple[int,
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 for row in batch.slice(k, 2048).to_pylist():
-                    if row["route"] != last and size >= FLUSH:
+                    if row["anchor"] != last and size >= FLUSH:
                         yield from flush(held)
                         held, size = [], 0
-                    last = row["route"]
+                    last = row["anchor"]
                     held.append(row)
                     size += row["n"]
         if held:

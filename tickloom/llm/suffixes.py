@@ -4,7 +4,8 @@ Stretches around anchors that occur twice (see ``stretches``) are routed by anch
 that see all strings that can be equal. Inside a family stretches come in document order, in batches. A new batch gets a suffix
 array (its window starts, sorted by their next 100 bytes); merge-scans against the existing levels find those that occurred
 before; what is new becomes a level, and levels of equal generation merge, so a family of b batches has at most log2(b) + 1
-levels. A family holds about ``stretches.FLUSH`` windows: memory is bounded and families multiply with the data.
+levels. A family holds about ``stretches.FLUSH`` windows: memory is bounded and families multiply with the data. Strings of crowded
+anchors are counted as rows instead, with the first place of each.
 
 Texts are UTF-8 bytes; a string must lie in one document. A string is removed if it also starts earlier: in a document of
 smaller doc_id, or in the same one further left (equal ids: by a hash of the text; a row given twice counts once). Removal is
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.common import BASE, by_batch, mix, sha, table, utf8
-from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans
+from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans, windows
 
 DEPTH, GRAM = 100, 24
 #: Windows in a batch.
@@ -124,7 +125,7 @@ class Family:
 
 def repeated(rows: list[dict]) -> list[list[tuple[int, int]]]:
     """For each piece, the bytes inside windows that also occur in an earlier piece or further left."""
-    place = lambda i: (rows[i]["doc_id"], rows[i]["v"], rows[i]["start"] + rows[i]["first"], rows[i]["anchor"], rows[i]["first"])
+    place = lambda i: (rows[i]["doc_id"], rows[i]["v"], rows[i]["start"], rows[i]["anchor"])
     out: list[list[int]] = [[] for _ in rows]
     first: dict[tuple, int] = {}
     for i in range(len(rows)):
@@ -154,6 +155,10 @@ def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of bytes to remove; they may overlap."""
     occ, distinct, pieces = candidates(SCHEME, rows)
     firsts = judged(pieces, repeated).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    crowded = windows(SCHEME, rows, distinct)
+    if crowded is not None:
+        at = F.col("start") + F.col("first")
+        firsts = firsts.union(crowded.filter("struct(doc_id, v, start + first) <> least").select("doc_id", "v", at.alias("a"), (at + DEPTH).alias("b")))
     first = distinct.filter("copies > 1").select("anchor", "stretch", F.col("doc_id").alias("d1"), F.col("v").alias("v1"), F.col("start").alias("s1"))
     later = occ.join(first, ["anchor", "stretch"]).filter("doc_id <> d1 OR v <> v1 OR start <> s1")
     return firsts.union(later.select("doc_id", "v", F.col("start").alias("a"), (F.col("start") + F.col("n") + DEPTH - 1).alias("b")))
