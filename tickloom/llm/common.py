@@ -39,12 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
     # Shuffle files of the finished job go once the JVM has dropped its plan; else they stay until some later collection.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def released(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df.table_path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
