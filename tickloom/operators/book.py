@@ -10,20 +10,19 @@ work spreads over (market, epoch, side, price).
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.timecols import MICROS, micros
 from tickloom.operators.asof import asof_join
-from tickloom.operators.ranges import rows_in_windows
-from tickloom.operators.slicing import DAY, lagged, openings
+from tickloom.operators.fantree import before, ranked, skyline
+from tickloom.operators.slicing import DAY, SLICE, Running, fine_slices, lagged, openings, running
+from tickloom.session import materialize
 
 SETS = ("SNAPSHOT", "SET", "CHANGE", "UPDATE")
 DELETES = ("DELETE", "REMOVE", "DELETE_IF_EXISTS")
 IGNORED = ("PENDING", "REJECTED")
 TINY = 1e-12
+LEVEL = ["market", "epoch", "side", "price"]
 
 
 def truthy(c: Column) -> Column:
@@ -31,9 +30,13 @@ def truthy(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string"))).isin("1", "true", "t", "yes")
 
 
-def with_epochs(events: DataFrame, width_s: int = DAY) -> DataFrame:
-    """Adds ``epoch``: the sequence number that opened the current snapshot run."""
-    e = events.withColumn("update_type", F.upper("update_type"))
+def with_epochs(events: DataFrame, width_s: int = DAY, rows_per_slice: int = 1_000_000) -> DataFrame:
+    """Adds ``epoch``: the sequence number that opened the current snapshot run.
+
+    A snapshot puts many rows into one instant; beyond ``rows_per_slice`` it is cut by
+    ``seq``. The slices stay in the result, for the walks that follow.
+    """
+    e = fine_slices(events.withColumn("update_type", F.upper("update_type")), ["market"], "time_exchange", "seq", width_s, rows_per_slice)
     fresh = (F.col("update_type") == "SNAPSHOT") & ~F.coalesce(F.col("_was"), F.lit(False))
     return openings(
         e, ["market"], "time_exchange", {"epoch": fresh}, {"_was": F.col("update_type") == "SNAPSHOT"},
@@ -70,16 +73,36 @@ def monotonic_violations(events: DataFrame, keys: tuple[str, ...], position: str
 def _reflected(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``prior`` and ``size``: the key's size before and after each row.
 
-    Needs ``set_to`` (null unless the row sets) and ``delta``.
+    Needs ``set_to`` (null unless the row sets), ``delta`` and the slices of the rows.
+    A slice acts on the size it starts with as ``s -> max(s + total, floor)``, or, if
+    it holds a set, as a constant; both are known from its last row. Chained over the
+    few slices of a key these give every slice its opening size.
     """
-    w = Window.partitionBy(*keys).orderBy("time_exchange", "seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = rows.withColumn("_seg", F.count("set_to").over(upto))
-    ws = Window.partitionBy(*keys, "_seg").orderBy("time_exchange", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = seg.withColumn("_x", F.sum(F.coalesce("set_to", F.lit(0.0)) + F.col("delta")).over(ws))
-    x = x.withColumn("_raw", F.col("_x") - F.least(F.lit(0.0), F.min("_x").over(ws)))
-    x = x.withColumn("size", F.when(F.col("_raw") <= TINY, F.lit(0.0)).otherwise(F.col("_raw")))
-    return x.withColumn("prior", F.coalesce(F.lag("size", 1).over(w), F.lit(0.0))).drop("_seg", "_x", "_raw")
+    by = [*keys, SLICE]
+    known = F.lit(True)
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    base = rows.filter(known).repartition(*[F.col(k) for k in by])
+    w = Window.partitionBy(*by).orderBy("time_exchange", "seq")
+    upto = (Window.unboundedPreceding, 0)
+    walk = base.withColumn("_seg", F.count("set_to").over(w.rowsBetween(*upto)))
+    ws = Window.partitionBy(*by, "_seg").orderBy("time_exchange", "seq").rowsBetween(*upto)
+    walk = walk.withColumn("_x", F.sum(F.coalesce("set_to", F.lit(0.0)) + F.col("delta")).over(ws)).withColumn("_m", F.min("_x").over(ws))
+    ends = walk.groupBy(*by).agg(F.max_by(F.struct("_seg", "_x", "_m"), F.struct("time_exchange", "seq")).alias("e"), F.max(F.xxhash64(*base.columns)).alias("_all")).filter("_all is not null")
+    fixed = F.col("e._seg") > 0
+    chain = ends.select(*by, fixed.alias("_fixed"), F.when(fixed, 0.0).otherwise(F.col("e._x")).alias("_total"), (F.col("e._x") - F.least(F.lit(0.0), F.col("e._m"))).alias("_floor"))
+    of_key = Window.partitionBy(*keys).orderBy(SLICE)  # one row for each slice that touches the key
+    chain = chain.withColumn("_run", F.count_if("_fixed").over(of_key.rowsBetween(*upto)))
+    of_run = Window.partitionBy(*keys, "_run").orderBy(SLICE).rowsBetween(*upto)
+    chain = chain.withColumn("_c", F.sum("_total").over(of_run))
+    peak = F.max(F.col("_floor") - F.col("_c")).over(of_run)
+    chain = chain.withColumn("_end", F.col("_c") + F.when(F.col("_run") == 0, F.greatest(peak, F.lit(0.0))).otherwise(peak))
+    opening = chain.select(*by, F.lag("_end", 1).over(of_key).alias("_open")).filter(F.col("_open") > 0)
+    open_ = F.coalesce("_open", F.lit(0.0))
+    raw = F.when(F.col("_seg") == 0, open_ + F.col("_x") - F.least(F.lit(0.0), open_ + F.col("_m"))).otherwise(F.col("_x") - F.least(F.lit(0.0), F.col("_m")))
+    out = walk.join(opening, by, "left").withColumn("_raw", raw)
+    out = out.withColumn("size", F.when(F.col("_raw") <= TINY, F.lit(0.0)).otherwise(F.col("_raw")))
+    return out.withColumn("prior", F.coalesce(F.lag("size", 1).over(w), open_)).drop("_seg", "_x", "_m", "_raw", "_open")
 
 
 def in_order(events: DataFrame, width_s: int = DAY) -> DataFrame:
@@ -108,7 +131,7 @@ def _sound(states: DataFrame, what: str) -> DataFrame:
     return states
 
 
-def level_states(events: DataFrame, width_s: int = DAY, *, strict: bool = True) -> DataFrame:
+def level_states(events: DataFrame, width_s: int = DAY, rows_per_slice: int = 1_000_000, *, strict: bool = True) -> DataFrame:
     """Each update with its level's size before (``prior``) and after (``size``).
 
     ``strict`` fails on what a sound feed cannot hold: a negative size, a SUB of an
@@ -117,17 +140,17 @@ def level_states(events: DataFrame, width_s: int = DAY, *, strict: bool = True)
     """
     if strict:
         events = in_order(events, width_s)
-    e = with_epochs(events, width_s).filter(F.col("epoch").isNotNull())
+    e = with_epochs(events, width_s, rows_per_slice).filter(F.col("epoch").isNotNull())
     u, sx = F.col("update_type"), F.col("entry_sx")
     known = u.isin(*SETS, *DELETES, "ADD", "SUB")
     ok = F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unsupported book update_type "), u)).cast("boolean"))
     r = e.filter(ok).select(
         "market", "epoch", F.when(truthy(F.col("is_buy")), "bid").otherwise("ask").alias("side"), F.col("entry_px").alias("price"),
-        "time_exchange", "seq", "update_type", "entry_sx",
+        "time_exchange", "seq", "update_type", "entry_sx", SLICE,
         F.when(u.isin(*SETS), F.greatest(sx, F.lit(0.0))).when(u.isin(*DELETES), F.lit(0.0)).alias("set_to"),
         F.when(u == "ADD", sx).when(u == "SUB", -sx).otherwise(F.lit(0.0)).alias("delta"),
     )
-    states = _reflected(r, ["market", "epoch", "side", "price"])
+    states = _reflected(r, LEVEL).drop(SLICE)
     return _sound(states, "level") if strict else states
 
 
@@ -139,173 +162,131 @@ def sanitize(states: DataFrame) -> DataFrame:
     return states.select("*", fix.alias("fix"), F.when(sub & over, F.col("prior")).otherwise(F.col("entry_sx")).alias("clean_sx"))
 
 
-def level_intervals(states: DataFrame) -> DataFrame:
+def batches(states: DataFrame) -> DataFrame:
+    """A level's size after each instant that updates it, as a table: the walk behind ``states`` runs once."""
+    return materialize(states.groupBy(*LEVEL, "time_exchange").agg(F.max_by("size", "seq").alias("size")), "batches")
+
+
+def _lifetimes(batch: DataFrame, mark: Column, width_s: int) -> DataFrame:
+    """Each batch of a level with ``_from``, its own mark, and ``_to``, that of the level's next batch or of the next epoch."""
+    rows = batch.select(*LEVEL, "time_exchange", "size", mark.alias("_from"))
+    starts = rows.groupBy("market", "epoch").agg(F.min("_from").alias("_s"))  # one row per snapshot run
+    ends = starts.select("market", "epoch", F.lead("_s", 1).over(Window.partitionBy("market").orderBy("epoch")).alias("_end"))
+    j = lagged(rows, LEVEL, -micros("time_exchange"), {"_n": F.col("_from")}, width_s=width_s).join(ends, ["market", "epoch"])
+    return j.select(*LEVEL, "size", "_from", F.coalesce("_n", "_end").alias("_to"))
+
+
+def level_intervals(states: DataFrame, width_s: int = DAY) -> DataFrame:
     """Size of each level over ``[from_time, to_time)``; open ends are null.
 
     Updates sharing an instant are one batch; an epoch ends where the next begins.
+    The next instant of a level is found from behind, in slices of time.
     """
-    k = ["market", "epoch", "side", "price"]
-    batch = states.groupBy(*k, "time_exchange").agg(F.max_by("size", "seq").alias("size"))
-    starts = states.groupBy("market", "epoch").agg(F.min("time_exchange").alias("_s"))  # one row per snapshot run
-    ends = starts.select("market", "epoch", F.lead("_s", 1).over(Window.partitionBy("market").orderBy("epoch")).alias("_end"))
-    nxt = F.lead("time_exchange", 1).over(Window.partitionBy(*k).orderBy("time_exchange"))
-    j = batch.withColumn("_n", nxt).join(ends, ["market", "epoch"])
-    return j.select(*k, F.col("time_exchange").alias("from_time"), F.coalesce("_n", "_end").alias("to_time"), "size").filter(
-        F.col("to_time").isNull() | (F.col("from_time") < F.col("to_time"))
-    )
+    out = _lifetimes(batches(states), F.col("time_exchange"), width_s)
+    return out.select(*LEVEL, F.col("_from").alias("from_time"), F.col("_to").alias("to_time"), "size").filter("to_time is null or from_time < to_time")
 
 
-def _changes(intervals: DataFrame) -> DataFrame:
-    """Absolute sizes at every change, with explicit zeros where a level just ends."""
-    k = ["market", "side", "price"]
-    begin = intervals.select(*k, F.col("from_time").alias("time_exchange"), "size", F.lit(1).alias("_p"))
-    finish = intervals.filter("to_time is not null and size > 0").select(*k, F.col("to_time").alias("time_exchange"), F.lit(0.0).alias("size"), F.lit(0).alias("_p"))
-    return begin.unionByName(finish).groupBy(*k, "time_exchange").agg(F.max_by("size", "_p").alias("size"))
-
-
-def _openings_of_slices(intervals: DataFrame, last: DataFrame, width_s: int) -> DataFrame:
-    """Live levels at the start of every time slice: the state a slice begins with."""
-    w = width_s * MICROS
-    live = intervals.filter("size > 0").join(last, "market")
-    a = F.floor(micros("from_time") / w).cast("long") + 1
-    z = F.coalesce(F.ceil(micros("to_time") / w).cast("long") - 1, F.col("_lastslice"))
-    return live.filter(a <= z).select("market", "side", "price", "size", F.explode(F.sequence(a, z)).alias("slice"))
-
-
-def _fold(states: DataFrame, emit: str, schema: str, levels: int | None, width_s: int) -> DataFrame:
-    """Replay (market, slice) groups, each from its own opening book."""
-    iv = level_intervals(states)
-    w = width_s * MICROS
-    ch = _changes(iv).select("market", "time_exchange", "side", "price", "size", F.floor(micros("time_exchange") / w).cast("long").alias("slice"))
-    batches = states.select("market", "time_exchange").distinct()
-    last = batches.groupBy("market").agg(F.floor(micros(F.max("time_exchange")) / w).cast("long").alias("_lastslice"))
-    opened = _openings_of_slices(iv, last, width_s).select(
-        "market", F.lit(None).cast("timestamp").alias("time_exchange"), "side", "price", "size", "slice"
-    )
-    touched = batches.select(  # instants whose updates changed nothing still report
-        "market", "time_exchange", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("price"),
-        F.lit(None).cast("double").alias("size"), F.floor(micros("time_exchange") / w).cast("long").alias("slice"),
-    )
-    fn = _replay_l1 if emit == "l1" else _replay_depth(levels)
-    return opened.unionByName(ch).unionByName(touched).groupBy("market", "slice").applyInPandas(fn, schema)
-
-
-def _replay(pdf: pd.DataFrame):
-    """Yield (time, bids, asks, touched sides) after each instant, in time order."""
-    pdf = pdf.sort_values("time_exchange", na_position="first", kind="stable")
-    books = {"bid": {}, "ask": {}}
-    start = pdf[pdf["time_exchange"].isna()]
-    for s, p, q in zip(start["side"], start["price"], start["size"]):
-        books[s][p] = q
-    rest = pdf[pdf["time_exchange"].notna()]
-    for t, g in rest.groupby("time_exchange", sort=True):
-        for s, p, q in zip(g["side"], g["price"], g["size"]):
-            if s is None or s != s:
-                continue
-            if q > 0:
-                books[s][p] = q
-            else:
-                books[s].pop(p, None)
-        yield t, books["bid"], books["ask"]
-
-
-def _replay_l1(pdf: pd.DataFrame) -> pd.DataFrame:
-    market = pdf["market"].iloc[0]
-    # heaps with lazy deletion: the best live price without scanning the book
-    heaps, seen, rows = {"bid": [], "ask": []}, {"bid": set(), "ask": set()}, []
-    for t, bids, asks in _replay(pdf):
-        row = [market, t]
-        for side, book, sign in (("bid", bids, -1.0), ("ask", asks, 1.0)):
-            h = heaps[side]
-            for p in book.keys() - seen[side]:
-                heapq.heappush(h, sign * p)
-                seen[side].add(p)
-            while h and sign * h[0] not in book:
-                seen[side].discard(sign * heapq.heappop(h))
-            best = sign * h[0] if h else None
-            row += [best, book[best] if h else None]
-        rows.append(row)
-    return pd.DataFrame(rows, columns=["market", "time_exchange", "best_bid_px", "best_bid_sx", "best_ask_px", "best_ask_sx"])
-
-
-def _replay_depth(levels: int | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        market, rows = pdf["market"].iloc[0], []
-        for t, bids, asks in _replay(pdf):
-            for side, book, pick in (("bid", bids, heapq.nlargest), ("ask", asks, heapq.nsmallest)):
-                for i, p in enumerate(pick(levels or len(book), book), start=1):
-                    rows.append((market, t, side, i, p, book[p]))
-        return pd.DataFrame(rows, columns=["market", "time_exchange", "side", "level", "price", "size"])
-
-    return run
+def _live(batch: DataFrame, points: DataFrame, width_s: int) -> DataFrame:
+    """Levels with the ranks ``[a, b)`` of the points over which they hold a size."""
+    placed = before(batch, points, ["market"], micros("time_exchange"), "r", width_s=width_s)
+    life = _lifetimes(placed, F.struct("time_exchange", "r"), width_s).filter("size > 0")
+    total = points.groupBy("market").agg(F.count(F.lit(1)).alias("_all"))
+    return life.join(total, "market").select("market", "side", "price", "size", F.col("_from.r").alias("a"), F.coalesce("_to.r", "_all").alias("b")).filter("a < b")
+
+
+def _points(batch: DataFrame, width_s: int) -> DataFrame:
+    """The instants at which a market's book was touched, ranked."""
+    return ranked(batch.select("market", F.col("time_exchange").alias("time")).distinct(), ["market"], "time", width_s=width_s)
+
+
+def _order(side: str) -> Column:
+    return F.when(F.col(side) == "bid", -F.col("price")).otherwise(F.col("price"))
+
+
+def _best(live: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """``points`` with the best ``n`` bids and asks of each, as arrays of (order, price, size)."""
+    items = live.withColumnRenamed("side", "kind")
+    return skyline(points, items, ["market"], ("bid", "ask"), F.struct(_order("kind").alias("order"), "price", "size"), n)
+
+
+def _depth(live: DataFrame, points: DataFrame, levels: int | None) -> DataFrame:
+    if levels is None:  # the result is the books themselves, so each level is laid out over its points
+        laid = live.select("market", "side", "price", "size", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("r")).join(points, ["market", "r"])
+        level = F.row_number().over(Window.partitionBy("market", "r", "side").orderBy(_order("side"))).cast("long")  # levels of one book
+        return laid.select("market", F.col("time").alias("time_exchange"), "side", level.alias("level"), "price", "size")
+    rows = lambda s: F.transform(s, lambda x, i: F.struct(F.lit(s).alias("side"), (i + 1).cast("long").alias("level"), x["price"].alias("price"), x["size"].alias("size")))
+    both = _best(live, points, levels).select("market", F.col("time").alias("time_exchange"), F.explode(F.concat(rows("bid"), rows("ask"))).alias("_x"))
+    return both.select("market", "time_exchange", "_x.side", "_x.level", "_x.price", "_x.size")
 
 
 def l1_after_batches(states: DataFrame, width_s: int = DAY) -> DataFrame:
     """Best bid and ask after every instant; an absent side is null, never zero."""
-    return _fold(states, "l1", "market string, time_exchange timestamp, best_bid_px double, best_bid_sx double, best_ask_px double, best_ask_sx double", None, width_s)
+    batch = batches(states)
+    points = _points(batch, width_s)
+    top = _best(_live(batch, points, width_s), points, 1)
+    of = lambda s, c: F.get(s, 0)[c].alias(f"best_{s}_{'px' if c == 'price' else 'sx'}")
+    return top.select("market", F.col("time").alias("time_exchange"), of("bid", "price"), of("bid", "size"), of("ask", "price"), of("ask", "size"))
 
 
 def depth_after_batches(states: DataFrame, levels: int | None = None, width_s: int = DAY) -> DataFrame:
+    """The best levels of both sides after every instant; all of them if ``levels`` is None."""
     if levels is not None and levels < 1:
         raise ValueError("levels must be positive or None")
-    return _fold(states, "depth", "market string, time_exchange timestamp, side string, level long, price double, size double", levels, width_s)
+    batch = batches(states)
+    points = _points(batch, width_s)
+    return _depth(_live(batch, points, width_s), points, levels)
 
 
 def sample_depth(states: DataFrame, samples: DataFrame, levels: int | None = None, bucket_s: int = DAY) -> DataFrame:
-    """Depth as of requested (market, sample_time), with the batch it comes from."""
+    """Depth as of requested (market, sample_time), with the batch it comes from.
+
+    Levels meet samples as ranges of sample ranks, so a level that lasts over many samples costs a few rows.
+    """
     if levels is not None and levels < 1:
         raise ValueError("levels must be positive or None")
-    iv = level_intervals(states).filter("size > 0")
-    far = samples.groupBy("market").agg(F.max("sample_time").alias("_far"))
-    win = iv.join(far, "market").select("market", "side", "price", "size", "from_time", F.coalesce(F.col("to_time"), F.col("_far") + F.expr("interval 1 second")).alias("to_time")).filter("from_time < to_time")
-    pts = samples.select("market", "sample_time").distinct()
-    hit = rows_in_windows(win, pts, ["market"], "from_time", "to_time", "sample_time", bucket_s=bucket_s, include_end=False)
-    order = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    lv = F.row_number().over(Window.partitionBy("market", "sample_time", "side").orderBy(order))  # levels of one book
-    top = hit.select("market", "sample_time", "side", lv.cast("long").alias("level"), "price", "size")
-    if levels is not None:
-        top = top.filter(F.col("level") <= levels)
-    batches = states.select("market", F.col("time_exchange").alias("depth_source_time")).distinct()
-    src = asof_join(pts, batches, ["market"], "sample_time", "depth_source_time", ["depth_source_time"], prefix="s_")
-    return top.join(src.select("market", "sample_time", F.col("s_depth_source_time").alias("depth_source_time")), ["market", "sample_time"]).select(
-        "market", F.col("sample_time").alias("time_exchange"), "depth_source_time", "side", "level", "price", "size"
+    points = ranked(samples.select("market", F.col("sample_time").alias("time")).distinct(), ["market"], "time", width_s=bucket_s)
+    batch = batches(states)
+    top = _depth(_live(batch, points, bucket_s), points, levels)
+    source = batch.select("market", F.col("time_exchange").alias("depth_source_time")).distinct()
+    src = asof_join(points.select("market", F.col("time").alias("time_exchange")), source, ["market"], "time_exchange", "depth_source_time", ["depth_source_time"], prefix="s_", width_s=bucket_s)
+    return top.join(src.select("market", "time_exchange", F.col("s_depth_source_time").alias("depth_source_time")), ["market", "time_exchange"]).select(
+        "market", "time_exchange", "depth_source_time", "side", "level", "price", "size"
     )
 
 
-def order_level_states(events: DataFrame, width_s: int = DAY, *, strict: bool = True) -> DataFrame:
+def order_level_states(events: DataFrame, width_s: int = DAY, rows_per_slice: int = 1_000_000, *, strict: bool = True) -> DataFrame:
     """Order-keyed feed folded to price levels, in the shape of ``level_states``.
 
     Triggers, non-limit and non-open orders never rest; pending and rejected rows
     change nothing.  Every order update moves size between at most two levels.
-    ``strict`` also fails on a missing order id and on an ADD that moves an order.
+    ``strict`` also fails on a missing order id and on an ADD that moves an order;
+    otherwise rows without an id belong to one order.
     """
     if strict:
         events = in_order(events, width_s)
-    e = with_epochs(events, width_s).filter(F.col("epoch").isNotNull() & ~F.col("update_type").isin(*IGNORED))
+    e = with_epochs(events, width_s, rows_per_slice).filter(F.col("epoch").isNotNull() & ~F.col("update_type").isin(*IGNORED))
     u, sx = F.col("update_type"), F.col("entry_sx")
     status = F.upper(F.trim(F.coalesce(F.col("hl4_status"), F.lit(""))))
     live = ~F.coalesce(truthy(F.col("is_trigger")), F.lit(False)) & F.coalesce(F.lower(F.trim("order_type")) == "limit", F.lit(True)) & status.isin("", "OPEN")
     keep = ~((u == "SNAPSHOT") & ~live)
     r = e.filter(keep).select(
-        "market", "epoch", "order_id", "time_exchange", "seq", "update_type", "entry_sx", truthy(F.col("is_buy")).alias("_buy"), F.col("entry_px").alias("_px"),
+        "market", "epoch", F.coalesce("order_id", F.lit("\0")).alias("_order"), "order_id", "time_exchange", "seq", "update_type", "entry_sx", SLICE, truthy(F.col("is_buy")).alias("_buy"), F.col("entry_px").alias("_px"),
         F.when(u.isin(*SETS), F.when(live, F.greatest(sx, F.lit(0.0))).otherwise(F.lit(0.0))).when(u.isin(*DELETES) | ((u == "ADD") & ~live), F.lit(0.0)).alias("set_to"),
         F.when((u == "ADD") & live, sx).when(u == "SUB", -sx).otherwise(F.lit(0.0)).alias("delta"),
     )
-    s = _reflected(r, ["market", "epoch", "order_id"])
-    w = Window.partitionBy("market", "epoch", "order_id").orderBy("time_exchange", "seq")
+    order, seq = ["market", "epoch", "_order"], [F.col("seq")]
+    s = _reflected(r, order)
     places = F.col("update_type").isin(*SETS) | ((F.col("update_type") == "ADD") & (F.col("prior") <= 0))
-    at = F.last(F.when(places, F.struct("_buy", "_px")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    s = s.withColumn("_at", at)
-    s = s.withColumn("_was", F.lag("_at", 1).over(w))
+    placed = F.when(places, F.struct("_buy", "_px"))
+    s = running(s, order, micros("time_exchange"), {"_at": Running("last", placed), "_was": Running("last", placed, exclusive=True)}, tie=seq)
     if strict:
         moves = (F.col("update_type") == "ADD") & (F.col("prior") > 0) & (F.struct("_buy", "_px") != F.struct("_was._buy", "_was._px"))
         s = _sound(s, "order").filter(_must(F.col("order_id").isNotNull(), "book row without an order id")).filter(_must(~moves, F.concat(F.lit("ADD moves order "), "order_id")))
     move = lambda at_, d: F.struct(F.col(f"{at_}._buy").alias("buy"), F.col(f"{at_}._px").alias("price"), d.alias("d"))
-    moved = s.select("market", "epoch", "time_exchange", "seq", F.explode(F.array(move("_was", -F.col("prior")), move("_at", F.col("size")))).alias("m"))
-    lv = moved.filter("m.price is not null").groupBy("market", "epoch", "time_exchange", "seq", F.when(F.col("m.buy"), "bid").otherwise("ask").alias("side"), F.col("m.price").alias("price")).agg(F.sum("m.d").alias("d"))
-    wl = Window.partitionBy("market", "epoch", "side", "price").orderBy("time_exchange", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = lv.withColumn("size", F.sum("d").over(wl))
-    return out.withColumn("size", F.when(F.col("size") <= TINY, F.lit(0.0)).otherwise(F.col("size"))).drop("d")
+    moved = s.select("market", "epoch", "time_exchange", "seq", SLICE, F.explode(F.array(move("_was", -F.col("prior")), move("_at", F.col("size")))).alias("m"))
+    lv = moved.filter("m.price is not null").groupBy("market", "epoch", "time_exchange", "seq", SLICE, F.when(F.col("m.buy"), "bid").otherwise("ask").alias("side"), F.col("m.price").alias("price")).agg(F.sum("m.d").alias("d"))
+    out = running(lv, LEVEL, micros("time_exchange"), {"size": Running("sum", F.col("d"))}, tie=seq)
+    return out.withColumn("size", F.when(F.col("size") <= TINY, F.lit(0.0)).otherwise(F.col("size"))).drop("d", SLICE)
 
 
 def top_levels(depth: DataFrame, n: int) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tickloom.functions.timecols import MICROS, micros, plus_seconds
 from tickloom.operators.asof import asof_join
 from tickloom.operators.islands import interval_islands
-from tickloom.operators.ranges import rows_in_windows
+from tickloom.operators.fantree import before, first_reaching, node_extremes, range_extremes, ranked
+from tickloom.operators.ranges import range_totals
 from tickloom.operators.slicing import DAY, Running, running
+from tickloom.session import materialize
 
 
 def padded_windows(events: DataFrame, pad_s: float = 1800) -> DataFrame:
@@ -126,39 +128,41 @@ def matched_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(both, "pair_id", "left_semi")
 
 
-def cascade_anatomy(events: DataFrame, micro: DataFrame, depth: DataFrame, *, pre_s: float = 60, reversion_s: float = 1800, bucket_s: int = 3600) -> DataFrame:
+def cascade_anatomy(events: DataFrame, micro: DataFrame, depth: DataFrame, *, pre_s: float = 60, reversion_s: float = 1800, width_s: int = DAY) -> DataFrame:
     """Pre-event mean, adverse extreme, overshoot, half reversion and depth walked.
 
-    Ticks meet events once for the mean and the extreme, and once more for the
-    first tick back across the half-way target.
+    No (event, tick) pairs are made: the mean is a difference of running totals, the
+    extreme is read from nodes over ranked ticks, and the first tick back across the
+    half-way target is found by going down those nodes.
     """
     ecols = events.columns
-    win = events.select("*", plus_seconds("start_time", -pre_s).alias("_a"))
-    near = rows_in_windows(win, micro.select("market", "time_exchange", "microprice"), ["market"], "_a", "end_time", "time_exchange", bucket_s=bucket_s)
+    ticks = micro.select("market", F.col("time_exchange").alias("time"), "microprice").filter("time is not null and microprice is not null")
+    points = ranked(ticks, ["market"], "time", width_s=width_s)
+    bounds = {"pre": (plus_seconds("start_time", -pre_s), F.col("start_time"), True, False)}
+    mean = range_totals(events, points, ["market"], "time", bounds, {"n": F.lit(1), "px": F.col("microprice")}, width_s=width_s)
+    us = micros("time")
+    nodes, levels = node_extremes(points, ["market"], F.struct(F.col("microprice").alias("px"), us.alias("at")), F.struct(F.col("microprice").alias("px"), (-us).alias("at")))
+    inside = before(events.select("event_id", "market", "start_time", "end_time"), points, ["market"], micros("start_time"), "a", width_s=width_s)
+    inside = before(inside, points, ["market"], micros("end_time"), "b", through=True, width_s=width_s)
+    seen = range_extremes(inside, nodes, levels, ["market"], "event_id")
     sell = F.col("direction") == "SELL"
-    pre = F.col("time_exchange") < F.col("start_time")
-    px = F.col("microprice")
-    rank = F.when(sell, px).otherwise(-px)  # the adverse extreme is the smallest
-    seen = near.groupBy("event_id").agg(
-        F.avg(F.when(pre, px)).alias("pre_event_microprice_mean"), F.count_if(pre).alias("pre_event_observation_count"),
-        F.min_by(F.struct("time_exchange", "microprice"), F.when(~pre, F.struct(rank, F.col("time_exchange")))).alias("_x"),
-    )
-    j = events.join(seen, "event_id", "left")
-    mean, ext = F.col("pre_event_microprice_mean"), F.col("_x.microprice")
-    over = F.when(mean.isNotNull() & ext.isNotNull(), F.greatest(F.lit(0.0), F.when(sell, mean - ext).otherwise(ext - mean)))
-    o = j.select(
-        *ecols, "pre_event_microprice_mean", F.coalesce("pre_event_observation_count", F.lit(0)).alias("pre_event_observation_count"),
-        over.alias("overshoot_price"), (over / mean * 10_000).alias("overshoot_bps"),
-        F.when(over.isNotNull(), F.col("_x.time_exchange")).alias("overshoot_time"),
-    )
+    j = mean.join(seen, "event_id", "left")
+    count, px = F.coalesce(F.col("pre_n"), F.lit(0.0)), F.when(sell, F.col("low.px")).otherwise(F.col("high.px"))
+    at = F.timestamp_micros(F.when(sell, F.col("low.at")).otherwise(-F.col("high.at")))
+    j = j.select(*ecols, F.when(count > 0, F.col("pre_px") / count).alias("pre_event_microprice_mean"), count.cast("long").alias("pre_event_observation_count"), px.alias("_px"), at.alias("_at"))
+    mean_, ext = F.col("pre_event_microprice_mean"), F.col("_px")
+    over = F.when(mean_.isNotNull() & ext.isNotNull(), F.greatest(F.lit(0.0), F.when(sell, mean_ - ext).otherwise(ext - mean_)))
+    o = materialize(j.select(
+        *ecols, "pre_event_microprice_mean", "pre_event_observation_count", over.alias("overshoot_price"), (over / mean_ * 10_000).alias("overshoot_bps"),
+        F.when(over.isNotNull(), F.col("_at")).alias("overshoot_time"),
+    ), "overshoot")
     half = F.col("overshoot_price") / 2
-    target = F.when(sell, mean - half).otherwise(mean + half)
-    hunt = o.filter(F.col("overshoot_price") > 0).select(
-        "event_id", "market", "direction", F.col("overshoot_time"), target.alias("target"), plus_seconds("end_time", reversion_s).alias("_limit")
-    )
-    back = rows_in_windows(hunt, micro.select("market", "time_exchange", "microprice"), ["market"], "overshoot_time", "_limit", "time_exchange", bucket_s=bucket_s).filter(
-        F.when(sell, px >= F.col("target")).otherwise(px <= F.col("target"))
-    ).groupBy("event_id").agg(F.min("time_exchange").alias("_back"))
+    target = F.when(sell, F.col("pre_event_microprice_mean") - half).otherwise(F.col("pre_event_microprice_mean") + half)
+    hunt = o.filter(F.col("overshoot_price") > 0).select("event_id", "market", sell.alias("sell"), target.alias("target"), "overshoot_time", plus_seconds("end_time", reversion_s).alias("_limit"))
+    hunt = before(before(hunt, points, ["market"], micros("overshoot_time"), "a", width_s=width_s), points, ["market"], micros("_limit"), "b", through=True, width_s=width_s)
+    reaches = F.when(F.col("sell"), F.col("high.px") >= F.col("target")).otherwise(F.col("low.px") <= F.col("target"))
+    first = first_reaching(hunt.drop("overshoot_time", "_limit"), nodes, levels, ["market"], "event_id", reaches)
+    back = first.join(o.select("event_id", "market"), "event_id").join(points.select("market", "r", F.col("time").alias("_back")), ["market", "r"]).select("event_id", "_back")
     out = o.join(back, "event_id", "left").join(depth_walk(events, depth), "event_id", "left")
     return out.select(
         *o.columns,

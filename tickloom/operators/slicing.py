@@ -8,6 +8,8 @@ starts with.  The row-level window then partitions by (key, slice), so a hot key
 spreads over as many tasks as it has slices while results stay exact.
 
 Slice width is a parameter: pick it so that the busiest (key, slice) fits a task.
+Where many rows share one instant, no width helps; ``fine_slices`` then cuts the
+instant itself by the order of its rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.session import materialize
+
 SLICE = "_slice"
 DAY = 86_400
 
@@ -68,7 +72,9 @@ def _sliced(df, keys, time_us, tie, width_s, extra, consume=()):
     known = F.lit(True)
     for k in by:
         known = known & F.col(k).isNotNull()
-    base = base.withColumn(SLICE, slice_of(F.col("_us"), width_s)).filter(known).repartition(*[F.col(k) for k in by])
+    if SLICE not in df.columns:  # else the caller has cut the rows (fine_slices)
+        base = base.withColumn(SLICE, slice_of(F.col("_us"), width_s))
+    base = base.filter(known).repartition(*[F.col(k) for k in by])
     return base, by, ties
 
 
@@ -194,6 +200,27 @@ def openings(
     )
 
 
+def fine_slices(df: DataFrame, keys: Sequence[str], time: str, order: str, width_s: int = DAY, most: int = 1_000_000) -> DataFrame:
+    """Adds slices of ``width_s`` seconds in which an instant of more than ``most`` rows is cut by ``order``, a whole number.
+
+    ``running``, ``lagged`` and ``openings`` then use them, and keep the column. Crowded instants are few (rows / ``most``);
+    they are counted with partial aggregation and met by an ordinary join.
+    """
+    us = F.unix_micros(F.col(time))
+    cut = slice_of(us, width_s)
+    if df.count() <= most:  # no instant can be crowded
+        return df.select(*df.columns, cut.alias(SLICE))
+    crowded = df.groupBy(*keys, us.alias("_us")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    by_slice = materialize(crowded.groupBy(*keys, slice_of(F.col("_us"), width_s).alias("_cut")).agg(F.array_sort(F.collect_list("_us")).alias("_at")), "crowded")
+    if by_slice.isEmpty():
+        return df.select(*df.columns, cut.alias(SLICE))
+    out = df.withColumn("_cut", cut).join(by_slice, [*keys, "_cut"], "left")
+    inside = F.coalesce(F.array_contains("_at", us), F.lit(False))
+    part = F.coalesce(2 * F.size(F.filter("_at", lambda t: t < us)), F.lit(0)) + inside.cast("int")
+    block = F.when(inside, F.floor(F.col(order) / most)).otherwise(0).cast("long")
+    return out.select(*df.columns, F.struct(cut.alias("cut"), part.alias("part"), block.alias("block")).alias(SLICE))
+
+
 def busiest_slice(df: DataFrame, keys: Sequence[str], time_us: Column, width_s: int) -> int:
     """Rows of the fullest (key, slice); a counting pass over the time column."""
     n = df.groupBy(*keys, slice_of(time_us, width_s).alias(SLICE)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]

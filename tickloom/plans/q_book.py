@@ -61,7 +61,7 @@ def _(t: Tables):
 @query("T4_l1_after_batches", """SELECT b.market, b.time_exchange, max(price) FILTER (side = 'bid') AS best_bid_px, arg_max(size, price) FILTER (side = 'bid') AS best_bid_sx, min(price) FILTER (side = 'ask') AS best_ask_px, arg_min(size, price) FILTER (side = 'ask') AS best_ask_sx
     FROM (SELECT DISTINCT market, time_exchange FROM states) b LEFT JOIN live_levels l USING (market, time_exchange) GROUP BY 1, 2""", "live_levels")
 def _(t: Tables):
-    return bk.l1_after_batches(materialize(states_of(t), "states"))
+    return bk.l1_after_batches(states_of(t))
 
 
 _LV = "row_number() OVER (PARTITION BY market, time_exchange, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END)"
@@ -69,7 +69,7 @@ _LV = "row_number() OVER (PARTITION BY market, time_exchange, side ORDER BY CASE
 
 @query("T5_depth_after_batches", f"SELECT * FROM (SELECT market, time_exchange, side, {_LV} AS level, price, size FROM live_levels) WHERE level <= 3", "live_levels")
 def _(t: Tables):
-    return bk.depth_after_batches(materialize(states_of(t), "states"), 3)
+    return bk.depth_after_batches(states_of(t), 3)
 
 
 @query("T6_sampled_depth", f"""WITH s AS (SELECT DISTINCT market, start_time AS ts FROM shocks), h AS (SELECT s.market, s.ts AS time_exchange, i.side, i.price, i.size, (SELECT max(time_exchange) FROM states x WHERE x.market = s.market AND x.time_exchange <= s.ts) AS depth_source_time
@@ -80,14 +80,12 @@ def _(t: Tables):
 
 
 def depth_samples(t: Tables):
-    st = materialize(states_of(t), "states")
-    return bk.sample_depth(st, t.shocks.select("market", F.col("start_time").alias("sample_time")), 4)
+    return bk.sample_depth(states_of(t), t.shocks.select("market", F.col("start_time").alias("sample_time")), 4)
 
 
 @query("K1_top_levels", f"SELECT * FROM (SELECT market, time_exchange, side, {_LV} AS level, price, size FROM live_levels) WHERE level <= 1", "live_levels")
 def _(t: Tables):
-    st = materialize(states_of(t), "states")
-    return bk.top_levels(bk.depth_after_batches(st, 2).drop("level"), 1)
+    return bk.top_levels(bk.depth_after_batches(states_of(t), 2).drop("level"), 1)
 
 
 @query("T7_sanitize", """SELECT market, CASE WHEN update_type = 'SUB' AND prior <= 0 THEN 'orphan_dropped' WHEN update_type = 'SUB' AND entry_sx > prior THEN 'oversize_clamped' ELSE 'kept' END AS fix, count(*) AS n, sum(CASE WHEN update_type = 'SUB' AND entry_sx > prior THEN prior ELSE entry_sx END) AS clean_total FROM states GROUP BY 1, 2""", "states")
@@ -144,7 +142,7 @@ def _(t: Tables):
     SELECT b.market, b.time_exchange, max(price) FILTER (side = 'bid') AS best_bid_px, arg_max(size, price) FILTER (side = 'bid') AS best_bid_sx, min(price) FILTER (side = 'ask') AS best_ask_px, arg_min(size, price) FILTER (side = 'ask') AS best_ask_sx
     FROM b LEFT JOIN v ON v.market = b.market AND v.size > 0 AND v.a <= b.time_exchange AND (v.z IS NULL OR b.time_exchange < v.z) GROUP BY 1, 2""", "states4")
 def _(t: Tables):
-    return bk.l1_after_batches(materialize(bk.order_level_states(book4(t), strict=False), "states4"))
+    return bk.l1_after_batches(bk.order_level_states(book4(t), strict=False))
 
 
 add_view("intervals4", """WITH e AS (SELECT market, epoch, lead(s) OVER (PARTITION BY market ORDER BY epoch) AS en FROM (SELECT market, epoch, min(time_exchange) AS s FROM states4 GROUP BY 1, 2)),
@@ -154,15 +152,14 @@ add_view("intervals4", """WITH e AS (SELECT market, epoch, lead(s) OVER (PARTITI
 
 @query("T5_order_level_depth", f"SELECT * FROM (SELECT b.market, b.time_exchange, side, {_LV.replace('market', 'b.market').replace('time_exchange', 'b.time_exchange')} AS level, price, size FROM (SELECT DISTINCT market, time_exchange FROM states4) b JOIN intervals4 i ON i.market = b.market AND i.size > 0 AND i.from_time <= b.time_exchange AND (i.to_time IS NULL OR b.time_exchange < i.to_time)) WHERE level <= 3", "intervals4")
 def _(t: Tables):
-    return bk.depth_after_batches(materialize(bk.order_level_states(book4(t), strict=False), "states4"), 3)
+    return bk.depth_after_batches(bk.order_level_states(book4(t), strict=False), 3)
 
 
 @query("T6_order_level_sampled", f"""WITH s AS (SELECT DISTINCT market, start_time AS ts FROM shocks), h AS (SELECT s.market, s.ts AS time_exchange, i.side, i.price, i.size, (SELECT max(time_exchange) FROM states4 x WHERE x.market = s.market AND x.time_exchange <= s.ts) AS depth_source_time
       FROM s JOIN intervals4 i ON i.market = s.market AND i.size > 0 AND i.from_time <= s.ts AND (i.to_time IS NULL OR s.ts < i.to_time))
     SELECT * FROM (SELECT market, time_exchange, depth_source_time, side, {_LV} AS level, price, size FROM h) WHERE level <= 4""", "intervals4 shocks")
 def _(t: Tables):
-    states = materialize(bk.order_level_states(book4(t), strict=False), "states4")
-    return bk.sample_depth(states, t.shocks.select("market", F.col("start_time").alias("sample_time")), 4)
+    return bk.sample_depth(bk.order_level_states(book4(t), strict=False), t.shocks.select("market", F.col("start_time").alias("sample_time")), 4)
 
 
 _PRE = 3 * 3600
