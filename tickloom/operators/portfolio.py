@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.timecols import MICROS, cluster_key, micros, plus_seconds
+from tickloom.operators.bootstrap import panel_ci
 from tickloom.operators.asof import Source, asof_join, asof_many
 from tickloom.operators.ranges import range_totals, rows_in_windows
 from tickloom.operators.ranking import tails
+from tickloom.session import materialize
 
 WEEK_S = 7 * 86_400
 H6 = 6 * 3600 * MICROS
@@ -275,6 +277,22 @@ def strategy_summary(rows: DataFrame, periods_per_year: float = 365.0) -> DataFr
     )
 
 
+def strategy_intervals(rows: DataFrame, periods_per_year: float = 365.0, **kw) -> DataFrame:
+    """Total return and Sharpe ratio per strategy with block-bootstrap intervals.
+
+    Periods are drawn within their clock hour and length, so that a draw keeps the
+    calendar of the strategy.
+    """
+    hold = (micros("end_time") - micros("rebalance_time")) / F.lit(3600.0 * MICROS)
+    p = materialize(rows.groupBy("strategy", "rebalance_time", "end_time").agg(F.sum("net_pnl").alias("net")).select(
+        "strategy", F.hour("rebalance_time").alias("hour"), hold.alias("hold"), "rebalance_time", F.col("rebalance_time").alias("slot"), "net"), "periods")
+    sharpe = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c) * F.sqrt(F.lit(periods_per_year)))
+    own = lambda stat, name: panel_ci(p, ["strategy"], ["hour", "hold"], "slot", "net", "rebalance_time", stat, **kw).select(
+        "strategy", F.col("point").alias(name), F.col("ci_low").alias(f"{name}_ci_low"), F.col("ci_high").alias(f"{name}_ci_high"), *(["G", "low_cluster"] if name == "net_return" else []))
+    out = own(F.sum, "net_return").join(own(sharpe, "sharpe"), "strategy")
+    return out.withColumn("return_ci_includes_zero", (F.col("net_return_ci_low") <= 0) & (F.col("net_return_ci_high") >= 0))
+
+
 def hedge_beta(candles: DataFrame, rebalances: DataFrame, target: str, basket: Sequence[str], *, lookback_s: int = 30 * 86_400, min_observations: int = 24) -> DataFrame:
     """OLS beta of the target's log returns on an equal-weight basket's, per rebalance.
 

@@ -151,6 +151,36 @@ def coverage_audit(panel: DataFrame, universe: DataFrame, start: Column, end: Co
     )
 
 
+def coverage_status(funding: DataFrame, candles: DataFrame, universe: DataFrame, end: Column, tolerance_s: int = 7_200, step_s: int = 3_600) -> DataFrame:
+    """Which source of a market ends early or has holes: no_data, funding_truncated, candle_truncated or complete.
+
+    A source ends early if its last row lies more than the tolerance before ``end``; candles are held against the last
+    funding row, where that is earlier.
+    """
+    us = F.lit(step_s * MICROS)
+
+    def facts(rows: DataFrame, time: str, name: str) -> DataFrame:
+        t = F.col("t")
+        own = rows.select("market", (micros(time) - F.pmod(micros(time), us)).alias("t")).distinct()
+        w = Window.partitionBy("market").orderBy("t")  # one row for each hour
+        hole = (t - F.lag("t", 1).over(w)) / us > 1
+        return own.withColumn("_hole", hole).groupBy("market").agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.count_if("_hole").alias(f"{name}_gaps"), F.max("t").alias(f"_{name}_last"))
+
+    j = universe.select("market").distinct().join(facts(funding, "time_exchange", "funding"), "market", "left").join(facts(candles, "time_open", "candle"), "market", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    late = tolerance_s * MICROS
+    last, clast, stop = F.col("_funding_last"), F.col("_candle_last"), micros(end)
+    target = F.when(last.isNotNull(), F.least(last, stop))
+    status = (
+        F.when((n("funding_rows") == 0) & (n("candle_rows") == 0), "no_data")
+        .when(last.isNull() | (stop - last > late) | (n("funding_gaps") > 0), "funding_truncated")
+        .when((target.isNotNull() & (clast.isNull() | (target - clast > late))) | (n("candle_gaps") > 0), "candle_truncated")
+        .otherwise("complete")
+    )
+    short = F.when(target.isNotNull() & clast.isNotNull(), F.greatest(F.lit(0), target - clast) / F.lit(3600.0 * MICROS))
+    return j.select("market", status.alias("status"), *[n(c).alias(c) for c in ("funding_rows", "candle_rows", "funding_gaps", "candle_gaps")], short.alias("candle_shortfall_hours"))
+
+
 # --- oracle premium against realised funding ------------------------------------
 def funding_from_premium(premium: Column, *, interest: Column | float, multiplier: float = 1.0, clamp: float = CLAMP, divisor: float = DIVISOR, cap: float = CAP) -> Column:
     i = interest if isinstance(interest, Column) else F.lit(float(interest))

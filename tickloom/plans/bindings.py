@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.timecols import micros
 
@@ -27,6 +27,13 @@ class Tables:
     def events(self) -> DataFrame:
         return self.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
+    @cached_property
+    def span(self) -> tuple[Column, Column]:
+        """Start of the first and end of the last hour of the feed, as literals (null for an empty one)."""
+        first, last = self.events.agg(F.min("ts"), F.max("ts")).first()
+        hour = lambda c: F.date_trunc("hour", F.lit(c).cast("timestamp"))
+        return hour(first), hour(last) + F.expr("interval 1 hour")
+
     @cached_property
     def trades(self) -> DataFrame:
         e = self.events
@@ -160,6 +167,7 @@ class Tables:
 
 # --- the same views for the checking SQL ---------------------------------------
 VIEW_SQL: dict[str, str] = {
+    "feed": "SELECT date_trunc('hour', min(ts)) AS t0, date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS t1 FROM events",
     "trades": """SELECT event_id, event_type AS market, ts AS time_exchange,
         make_timestamp(epoch_us(ts) + (event_id % 40 - 3) * 50000) AS time_received,
         100.0::DOUBLE + value / 10.0::DOUBLE AS price, (1 + event_id % 7)::DOUBLE AS base_amount,

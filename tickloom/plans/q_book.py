@@ -199,6 +199,17 @@ def _(t: Tables):
         F.count_if("reversion_censored").alias("censored_count"), F.count_if("zero_overshoot").alias("zero_overshoot_count"))
 
 
+@query("A42_oracle_summary", """SELECT a.market, krx_state, oracle_regime, count(*) AS event_n, round(avg(oracle_fallback_frequency), 6) AS mean_fallback_frequency, round(avg(overshoot_bps), 6) AS mean_overshoot_bps, round(avg(reversion_half_life_seconds), 6) AS mean_half_life,
+    count(*) FILTER (reversion_censored) AS censored_count, count(*) FILTER (zero_overshoot) AS zero_overshoot_count FROM anatomy a JOIN fund_cond f USING (event_id) JOIN oracle_cond o USING (event_id) GROUP BY 1, 2, 3""", "anatomy fund_cond oracle_cond")
+def _(t: Tables):
+    from tickloom.plans.q_joins import funding_conditioning, oracle_conditioning
+
+    f, o = funding_conditioning(t).select("event_id", "krx_state"), oracle_conditioning(t)
+    return anatomy_of(t).join(f, "event_id").join(o, "event_id").groupBy("market", "krx_state", "oracle_regime").agg(
+        F.count(F.lit(1)).alias("event_n"), F.avg("oracle_fallback_frequency").alias("mean_fallback_frequency"), F.avg("overshoot_bps").alias("mean_overshoot_bps"),
+        F.avg("reversion_half_life_seconds").alias("mean_half_life"), F.count_if("reversion_censored").alias("censored_count"), F.count_if("zero_overshoot").alias("zero_overshoot_count"))
+
+
 @query("A67_overshoot_tails", """SELECT market, count(overshoot_bps) AS n, round(list_sort(list(overshoot_bps))[round(0.95 * (count(overshoot_bps) - 1))::BIGINT + 1], 6) AS p95, round(max(overshoot_bps), 6) AS max FROM anatomy WHERE direction = 'BUY' AND overshoot_bps IS NOT NULL GROUP BY 1""", "anatomy")
 def _(t: Tables):
     from tickloom.functions.quantiles import nearest_rank

@@ -13,7 +13,6 @@ from tickloom.session import materialize
 
 STUDY_HORIZONS = {"10m": 600, "30m": 1800, "2h": 7200, "6h": 21600, "1d": 86400}
 MAX_AGE = 6 * 3600
-START = "2024-01-01 00:00:00"
 
 add_view(
     "l1",
@@ -54,9 +53,9 @@ add_view(
 )
 add_view(
     "rates",
-    f"""SELECT market, time_exchange, funding_rate FROM funding UNION ALL
-    SELECT market, TIMESTAMP '{START}', 0.0::DOUBLE FROM funding GROUP BY market HAVING min(time_exchange) > TIMESTAMP '{START}'""",
-    "funding",
+    """SELECT market, time_exchange, funding_rate FROM funding UNION ALL
+    SELECT market, t0, 0.0::DOUBLE FROM funding, feed GROUP BY market, t0 HAVING min(time_exchange) > t0""",
+    "funding feed",
 )
 _SEG = """CASE WHEN isodow(loc) >= 6 THEN 'weekend'
     WHEN strftime(loc, '%Y-%m-%d') IN ('2024-01-01', '2024-01-15') THEN '{hol}'
@@ -107,7 +106,7 @@ def fills_of(t: Tables):
 
 
 def markouts_of(t: Tables):
-    rates = fl.with_default_rate(t.funding, t.quotes, F.lit(START).cast("timestamp"))
+    rates = fl.with_default_rate(t.funding, t.quotes, t.span[0])
     fills = materialize(fills_of(t), "fills")  # far fewer rows than ticks; cuts the plan in two
     return fl.fill_markouts(fills, l1_of(t), rates, horizons=STUDY_HORIZONS, max_quote_age_s=MAX_AGE)
 
@@ -167,4 +166,4 @@ def _(t: Tables):
     "U5_default_prefix_row",
     """SELECT market, time_exchange, round(funding_rate, 6) AS funding_rate FROM rates""", "rates")
 def _(t: Tables):
-    return fl.with_default_rate(t.funding, t.quotes, F.lit(START).cast("timestamp"))
+    return fl.with_default_rate(t.funding, t.quotes, t.span[0])

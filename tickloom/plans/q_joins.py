@@ -12,15 +12,12 @@ from tickloom.operators.quotes import microprices
 from tickloom.operators.ranges import hours_touched, range_totals, rows_in_windows
 from tickloom.operators.sessions import label_sessions
 from tickloom.plans.bindings import Tables, add_view
-from tickloom.plans.q_fills import START, l1_of
+from tickloom.plans.q_fills import l1_of
 from tickloom.plans.registry import query
 
-WS, WE = "2024-01-02 00:00:00", "2024-01-30 00:00:00"
-END_ALL = "2024-01-31 00:00:00"
-
 
 def rates_of(t: Tables):
-    return with_default_rate(t.funding, t.trades, F.lit(START).cast("timestamp"))
+    return with_default_rate(t.funding, t.trades, t.span[0])
 
 
 @query("J1_asof_value", """SELECT t.event_id, t.market, t.time_exchange, m.time_exchange AS obs_time, round(m.microprice, 6) AS microprice
@@ -191,17 +188,17 @@ def _(t: Tables):
 
 
 add_view("exposure", f"""WITH h AS (SELECT market, funding_rate, time_exchange AS a, lead(time_exchange) OVER (PARTITION BY market ORDER BY time_exchange) AS b FROM rates),
-    c AS (SELECT market, funding_rate, greatest(a, TIMESTAMP '{WS}') AS a, least(coalesce(b, TIMESTAMP '{WE}'), TIMESTAMP '{WE}') AS b FROM h),
+    c AS (SELECT market, funding_rate, greatest(a, t0) AS a, least(coalesce(b, t1), t1) AS b FROM h, feed),
     k AS (SELECT market, funding_rate, a, b, unnest(generate_series(time_bucket(INTERVAL '6 hours', a), b - INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR)) AS block_start FROM c WHERE a < b),
     s AS (SELECT market, funding_rate, block_start, greatest(a, block_start) AS interval_start, least(b, block_start + INTERVAL 6 HOUR) AS interval_end FROM k)
     SELECT market, block_start, interval_start, interval_end, funding_rate, funding_rate * 24 * 365 AS annualized_rate, {_BUCKET.format(r='funding_rate')} AS funding_bucket,
       (epoch_us(interval_end) - epoch_us(interval_start)) / 3.6e9::DOUBLE AS exposure_hours,
       (SELECT count(*) FROM shocks e WHERE e.market = s.market AND e.start_time >= s.interval_start AND e.start_time < s.interval_end) AS event_count,
-      market || '|' || strftime(block_start, '%Y-%m-%dT%H:%M:%S') AS cluster_key FROM s""", "rates shocks")
+      market || '|' || strftime(block_start, '%Y-%m-%dT%H:%M:%S') AS cluster_key FROM s""", "rates shocks feed")
 
 
 def exposure_of(t: Tables):
-    return cn.exposure_panel(rates_of(t), t.shocks.select("market", "start_time"), F.lit(WS).cast("timestamp"), F.lit(WE).cast("timestamp"))
+    return cn.exposure_panel(rates_of(t), t.shocks.select("market", "start_time"), *t.span)
 
 
 @query("T13_exposure_panel", "SELECT * REPLACE (round(funding_rate, 6) AS funding_rate, round(annualized_rate, 6) AS annualized_rate, round(exposure_hours, 6) AS exposure_hours) FROM exposure", "exposure")
@@ -221,13 +218,13 @@ add_view("bridge", f"""WITH e AS (SELECT s.market, s.start_time, s.direction, un
     c AS (SELECT 'high_apr_buy' AS cohort, * FROM e WHERE funding_bucket = 'ge_100pct' AND direction = 'BUY' UNION ALL SELECT 'low_apr_buy', * FROM e WHERE funding_bucket IN ('negative', '0_to_25pct') AND direction = 'BUY'
       UNION ALL SELECT 'high_apr_sell', * FROM e WHERE funding_bucket = 'ge_100pct' AND direction = 'SELL' UNION ALL SELECT 'proxy_population', * FROM e),
     f AS (SELECT cohort, wallet, min((start_time, market)) AS m FROM c GROUP BY 1, 2)
-    SELECT cohort, wallet, m[2] AS cohort_market, m[1] AS cohort_time, m[1] > TIMESTAMP '{WE}' - INTERVAL 24 HOUR AS censored,
-      (SELECT min((start_time, market)) FROM e WHERE e.wallet = f.wallet AND e.start_time > f.m[1]) AS l FROM f""", "shocks rates")
+    SELECT cohort, wallet, m[2] AS cohort_market, m[1] AS cohort_time, m[1] > (SELECT t1 FROM feed) - INTERVAL 24 HOUR AS censored,
+      (SELECT min((start_time, market)) FROM e WHERE e.wallet = f.wallet AND e.start_time > f.m[1]) AS l FROM f""", "shocks rates feed")
 
 
 def bridge_of(t: Tables):
     ev = cn.causal_buckets(rates_of(t), t.shocks.select("market", "start_time", "direction", "wallets"), "start_time")
-    return cn.wallet_bridge(ev, F.lit(WE).cast("timestamp"))
+    return cn.wallet_bridge(ev, t.span[1])
 
 
 @query("A41_wallet_bridge", """WITH p AS (SELECT cohort, count(*) FILTER (NOT censored) AS n, count(*) FILTER (NOT censored AND l IS NOT NULL) AS later, count(*) FILTER (censored) AS cens FROM bridge GROUP BY 1),

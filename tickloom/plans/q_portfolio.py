@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.timecols import plus_seconds
+from tickloom.functions.timecols import micros, plus_seconds
 from tickloom.operators import conditioning as cn, portfolio as pf
 from tickloom.plans.bindings import Tables, add_view
 from tickloom.plans.registry import query
 from tickloom.session import materialize
 
-START, STOP, MIN_OBS = "2024-01-08 01:00:00", "2024-01-31 00:00:00", 100
+MIN_OBS = 100
 
 
-def ts(s: str):
-    return F.lit(s).cast("timestamp")
+def study_of(t: Tables):
+    """From a full week of history and the hour after it to the end of the feed."""
+    return t.span[0] + F.expr("interval 7 days 1 hour"), t.span[1]
 
 
 def slots_of(t: Tables, hours: int = 24):
-    return pf.schedule(t.trades.select("market"), ts(START), ts(STOP), hours)
+    return pf.schedule(t.trades.select("market"), *study_of(t), hours)
 
 
 def signals_of(t: Tables):
@@ -44,7 +45,8 @@ def ledger_of(t: Tables):
     return materialize(pf.ledger(materialize(targets_of(t), "targets"), t.candles_1h, t.funding, costs_of(t), 24), "ledger")
 
 
-add_view("slots", f"SELECT market, r AS rebalance_time, r + INTERVAL 24 HOUR AS end_time FROM (SELECT DISTINCT market, unnest(generate_series(TIMESTAMP '2024-01-09', TIMESTAMP '2024-01-30', INTERVAL 24 HOUR)) AS r FROM trades)", "trades")
+_SLOTS = """SELECT market, r AS rebalance_time, r + INTERVAL {h} HOUR AS end_time FROM (SELECT DISTINCT market, unnest(generate_series(CAST(to_timestamp(ceil(epoch(t0 + INTERVAL 169 HOUR) / {s}) * {s}) AT TIME ZONE 'UTC' AS TIMESTAMP), t1 - INTERVAL {h} HOUR, INTERVAL {h} HOUR)) AS r FROM trades, feed)"""
+add_view("slots", _SLOTS.format(h=24, s=86_400), "trades feed")
 add_view("signals", f"""SELECT s.*, (SELECT avg(funding_rate) FROM funding f WHERE f.market = s.market AND f.time_exchange > s.rebalance_time - INTERVAL 7 DAY AND f.time_exchange <= s.rebalance_time) AS signal FROM slots s
     WHERE EXISTS (SELECT 1 FROM candles_1h c WHERE c.market = s.market AND c.time_close <= s.rebalance_time AND c.time_close >= s.rebalance_time - INTERVAL 1 SECOND)
     AND (SELECT count(*) FROM funding f WHERE f.market = s.market AND f.time_exchange > s.rebalance_time - INTERVAL 7 DAY AND f.time_exchange <= s.rebalance_time) >= {MIN_OBS}""", "slots funding candles_1h")
@@ -80,7 +82,7 @@ def rr(*cols: str) -> str:
     return "* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in cols) + ")"
 
 
-@query("T14_rebalance_schedule", """SELECT market, r AS rebalance_time, r + INTERVAL 8 HOUR AS end_time FROM (SELECT DISTINCT market, unnest(generate_series(TIMESTAMP '2024-01-08 08:00:00', TIMESTAMP '2024-01-30 16:00:00', INTERVAL 8 HOUR)) AS r FROM trades)""", "trades")
+@query("T14_rebalance_schedule", _SLOTS.format(h=8, s=28_800), "trades feed")
 def _(t: Tables):
     return slots_of(t, 8)
 
@@ -156,21 +158,32 @@ def _(t: Tables):
     r AS (SELECT strategy, sum(period_hours) FILTER (position <> 0) / 24 AS mde, min((price_pnl, market, block_start)) FILTER (position < 0) AS s, coalesce(-sum(price_pnl) FILTER (price_pnl < 0 AND price_loss_path = 'pre_rebalance_drop'), 0) AS a, coalesce(-sum(price_pnl) FILTER (price_pnl < 0 AND price_loss_path = 'forward_squeeze'), 0) AS b,
       coalesce(-sum(price_pnl) FILTER (price_pnl < 0 AND price_loss_path = 'unknown_pre_history'), 0) AS u, count(DISTINCT market) FILTER (position <> 0) AS me FROM ledger GROUP BY 1),
     q AS (SELECT strategy, sum(lost) AS l FROM (SELECT strategy, rebalance_time, market, CASE WHEN NOT bool_and(coverage_complete_for_hold) THEN greatest(0, 24 - sum(period_hours)) / 24 ELSE 0 END AS lost FROM ledger WHERE position <> 0 GROUP BY 1, 2, 3) GROUP BY 1)
-    SELECT strategy, round(net, 6) AS net_total_return, round(fp, 6) AS funding_pnl, round(pp, 6) AS price_pnl, round(cp, 6) AS cost_pnl, round(sh, 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(cmin, 6) AS cumulative_min, round(cmax, 6) AS cumulative_max, round(w[1], 6) AS worst_period_price_pnl, w[2] AS worst_period_time,
+    SELECT strategy, round(net, 6) AS net_total_return, round(fp, 6) AS funding_pnl, round(pp, 6) AS price_pnl, round(cp * 1e4, 6) AS cost_bps, round(sh, 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(cmin, 6) AS cumulative_min, round(cmax, 6) AS cumulative_max, round(w[1], 6) AS worst_period_price_pnl, w[2] AS worst_period_time,
       round(s[1], 6) AS worst_short_price_pnl, s[2] AS worst_short_market, n AS rebalance_count, me AS markets_entered, round(mde, 6) AS market_days_entered, round(l, 6) AS market_days_lost, round(a, 6) AS pre_drop_price_loss, round(b, 6) AS forward_squeeze_price_loss, round(u, 6) AS unknown_price_loss,
       round(CASE WHEN a + b > 0 THEN a / (a + b) END, 6) AS pre_drop_loss_fraction FROM t JOIN r USING (strategy) JOIN q USING (strategy)""", "periods")
 def _(t: Tables):
-    return pf.strategy_summary(ledger_of(t))
+    return pf.strategy_summary(ledger_of(t)).select("*", (F.col("cost_pnl") * 1e4).alias("cost_bps")).drop("cost_pnl")
+
+
+@query("A49_strategy_intervals", """WITH n AS (SELECT strategy, hour(rebalance_time) AS h, (epoch(end_time) - epoch(rebalance_time)) / 3600 AS hold, rebalance_time, sum(net_pnl) AS net FROM ledger GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY strategy, h, hold ORDER BY rebalance_time) - 1 AS i, count(*) OVER (PARTITION BY strategy, h, hold) AS m, count(*) OVER (PARTITION BY strategy) AS G FROM n),
+    p AS (SELECT strategy, h, hold, draw, ('0x' || substr(md5(concat_ws('|', 0, draw, strftime(rebalance_time, '%Y-%m-%d %H:%M:%S'))), 1, 8))::BIGINT % m AS i FROM r, range(2000) d(draw) WHERE G >= 5),
+    v AS (SELECT p.strategy, draw, sum(r.net) AS s, CASE WHEN stddev_samp(r.net) > 0 THEN avg(r.net) / stddev_samp(r.net) * sqrt(365) END AS sh FROM p JOIN r USING (strategy, h, hold, i) GROUP BY 1, 2),
+    q AS (SELECT strategy, quantile_cont(s, 0.025) AS sl, quantile_cont(s, 0.975) AS su, quantile_cont(sh, 0.025) AS hl, quantile_cont(sh, 0.975) AS hu FROM v GROUP BY 1),
+    a AS (SELECT strategy, sum(net) AS s, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(365) END AS sh, count(*) AS G FROM n GROUP BY 1)
+    SELECT strategy, round(s, 6) AS net_return, round(sl, 6) AS net_return_ci_low, round(su, 6) AS net_return_ci_high, round(sh, 6) AS sharpe, round(hl, 6) AS sharpe_ci_low, round(hu, 6) AS sharpe_ci_high, G, G < 5 AS low_cluster, sl <= 0 AND su >= 0 AS return_ci_includes_zero FROM a LEFT JOIN q USING (strategy)""", "ledger")
+def _(t: Tables):
+    return pf.strategy_intervals(ledger_of(t))
 
 
 @query("A51_monthly_and_splits", """WITH a AS (SELECT p.*, (SELECT avg(pre_rebalance_return) FROM pre_ret x WHERE x.rebalance_time = p.rebalance_time) AS tape FROM periods p)
-    SELECT strategy, 'month' AS split, strftime(rebalance_time, '%Y-%m') AS part, count(*) AS n, round(sum(net_pnl), 6) AS net_pnl FROM a GROUP BY ALL UNION ALL SELECT strategy, 'half', CASE WHEN rebalance_time < TIMESTAMP '2024-01-20' THEN 'H1' ELSE 'H2' END, count(*), round(sum(net_pnl), 6) FROM a GROUP BY ALL
-    UNION ALL SELECT strategy, 'tape', CASE WHEN tape >= 0 THEN 'up_tape' ELSE 'down_tape' END, count(*), round(sum(net_pnl), 6) FROM a GROUP BY ALL""", "periods pre_ret")
+    SELECT strategy, 'month' AS split, strftime(rebalance_time, '%Y-%m') AS part, count(*) AS n, round(sum(net_pnl), 6) AS net_pnl FROM a GROUP BY ALL UNION ALL SELECT strategy, 'half', CASE WHEN epoch_us(rebalance_time) * 2 < epoch_us(t0) + epoch_us(t1) + 608400000000 THEN 'H1' ELSE 'H2' END AS part, count(*), round(sum(net_pnl), 6) FROM a, feed GROUP BY strategy, part
+    UNION ALL SELECT strategy, 'tape', CASE WHEN tape >= 0 THEN 'up_tape' ELSE 'down_tape' END, count(*), round(sum(net_pnl), 6) FROM a GROUP BY ALL""", "periods pre_ret feed")
 def _(t: Tables):
     tape = pf.tape_return(slots_of(t).select("market", "rebalance_time"), t.candles_1h)
     p = pf.period_returns(ledger_of(t)).join(tape, "rebalance_time", "left")
     part = lambda s, c: F.struct(F.lit(s).alias("split"), c.alias("part"))
-    cells = F.array(part("month", F.date_format("rebalance_time", "yyyy-MM")), part("half", F.when(F.col("rebalance_time") < ts("2024-01-20 00:00:00"), "H1").otherwise("H2")),
+    cells = F.array(part("month", F.date_format("rebalance_time", "yyyy-MM")), part("half", F.when(micros("rebalance_time") * 2 < sum(F.unix_micros(x) for x in study_of(t)), "H1").otherwise("H2")),
                     part("tape", F.when(F.col("trailing_tape") >= 0, "up_tape").otherwise("down_tape")))
     return p.select("strategy", "net_pnl", F.explode(cells).alias("c")).groupBy("strategy", "c.split", "c.part").agg(F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("net_pnl"))
 
@@ -185,11 +198,11 @@ def _(t: Tables):
     return l.join(pre, ["market", "rebalance_time"], "left").filter("price_pnl > 0").groupBy("strategy", path.alias("gain_path")).agg(F.sum("price_pnl").alias("price_pnl"))
 
 
-@query("J22_paired_strategies", """SELECT count(*) AS n, round(sum(a.net_pnl - b.net_pnl), 6) AS net, round(sum(a.funding_pnl - b.funding_pnl), 6) AS funding, round(sum(a.price_pnl - b.price_pnl), 6) AS price, round(sum(a.cost_pnl - b.cost_pnl), 6) AS cost, round(corr(a.net_pnl, b.net_pnl), 6) AS corr
+@query("J22_paired_strategies", """SELECT count(*) AS n, round(sum(a.net_pnl - b.net_pnl) * 1e4, 6) AS net_bps, round(sum(a.funding_pnl - b.funding_pnl) * 1e4, 6) AS funding_bps, round(sum(a.price_pnl - b.price_pnl) * 1e4, 6) AS price_bps, round(sum(a.cost_pnl - b.cost_pnl) * 1e4, 6) AS cost_bps, round(corr(a.net_pnl, b.net_pnl), 6) AS corr
     FROM periods a JOIN periods b USING (rebalance_time) WHERE a.strategy = 'long_top' AND b.strategy = 'long_universe'""", "periods")
 def _(t: Tables):
     d = pf.paired_difference(pf.period_returns(ledger_of(t)), "long_top", "long_universe")
-    return d.agg(F.count(F.lit(1)).alias("n"), F.sum("diff_net_pnl").alias("net"), F.sum("diff_funding_pnl").alias("funding"), F.sum("diff_price_pnl").alias("price"), F.sum("diff_cost_pnl").alias("cost"), F.corr("a_net_pnl", "b_net_pnl").alias("corr"))
+    return d.agg(F.count(F.lit(1)).alias("n"), *[(F.sum(f"diff_{c}_pnl") * 1e4).alias(f"{c}_bps") for c in ("net", "funding", "price", "cost")], F.corr("a_net_pnl", "b_net_pnl").alias("corr"))
 
 
 @query("T19_hedge_beta", """WITH w AS (SELECT time_open, max(close) FILTER (market = 'click') AS a, max(close) FILTER (market = 'view') AS b, max(close) FILTER (market = 'error') AS c FROM candles_1h WHERE market IN ('click', 'view', 'error') GROUP BY 1),

@@ -9,7 +9,7 @@ from tickloom.operators import bars as b, bootstrap as bs, conditioning as cn, r
 from tickloom.plans.bindings import Tables, add_view
 from tickloom.plans.q_bars import wallet_trades
 from tickloom.plans.q_fills import STUDY_HORIZONS, markouts_of
-from tickloom.plans.q_joins import END_ALL, exposure_of
+from tickloom.plans.q_joins import exposure_of
 from tickloom.plans.registry import query
 
 _CKT = "market || '|' || strftime(time_bucket(INTERVAL '6 hours', time_exchange), '%Y-%m-%dT%H:%M:%S')"
@@ -270,14 +270,43 @@ def _(t: Tables):
     return st.regime_runs(t.funding, cn.apr("funding_rate"))
 
 
-@query("A26_coverage_audit", """WITH i AS (SELECT DISTINCT market, time_exchange AS s FROM funding WHERE time_exchange >= TIMESTAMP '2024-01-01 02:00:00' AND time_exchange < TIMESTAMP '2024-01-31 00:00:00'),
+@query("A26_coverage_audit", """WITH i AS (SELECT DISTINCT market, time_exchange AS s FROM funding, feed WHERE time_exchange > t0 AND time_exchange <= t1),
     g AS (SELECT market, epoch(lead(s) OVER (PARTITION BY market ORDER BY s)) / 3600 - epoch(s) / 3600 - 1 AS m FROM i), h AS (SELECT market, count(*) AS gaps, max(m)::BIGINT AS largest FROM g WHERE m > 0 GROUP BY 1),
     a AS (SELECT market, count(*) AS k, min(s) AS a, max(s) AS b FROM i GROUP BY 1)
-    SELECT market, k AS actual_rows, (epoch(b) - epoch(a))::BIGINT // 3600 + 1 AS expected_rows, 718::BIGINT AS window_rows, (epoch(b) - epoch(a))::BIGINT // 3600 + 1 - k AS missing_rows, coalesce(gaps, 0) AS gaps, coalesce(largest, 0) AS largest_gap, a AS first_time, b AS last_time,
-      CASE WHEN epoch(a) - epoch(TIMESTAMP '2024-01-01 02:00:00') >= 3600 THEN 'funding_truncated' ELSE 'complete' END AS status FROM a LEFT JOIN h USING (market)""", "funding")
+    SELECT market, k AS actual_rows, (epoch(b) - epoch(a))::BIGINT // 3600 + 1 AS expected_rows, (SELECT (epoch(t1) - epoch(t0))::BIGINT // 3600 FROM feed) AS window_rows, (epoch(b) - epoch(a))::BIGINT // 3600 + 1 - k AS missing_rows, coalesce(gaps, 0) AS gaps, coalesce(largest, 0) AS largest_gap, a AS first_time, b AS last_time,
+      CASE WHEN epoch(a) - (SELECT epoch(t0) + 3600 FROM feed) >= 3600 THEN 'funding_truncated' ELSE 'complete' END AS status FROM a LEFT JOIN h USING (market)""", "funding feed")
 def _(t: Tables):
-    ts = lambda s: F.lit(s).cast("timestamp")
-    return st.coverage_audit(t.funding, t.trades, ts("2024-01-01 02:00:00"), ts("2024-01-31 00:00:00"))
+    hour = F.expr("interval 1 hour")
+    return st.coverage_audit(t.funding, t.trades, t.span[0] + hour, t.span[1] + hour)
+
+
+add_view("patchy", "SELECT * FROM candles_1h WHERE NOT (market = 'error' AND extract(day FROM time_open) > 25) AND NOT (market = 'click' AND extract(hour FROM time_open) = 5) AND market <> 'view'", "candles_1h")
+
+
+@query("A26_coverage_status", """WITH f AS (SELECT market, time_exchange AS s FROM funding WHERE market <> 'signup'), c AS (SELECT market, time_open AS s FROM patchy),
+    fa AS (SELECT market, count(*) AS n, max(s) AS last, count(*) FILTER (m > 0) AS gaps FROM (SELECT *, (epoch(s) - epoch(lag(s) OVER (PARTITION BY market ORDER BY s))) / 3600 - 1 AS m FROM f) GROUP BY 1),
+    ca AS (SELECT market, count(*) AS n, max(s) AS last, count(*) FILTER (m > 0) AS gaps FROM (SELECT *, (epoch(s) - epoch(lag(s) OVER (PARTITION BY market ORDER BY s))) / 3600 - 1 AS m FROM c) GROUP BY 1),
+    j AS (SELECT u.market, coalesce(fa.n, 0) AS funding_rows, coalesce(ca.n, 0) AS candle_rows, coalesce(fa.gaps, 0) AS funding_gaps, coalesce(ca.gaps, 0) AS candle_gaps, fa.last AS fl, CASE WHEN fa.last IS NOT NULL THEN least(fa.last, t1) END AS target, ca.last AS cl, t1 FROM (SELECT DISTINCT market FROM trades) u LEFT JOIN fa USING (market) LEFT JOIN ca USING (market), feed)
+    SELECT market, CASE WHEN funding_rows = 0 AND candle_rows = 0 THEN 'no_data' WHEN fl IS NULL OR epoch(t1) - epoch(fl) > 7200 OR funding_gaps > 0 THEN 'funding_truncated' WHEN target IS NOT NULL AND (cl IS NULL OR epoch(target) - epoch(cl) > 7200) OR candle_gaps > 0 THEN 'candle_truncated' ELSE 'complete' END AS status,
+      funding_rows, candle_rows, funding_gaps, candle_gaps, CASE WHEN target IS NOT NULL AND cl IS NOT NULL THEN greatest(0, epoch(target) - epoch(cl)) / 3600.0::DOUBLE END AS candle_shortfall_hours FROM j""", "funding patchy trades feed")
+def _(t: Tables):
+    return coverage_status_of(t)
+
+
+def coverage_status_of(t: Tables):
+    day, hour = F.dayofmonth("time_open"), F.hour("time_open")
+    patchy = t.candles_1h.filter(~((F.col("market") == "error") & (day > 25)) & ~((F.col("market") == "click") & (hour == 5)) & (F.col("market") != "view"))
+    return st.coverage_status(t.funding.filter("market <> 'signup'"), patchy, t.trades, t.span[1])
+
+
+@query("A26_status_counts", """WITH f AS (SELECT market, max(time_exchange) AS fl FROM funding WHERE market <> 'signup' GROUP BY 1), g AS (SELECT market, count(*) AS gaps FROM (SELECT market, (epoch(time_exchange) - epoch(lag(time_exchange) OVER (PARTITION BY market ORDER BY time_exchange))) / 3600 - 1 AS m FROM funding WHERE market <> 'signup') WHERE m > 0 GROUP BY 1),
+    c AS (SELECT market, max(time_open) AS cl, count(*) FILTER (m > 0) AS cg FROM (SELECT *, (epoch(time_open) - epoch(lag(time_open) OVER (PARTITION BY market ORDER BY time_open))) / 3600 - 1 AS m FROM patchy) GROUP BY 1),
+    j AS (SELECT market, CASE WHEN fl IS NULL AND cl IS NULL THEN 'no_data' WHEN fl IS NULL OR epoch(t1) - epoch(fl) > 7200 OR coalesce(gaps, 0) > 0 THEN 'funding_truncated' WHEN cl IS NULL OR epoch(least(fl, t1)) - epoch(cl) > 7200 OR cg > 0 THEN 'candle_truncated' ELSE 'complete' END AS status,
+      cl IS NULL AS none, epoch(least(fl, t1)) - epoch(cl) > 86400 AS far FROM (SELECT DISTINCT market FROM trades) u LEFT JOIN f USING (market) LEFT JOIN g USING (market) LEFT JOIN c USING (market), feed)
+    SELECT status, count(*) AS markets, count(*) FILTER (coalesce(far, false)) AS over_24h, count(*) FILTER (none) AS without_candles FROM j GROUP BY 1""", "funding patchy trades feed")
+def _(t: Tables):
+    far = F.coalesce(F.col("candle_shortfall_hours") > 24, F.lit(False))
+    return coverage_status_of(t).groupBy("status").agg(F.count(F.lit(1)).alias("markets"), F.count_if(far).alias("over_24h"), F.count_if(F.col("candle_rows") == 0).alias("without_candles"))
 
 
 @query("A26_gap_rows", """SELECT * FROM (SELECT market, time_exchange AS before, lead(time_exchange) OVER (PARTITION BY market ORDER BY time_exchange) AS after,
