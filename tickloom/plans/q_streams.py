@@ -31,14 +31,16 @@ def _(t: Tables):
 @query("R2_streaming_book_l1", """SELECT b.market, b.time_exchange, max(price) FILTER (side = 'bid') AS best_bid_px, arg_max(size, price) FILTER (side = 'bid') AS best_bid_sx, min(price) FILTER (side = 'ask') AS best_ask_px, arg_min(size, price) FILTER (side = 'ask') AS best_ask_sx, 0::BIGINT AS late
     FROM (SELECT DISTINCT market, time_exchange FROM states) b LEFT JOIN live_levels l USING (market, time_exchange) GROUP BY 1, 2""", "live_levels")
 def _(t: Tables):
-    return jobs.run_to_table(t.spark, jobs.book_l1(stream_tables(t).book), "book")
+    beat = jobs.Heartbeat(t.spark)
+    return jobs.run_to_table(t.spark, jobs.book_l1(stream_tables(t).book, beat), "book", lambda: beat.end(t.span[1] + F.expr("interval 1 hour")))
 
 
-@query("R3_streaming_bursts", f"""SELECT market, bucket, direction, trade_count, trailing_median_trade_rate AS median_rate, round(price_displacement, 6) AS displacement, round(trailing_return_sigma, 6) AS sigma FROM candidates
-    WHERE trailing_median_trade_rate > 0 AND trailing_return_sigma > 0 AND trade_count >= 1.1 * trailing_median_trade_rate AND price_displacement >= 0.4 * trailing_return_sigma AND (market, bucket) NOT IN (SELECT (market, max(bucket)) FROM grid GROUP BY market)""", "candidates")
+@query("R3_streaming_bursts", f"""SELECT market, bucket, direction, trade_count, trailing_median_trade_rate AS median_rate, round(price_displacement, 6) AS displacement, round(trailing_return_sigma, 6) AS sigma, 0::BIGINT AS late FROM candidates
+    WHERE trailing_median_trade_rate > 0 AND trailing_return_sigma > 0 AND trade_count >= 1.1 * trailing_median_trade_rate AND price_displacement >= 0.4 * trailing_return_sigma""", "candidates")
 def _(t: Tables):
-    s = jobs.burst_candidates(stream_tables(t).trades, bucket_s=H6, history=_HIST, rate_multiple=BURST["rate_multiple"], sigma_multiple=BURST["sigma_multiple"])
-    return jobs.run_to_table(t.spark, s, "bursts")
+    beat = jobs.Heartbeat(t.spark)
+    s = jobs.burst_candidates(stream_tables(t).trades, beat, bucket_s=H6, history=_HIST, rate_multiple=BURST["rate_multiple"], sigma_multiple=BURST["sigma_multiple"])
+    return jobs.run_to_table(t.spark, s, "bursts", lambda: beat.end(t.span[1] + F.expr("interval 1 day")))
 
 
 @query("R4_streaming_dedup", "SELECT market, count(*) AS n, round(sum(price), 6) AS total FROM trades GROUP BY 1", "trades")

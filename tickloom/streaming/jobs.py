@@ -2,30 +2,65 @@
 
 from __future__ import annotations
 
-import json
 import math
 import statistics
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from tickloom.session import shared_dir
+from tickloom.session import materialize, shared_dir
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Process what is available now into a parquet table and read it back."""
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, ending: Callable[[], None] | None = None) -> DataFrame:
+    """Process what is available now into a parquet table and read it back.
+
+    ``ending`` is called once the input is used up, to add what closes it (``Heartbeat.end``); the stream then goes on from its
+    checkpoint.
+    """
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/log")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    for step in (None, ending, ending) if ending else (None,):  # a batch sees the watermark of the one before it
+        if step:
+            step()
+        q = (
+            stream.writeStream.format("parquet").option("path", f"{base}/data").option("checkpointLocation", f"{base}/log")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+class Heartbeat:
+    """A stream of times without rows, which moves the clock on when a feed has ended or gone quiet.
+
+    Timers close what is open once the watermark passes it; a watermark moves only with input.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/beats-{uuid.uuid4().hex}"
+        spark.createDataFrame([], "time_exchange timestamp").write.parquet(self.path)
+
+    def beside(self, rows: DataFrame, lateness: str) -> DataFrame:
+        """The rows and the beats (rows of nulls but for the time), under one watermark."""
+        beats = self.spark.readStream.schema("time_exchange timestamp").parquet(self.path)
+        return rows.unionByName(beats, allowMissingColumns=True).withWatermark("time_exchange", lateness)
+
+    @staticmethod
+    def rows(both: DataFrame) -> DataFrame:
+        """Without the beats. The condition names the event time, or it would be moved below the watermark and no beat counted."""
+        return both.filter(F.unix_micros("time_exchange") * 0 + F.col("market").isNotNull().cast("int") == 1)
+
+    def end(self, at: Column) -> None:
+        self.spark.range(1).select(at.cast("timestamp").alias("time_exchange")).write.mode("append").parquet(self.path)
+
+
+def stateful(spark: SparkSession) -> None:
+    """Map states and timers need the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def ohlcv(trades: DataFrame, every: str, lateness: str) -> DataFrame:
     """Tumbling bars, emitted once the watermark has passed their end."""
     order = F.struct("time_exchange", "seq")
@@ -43,125 +78,228 @@ def drop_duplicate_prints(trades: DataFrame, keys: Sequence[str], lateness: str)
 BOOK_OUT = "market string, time_exchange timestamp, best_bid_px double, best_bid_sx double, best_ask_px double, best_ask_sx double, late long"
 
 
-def _book_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["time_exchange", "seq"], kind="stable")
-    book, last, in_snapshot, started = {"bid": {}, "ask": {}}, None, False, False
-    if state.exists:
-        saved = json.loads(state.get[0])
-        book = {s: {float(p): q for p, q in lv.items()} for s, lv in saved["book"].items()}
-        last, in_snapshot, started = saved["last"], saved["in_snapshot"], saved["started"]
-    out = []
-    for t, g in rows.groupby("time_exchange", sort=True):
-        us = t.value // 1000 if isinstance(t, pd.Timestamp) else int(t)
-        if last is not None and us < last:  # out of order: reported, never applied
-            out.append((key[0], t, None, None, None, None, len(g)))
-            continue
-        last = us
-        for kind, buy, px, sx in zip(g["update_type"], g["is_buy"], g["entry_px"], g["entry_sx"]):
-            if kind == "SNAPSHOT":
-                if not in_snapshot:
-                    book, started = {"bid": {}, "ask": {}}, True
-                in_snapshot = True
-            else:
-                in_snapshot = False
-            side = book["bid" if buy else "ask"]
-            if kind in ("SNAPSHOT", "SET", "CHANGE", "UPDATE"):
-                size = sx
-            elif kind == "ADD":
-                size = side.get(px, 0.0) + sx
-            elif kind == "SUB":
-                size = max(0.0, side.get(px, 0.0) - sx)
-            else:
-                size = 0.0
+class BookKeeper(StatefulProcessor):
+    """A market's book as one state entry for each level; of a batch only the touched levels are written back.
+
+    An instant is reported when a later one comes or the watermark has passed it, so two batches that share an instant report it
+    once. Rows before the last instant, or of a reported one, are counted as late and never applied.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.levels = handle.getMapState("levels", "buy boolean, price double", "size double")
+        self.clock = handle.getValueState("clock", "last long, snapshot boolean, started boolean, open boolean")
+
+    def report(self, market: str, us: int, book: dict) -> tuple:
+        bids, asks = book[True], book[False]
+        b, a = max(bids, default=None), min(asks, default=None)
+        return market, pd.Timestamp(us, unit="us"), b, bids.get(b), a, asks.get(a), 0
+
+    def saved(self) -> dict:
+        book: dict = {True: {}, False: {}}
+        for (buy, price), (size,) in self.levels.iterator():
+            book[buy][price] = size
+        return book
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
+        last, snapshot, started, open_ = self.clock.get() if self.clock.exists() else (None, False, False, False)
+        before = last
+        book, touched, cleared, out, late = self.saved(), set(), False, [], {}
+        for us, kind, buy, px, sx in zip(every["us"].tolist(), every["update_type"], every["is_buy"].tolist(), every["entry_px"].tolist(), every["entry_sx"].tolist(), strict=True):
+            if last is not None and (us < last or (us == last and not open_)):
+                late[us] = late.get(us, 0) + 1
+                continue
+            if us != last:
+                if open_ and started:
+                    out.append(self.report(key[0], last, book))
+                last, open_ = us, True
+            if kind == "SNAPSHOT" and not snapshot:
+                book, touched, cleared, started = {True: {}, False: {}}, set(), True, True
+            snapshot = kind == "SNAPSHOT"
+            side = book[buy]
+            size = sx if kind in SETS else side.get(px, 0.0) + sx if kind == "ADD" else max(0.0, side.get(px, 0.0) - sx) if kind == "SUB" else 0.0
             if size > 0:
                 side[px] = size
             else:
                 side.pop(px, None)
-        if started:
-            b = max(book["bid"], default=None)
-            a = min(book["ask"], default=None)
-            out.append((key[0], t, b, book["bid"].get(b), a, book["ask"].get(a), 0))
-    state.update((json.dumps({"book": book, "last": last, "in_snapshot": in_snapshot, "started": started}),))
-    yield pd.DataFrame(out, columns=["market", "time_exchange", "best_bid_px", "best_bid_sx", "best_ask_px", "best_ask_sx", "late"])
-
-
-def book_l1(events: DataFrame) -> DataFrame:
-    """Top of book after each instant; late rows come out marked instead of failing."""
-    e = events.select("market", "time_exchange", "seq", "update_type", "is_buy", "entry_px", "entry_sx")
-    return e.groupBy("market").applyInPandasWithState(_book_step, BOOK_OUT, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-BURST_OUT = "market string, bucket timestamp, direction string, trade_count long, median_rate double, displacement double, sigma double"
-
-
-def _burst_step(bucket_s: int, history: int, rate_multiple: float, sigma_multiple: float) -> Callable:
-    def close_bucket(market: str, st: dict, out: list) -> None:
-        """Judge the open bucket against its trailing history, then roll it in."""
-        prev, cur = st["close"], st["cur"]
-        for side in ("BUY", "SELL"):
-            n = cur["n"][side]
-            full = len(st["ret"]) == history
-            if n and full and prev is not None and max(cur["wallets"][side].values(), default=0) >= 2:
-                med, sig = float(statistics.median(st["cnt"][side])), statistics.pstdev(st["ret"])
-                move = math.log(cur["lo" if side == "SELL" else "hi"][side] / prev)
-                move = -move if side == "SELL" else move
-                if med > 0 and sig > 0 and n >= rate_multiple * med and move >= sigma_multiple * sig:
-                    out.append((market, pd.Timestamp(st["bucket"] * bucket_s, unit="s"), side, n, med, move, sig))
-        last = cur["close"] if cur["close"] is not None else prev
-        st["ret"] = (st["ret"] + [math.log(last / prev) if prev is not None else 0.0])[-history:]
-        for side in ("BUY", "SELL"):
-            st["cnt"][side] = (st["cnt"][side] + [cur["n"][side]])[-history:]
-        st["close"], st["bucket"], st["cur"] = last, st["bucket"] + 1, empty()
-
-    def empty() -> dict:
-        return {"n": {"BUY": 0, "SELL": 0}, "lo": {}, "hi": {}, "wallets": {"BUY": {}, "SELL": {}}, "close": None}
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["time_exchange", "seq"], kind="stable")
-        st = json.loads(state.get[0]) if state.exists else None
-        out = []
-        for t, side, px, wallet in zip(rows["time_exchange"], rows["taker_side"], rows["price"], rows["user_taker"]):
-            b = int(t.timestamp() // bucket_s)
-            if st is None:
-                st = {"bucket": b, "close": None, "ret": [], "cnt": {"BUY": [], "SELL": []}, "cur": empty()}
-            if b < st["bucket"]:
-                continue  # its bucket is closed already
-            while st["bucket"] < b:
-                close_bucket(key[0], st, out)
-            cur = st["cur"]
-            cur["n"][side] += 1
-            cur["lo"][side] = min(px, cur["lo"].get(side, px))
-            cur["hi"][side] = max(px, cur["hi"].get(side, px))
-            cur["wallets"][side][wallet] = cur["wallets"][side].get(wallet, 0) + 1
-            cur["close"] = px
-        if st is not None:
-            state.update((json.dumps(st),))
-        yield pd.DataFrame(out, columns=["market", "bucket", "direction", "trade_count", "median_rate", "displacement", "sigma"])
-
-    return step
-
-
-def burst_candidates(trades: DataFrame, *, bucket_s: int = 60, history: int = 60, rate_multiple: float = 3.0, sigma_multiple: float = 3.0) -> DataFrame:
-    """Bursts as each bucket closes; the state is a bounded history per market."""
-    t = trades.select("market", "time_exchange", "seq", "taker_side", "price", "user_taker")
-    return t.groupBy("market").applyInPandasWithState(
-        _burst_step(bucket_s, history, rate_multiple, sigma_multiple), BURST_OUT, "state string", "append", GroupStateTimeout.NoTimeout
-    )
+            touched.add((buy, px))
+        if cleared:
+            self.levels.clear()
+        for buy, px in touched:
+            if px in book[buy]:
+                self.levels.updateValue((buy, px), (book[buy][px],))
+            elif not cleared:
+                self.levels.removeKey((buy, px))
+        if last is not None:
+            self.clock.update((last, snapshot, started, open_))
+            if last != before:
+                if before is not None:
+                    self.handle.deleteTimer(before // 1000 + 1)
+                self.handle.registerTimer(last // 1000 + 1)
+        out += [(key[0], pd.Timestamp(us, unit="us"), None, None, None, None, n) for us, n in late.items()]
+        yield pd.DataFrame(out, columns=L1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, snapshot, started, open_ = self.clock.get()
+        self.clock.update((last, snapshot, started, False))
+        yield pd.DataFrame([self.report(key[0], last, self.saved())] if open_ and started else [], columns=L1)
+
+    def close(self) -> None:
+        pass
+
+
+SETS = ("SNAPSHOT", "SET", "CHANGE", "UPDATE")
+L1 = ["market", "time_exchange", "best_bid_px", "best_bid_sx", "best_ask_px", "best_ask_sx", "late"]
+
+
+def book_l1(events: DataFrame, beat: Heartbeat, lateness: str = "0 seconds") -> DataFrame:
+    """Top of book after each instant; late rows come out counted instead of failing."""
+    stateful(beat.spark)
+    e = beat.beside(events.select("market", "time_exchange", "seq", "update_type", "is_buy", "entry_px", "entry_sx"), lateness)
+    # The copy of the time is no event time: late rows are to be seen, not filtered.
+    rows = beat.rows(e).select("market", F.unix_micros("time_exchange").alias("us"), "seq", F.upper("update_type").alias("update_type"), "is_buy", "entry_px", "entry_sx")
+    return rows.groupBy("market").transformWithStateInPandas(BookKeeper(), BOOK_OUT, "append", "EventTime")
+
+
+BURST_OUT = "market string, bucket timestamp, direction string, trade_count long, median_rate double, displacement double, sigma double, late long"
+PART = "market string, bucket long, side string, wallet string, n long, lo double, hi double, at long, seq long, close double"
+
+
+def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's trades as one row for each (market, bucket, side, wallet): what a shuffle carries."""
+    for rows in batches:
+        rows = rows.sort_values(["at", "seq"], kind="stable")
+        by = rows.groupby(["market", "bucket", "side", "wallet"], sort=False, dropna=False)
+        out = by.agg(n=("price", "size"), lo=("price", "min"), hi=("price", "max"), at=("at", "last"), seq=("seq", "last"), close=("price", "last")).reset_index()
+        yield out[["market", "bucket", "side", "wallet", "n", "lo", "hi", "at", "seq", "close"]]
+
+
+class BurstKeeper(StatefulProcessor):
+    """Buckets of a market as they close: by the watermark, whether or not the market trades again.
+
+    State: the trailing history (bounded) and, for each open bucket, its sums by side and wallet. Trades of a closed bucket
+    come out as rows that count them.
+    """
+
+    def __init__(self, bucket_s: int, history: int, rate_multiple: float, sigma_multiple: float):
+        self.bucket_s, self.history, self.rate, self.sigma = bucket_s, history, rate_multiple, sigma_multiple
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.past = handle.getValueState("past", "next long, close double, ret array<double>, buy array<long>, sell array<long>")
+        columns = "side array<string>, wallet array<string>, n array<long>, lo array<double>, hi array<double>, at array<long>, seq array<long>, close array<double>"
+        self.open = handle.getMapState("open", "bucket long", columns)
+
+    def ends(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket_s * 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_ = self.past.get()[0] if self.past.exists() else None
+        late: dict[int, int] = {}
+        mine: dict[int, dict] = {}
+        for part in rows:
+            for bucket, side, wallet, *sums in part[["bucket", "side", "wallet", "n", "lo", "hi", "at", "seq", "close"]].itertuples(index=False, name=None):
+                if next_ is not None and bucket < next_:
+                    late[bucket] = late.get(bucket, 0) + sums[0]
+                else:
+                    own = mine.setdefault(bucket, {})
+                    own[side, wallet or ""] = self.joined(own.get((side, wallet or "")), sums)
+        for bucket, own in mine.items():
+            if self.open.containsKey((bucket,)):
+                for k, sums in self.wallets(self.open.getValue((bucket,))):
+                    own[k] = self.joined(own.get(k), sums)
+            self.open.updateValue((bucket,), tuple(map(list, zip(*((*k, *sums) for k, sums in own.items()), strict=True))))
+            self.handle.registerTimer(self.ends(bucket))
+        yield pd.DataFrame([(key[0], self.time(b), None, None, None, None, None, n) for b, n in late.items()], columns=BURST)
+
+    @staticmethod
+    def joined(one: Sequence | None, two: Sequence) -> tuple:
+        """Sums of two parts of a wallet's trades: the later part has the close."""
+        n, lo, hi, at, seq, close = two
+        last = (int(at), int(seq), float(close))
+        if one is None:
+            return int(n), float(lo), float(hi), *last
+        return int(n) + one[0], min(float(lo), one[1]), max(float(hi), one[2]), *max(last, tuple(one[3:]))
+
+    @staticmethod
+    def wallets(saved: tuple) -> Iterator[tuple]:
+        for side, wallet, *sums in zip(*saved, strict=True):
+            yield (side, wallet), sums
+
+    def time(self, bucket: int) -> pd.Timestamp:
+        return pd.Timestamp(bucket * self.bucket_s, unit="s")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs() // (self.bucket_s * 1000) - 1
+        mine: dict[int, dict] = {}
+        for (bucket,), saved in list(self.open.iterator()):
+            if bucket <= upto:
+                for (side, wallet), sums in self.wallets(saved):
+                    mine.setdefault(bucket, {}).setdefault(side, {})[wallet] = sums
+                self.open.removeKey((bucket,))
+        next_, close, ret, buy, sell = self.past.get() if self.past.exists() else (min(mine, default=upto), None, [], [], [])
+        counts = {"BUY": list(buy), "SELL": list(sell)}
+        ret, out = list(ret), []
+        # A gap longer than the history leaves nothing but empty buckets behind: its first part need not be walked.
+        first = min(mine, default=upto)
+        if first - next_ > self.history:
+            ret, counts = [0.0] * self.history, {s: [0] * self.history for s in counts}
+            next_ = first
+        for bucket in range(next_, upto + 1):
+            own = mine.get(bucket, {})
+            for side in ("BUY", "SELL"):
+                out += self.judged(key[0], bucket, side, own.get(side, {}), close, ret, counts[side])
+            ends = [(x[3], x[4], x[5]) for w in own.values() for x in w.values()]
+            now = max(ends)[2] if ends else close
+            ret = (ret + [math.log(now / close) if close is not None else 0.0])[-self.history :]
+            counts = {s: (c + [sum(x[0] for x in own.get(s, {}).values())])[-self.history :] for s, c in counts.items()}
+            close = now
+        self.past.update((upto + 1, close, ret, counts["BUY"], counts["SELL"]))
+        yield pd.DataFrame(out, columns=BURST)
+
+    def judged(self, market: str, bucket: int, side: str, wallets: dict, close: float | None, ret: list, counts: list) -> list[tuple]:
+        n = sum(x[0] for x in wallets.values())
+        if not n or close is None or len(ret) < self.history or max(x[0] for x in wallets.values()) < 2:
+            return []
+        med, sig = float(statistics.median(counts)), statistics.pstdev(ret)
+        move = math.log(close / min(x[1] for x in wallets.values())) if side == "SELL" else math.log(max(x[2] for x in wallets.values()) / close)
+        good = med > 0 and sig > 0 and n >= self.rate * med and move >= self.sigma * sig
+        return [(market, self.time(bucket), side, n, med, move, sig, 0)] if good else []
+
+    def close(self) -> None:
+        pass
+
+
+BURST = ["market", "bucket", "direction", "trade_count", "median_rate", "displacement", "sigma", "late"]
+
+
+def burst_candidates(trades: DataFrame, beat: Heartbeat, *, bucket_s: int = 60, history: int = 60, rate_multiple: float = 3.0, sigma_multiple: float = 3.0, lateness: str = "0 seconds") -> DataFrame:
+    """Bursts as each bucket closes, and the numbers of trades that came too late for theirs."""
+    stateful(beat.spark)
+    t = beat.rows(beat.beside(trades.select("market", "time_exchange", "seq", "taker_side", "price", "user_taker"), lateness))
+    us = F.unix_micros("time_exchange")
+    rows = t.select("market", F.floor(us / (bucket_s * 1_000_000)).cast("long").alias("bucket"), F.col("taker_side").alias("side"), F.col("user_taker").alias("wallet"), us.alias("at"), "seq", "price")
+    parts = rows.mapInPandas(summed, PART)
+    return parts.groupBy("market").transformWithStateInPandas(BurstKeeper(bucket_s, history, rate_multiple, sigma_multiple), BURST_OUT, "append", "EventTime")
+
 
+def append_signals(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], shape: Callable[[DataFrame], DataFrame], part: str = "date") -> None:
+    """Append each batch's new keys only, so that repeats and restarts add nothing.
 
-def append_signals(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], shape: Callable[[DataFrame], DataFrame]) -> None:
-    """Append each batch's new keys only, so that repeats and restarts add nothing."""
+    The table is partitioned by ``part``, one of the keys; a batch reads the partitions that it adds to and no others.
+    """
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        rows = shape(batch).dropDuplicates(list(keys))
-        try:
-            have = batch.sparkSession.read.schema(rows.schema).parquet(target).select(*keys)
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = None
-        fresh = rows if have is None else rows.join(have, list(keys), "left_anti")
-        fresh.write.mode("append").parquet(target)
+        spark = batch.sparkSession
+        rows = materialize(shape(batch).dropDuplicates(list(keys)), "signals")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        fresh = rows
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            mine = [r[0] for r in rows.select(part).distinct().collect()]  # the days of one batch
+            have = spark.read.schema(rows.schema).parquet(target).filter(F.col(part).isin(mine)).select(*keys)
+            fresh = rows.join(have, list(keys), "left_anti")
+        fresh.write.mode("append").partitionBy(part).parquet(target)
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
