@@ -65,3 +65,19 @@ def test_one_snapshot_and_one_level_may_hold_most_rows(spark):
         prior = size.get((buy, px), 0.0)
         size[buy, px] = {"ADD": prior + sx, "SUB": max(0.0, prior - sx), "DELETE": 0.0}.get(kind, sx)
         assert got[i] == (prior, size[buy, px])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cooldown_keeps_what_the_greedy_pass_keeps(spark, seed):
+    from tickloom.operators.harvest import cooldown
+
+    r, rows = random.Random(seed), []
+    for key, n, span in (("a", 400, 3000), ("b", 60, 100_000), ("c", 1, 10)):  # a dense run, a sparse one, a single one
+        rows += [(key, at(t), i) for i, t in enumerate(sorted(r.randrange(span) for _ in range(n)))]
+    df = spark.createDataFrame(rows, "market string, t timestamp, i long")
+    want, last = [], {}
+    for key, t, i in sorted(rows):
+        if key not in last or (t - last[key]).total_seconds() >= 60:
+            last[key] = t
+            want.append((key, t, i))
+    assert sorted(tuple(x) for x in cooldown(df, ["market"], "t", 60).collect()) == want

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.rows import COPIES, folded, unfolded
 from tickloom.functions.timecols import MICROS, micros, plus_seconds
 from tickloom.operators.asof import asof_join
-from tickloom.operators.islands import step_islands
 from tickloom.operators.ranges import rows_in_windows
+from tickloom.operators.slicing import lagged
+from tickloom.session import materialize
 
 MONTH = 30 * 86_400
 
@@ -19,24 +19,30 @@ MONTH = 30 * 86_400
 def cooldown(candidates: DataFrame, keys: Sequence[str], time: str, cooldown_s: float) -> DataFrame:
     """Keep a candidate only when the last *kept* one is at least that old.
 
-    A pause of a whole cooldown frees the next candidate whatever came before, so
-    the greedy pass only has to run inside bursts of closer candidates.
+    A pause of a whole cooldown frees the next candidate whatever came before; such heads are kept. Every candidate points to the
+    first one that its own choice would allow, and the kept ones are those that pointers reach from a head. They are found by
+    pointer doubling: after k rounds of joins all within 2**k steps are known, so a dense run of any length takes the logarithm
+    of its kept candidates in rounds, and no run is ever gathered. Of candidates that share an instant the smallest row is kept.
     """
-    gap = micros(time) - micros("_pt") >= int(cooldown_s * MICROS)
-    lab = step_islands(candidates, list(keys), time, gap, carry={"_pt": F.col(time)}, island="_burst", width_s=MONTH)
-    need = pd.Timedelta(seconds=cooldown_s)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        keep, last = [], None
-        for t in pdf[time]:
-            ok = last is None or t >= last + need
-            keep.append(ok)
-            if ok:
-                last = t
-        return pdf[keep].drop(columns="_burst")
-
-    return lab.groupBy(*keys, "_burst").applyInPandas(greedy, candidates.schema)
+    if cooldown_s <= 0:
+        return candidates
+    by, us = [*keys, time], int(cooldown_s * MICROS)
+    rest = [c for c in candidates.columns if c not in by]
+    nodes = materialize(candidates.filter(F.col(time).isNotNull()).select(*by).distinct(), "candidates")
+    seen = lagged(nodes, list(keys), micros(time), {"_pt": F.col(time)}, width_s=MONTH)
+    head = F.coalesce(micros(time) - micros("_pt") >= us, F.lit(True))
+    at = materialize(seen.select(*by, head.alias("_head")), "heads")
+    probes = nodes.select(*by, F.timestamp_micros(micros(time) + us).alias("_probe"))
+    ahead = asof_join(probes, at.select(*keys, F.col(time).alias("_to"), "_head"), list(keys), "_probe", "_to", ["_to", "_head"], direction="forward", prefix="n", width_s=MONTH)
+    # A pointer to a head is not needed: the head is kept anyway.
+    jump = materialize(ahead.filter("n_to is not null and not n_head").select(*by, F.col("n_to").alias("_to")), "jumps")
+    kept = at.filter("_head").select(*by)
+    while not jump.isEmpty():
+        kept = materialize(kept.unionByName(kept.join(jump, by).select(*keys, F.col("_to").alias(time))), "kept")
+        further = jump.select(*keys, F.col(time).alias("_to"), F.col("_to").alias("_further"))
+        jump = materialize(jump.join(further, [*keys, "_to"]).select(*by, F.col("_further").alias("_to")), "jumps")
+    first = candidates.groupBy(*by).agg(F.min(F.struct(*rest)).alias("_row")) if rest else nodes
+    return first.join(kept, by).select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else F.col(c) for c in candidates.columns])
 
 
 def trailing_reference(bars: DataFrame, *, rows: int = 5, recency_s: float = 1800) -> DataFrame:

@@ -232,12 +232,15 @@ class BurstKeeper(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = expiredTimerInfo.getExpiryTimeInMs() // (self.bucket_s * 1000) - 1
+        closed = self.past.get()[0] if self.past.exists() else None
+        # Most often one bucket closes; after a long pause it is cheaper to ask for all that are open.
+        few = closed is not None and upto - closed < self.history
+        due = [b for b in range(closed, upto + 1) if self.open.containsKey((b,))] if few else [b for (b,) in list(self.open.keys()) if b <= upto]
         mine: dict[int, dict] = {}
-        for (bucket,), saved in list(self.open.iterator()):
-            if bucket <= upto:
-                for (side, wallet), sums in self.wallets(saved):
-                    mine.setdefault(bucket, {}).setdefault(side, {})[wallet] = sums
-                self.open.removeKey((bucket,))
+        for bucket in due:
+            for (side, wallet), sums in self.wallets(self.open.getValue((bucket,))):
+                mine.setdefault(bucket, {}).setdefault(side, {})[wallet] = sums
+            self.open.removeKey((bucket,))
         next_, close, ret, buy, sell = self.past.get() if self.past.exists() else (min(mine, default=upto), None, [], [], [])
         counts = {"BUY": list(buy), "SELL": list(sell)}
         ret, out = list(ret), []
