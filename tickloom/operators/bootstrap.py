@@ -19,6 +19,10 @@ MIN_CLUSTERS = 5
 Stat = Callable[[Mapping[str, Column]], Column]
 
 
+#: Clusters (rows of a few numbers) that may be sent to every task.
+SMALL = 200_000
+
+
 def hash_index(seed: int | Column, draw: Column, slot: Column, size: Column) -> Column:
     """A number in [0, size) from the first 32 bits of an md5."""
     s = seed if isinstance(seed, Column) else F.lit(str(seed))
@@ -124,7 +128,10 @@ def bootstrap_many(
         *[F.sum(f"s_{k}").alias(f"t_{k}") for k in names], F.sum("_n").alias("n"), F.count(F.lit(1)).alias("G")
     ).select(*g, *[s({k: F.col(f"t_{k}") for k in names}).alias(m) for m, s in stats.items()], "n", "G")
     picks = draws_of(totals.filter(F.col("G") >= min_clusters).select(*g, "G"), g, n_resamples, seed)
-    per_draw = picks.join(numbered.drop(cluster, "_n"), [*g, "idx"]).groupBy(*g, "draw").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in names])
+    # Draws are many more rows than their plan lets on: the planner must not build a table of them.
+    sums_of = numbered.drop(cluster, "_n")
+    sums_of = F.broadcast(sums_of) if clusters.count() <= SMALL else sums_of.hint("shuffle_hash")
+    per_draw = picks.join(sums_of, [*g, "idx"]).groupBy(*g, "draw").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in names])
     values = per_draw.select(*g, *[_finite(s({k: F.col(f"s_{k}") for k in names})).alias(f"_v_{m}") for m, s in stats.items()])
     ends = F.array(F.lit(0.025), F.lit(0.975))
     ci = values.groupBy(*g).agg(*[F.percentile(f"_v_{m}", ends).alias(f"_q_{m}") for m in stats])

@@ -34,22 +34,34 @@ def funding_state(mean_apr: Column) -> Column:
     )
 
 
-def causal_buckets(funding: DataFrame, times: DataFrame, time: str = "conditioning_time") -> DataFrame:
-    """Latest same-market settlement known at each time, and its bucket."""
+def causal_buckets(funding: DataFrame, times: DataFrame, time: str = "conditioning_time", *, strict: bool = True) -> DataFrame:
+    """Latest same-market settlement known at each time, and its bucket.
+
+    ``strict`` fails where no settlement is known; otherwise rate and bucket are null there.
+    """
     hit = asof_join(times, funding, ["market"], time, "time_exchange", ["funding_rate"])
+    if strict:
+        message = F.concat(F.lit("no funding settlement of "), F.coalesce("market", F.lit("an unnamed market")), F.lit(" known by "), F.col(time).cast("string"))
+        hit = hit.withColumn("funding_rate", F.when(F.col("obs_time").isNull(), F.raise_error(message).cast("double")).otherwise(F.col("funding_rate")))
     return hit.select(
         *times.columns, F.col("obs_time").alias("funding_settlement_time"), "funding_rate",
         apr("funding_rate").alias("annualized_rate"), funding_bucket("funding_rate").alias("funding_bucket"),
     )
 
 
-def exposure_panel(funding: DataFrame, events: DataFrame, start: Column, end: Column) -> DataFrame:
+def exposure_panel(funding: DataFrame, events: DataFrame, start: Column, end: Column, *, strict: bool = True) -> DataFrame:
     """Time each rate was held inside [start, end), cut at UTC six-hour blocks.
 
-    One row per hour and market feeds the ``lead``: bounded by clock time.
+    One row per hour and market feeds the ``lead``: bounded by clock time. ``strict`` fails for a market whose first settlement
+    comes after ``start``; otherwise its panel begins there.
     """
     w = Window.partitionBy("market").orderBy("time_exchange")
-    held = funding.select("market", "funding_rate", F.col("time_exchange").alias("a"), F.lead("time_exchange", 1).over(w).alias("b"))
+    rate = F.col("funding_rate")
+    if strict:
+        unknown = F.lag("time_exchange", 1).over(w).isNull() & (F.col("time_exchange") > start)
+        message = F.concat(F.lit("no funding settlement of "), F.coalesce("market", F.lit("an unnamed market")), F.lit(" known by the start of the window"))
+        rate = F.when(unknown, F.raise_error(message).cast("double")).otherwise(rate)
+    held = funding.select("market", rate.alias("funding_rate"), F.col("time_exchange").alias("a"), F.lead("time_exchange", 1).over(w).alias("b"))
     a = F.greatest(F.col("a"), start)
     b = F.least(F.coalesce("b", end), end)
     clipped = held.select("market", "funding_rate", micros(a).alias("a"), micros(b).alias("b")).filter(F.col("a") < F.col("b"))

@@ -15,6 +15,7 @@ from tickloom.operators.bootstrap import panel_ci
 from tickloom.operators.asof import Source, asof_join, asof_many
 from tickloom.operators.ranges import range_totals, rows_in_windows
 from tickloom.operators.ranking import tails
+from tickloom.operators.slicing import lagged
 from tickloom.session import materialize
 
 WEEK_S = 7 * 86_400
@@ -296,23 +297,29 @@ def strategy_intervals(rows: DataFrame, periods_per_year: float = 365.0, **kw) -
 def hedge_beta(candles: DataFrame, rebalances: DataFrame, target: str, basket: Sequence[str], *, lookback_s: int = 30 * 86_400, min_observations: int = 24) -> DataFrame:
     """OLS beta of the target's log returns on an equal-weight basket's, per rebalance.
 
-    The wide frame has one row per candle time, whatever the number of ticks.
+    The wide frame has one row per candle time, whatever the number of ticks. Its returns and the sums behind each slope are
+    taken in slices of time: a window's sums are differences of running totals at its ends.
     """
-    names = [target, *basket]
-    wide = candles.filter(F.col("market").isin(*names)).groupBy("time_open").pivot("market", names).agg(F.max("close")).withColumn("_one", F.lit(1))
-    w = Window.partitionBy("_one").orderBy("time_open")
-    logs = [(F.ln(F.col(n)) - F.ln(F.lag(n, 1).over(w))).alias(f"_r{i}") for i, n in enumerate(names)]
-    ret = wide.select("_one", "time_open", F.lag("time_open", 1).over(w).alias("_pt"), *logs)
-    hedge = sum((F.col(f"_r{i + 1}") for i in range(len(basket))), F.lit(0.0)) / len(basket)
-    ok = F.lit(True)
-    for i in range(len(names)):
-        ok = ok & F.col(f"_r{i}").isNotNull()
-    obs = ret.filter(ok).select("_one", "time_open", "_pt", F.col("_r0").alias("y"), hedge.alias("x"))
-    slots = rebalances.select("rebalance_time").distinct().select(F.lit(1).alias("_one"), "rebalance_time", plus_seconds("rebalance_time", -lookback_s).alias("_a"))
-    j = rows_in_windows(slots, obs, ["_one"], "_a", "rebalance_time", "time_open", bucket_s=7 * 86_400, include_end=False).filter(F.col("_pt") >= F.col("_a"))
-    return j.groupBy("rebalance_time").agg(F.count(F.lit(1)).alias("n"), F.when(F.var_pop("x") > 0, F.regr_slope("y", "x")).alias("beta")).filter(
-        (F.col("n") >= min_observations) & F.col("beta").isNotNull()
-    )
+    names, month = [target, *basket], 30 * 86_400
+    wide = candles.filter(F.col("market").isin(*names)).groupBy(F.lit("basket").alias("panel"), "time_open").pivot("market", names).agg(F.max("close"))
+    prev = lagged(wide, ["panel"], micros("time_open"), {"_pt": F.col("time_open"), **{f"_p{i}": F.col(n) for i, n in enumerate(names)}}, width_s=month)
+    logs = [F.ln(F.col(n)) - F.ln(F.col(f"_p{i}")) for i, n in enumerate(names)]
+    x = sum(logs[1:], F.lit(0.0)) / len(basket)
+    obs = prev.select("panel", "time_open", "_pt", logs[0].alias("y"), x.alias("x")).filter("x is not null and y is not null")
+    # Both ends of a return lie in the window: those whose earlier end is before it are the ones up to its first return.
+    slots = rebalances.select("rebalance_time").distinct().select(F.lit("basket").alias("panel"), "rebalance_time", plus_seconds("rebalance_time", -lookback_s).alias("_a"))
+    products = {"n": F.lit(1), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y")}
+    ended = range_totals(slots, obs, ["panel"], "time_open", {"e": (F.col("_a"), F.col("rebalance_time"), True, False)}, products, width_s=month)
+    split = obs.filter("_pt is not null")
+    # A return over the window's start ends inside it but begins before: at most one, found from its end.
+    over = asof_join(slots, split.select("panel", "time_open", "_pt", "x", "y"), ["panel"], "_a", "time_open", ["_pt", "x", "y"], direction="forward", prefix="o_", width_s=month)
+    cut = (F.col("o__pt") < F.col("_a")) & (F.col("o_obs_time") < F.col("rebalance_time"))
+    off = lambda c: F.when(cut, c).otherwise(0.0)
+    j = ended.join(over.select("rebalance_time", *[off(c).alias(f"_o{k}") for k, c in {"n": F.lit(1.0), "x": F.col("o_x"), "y": F.col("o_y"), "xx": F.col("o_x") * F.col("o_x"), "xy": F.col("o_x") * F.col("o_y")}.items()]), "rebalance_time")
+    n, sx, sy, sxx, sxy = (F.col(f"e_{k}") - F.col(f"_o{k}") for k in ("n", "x", "y", "xx", "xy"))
+    spread = sxx - sx * sx / n
+    out = j.filter(n >= min_observations).select("rebalance_time", n.cast("long").alias("n"), F.when(spread > 0, (sxy - sx * sy / n) / spread).alias("beta"))
+    return out.filter(F.col("beta").isNotNull())
 
 
 def decile_funding_pnl(slots: DataFrame, funding: DataFrame, side: str, lookback_s: int = WEEK_S) -> DataFrame:

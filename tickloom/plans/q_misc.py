@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.functions.timecols import cluster_key, floor_to, horizon_seconds
-from tickloom.operators import bootstrap as bs, brackets as br, conditioning as cn, fills as fl, lookups as lk, spreads as sp, stats as st
+from tickloom.functions.timecols import cluster_key, floor_to, horizon_seconds, micros
+from tickloom.operators import bootstrap as bs, brackets as br, conditioning as cn, fills as fl, lookups as lk, ranking as rk, spreads as sp, stats as st
 from tickloom.operators.conditioning import funding_bucket
 from tickloom.plans.bindings import Tables, add_view
 from tickloom.plans.q_fills import fills_of, l1_of
@@ -116,16 +116,21 @@ def _(t: Tables):
 
 
 # --- brackets: hours stand for minutes ------------------------------------------
-add_view("brk", """WITH f AS (SELECT market, time_exchange AS s, CASE WHEN funding_rate > 0 THEN 'positive' WHEN funding_rate < 0 THEN 'negative' ELSE 'zero' END AS sign FROM funding),
+add_view("brk", """WITH f AS (SELECT market, time_exchange AS s, CASE WHEN funding_rate > 0 THEN 'positive' WHEN funding_rate < 0 THEN 'negative' ELSE 'zero' END AS sign, 'd' || lpad(least(10, greatest(1, (row_number() OVER (ORDER BY abs(funding_rate), market, time_exchange) - 1) * 10 // count(*) OVER () + 1))::VARCHAR, 2, '0') AS decile, CASE WHEN market IN ('click', 'view') THEN 'web' ELSE 'other' END AS grp FROM funding),
     w AS (SELECT f.*, b.k AS bracket, u.kind, CASE WHEN b.k < 0 THEN s + to_hours(u.sh) - to_hours(abs(b.k)) ELSE s + to_hours(u.sh) END AS a, CASE WHEN b.k < 0 THEN s + to_hours(u.sh) ELSE s + to_hours(u.sh) + to_hours(abs(b.k)) END AS z FROM f, (VALUES (-10), (-5), (-1), (1), (5), (10)) b(k), (VALUES ('event', 0), ('control', 30)) u(kind, sh)),
-    r AS (SELECT market, s, sign, bracket, kind, ln(arg_max(close, time_close) / arg_min(open, time_close)) AS ret, count(*) AS n FROM w JOIN candles_1h c USING (market) WHERE c.time_close > a AND c.time_close < z GROUP BY ALL)
-    SELECT e.market, e.s AS settlement_time, e.sign AS funding_sign, e.bracket::BIGINT AS bracket, e.ret AS event_return, c.ret AS baseline_return, e.n AS event_bars, c.n AS baseline_bars, e.market || '|' || strftime(time_bucket(INTERVAL '6 hours', e.s), '%Y-%m-%dT%H:%M:%S') AS cluster_key
+    r AS (SELECT market, s, sign, decile, grp, bracket, kind, ln(arg_max(close, time_close) / arg_min(open, time_close)) AS ret, count(*) AS n FROM w JOIN candles_1h c USING (market) WHERE c.time_close > a AND c.time_close < z GROUP BY ALL)
+    SELECT e.market, e.s AS settlement_time, e.sign AS funding_sign, e.decile AS funding_size_decile, e.grp AS coverage_group, e.bracket::BIGINT AS bracket, e.ret AS event_return, c.ret AS baseline_return, e.n AS event_bars, c.n AS baseline_bars, e.market || '|' || strftime(time_bucket(INTERVAL '6 hours', e.s), '%Y-%m-%dT%H:%M:%S') AS cluster_key
     FROM r e JOIN r c ON e.market = c.market AND e.s = c.s AND e.bracket = c.bracket AND e.kind = 'event' AND c.kind = 'control'""", "funding candles_1h")
 
 
 def windows_of(t: Tables):
     rate = F.col("funding_rate")
-    s = t.funding.select("market", F.col("time_exchange").alias("settlement_time"), F.when(rate > 0, "positive").when(rate < 0, "negative").otherwise("zero").alias("funding_sign"))
+    sized = t.funding.withColumn("_abs", F.abs(rate))
+    ranked = rk.global_prefix(sized, F.lit(1).cast("long"), "_abs", "market", micros("time_exchange"), out="_rank", width_s=86_400 * 30)
+    decile = F.format_string("d%02d", rk.ordinal_decile(F.col("_rank"), F.col("_n")))
+    s = ranked.crossJoin(F.broadcast(t.funding.agg(F.count(F.lit(1)).alias("_n")))).select(  # one row
+        "market", F.col("time_exchange").alias("settlement_time"), F.when(rate > 0, "positive").when(rate < 0, "negative").otherwise("zero").alias("funding_sign"),
+        decile.alias("funding_size_decile"), F.when(F.col("market").isin("click", "view"), "web").otherwise("other").alias("coverage_group"))
     return br.bracket_windows(s, "settlement_time", unit_s=3600, control_s=30 * 3600)
 
 
@@ -136,23 +141,27 @@ def brackets_of(t: Tables):
 @query("F12_bracket_windows", """SELECT market, time_exchange AS settlement_time, b.k::BIGINT AS bracket, u.kind, CASE WHEN b.k < 0 THEN time_exchange + to_hours(u.sh) - to_hours(abs(b.k)) ELSE time_exchange + to_hours(u.sh) END AS a, CASE WHEN b.k < 0 THEN time_exchange + to_hours(u.sh) ELSE time_exchange + to_hours(u.sh) + to_hours(abs(b.k)) END AS z
     FROM funding, (VALUES (-10), (-5), (-1), (1), (5), (10)) b(k), (VALUES ('event', 0), ('control', 30)) u(kind, sh)""", "funding")
 def _(t: Tables):
-    return windows_of(t).drop("funding_sign")
+    return windows_of(t).drop("funding_sign", "funding_size_decile", "coverage_group")
 
 
 @query("F13_bracket_returns", "SELECT market, settlement_time, bracket, round(event_return, 6) AS event_return, round(baseline_return, 6) AS baseline_return, event_bars, baseline_bars FROM brk", "brk")
 def _(t: Tables):
-    return brackets_of(t).drop("funding_sign", "cluster_key")
+    return brackets_of(t).drop("funding_sign", "funding_size_decile", "coverage_group", "cluster_key")
 
 
-@query("A57_bracket_summary", boot_sql("(SELECT bracket, 'all' AS split, * EXCLUDE (bracket) FROM brk UNION ALL SELECT bracket, funding_sign, * EXCLUDE (bracket) FROM brk) z", ["bracket", "split"], "cluster_key", {"n": "1", "e": "event_return", "b": "baseline_return"}, {"event_mean": "{s}e / {s}n", "baseline_mean": "{s}b / {s}n"}), "brk")
+_SPLITS = " UNION ALL ".join(f"SELECT coverage_group, bracket, {c} AS split, cluster_key, event_return, baseline_return FROM brk" for c in ("'all'", "funding_sign", "funding_size_decile"))
+
+
+@query("A57_bracket_summary", boot_sql(f"({_SPLITS}) z", ["coverage_group", "bracket", "split"], "cluster_key", {"n": "1", "e": "event_return", "b": "baseline_return"}, {"event_mean": "{s}e / {s}n", "baseline_mean": "{s}b / {s}n"}), "brk")
 def _(t: Tables):
-    x = brackets_of(t).select("bracket", "cluster_key", "event_return", "baseline_return", F.explode(F.array(F.lit("all"), F.col("funding_sign"))).alias("split"))
-    return bs.bootstrap_many(x, ["bracket", "split"], "cluster_key", {"n": F.lit(1), "e": F.col("event_return"), "b": F.col("baseline_return")}, {"event_mean": lambda s: s["e"] / s["n"], "baseline_mean": lambda s: s["b"] / s["n"]})
+    splits = F.explode(F.array(F.lit("all"), F.col("funding_sign"), F.col("funding_size_decile")))
+    x = brackets_of(t).select("coverage_group", "bracket", "cluster_key", "event_return", "baseline_return", splits.alias("split"))
+    return bs.bootstrap_many(x, ["coverage_group", "bracket", "split"], "cluster_key", {"n": F.lit(1), "e": F.col("event_return"), "b": F.col("baseline_return")}, {"event_mean": lambda s: s["e"] / s["n"], "baseline_mean": lambda s: s["b"] / s["n"]})
 
 
-@query("A65_bracket_coverage", "SELECT market, bracket, count(DISTINCT settlement_time) AS settlements, min(settlement_time) AS first_settlement, max(settlement_time) AS last_settlement FROM brk GROUP BY 1, 2", "brk")
+@query("A65_bracket_coverage", "SELECT market, coverage_group, bracket, count(DISTINCT settlement_time) AS settlements, min(settlement_time) AS first_settlement, max(settlement_time) AS last_settlement FROM brk GROUP BY 1, 2, 3", "brk")
 def _(t: Tables):
-    return brackets_of(t).groupBy("market", "bracket").agg(F.countDistinct("settlement_time").alias("settlements"), F.min("settlement_time").alias("first_settlement"), F.max("settlement_time").alias("last_settlement"))
+    return brackets_of(t).groupBy("market", "coverage_group", "bracket").agg(F.countDistinct("settlement_time").alias("settlements"), F.min("settlement_time").alias("first_settlement"), F.max("settlement_time").alias("last_settlement"))
 
 
 @query("X2_named_statistics", ci_names(boot_sql("brk", ["market"], "cluster_key", {"num": "event_bars", "den": "baseline_bars"}, {"point": "{s}num / nullif({s}den, 0)"})), "brk")
