@@ -178,13 +178,25 @@ def _(t: Tables):
 
 
 @query("S18_rest_panel_normalize", """SELECT event_type AS market, epoch_ms(date_trunc('hour', ts)) AS time_ms, date_trunc('hour', ts) AS time_exchange, round(arg_max(value, event_id) / 1000, 6) AS funding_rate, NULL::DOUBLE AS premium FROM events
-    WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-02' AND date_trunc('hour', ts) < TIMESTAMP '2024-01-20' GROUP BY 1, 2, 3""")
+    CROSS JOIN feed WHERE date_trunc('hour', ts) >= t0 AND date_trunc('hour', ts) < t1 GROUP BY 1, 2, 3""", "feed")
 def _(t: Tables):
     p = f"{shared_dir(t.spark)}/rest-{uuid.uuid4().hex}"
     ms = F.unix_millis(F.date_trunc("hour", "ts"))
     t.events.select(F.col("event_type").alias("coin"), ms.alias("time"), (F.col("value") / 1000).cast("string").alias("fundingRate"), F.col("event_id").alias("fetch_seq")).write.json(p)
     raw = t.spark.read.schema("coin string, time long, fundingRate string, premium string, fetch_seq long").json(p)
-    return tb.normalize_funding(raw, 1704153600000, 1705708800000)
+    return tb.normalize_funding(raw, *(F.unix_millis(x) for x in t.span))
+
+
+@query("S18_candle_normalize", """SELECT market, k AS interval, epoch_ms(h) AS open_time_ms, epoch_ms(h) + i % 1000 + 3599000 AS close_time_ms, h AS time_open, round(v, 6) AS open, round(v + 2, 6) AS high, round(v - 2, 6) AS low, round(v + 1, 6) AS close, (i % 7)::DOUBLE AS volume, i % 11 AS trade_count
+    FROM (SELECT event_type AS market, CASE WHEN event_id % 2 = 0 THEN '1h' ELSE '2h' END AS k, date_trunc('hour', ts) AS h, arg_max(value, event_id) AS v, max(event_id) AS i FROM events GROUP BY 1, 2, 3)""")
+def _(t: Tables):
+    p = f"{shared_dir(t.spark)}/candles-{uuid.uuid4().hex}"
+    i, v, s = F.col("event_id"), F.col("value"), lambda c: c.cast("string")
+    ms = F.unix_millis(F.date_trunc("hour", "ts"))
+    own = {"t": ms, "T": ms + i % 1000 + 3_599_000, "s": F.when(i % 3 > 0, F.col("event_type")), "i": F.when(i % 4 > 1, F.when(i % 2 == 0, "1h").otherwise("2h")),
+           "o": s(v), "h": s(v + 2), "l": s(v - 2), "c": s(v + 1), "v": s(i % 7), "n": i % 11, "coin": F.col("event_type"), "asked": F.when(i % 2 == 0, "1h").otherwise("2h"), "fetch_seq": i}
+    t.events.select(F.to_json(F.struct(*[c.alias(n) for n, c in own.items()])).alias("value")).write.text(p)
+    return tb.normalize_candles(tb.read_candle_pages(t.spark, p))
 
 
 @query("S20_chart_candles", "SELECT epoch(time_open)::BIGINT AS time_s, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM candles_1h WHERE market = 'click'", "candles_1h")
