@@ -17,6 +17,7 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognizable language; ``lang`` becomes the predicted one."""
+    spark.conf.set("parquet.block.size", str(common.ROW_GROUP))  # whoever writes the stages, a task holds a small row group
     return langid.relabelled(docs, LEAST_SCORE).select(*COLUMNS)
 
 

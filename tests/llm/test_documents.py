@@ -319,3 +319,19 @@ def test_pipeline(spark, tmp_path):
     assert {k: r["n_tokens"] for k, r in seen["tokens"].items()} == {k: len(codec.encode(r["text"])) for k, r in seen["personal_data"].items()}
     again = {r["doc_id"]: r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert again == seen["tokens"]
+
+
+def test_stages_stand_clashing_names_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import common
+
+    rows = [(1, "the cat sat on the mat " * 8, "en", "s", 1), (2, None, None, None, None), (3, "der Hund lief in den Wald " * 8, "de", "s", 1), (3, "der Hund lief in den Wald " * 8, "de", "s", 1)]
+    for own in (rows, []):
+        docs = fx.frame(spark, own).select("*", F.lit("x").alias("TEXT"), F.lit(1).alias("Doc_Id"))
+        masked = pii.mask(docs).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in masked), key=repr) == sorted(((r[0], r[1]) for r in own), key=repr)
+        if own:
+            net = langid.train(langid.examples(fx.frame(spark, own)))
+            assert {r["doc_id"] for r in langid.relabelled(docs, 0.0, net).collect()} <= {1, 3}
+    common.trim()

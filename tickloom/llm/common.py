@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -22,6 +25,10 @@ ALNUM_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Bytes of a row group that a writer gathers before it writes; texts fill the usual 128 MB in every task.
+ROW_GROUP = 16 << 20
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, by exact spelling, so that extra columns whose names clash do no harm."""
     at = {c: i for i, c in reversed(list(enumerate(df.columns)))}
@@ -37,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     # Shuffle files of the finished job go once the JVM has dropped its plan; else they stay until some later collection.
@@ -87,6 +94,12 @@ def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        try:
+            yield from mapped(batches)
+        finally:
+            trim()
+
+    def mapped(batches):
         state = ready() if ready else None
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * chunk_bytes / max(batch.nbytes, 1))))
@@ -96,7 +109,16 @@ def by_batch(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str, *
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return pick(df, *columns).mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Hand what a task has freed back to the system: a worker lives on and would else keep its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Numbers(dict):
