@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 CUTS = 200
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group, exact at any group size.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, upper: bool = False) -> DataFrame:
+    """Linear-interpolated quantiles per group, exact at any group size; with ``upper``, the element at the next position.
 
     A sketch cuts each group into value bins; counting the bins tells which hold
     the wanted positions, and only those bins' distinct values are ranked.  No
@@ -36,7 +36,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     b = a + F.col("_k") - 1
     at = lambda c: F.max(F.when((a <= F.col(c)) & (F.col(c) <= b), F.col(value)))
     picked = hit.join(ranked, [*keys, "_b"]).groupBy(*keys, "_name").agg(at("_lo").alias("_x"), at("_hi").alias("_y"), F.max("_w").alias("_w"))
-    val = F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_w")
+    val = F.col("_y") if upper else F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_w")
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, val)).alias(n) for n in probs])
 
 

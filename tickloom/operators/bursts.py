@@ -78,15 +78,18 @@ def merge_adjacent(candidates: DataFrame, max_gap_s: float = 60.0) -> DataFrame:
     first = F.struct("start_time", "end_time")
     g = lab.groupBy(*k, "island_start").agg(
         F.max("end_time").alias("end_time"), F.sum("aggressor_size").alias("aggressor_size"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("wallets")))).alias("wallets"),
         F.sum("trade_count").alias("trade_count"),
         F.min_by("trailing_median_trade_rate", first).alias("trailing_median_trade_rate"),
         F.max("price_displacement").alias("price_displacement"),
         F.min_by("trailing_return_sigma", first).alias("trailing_return_sigma"),
         F.max("rate_multiple").alias("rate_multiple"), F.max("displacement_multiple").alias("displacement_multiple"),
     )
-    return g.select(
-        "market", F.col("island_start").alias("start_time"), "end_time", "direction", "aggressor_size", "wallets",
+    # Wallets meet as single values, each once: only the distinct ones of an event come together, as they are its result.
+    each = lab.select(*k, "island_start", F.explode("wallets").alias("_w")).distinct()
+    named = each.groupBy(*k, "island_start").agg(F.array_sort(F.collect_list("_w")).alias("wallets"))
+    wallets = F.coalesce("wallets", F.array().cast(lab.schema["wallets"].dataType)).alias("wallets")
+    return g.join(named, [*k, "island_start"], "left").select(
+        "market", F.col("island_start").alias("start_time"), "end_time", "direction", "aggressor_size", wallets,
         F.lit("proxy").alias("trigger_source"), F.lit("proxy-tagged").alias("tag_label"), "trade_count",
         "trailing_median_trade_rate", "price_displacement", "trailing_return_sigma", "rate_multiple", "displacement_multiple",
     )

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.timecols import MICROS, cluster_key, micros, plus_seconds
 from tickloom.operators.bootstrap import panel_ci
 from tickloom.operators.asof import Source, asof_join, asof_many
@@ -235,10 +236,8 @@ def equity_curve(periods: DataFrame, value: str = "net_pnl", *, peak_from_zero:
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Element ``n // 2`` of the sorted values (steps of one schedule)."""
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v")).select(
-        *keys, F.element_at("_v", (F.floor(F.size("_v") / 2) + 1).cast("int")).alias("upper_median")
-    )
+    """Element ``n // 2`` of the sorted values (steps of one schedule), at any group size."""
+    return exact_quantiles(df, keys, value, {"upper_median": 0.5}, upper=True)
 
 
 def strategy_summary(rows: DataFrame, periods_per_year: float = 365.0) -> DataFrame:
