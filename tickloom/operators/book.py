@@ -30,13 +30,18 @@ def truthy(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string"))).isin("1", "true", "t", "yes")
 
 
+def sliced(events: DataFrame, width_s: int = DAY, rows_per_slice: int = 1_000_000) -> DataFrame:
+    """The events in the slices of their market's order; counted on the feed itself, before anything is done to it."""
+    return fine_slices(events, ["market"], "time_exchange", "seq", width_s, rows_per_slice)
+
+
 def with_epochs(events: DataFrame, width_s: int = DAY, rows_per_slice: int = 1_000_000) -> DataFrame:
     """Adds ``epoch``: the sequence number that opened the current snapshot run.
 
     A snapshot puts many rows into one instant; beyond ``rows_per_slice`` it is cut by
     ``seq``. The slices stay in the result, for the walks that follow.
     """
-    e = fine_slices(events.withColumn("update_type", F.upper("update_type")), ["market"], "time_exchange", "seq", width_s, rows_per_slice)
+    e = (events if SLICE in events.columns else sliced(events, width_s, rows_per_slice)).withColumn("update_type", F.upper("update_type"))
     fresh = (F.col("update_type") == "SNAPSHOT") & ~F.coalesce(F.col("_was"), F.lit(False))
     return openings(
         e, ["market"], "time_exchange", {"epoch": fresh}, {"_was": F.col("update_type") == "SNAPSHOT"},
@@ -138,6 +143,7 @@ def level_states(events: DataFrame, width_s: int = DAY, rows_per_slice: int = 1_
     absent level or of more than it holds, and time that runs against ``seq``.
     Otherwise the walk forgives them, as ``sanitize`` needs.
     """
+    events = sliced(events, width_s, rows_per_slice)
     if strict:
         events = in_order(events, width_s)
     e = with_epochs(events, width_s, rows_per_slice).filter(F.col("epoch").isNotNull())
@@ -262,6 +268,7 @@ def order_level_states(events: DataFrame, width_s: int = DAY, rows_per_slice: in
     ``strict`` also fails on a missing order id and on an ADD that moves an order;
     otherwise rows without an id belong to one order.
     """
+    events = sliced(events, width_s, rows_per_slice)
     if strict:
         events = in_order(events, width_s)
     e = with_epochs(events, width_s, rows_per_slice).filter(F.col("epoch").isNotNull() & ~F.col("update_type").isin(*IGNORED))
