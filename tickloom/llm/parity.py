@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, utf8, written
+from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, tidy, utf8, written
 from tickloom.llm.components import labels
 
 SHINGLE = 5
@@ -304,7 +304,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
     packed = by_batch(rows, partial(filed, buckets), FILED, "doc_id", "text", ready=WordNumbers)
-    found = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(matched, PAIR), "files")
+    found = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy(matched), PAIR), "files")
     sets = found.filter("kind = 'set'").select(F.col("key").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("a").alias("set_id"), "sketch")
     # Sets with more crowded files than their margin; they alone can need one.
     crowd = found.filter("kind = 'crowd'").select("key", F.col("a").alias("id"), F.col("extra").alias("margin"))
