@@ -4,7 +4,7 @@ A vocabulary is a table byte string -> rank. Inside one pre-token the pair of lo
 equals first. The queue keeps, for each merge rank, a bucket of linked-list positions; a two-level bitmap tells which
 buckets hold something, and find-first-set on it gives the next rank in constant time. A position whose pair has changed
 since it was queued is stale and is skipped when it comes up. A pre-token of n bytes takes O(n log n) at worst, in place of
-the n scans of the plain method.
+the n scans of the plain method. The pre-tokens of a batch that no memory holds share one queue, which does not join them.
 
 Nulls and empty texts have no tokens. Repeated rows are encoded each. Only ``text`` is read; other columns pass by.
 """
@@ -12,9 +12,10 @@ Nulls and empty texts have no tokens. Repeated rows are encoded each. Only ``tex
 from __future__ import annotations
 
 import base64
-from heapq import heappop, heappush
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,107 +25,166 @@ from tickloom.llm.common import by_batch, pick, sha, table
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Distinct pre-tokens that a worker remembers, and the longest of them.
 CACHED, CACHED_CHARS = 200_000, 64
+#: Bytes of pre-tokens that share one queue; a longer pre-token has one of its own.
+BLOCK_BYTES = 1 << 18
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of one pre-token. The queue is written out in place, as most pre-tokens are short and calls would dominate.
+class Merger:
+    """Ids of pre-tokens, many at a time: one linked list of positions and one queue serve a whole block of them.
 
-    ``buckets``: rank -> heap of positions; ``low``: block of 256 ranks -> bits of its filled buckets; ``top``: bits of the
-    filled blocks. ``pair[i]`` is the rank of the pair that starts at position i, so an entry of another rank is stale.
+    ``buckets``: rank -> positions; ``low``: block of 256 ranks -> bits of its filled buckets; ``top``: bits of the filled
+    blocks. ``pair[i]`` is the rank of the pair that starts at position i, so an entry of another rank is stale. Pre-tokens
+    never touch, so taking the lowest rank of the block takes the lowest of each of them in its turn.
     """
-    get = ranks.get
-    whole = get(piece)
-    if whole is not None:
-        return (whole,)
-    n = len(piece)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [get(piece[i : i + 2]) for i in range(n)]
-    pair[-1] = None
-    buckets: dict[int, list[int]] = {}
-    low: dict[int, int] = {}
-    top = 0
-    for i, rank in enumerate(pair):
-        if rank is not None:
-            if rank in buckets:
-                buckets[rank].append(i)
-            else:
-                buckets[rank] = [i]
-                block = rank >> 8
-                low[block] = low.get(block, 0) | 1 << (rank & 255)
-                top |= 1 << block
-    while top:
-        block = (top & -top).bit_length() - 1
-        bits = low[block]
-        bit = bits & -bits
-        rank = block << 8 | bit.bit_length() - 1
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[rank]
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.of_two = np.full(1 << 16, -1, np.int64)
+        for two, rank in ranks.items():
+            if len(two) == 2:
+                self.of_two[two[0] << 8 | two[1]] = rank
+
+    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        whole = [self.ranks.get(p) for p in pieces]
+        parts = [p for p, rank in zip(pieces, whole, strict=True) if rank is None]
+        out, cut, size = [], 0, 0
+        for at, part in enumerate(parts):
+            size += len(part)
+            if size >= BLOCK_BYTES or at == len(parts) - 1:
+                out += self.block(parts[cut : at + 1])
+                cut, size = at + 1, 0
+        made = iter(out)
+        return [next(made) if rank is None else (rank,) for rank in whole]
+
+    def block(self, parts: list[bytes]) -> list[tuple[int, ...]]:
+        data, get = b"".join(parts), self.ranks.get
+        n = len(data)
+        stops = np.cumsum([len(p) for p in parts])
+        starts = bytearray(n + 1)  # marks where pre-tokens start
+        for stop in (0, *stops.tolist()):
+            starts[stop] = 1
+        code = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = np.append(self.of_two[code[:-1] << 8 | code[1:]], -1)
+        first[stops[stops > 0] - 1] = -1
+        pair, following, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        live = np.flatnonzero(first >= 0)
+        live = live[np.argsort(first[live], kind="stable")]
+        kinds, at = np.unique(first[live], return_index=True)
+        buckets = dict(zip(kinds.tolist(), [b.tolist() for b in np.split(live, at[1:])], strict=True)) if len(live) else {}
+        low: dict[int, int] = {}
+        for rank in buckets:
+            low[rank >> 8] = low.get(rank >> 8, 0) | 1 << (rank & 255)
+        top = sum(1 << block for block in low)
+        while top:
+            block = (top & -top).bit_length() - 1
+            bits = low[block]
+            bit = bits & -bits
+            now = block << 8 | bit.bit_length() - 1
+            bucket = buckets.pop(now)
             if bits == bit:
                 del low[block]
                 top ^= 1 << block
             else:
                 low[block] = bits ^ bit
-        if pair[i] != rank:
-            continue
-        j = following[i]
-        k = following[i] = following[j]
-        pair[j] = pair[i] = None
-        if k < n:
-            before[k] = i
-        for start, stop in ((i, k), (before[i], i)):
-            if start < 0 or stop >= n:
-                continue
-            rank = pair[start] = get(piece[start : following[stop]])
-            if rank is None:
-                continue
-            if rank in buckets:
-                heappush(buckets[rank], start)
-                continue
-            buckets[rank] = [start]
-            block = rank >> 8
-            low[block] = low.get(block, 0) | 1 << (rank & 255)
-            top |= 1 << block
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : following[i]]])
-        i = following[i]
-    return tuple(ids)
+            bucket.sort()
+            lower = False
+            for done, i in enumerate(bucket, 1):
+                if pair[i] != now:
+                    continue
+                j = following[i]
+                k = following[i] = following[j]
+                pair[j] = pair[i] = -1
+                changed = () if starts[i] else (before[i],)
+                if not starts[k]:
+                    before[k] = i
+                    changed = (i, *changed)
+                for start in changed:
+                    rank = pair[start] = get(data[start : following[following[start]]], -1)
+                    if rank < 0:
+                        continue
+                    lower |= rank < now
+                    if rank in buckets:
+                        buckets[rank].append(start)
+                        continue
+                    buckets[rank] = [start]
+                    block = rank >> 8
+                    low[block] = low.get(block, 0) | 1 << (rank & 255)
+                    top |= 1 << block
+                if lower:  # a vocabulary may rank a longer token before its parts: that pair comes first
+                    if done < len(bucket):
+                        buckets[now] = bucket[done:]
+                        block = now >> 8
+                        low[block] = low.get(block, 0) | 1 << (now & 255)
+                        top |= 1 << block
+                    break
+        out, i, ranks = [], 0, self.ranks
+        for stop in stops.tolist():
+            ids = []
+            while i < stop:
+                k = following[i]
+                ids.append(ranks[data[i:k]])
+                i = k
+            out.append(tuple(ids))
+        return out
 
 
-class Memo(dict):
-    """Pre-token -> ids. When it is full, what was not asked for since the last time is forgotten."""
+def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """Ids of one pre-token."""
+    return Merger(ranks)([piece])[0]
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.older = ranks, {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = merged(piece.encode("utf-8"), self.ranks)
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+
+class Memo(dict):
+    """Pre-token -> what ``make`` gives for it, bounded: when it is full, what was not asked for since the last time goes."""
+
+    def __init__(self, make: Callable[[list[str]], list]):
+        self.make, self.older = make, {}
+
+    def __call__(self, texts: list[list[str]]) -> Iterator[Iterator]:
+        """For each list of pre-tokens what was made for them; what is new is made together, first."""
+        new = list(set(chain.from_iterable(texts)).difference(self))
+        old = [p for p in new if p in self.older]
+        self.update(zip(old, map(self.older.__getitem__, old), strict=True))
+        new = [p for p in new if p not in self]
+        self.update(zip(new, self.make(new), strict=True))
+        for pieces in texts:
+            yield map(self.__getitem__, pieces)
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del self[p]
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.cut = regex.compile(pattern).findall
-        self.memo = Memo(ranks)
+        self.merge = Merger(ranks)
+        self.memo, self.forms = Memo(self.ids_of), Memo(self.forms_of)
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.digits = {r: str(r) for r in self.bytes_of}
 
+    def ids_of(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        return self.merge([p.encode("utf-8") for p in pieces])
+
+    def forms_of(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+        """Token count, ids in decimal and the bytes that the ids decode to."""
+        return [(len(ids), self.written(ids), self.decode(ids)) for ids in self.ids_of(pieces)]
+
+    def pieces(self, texts: list[str | None]) -> list[list[str]]:
+        return [self.cut(t or "") for t in texts]
+
+    def encoded(self, texts: list[str | None]) -> Iterator[list[int]]:
+        return (list(chain.from_iterable(ids)) for ids in self.memo(self.pieces(texts)))
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.cut(text or ""))))
+        [ids] = self.encoded([text])
+        return ids
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def written(self, ids: list[int]) -> str:
+    def written(self, ids: Sequence[int]) -> str:
         return " ".join(map(self.digits.__getitem__, ids))
 
 
@@ -158,7 +218,7 @@ def kept(key, ranks, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids array<int>``: the token ids of every whole text."""
-    rows = lambda codec, keys, texts: ((k, codec.encode(t)) for k, t in zip(keys, texts, strict=True))
+    rows = lambda codec, keys, texts: zip(keys, codec.encoded(texts), strict=True)
     return by_batch(pick(docs, "doc_id", "text"), rows, "doc_id long, ids array<int>", "doc_id", "text", ready=codec_maker(docs.sparkSession, path, pattern))
 
 
@@ -169,9 +229,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(codec: Codec, keys: list, texts: list):
-    for key, text in zip(keys, texts, strict=True):
-        ids = codec.encode(text)
-        yield key, len(ids), sha(codec.written(ids).encode()), sha(codec.decode(ids))
+    """Pre-tokens are coded apart, so a text's decimal ids and decoded bytes are those of its pre-tokens in a row."""
+    for key, forms in zip(keys, codec.forms(codec.pieces(texts)), strict=True):
+        forms = list(forms)
+        yield key, sum(f[0] for f in forms), sha(" ".join([f[1] for f in forms]).encode()), sha(b"".join([f[2] for f in forms]))
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
