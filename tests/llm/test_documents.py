@@ -86,6 +86,23 @@ def test_exact_binomial_tail():
         assert quality.lower_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
 
 
+def test_bands_are_pooled_until_they_can_prove_something():
+    assert quality.pooled([1000, 1000, 1000, 1000], 0.01, 0.05) == [[0], [1], [2], [3]]
+    assert quality.pooled([123, 178, 26, 0], 0.01, 0.05) == [[0, 1, 2, 3]]
+    assert quality.pooled([500, 100, 400, 10], 0.01, 0.05) == [[0], [1, 2, 3]]
+    assert quality.pooled([0, 0, 0, 0], 0.01, 0.05) == [[0, 1, 2, 3]]
+
+
+def test_large_tails_need_no_tables():
+    assert quality.lower_tail(90_000, 10_000_000, 0.01) < 1e-12 and quality.lower_tail(100_000, 10_000_000, 0.01) == pytest.approx(0.5, abs=0.01)
+
+
+def test_contradicting_and_repeated_labels_prove_nothing(spark):
+    docs = fx.frame(spark, [(i, "## " * 10 + fx.prose(random.Random(i), 90), "en", "s", 0) for i in range(30)] + [(i, fx.prose(random.Random(i), 90), "en", "s", 0) for i in range(30, 60)])
+    labels = spark.createDataFrame([(i, 1, None) for i in range(30, 60)] * 40 + [(i, q, None) for i in range(30) for q in (0, 1)], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] and r["rule"] is None for r in quality.judge(docs, labels).collect())
+
+
 def test_no_threshold_without_labels(spark):
     docs = fx.frame(spark, [(1, "## " * 10 + fx.prose(random.Random(1), 90), "en", "s", 0)])
     assert quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).first()["kept"]

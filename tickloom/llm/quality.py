@@ -1,22 +1,27 @@
 """Quality rules with risk-controlled thresholds.
 
 A rule rejects a document when a ratio computed from its text lies above (or below) a cut-off. Cut-offs are not set by hand:
-labelled documents serve as holdouts. In each stratum (a band of document lengths) and for each rule, a fixed grid of
-cut-offs, strictest first, is tested: "the rule rejects at least a share ``alpha`` of good documents". An exact binomial tail
-on the counts of good labelled documents gives the p-value; a Bonferroni correction over all strata, rules and grid points
-holds the chance that any chosen cut-off rejects more than ``alpha`` of good documents below ``delta``. The strictest
-cut-off that passes is taken; where none passes, the rule stays off in that stratum.
-
-Only counts per (stratum, rule, grid point) reach the driver: a table of fixed size. Ratios are compared as integers times a
+labelled documents serve as holdouts. All rules tighten together along a fixed path of steps, from every rule's loosest
+cut-off to its strictest. In each stratum (a band of document lengths) the steps are tested from the loosest on: "the rules
+together reject at least a share ``alpha`` of good documents". An exact binomial tail on the good labelled documents gives
+the p-value, and the first step that cannot be proven ends the walk, which needs no correction over steps; a Bonferroni
+correction over the strata holds the chance that any stratum loses more than ``alpha`` of its good documents below
+``delta``. Neighbouring bands with too few good labels to prove anything are pooled, by their number alone; the guarantee
+is then one for the pooled stratum. Where even all bands together have too few, no rule acts.
+
+Only counts per (band, step) reach the driver: a table of fixed size. Ratios are compared as integers times a
 power of ten, so Spark and the driver see the same numbers.
 
 Base: fewer than 50 words, or over half the words in repeated three-word windows, fails outright. Null texts have no
-words and fail. Repeated rows are judged each; repeated or contradicting labels count as they come, null ones not at all.
+words and fail. Repeated rows are judged each. A document is good once if it has a label and all its labels say so; null
+labels and null ids do not count. Repeated documents and equal texts count as they come.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,6 +33,8 @@ SYMBOLS = "#*$%&|<>"
 #: Stratum bounds: words in a document.
 BANDS = (200, 1000, 5000)
 ALPHA, DELTA = 0.01, 0.05
+#: Steps from the loosest cut-offs to the strictest.
+STEPS = 41
 #: Rule -> (metric, True if large values are bad, grid of cut-offs from the strictest).
 GRID = {
     "symbols": ("symbols_ppm", True, tuple(range(0, 100_001, 2_500))),
@@ -86,39 +93,87 @@ def rejects(rule: str, cut: Column | int) -> Column:
 
 
 def lower_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial(n, p), exact up to rounding."""
+    """P(X <= k) for X binomial(n, p): a regularised incomplete beta function, by its continued fraction."""
     if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    steps = np.log(n - i[:-1]) - np.log(i[:-1] + 1.0) + math.log(p) - math.log1p(-p)
-    return min(1.0, float(np.exp(n * math.log1p(-p) + np.concatenate([[0.0], np.cumsum(steps)])).sum()))
-
-
-def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], int]:
-    """(stratum, rule) -> the strictest cut-off whose false rejections are proven rare; absent: the rule is off."""
-    good = pick(labels, "doc_id", "quality").filter("quality = 1").select("doc_id")
+    a, b, x = n - k, k + 1, 1.0 - p
+    scale = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (n + 3):
+        return min(1.0, scale * fraction(a, b, x) / a)
+    return max(0.0, 1.0 - scale * fraction(b, a, p) / b)
+
+
+def fraction(a: int, b: int, x: float) -> float:
+    """The continued fraction of the incomplete beta function, evaluated forwards."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d = 1.0 / (1.0 + term * d or tiny)
+            c = 1.0 + term / c or tiny
+            out *= d * c
+        if abs(d * c - 1.0) < 1e-15 or m > 100_000:
+            return out
+
+
+def cuts_at(step: int) -> dict[str, int]:
+    """Every rule's cut-off at a step of the path."""
+    return {rule: grid[len(grid) - 1 - step * (len(grid) - 1) // (STEPS - 1)] for rule, (_, _, grid) in GRID.items()}
+
+
+def rejected(step: int) -> Column:
+    return reduce(or_, (rejects(rule, cut) for rule, cut in cuts_at(step).items()))
+
+
+def pooled(goods: list[int], alpha: float, delta: float) -> list[list[int]]:
+    """Neighbouring bands joined until each stratum could prove its loosest step; as many strata as that allows."""
+    for strata in range(len(goods), 0, -1):
+        enough = math.log(delta / strata) / math.log1p(-alpha)
+        out, have = [[]], 0
+        for band, n in enumerate(goods):
+            if have >= enough and len(out) < strata:
+                out, have = [*out, []], 0
+            out[-1].append(band)
+            have += n
+        if len(out) > 1 and have < enough:
+            out[-2:] = [out[-2] + out[-1]]
+        if len(out) == strata:
+            return out
+    return [list(range(len(goods)))]
+
+
+def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[int, int]:
+    """Band -> the strictest step whose false rejections are proven rare; absent: no rule acts there."""
+    good = pick(labels, "doc_id", "quality").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     counted = judged.filter(~F.col("base_failed")).join(good, "doc_id").groupBy("stratum")
-    sums = [F.sum(rejects(rule, cut).cast("long")).alias(f"{rule}_{i}") for rule, (_, _, grid) in GRID.items() for i, cut in enumerate(grid)]
+    sums = [F.count_if(rejected(step)).alias(f"s{step}") for step in range(STEPS)]
     counts = {r["stratum"]: r for r in counted.agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
-    level = delta / (len(BANDS) + 1) / len(GRID)
+    strata = pooled([counts[b]["n"] if b in counts else 0 for b in range(len(BANDS) + 1)], alpha, delta)
     out = {}
-    for stratum, row in counts.items():
-        for rule, (_, _, grid) in GRID.items():
-            for i in reversed(range(len(grid))):
-                if lower_tail(row[f"{rule}_{i}"], row["n"], alpha) > level:
-                    break
-                out[stratum, rule] = grid[i]
+    for bands in strata:
+        own = [counts[b] for b in bands if b in counts]
+        n = sum(r["n"] for r in own)
+        for step in range(STEPS):
+            k = sum(r[f"s{step}"] for r in own)
+            if k >= alpha * n or lower_tail(k, n, alpha) > delta / len(strata):
+                break
+            out.update(dict.fromkeys(bands, step))
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Base columns, ``base_failed`` and ``kept`` for every document. The texts are read once."""
+    """Base columns, ``base_failed``, ``kept``, the stratum and the first rule that rejects, for every document. The texts are read once."""
     judged = ratios(written(metrics(docs), "quality"))
-    cuts = thresholds(judged, labels, alpha, delta)
-    bad = F.lit(False)
-    for (stratum, rule), cut in sorted(cuts.items()):
-        bad = bad | ((F.col("stratum") == stratum) & rejects(rule, cut))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~bad).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rule = F.lit(None).cast("string")
+    for band, step in sorted(thresholds(judged, labels, alpha, delta).items()):
+        first = F.coalesce(*[F.when(rejects(name, cut), F.lit(name)) for name, cut in cuts_at(step).items()])
+        rule = F.when(F.col("stratum") == band, first).otherwise(rule)
+    out = judged.withColumn("rule", F.when(~F.col("base_failed"), rule)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rule")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
