@@ -160,6 +160,20 @@ def test_recursive_filter_is_independent_of_chunks(spark):
         assert got == pytest.approx(list(want))
 
 
+def test_recursive_filter_over_many_chunks(spark):
+    v = [float(x) for x in np.random.default_rng(1).normal(0, 5, 3000)]
+    rows = [(m, at(3600 * i), x * s) for m, s in (("m", 1.0), ("n", -2.0)) for i, x in enumerate(v)] + [("bad", at(0), 1.0), ("bad", at(60), None), ("bad", at(120), 2.0)]
+    df = spark.createDataFrame(rows, "market string, time_open timestamp, close double")
+    alphas = {"a": 1.0, "b": 0.9, "c": 2 / 3, "d": 0.1, "e": 1e-4}
+    got = ewm(df, {n: ("close", a) for n, a in alphas.items()}, chunk_s=86_400 * 30).orderBy("market", "time_open").toPandas()
+    assert list(got.columns) == ["market", "time_open", "close", *alphas] and len(got) == len(rows)
+    for market, scale in (("m", 1.0), ("n", -2.0)):
+        own = got[got.market == market]
+        for n, a in alphas.items():
+            assert list(own[n]) == pytest.approx(list(pd.Series(v).mul(scale).ewm(alpha=a, adjust=False).mean()), rel=1e-9, abs=1e-9)
+    assert got[got.market == "bad"]["d"].isna().tolist() == [False, True, True]
+
+
 def test_indicator_specs(spark):
     assert read_spec("macd:5:10") == read_spec("macd:slow=10:fast=5") == Macd(5, 10, 9)
     for bad, text in (("nope", "known indicators"), ("sma:0", "cannot use"), ("sma:x", "takes int"), ("sma:1:2", "no free parameter"), ("sma:5:period=6", "no free parameter"), ("bbands:mult=nan", "cannot use")):
