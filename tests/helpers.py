@@ -74,3 +74,9 @@ def order_fold(events):
                 depth[b][p] = depth[b].get(p, 0.0) + q
             out.append((t, depth[True], depth[False]))
     return out
+
+
+def canon_rows(columns, rows):
+    """Rows as sorted dictionaries; doubles to six decimals, a NaN stays one."""
+    own = [{c: round(v, 6) + 0.0 if isinstance(v, float) else v for c, v in zip(columns, r, strict=True)} for r in rows]
+    return sorted(own, key=lambda r: repr(sorted(r.items())))
