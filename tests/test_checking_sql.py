@@ -30,3 +30,8 @@ def calm(spark, tmp_path):
 def test_minute_curve_of_constant_predictions_is_zero_in_both(spark, calm):
     got, want = both(spark, calm, "A28_minute_r2_curve")
     assert got == want and len(got) == 60 and {r["r2"] for r in got} == {0.0}
+
+
+def test_regression_on_constant_predictions_has_no_line_in_both(spark, calm):
+    got, want = both(spark, calm, "A29_regression_stats")
+    assert got == want and got[0]["r_squared"] == 0.0 and got[0]["slope"] is None
