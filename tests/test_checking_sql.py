@@ -35,3 +35,21 @@ def test_minute_curve_of_constant_predictions_is_zero_in_both(spark, calm):
 def test_regression_on_constant_predictions_has_no_line_in_both(spark, calm):
     got, want = both(spark, calm, "A29_regression_stats")
     assert got == want and got[0]["r_squared"] == 0.0 and got[0]["slope"] is None
+
+
+@pytest.fixture
+def lively(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=47 * i), i % 5, "click view".split()[i % 3 == 0], 150.0 * (i * 37 % 101) / 101, "{}") for i in range(700)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    return tmp_path
+
+
+def test_shuffle_floor_sorts_in_pieces_of_bounded_size(spark, lively, monkeypatch):
+    """Copies are spread by their number, whatever the session's partitions, and only sums are exchanged."""
+    from tickloom.operators import stats as st
+
+    monkeypatch.setattr(st, "SORTED_ROWS", 2_000)
+    got, want = both(spark, lively, "A33_shuffle_floor")
+    assert got == want and len(got) == 60
+    plan = entry.queries()["A33_shuffle_floor"](spark, str(lively))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
