@@ -53,3 +53,30 @@ def test_shuffle_floor_sorts_in_pieces_of_bounded_size(spark, lively, monkeypatc
     assert got == want and len(got) == 60
     plan = entry.queries()["A33_shuffle_floor"](spark, str(lively))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def windows(spark, tmp_path, spans):
+    """A feed whose shocks start at the given seconds; the id's remainder by 13 gives the length in ten minutes."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i % 5, "click", 200.0, "{}") for i, s in spans]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    return tmp_path
+
+
+def plan_of(spark, folder, name):
+    return entry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlapping_windows_are_found_once_without_a_distinct(spark, tmp_path):
+    """Equal starts, a window of no length, nested and touching ones."""
+    folder = windows(spark, tmp_path, [(1, 0), (14, 0), (13, 0), (2, 600), (26, 1200), (3, 1200), (5, 9000), (12, 9000), (4, 12000)])
+    got, want = both(spark, folder, "P11_window_overlap")
+    assert got == want and len(got) > 8
+    assert "Aggregate" not in plan_of(spark, folder, "P11_window_overlap")
+
+
+def test_hours_are_folded_before_set_operations(spark, tmp_path):
+    folder = windows(spark, tmp_path, [(i, 700 * i) for i in range(40)])
+    got, want = both(spark, folder, "U3_set_ops")
+    assert got == want and got
+    below = plan_of(spark, folder, "U3_set_ops").split("Join")[1:]
+    assert below and all("Aggregate" in part for part in below)

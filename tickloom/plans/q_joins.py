@@ -109,11 +109,11 @@ def _(t: Tables):
 
 @query("P11_window_overlap", """SELECT a.event_id AS left_id, b.event_id AS right_id FROM shocks a JOIN shocks b ON a.market = b.market AND a.event_id < b.event_id AND a.start_time <= b.end_time AND b.start_time <= a.end_time""", "shocks")
 def _(t: Tables):
-    # windows meet when one starts inside the other: ticks-in-window both ways
+    # of two windows that meet the later one starts inside the earlier, so each pair is found once; ids decide equal starts
     w = t.shocks.select("market", F.col("event_id").alias("x"), "start_time", "end_time")
     starts = t.shocks.select("market", F.col("event_id").alias("y"), F.col("start_time").alias("s"))
-    hit = rows_in_windows(w, starts, ["market"], "start_time", "end_time", "s").filter("x <> y")
-    return hit.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+    hit = rows_in_windows(w, starts, ["market"], "start_time", "end_time", "s").filter("x <> y and (start_time < s or x < y)")
+    return hit.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
 
 
 @query("J11_twin_series", """SELECT a.market AS market_a, b.market AS market_b, a.time_exchange, round((a.funding_rate - b.funding_rate) * 24 * 365, 6) AS differential_apr
