@@ -170,8 +170,9 @@ def _(t: Tables):
 @query("U3_set_ops", """SELECT market, h, 'both' AS kind FROM (SELECT market, date_trunc('hour', time_exchange) AS h FROM trades INTERSECT SELECT market, date_trunc('hour', start_time) FROM shocks)
     UNION ALL SELECT market, h, 'missing' FROM (SELECT market, date_trunc('hour', time_exchange) AS h FROM trades EXCEPT SELECT market, date_trunc('hour', start_time) FROM shocks)""", "trades shocks")
 def _(t: Tables):
-    a = t.trades.select("market", F.date_trunc("hour", "time_exchange").alias("h"))
-    h = t.shocks.select("market", F.date_trunc("hour", "start_time").alias("h"))
+    # hours first: they are few, rows are folded to them before any shuffle
+    a = t.trades.select("market", F.date_trunc("hour", "time_exchange").alias("h")).distinct()
+    h = t.shocks.select("market", F.date_trunc("hour", "start_time").alias("h")).distinct()
     return a.intersect(h).withColumn("kind", F.lit("both")).unionByName(a.subtract(h).withColumn("kind", F.lit("missing")))
 
 
