@@ -202,10 +202,42 @@ def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[["market", "bucket", "side", "wallet", "n", "lo", "hi", "at", "seq", "close"]]
 
 
+ENDS = {"lo": "double", "hi": "double", "at": "long", "seq": "long", "close": "double"}
+
+
+class Counts:
+    """Trades by (bucket, side, wallet), as plain numbers: names are kept once, equal keys are summed whenever the rows have doubled."""
+
+    def __init__(self, least: int = 500_000):
+        self.names: dict[str, int] = {}
+        self.parts: list[pd.DataFrame] = []
+        self.rows, self.limit, self.least = 0, least, least
+
+    def add(self, part: pd.DataFrame) -> None:
+        number = lambda c: np.fromiter((self.names.setdefault(x, len(self.names)) for x in part[c]), "int32", len(part))
+        self.parts.append(pd.DataFrame({"bucket": part["bucket"].to_numpy("int64"), "side": number("side"), "wallet": number("wallet"), "n": part["n"].to_numpy("int64")}))
+        self.rows += len(part)
+        if self.rows > self.limit:
+            self.rows = len(self.summed())
+            self.limit = max(self.least, 2 * self.rows)
+
+    def summed(self) -> pd.DataFrame:
+        self.parts = [pd.concat(self.parts).groupby(["bucket", "side", "wallet"], as_index=False)["n"].sum()]
+        return self.parts[0]
+
+    def buckets(self) -> Iterator[tuple[int, dict]]:
+        """One bucket's counts at a time as a dictionary."""
+        if not self.parts:
+            return
+        name = list(self.names)
+        for bucket, own in self.summed().groupby("bucket"):
+            yield int(bucket), {(name[s], name[w]): n for s, w, n in zip(own["side"], own["wallet"], own["n"].tolist(), strict=True)}
+
+
 class BurstKeeper(StatefulProcessor):
     """Buckets of a market as they close: by the watermark, whether or not the market trades again.
 
-    State: the trailing history (bounded) and, for each open bucket, its sums by side and wallet. Trades of a closed bucket
+    State: the trailing history (bounded) and, for each open bucket, its trades by side and wallet and its prices by side. Trades of a closed bucket
     come out as rows that count them.
     """
 
@@ -215,8 +247,7 @@ class BurstKeeper(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.past = handle.getValueState("past", "next long, close double, ret array<double>, buy array<long>, sell array<long>")
-        columns = "side array<string>, wallet array<string>, n array<long>, lo array<double>, hi array<double>, at array<long>, seq array<long>, close array<double>"
-        self.open = handle.getMapState("open", "bucket long", columns)
+        self.open = handle.getMapState("open", "bucket long", "side array<string>, wallet array<string>, n array<long>, sides array<string>, " + ", ".join(f"{c} array<{t}>" for c, t in ENDS.items()))
 
     def ends(self, bucket: int) -> int:
         return (bucket + 1) * self.bucket_s * 1000
@@ -224,35 +255,46 @@ class BurstKeeper(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         next_ = self.past.get()[0] if self.past.exists() else None
         late: dict[int, int] = {}
-        mine: dict[int, dict] = {}
+        ends: dict[tuple[int, str], tuple] = {}
+        counts = Counts()
         for part in rows:
-            for bucket, side, wallet, *sums in part[["bucket", "side", "wallet", "n", "lo", "hi", "at", "seq", "close"]].itertuples(index=False, name=None):
-                if next_ is not None and bucket < next_:
-                    late[bucket] = late.get(bucket, 0) + sums[0]
-                else:
-                    own = mine.setdefault(bucket, {})
-                    own[side, wallet or ""] = self.joined(own.get((side, wallet or "")), sums)
-        for bucket, own in mine.items():
+            if next_ is not None:
+                old = part["bucket"] < next_
+                for bucket, n in part[old].groupby("bucket")["n"].sum().items():
+                    late[bucket] = late.get(bucket, 0) + int(n)
+                part = part[~old]
+            part = part.assign(side=part["side"].fillna(""), wallet=part["wallet"].fillna("")).sort_values(["at", "seq", "close"], kind="stable")
+            by = part.groupby(["bucket", "side"], sort=False).agg(lo=("lo", "min"), hi=("hi", "max"), at=("at", "last"), seq=("seq", "last"), close=("close", "last"))
+            for at, *sums in by.itertuples(name=None):
+                ends[at] = self.joined(ends.get(at), sums)
+            counts.add(part)
+        for bucket, own in counts.buckets():
+            mine = {side: ends.pop((bucket, side)) for side in {side for side, _ in own}}
             if self.open.containsKey((bucket,)):
-                for k, sums in self.wallets(self.open.getValue((bucket,))):
-                    own[k] = self.joined(own.get(k), sums)
-            self.open.updateValue((bucket,), tuple(map(list, zip(*((*k, *sums) for k, sums in own.items()), strict=True))))
+                wallets, sides = self.saved(self.open.getValue((bucket,)))
+                for k, n in wallets.items():
+                    own[k] = own.get(k, 0) + n
+                for side, sums in sides.items():
+                    mine[side] = self.joined(mine.get(side), sums)
+            keys = list(zip(*own, strict=True))
+            self.open.updateValue((bucket,), (*map(list, keys), list(own.values()), list(mine), *map(list, zip(*mine.values(), strict=True))))
             self.handle.registerTimer(self.ends(bucket))
         yield pd.DataFrame([(key[0], self.time(b), None, None, None, None, None, n) for b, n in late.items()], columns=BURST)
 
     @staticmethod
     def joined(one: Sequence | None, two: Sequence) -> tuple:
-        """Sums of two parts of a wallet's trades: the later part has the close."""
-        n, lo, hi, at, seq, close = two
+        """Prices of two parts of a side's trades: the later part has the close."""
+        lo, hi, at, seq, close = two
         last = (int(at), int(seq), float(close))
         if one is None:
-            return int(n), float(lo), float(hi), *last
-        return int(n) + one[0], min(float(lo), one[1]), max(float(hi), one[2]), *max(last, tuple(one[3:]))
+            return float(lo), float(hi), *last
+        return min(float(lo), one[0]), max(float(hi), one[1]), *max(last, tuple(one[2:]))
 
     @staticmethod
-    def wallets(saved: tuple) -> Iterator[tuple]:
-        for side, wallet, *sums in zip(*saved, strict=True):
-            yield (side, wallet), sums
+    def saved(row: tuple) -> tuple[dict, dict]:
+        """Trades by (side, wallet) and prices by side of an open bucket."""
+        side, wallet, n, sides, *sums = row
+        return dict(zip(zip(side, wallet, strict=True), n, strict=True)), dict(zip(sides, zip(*sums, strict=True), strict=True))
 
     def time(self, bucket: int) -> pd.Timestamp:
         return pd.Timestamp(bucket * self.bucket_s, unit="s")
@@ -265,8 +307,8 @@ class BurstKeeper(StatefulProcessor):
         due = [b for b in range(closed, upto + 1) if self.open.containsKey((b,))] if few else [b for (b,) in list(self.open.keys()) if b <= upto]
         mine: dict[int, dict] = {}
         for bucket in due:
-            for (side, wallet), sums in self.wallets(self.open.getValue((bucket,))):
-                mine.setdefault(bucket, {}).setdefault(side, {})[wallet] = sums
+            wallets, sides = self.saved(self.open.getValue((bucket,)))
+            mine[bucket] = {side: (sum(each := [n for (s, _), n in wallets.items() if s == side]), max(each), *sums) for side, sums in sides.items()}
             self.open.removeKey((bucket,))
         next_, close, ret, buy, sell = self.past.get() if self.past.exists() else (min(mine, default=upto), None, [], [], [])
         counts = {"BUY": list(buy), "SELL": list(sell)}
@@ -279,21 +321,23 @@ class BurstKeeper(StatefulProcessor):
         for bucket in range(next_, upto + 1):
             own = mine.get(bucket, {})
             for side in ("BUY", "SELL"):
-                out += self.judged(key[0], bucket, side, own.get(side, {}), close, ret, counts[side])
-            ends = [(x[3], x[4], x[5]) for w in own.values() for x in w.values()]
+                out += self.judged(key[0], bucket, side, own.get(side), close, ret, counts[side])
+            ends = [x[4:] for x in own.values()]
             now = max(ends)[2] if ends else close
             ret = (ret + [math.log(now / close) if close is not None else 0.0])[-self.history :]
-            counts = {s: (c + [sum(x[0] for x in own.get(s, {}).values())])[-self.history :] for s, c in counts.items()}
+            counts = {s: (c + [own[s][0] if s in own else 0])[-self.history :] for s, c in counts.items()}
             close = now
         self.past.update((upto + 1, close, ret, counts["BUY"], counts["SELL"]))
         yield pd.DataFrame(out, columns=BURST)
 
-    def judged(self, market: str, bucket: int, side: str, wallets: dict, close: float | None, ret: list, counts: list) -> list[tuple]:
-        n = sum(x[0] for x in wallets.values())
-        if not n or close is None or len(ret) < self.history or max(x[0] for x in wallets.values()) < 2:
+    def judged(self, market: str, bucket: int, side: str, sums: tuple | None, close: float | None, ret: list, counts: list) -> list[tuple]:
+        if sums is None or close is None or len(ret) < self.history:
+            return []
+        n, most, lo, hi = sums[:4]
+        if most < 2:
             return []
         med, sig = float(statistics.median(counts)), statistics.pstdev(ret)
-        move = math.log(close / min(x[1] for x in wallets.values())) if side == "SELL" else math.log(max(x[2] for x in wallets.values()) / close)
+        move = math.log(close / lo) if side == "SELL" else math.log(hi / close)
         good = med > 0 and sig > 0 and n >= self.rate * med and move >= self.sigma * sig
         return [(market, self.time(bucket), side, n, med, move, sig, 0)] if good else []
 
