@@ -189,6 +189,9 @@ def file_validity(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- sink ------------------------------------------------------------------------
+LINES_PER_TASK = 250_000  # lines that one task sorts, unless one file holds more
+
+
 def write_archive(rows: DataFrame, root: str) -> DataFrame:
     """Write (rel, header, line, pos) rows to gz files, one task per file.
 
@@ -227,5 +230,6 @@ def write_archive(rows: DataFrame, root: str) -> DataFrame:
             close()
         yield pd.DataFrame({"rel": done})
 
-    ordered = rows.select("rel", "header", "line", "pos", "cut").repartition("rel").sortWithinPartitions("rel", "pos")
+    tasks = max(1, -(-rows.count() // LINES_PER_TASK))  # a given number, or small partitions would be merged again
+    ordered = rows.select("rel", "header", "line", "pos", "cut").repartition(tasks, "rel").sortWithinPartitions("rel", "pos")
     return ordered.mapInPandas(write, "rel string")
