@@ -228,7 +228,8 @@ def write_archive(rows: DataFrame, root: str) -> DataFrame:
                 handle.write(line + "\n")
         if handle:
             close()
-        yield pd.DataFrame({"rel": done})
+        if done:  # a task may get no file
+            yield pd.DataFrame({"rel": done})
 
     tasks = max(1, -(-rows.count() // LINES_PER_TASK))  # a given number, or small partitions would be merged again
     ordered = rows.select("rel", "header", "line", "pos", "cut").repartition(tasks, "rel").sortWithinPartitions("rel", "pos")
