@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import at
 from tickloom.functions.quantiles import exact_quantiles
+from tickloom.functions.rounding import whole
 from tickloom.functions.timecols import micros
 from tickloom.operators.asof import asof_join
 from tickloom.operators.harvest import cooldown
@@ -219,3 +220,19 @@ def test_candle_sources(spark):
             known.candles(name, interval)
     with pytest.raises(ValueError, match="known already"):
         known.add("own", lambda i: None)
+
+
+def test_whole_rounds_as_round_does(spark):
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.3, 4503599627370497.0, 1e12 + 0.5, 1e300, 104.49999999999999, 104.5, float("inf"), -float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.filter(~whole(F.col("v")).eqNullSafe(F.round("v"))).count() == 0
+
+
+def test_derived_prices_take_decimal_rounding_only_beyond_the_plain_range(spark):
+    """Filters and columns repeat a price's expression, so each repetition has to be arithmetic."""
+    from tickloom.operators.quotes import microprices
+    from tickloom.plans.bindings import Tables
+    from tickloom.plans.q_fills import l1_of
+
+    plan = microprices(l1_of(Tables(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") == plan.count("ELSE round(") > 0
