@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.operators import bars as b
 from tickloom.plans.bindings import Tables, add_view
@@ -12,7 +13,7 @@ from tickloom.plans.registry import query
 from tickloom.session import shared_dir
 from tickloom.sources import archive as ar, tables as tb
 
-_ROOTS: dict[tuple[str, str], str] = {}
+_ROOTS: dict[tuple[str, str], tuple[str, set[str]]] = {}
 L4 = ("click", "view")
 
 
@@ -24,12 +25,15 @@ def _s(c):
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit(""))
 
 
-def archive_root(t: Tables) -> str:
-    """Write the derived feeds once per session and data folder as a gz archive."""
-    key = (t.spark.sparkContext.applicationId, t.dir)
-    if key in _ROOTS:
-        return _ROOTS[key]
-    root = f"{shared_dir(t.spark)}/archive-{uuid.uuid4().hex}"
+FEEDS = ("TRADES", "QUOTES", "LIMITBOOK_FULL", "HLORACLEPRICES")
+
+
+def archive_root(t: Tables, *feeds: str) -> str:
+    """Write the derived feeds a query reads (all if none are named), each once per session and data folder, as a gz archive."""
+    root, written = _ROOTS.setdefault((t.spark.sparkContext.applicationId, t.dir), (f"{shared_dir(t.spark)}/archive-{uuid.uuid4().hex}", set()))
+    wanted = [f for f in feeds or FEEDS if f not in written]
+    if not wanted:
+        return root
     l4 = F.col("market").isin(*L4)
     day = F.date_format("time_exchange", "yyyyMMdd")
 
@@ -54,8 +58,9 @@ def archive_root(t: Tables) -> str:
     # only one trade day is left broken, and only in the daily era
     tr = tr.withColumn("cut", F.col("cut") & F.col("rel").contains("E-HYPERLIQUID/"))
     no = lambda d: d.withColumn("cut", F.lit(False))
-    ar.write_archive(tr.unionByName(no(qu)).unionByName(no(bo)).unionByName(no(orc)), root).write.parquet(f"{root}-manifest")
-    _ROOTS[key] = root
+    lines_of = dict(zip(FEEDS, (tr, no(qu), no(bo), no(orc)), strict=True))
+    ar.write_archive(reduce(DataFrame.unionByName, [lines_of[f] for f in wanted]), root).write.parquet(f"{root}-manifest-{uuid.uuid4().hex}")
+    written.update(wanted)
     return root
 
 
@@ -65,29 +70,29 @@ add_view("good_trades", "SELECT * FROM trades WHERE market IN ('click', 'view')
 @query("S1_scan_trades", "SELECT 'xyz:' || market AS market, time_exchange, time_received AS time_coinapi, round(price, 6) AS price, base_amount, taker_side, CASE WHEN market IN ('click', 'view') THEN user_taker END AS user_taker FROM good_trades", "good_trades")
 def _(t: Tables):
     cols = ["time_exchange", "time_coinapi", "price", "base_amount", "taker_side", "user_taker"]
-    return ar.scan_both_eras(t.spark, archive_root(t), "TRADES", cols, salvage=True).select("market", *cols)
+    return ar.scan_both_eras(t.spark, archive_root(t, "TRADES"), "TRADES", cols, salvage=True).select("market", *cols)
 
 
 @query("S2_scan_quotes", "SELECT 'xyz:' || market AS market, time_exchange, best_ask_px AS ask_px, best_ask_sx AS ask_sx, best_bid_px AS bid_px, best_bid_sx AS bid_sx FROM quotes", "quotes")
 def _(t: Tables):
     cols = ["time_exchange", "ask_px", "ask_sx", "bid_px", "bid_sx"]
-    return ar.scan_both_eras(t.spark, archive_root(t), "QUOTES", cols).select("market", *cols)
+    return ar.scan_both_eras(t.spark, archive_root(t, "QUOTES"), "QUOTES", cols).select("market", *cols)
 
 
 @query("S3_scan_book_events", "SELECT 'xyz:' || market AS market, time_exchange, is_buy, update_type, entry_px, entry_sx FROM book", "book")
 def _(t: Tables):
     cols = ["time_exchange", "is_buy", "update_type", "entry_px", "entry_sx"]
-    return ar.scan_both_eras(t.spark, archive_root(t), "LIMITBOOK_FULL", cols).select("market", *cols)
+    return ar.scan_both_eras(t.spark, archive_root(t, "LIMITBOOK_FULL"), "LIMITBOOK_FULL", cols).select("market", *cols)
 
 
 @query("S4_scan_oracle_prices", "SELECT 'xyz:' || market AS market, time_exchange, update_class, round(mark_px, 6) AS mark_px, round(oracle_px, 6) AS oracle_px FROM oracle", "oracle")
 def _(t: Tables):
-    return ar.scan_oracle_prices(t.spark, archive_root(t), ["time_exchange", "update_class", "mark_px", "oracle_px"]).drop("partition", "day", "file")
+    return ar.scan_oracle_prices(t.spark, archive_root(t, "HLORACLEPRICES"), ["time_exchange", "update_class", "mark_px", "oracle_px"]).drop("partition", "day", "file")
 
 
 @query("S5_scan_flat_file", "SELECT time_exchange, round(price, 6) AS price, user_taker FROM trades WHERE market = 'click' AND strftime(time_exchange, '%Y%m%d') = '20240103'", "trades")
 def _(t: Tables):
-    f = f"{archive_root(t)}/T-TRADES/D-2024010300/E-HYPERLIQUIDL4/IDDI-1+SC-HYPERLIQUIDL4_PERP+S-XYZ__003Aclick.csv.gz"
+    f = f"{archive_root(t, "TRADES")}/T-TRADES/D-2024010300/E-HYPERLIQUIDL4/IDDI-1+SC-HYPERLIQUIDL4_PERP+S-XYZ__003Aclick.csv.gz"
     return ar.scan_flat_file(t.spark, f).select("time_exchange", "price", "user_taker")
 
 
@@ -108,7 +113,7 @@ def _(t: Tables):
 
 @query("S11_corrupt_salvage", """SELECT market, count(*) AS rows, CASE WHEN market IN ('xyz:click', 'xyz:view') THEN 0::BIGINT ELSE 1::BIGINT END AS broken_files FROM (SELECT 'xyz:' || market AS market FROM good_trades) GROUP BY 1""", "good_trades")
 def _(t: Tables):
-    root = archive_root(t)
+    root = archive_root(t, "TRADES")
     rows = ar.scan_both_eras(t.spark, root, "TRADES", ["time_exchange", "price"], salvage=True).groupBy("market").agg(F.count(F.lit(1)).alias("rows"))
     bad = ar.with_key(ar.file_validity(t.spark, f"{root}/T-TRADES/D-*/E-*/*.csv.gz"), "file", ("market",)).groupBy("market").agg(F.count_if(~F.col("ok")).alias("broken_files"))
     return rows.join(bad, "market", "left")
@@ -123,13 +128,13 @@ def _(t: Tables):
 
 @query("S14_wallet_era_gate", "SELECT 'xyz:' || market AS market, count(*) AS rows, count(*) FILTER (market IN ('click', 'view')) AS with_wallet FROM good_trades GROUP BY 1", "good_trades")
 def _(t: Tables):
-    r = ar.scan_both_eras(t.spark, archive_root(t), "TRADES", ["price", "user_taker"], salvage=True)
+    r = ar.scan_both_eras(t.spark, archive_root(t, "TRADES"), "TRADES", ["price", "user_taker"], salvage=True)
     return r.groupBy("market").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(F.col("user_taker"), F.lit("")) != "").alias("with_wallet"))
 
 
 @query("S19_partition_gaps", "SELECT market, count(*) AS files, min(partition) AS first_partition, max(partition) AS last_partition, count(*) FILTER (date_diff('day', p, strptime(d, '%Y%m%d')) <> 1) AS partition_gaps FROM (SELECT *, lag(strptime(d, '%Y%m%d')) OVER (PARTITION BY market ORDER BY d) AS p FROM files WHERE feed = 'QUOTES') GROUP BY 1", "files")
 def _(t: Tables):
-    return ar.partition_gaps(ar.file_table(t.spark, archive_root(t), "QUOTES"))
+    return ar.partition_gaps(ar.file_table(t.spark, archive_root(t, "QUOTES"), "QUOTES"))
 
 
 @query("S7_projected_parquet", "SELECT o_orderkey, o_orderstatus FROM orders")
@@ -232,7 +237,7 @@ def _(t: Tables):
 
 @query("P4_file_preview", "SELECT time_exchange, round(price, 6) AS price, (SELECT count(*) FROM trades WHERE market = 'view' AND strftime(time_exchange, '%Y%m%d') = '20240105') AS total FROM (SELECT * FROM trades WHERE market = 'view' AND strftime(time_exchange, '%Y%m%d') = '20240105' ORDER BY time_exchange LIMIT 20)", "trades")
 def _(t: Tables):
-    f = ar.scan_trades(t.spark, archive_root(t), "l4", ["time_exchange", "price"]).filter("market = 'xyz:view' and partition = '2024010500'")
+    f = ar.scan_trades(t.spark, archive_root(t, "TRADES"), "l4", ["time_exchange", "price"]).filter("market = 'xyz:view' and partition = '2024010500'")
     rows, total = tb.page(f, size=20, sort="time_exchange")
     return rows.select("time_exchange", "price").crossJoin(F.broadcast(total))  # one row
 

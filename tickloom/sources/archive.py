@@ -49,9 +49,11 @@ def parse_key(path: Column | str) -> dict[str, Column]:
     part = lambda i, j: F.when(hit, F.regexp_extract(p, KEY, i)).otherwise(F.regexp_extract(p, WHOLE, j)) if j else F.when(hit, F.regexp_extract(p, KEY, i))
     exchange = part(3, 3)
     coin = F.regexp_replace(F.when(hit, F.regexp_extract(p, KEY, 6)), "__003A", ":")
+    # a name bound by ``transform`` is matched once a row, however often the rule of the market uses it
+    market = F.get(F.transform(F.array(coin), lambda c: F.when(c.isNull(), "all").otherwise(market_name(c))), 0)
     return {
         "feed": part(1, 1), "partition": part(2, 2), "exchange": exchange, "era": era_of(exchange), "iddi": part(4, 0),
-        "symbol": F.nullif(part(5, 0), F.lit("")), "coin": coin, "market": F.when(coin.isNull(), "all").otherwise(market_name(coin)),
+        "symbol": F.nullif(part(5, 0), F.lit("")), "coin": coin, "market": market,
         "day": F.to_date(F.substring(part(2, 2), 1, 8), "yyyyMMdd"),
     }
 
