@@ -236,3 +236,13 @@ def test_derived_prices_take_decimal_rounding_only_beyond_the_plain_range(spark)
 
     plan = microprices(l1_of(Tables(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("round(") == plan.count("ELSE round(") > 0
+
+
+def test_book_walks_run_once(spark):
+    """Sizes and epochs are read from a written walk: what is left to run passes over slices, never over rows in order."""
+    from tickloom.operators import book as bk
+    from tickloom.plans.bindings import Tables
+
+    states = bk.level_states(Tables(spark, "/root/testdata/sf0.001").book, strict=False)
+    lines = states._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Window" in x for x in lines) and not any("Window" in x and "seq#" in x for x in lines)

@@ -81,7 +81,8 @@ def _reflected(rows: DataFrame, keys: list[str]) -> DataFrame:
     Needs ``set_to`` (null unless the row sets), ``delta`` and the slices of the rows.
     A slice acts on the size it starts with as ``s -> max(s + total, floor)``, or, if
     it holds a set, as a constant; both are known from its last row. Chained over the
-    few slices of a key these give every slice its opening size.
+    few slices of a key these give every slice its opening size. The walk inside the
+    slices is written once, for its ends and for the rows.
     """
     by = [*keys, SLICE]
     known = F.lit(True)
@@ -93,7 +94,9 @@ def _reflected(rows: DataFrame, keys: list[str]) -> DataFrame:
     walk = base.withColumn("_seg", F.count("set_to").over(w.rowsBetween(*upto)))
     ws = Window.partitionBy(*by, "_seg").orderBy("time_exchange", "seq").rowsBetween(*upto)
     walk = walk.withColumn("_x", F.sum(F.coalesce("set_to", F.lit(0.0)) + F.col("delta")).over(ws)).withColumn("_m", F.min("_x").over(ws))
-    ends = walk.groupBy(*by).agg(F.max_by(F.struct("_seg", "_x", "_m"), F.struct("time_exchange", "seq")).alias("e"), F.max(F.xxhash64(*base.columns)).alias("_all")).filter("_all is not null")
+    state = F.struct("_seg", "_x", "_m")
+    walk = materialize(walk.withColumns({"_p": F.lag(state, 1).over(w), "_next": F.lead(F.lit(True), 1).over(w)}), "walk")
+    ends = walk.filter("_next is null").select(*by, state.alias("e"))  # a slice's last row
     fixed = F.col("e._seg") > 0
     chain = ends.select(*by, fixed.alias("_fixed"), F.when(fixed, 0.0).otherwise(F.col("e._x")).alias("_total"), (F.col("e._x") - F.least(F.lit(0.0), F.col("e._m"))).alias("_floor"))
     of_key = Window.partitionBy(*keys).orderBy(SLICE)  # one row for each slice that touches the key
@@ -104,10 +107,13 @@ def _reflected(rows: DataFrame, keys: list[str]) -> DataFrame:
     chain = chain.withColumn("_end", F.col("_c") + F.when(F.col("_run") == 0, F.greatest(peak, F.lit(0.0))).otherwise(peak))
     opening = chain.select(*by, F.lag("_end", 1).over(of_key).alias("_open")).filter(F.col("_open") > 0)
     open_ = F.coalesce("_open", F.lit(0.0))
-    raw = F.when(F.col("_seg") == 0, open_ + F.col("_x") - F.least(F.lit(0.0), open_ + F.col("_m"))).otherwise(F.col("_x") - F.least(F.lit(0.0), F.col("_m")))
-    out = walk.join(opening, by, "left").withColumn("_raw", raw)
-    out = out.withColumn("size", F.when(F.col("_raw") <= TINY, F.lit(0.0)).otherwise(F.col("_raw")))
-    return out.withColumn("prior", F.coalesce(F.lag("size", 1).over(w), open_)).drop("_seg", "_x", "_m", "_raw", "_open")
+
+    def size(of: str) -> Column:
+        seg, x, m = (F.col(f"{of}{c}") for c in ("_seg", "_x", "_m"))
+        raw = F.when(seg == 0, open_ + x - F.least(F.lit(0.0), open_ + m)).otherwise(x - F.least(F.lit(0.0), m))
+        return F.when(raw <= TINY, F.lit(0.0)).otherwise(raw)
+
+    return walk.join(opening, by, "left").select(*rows.columns, size("").alias("size"), F.coalesce(size("_p."), open_).alias("prior"))
 
 
 def in_order(events: DataFrame, width_s: int = DAY) -> DataFrame:
@@ -271,29 +277,32 @@ def order_level_states(events: DataFrame, width_s: int = DAY, rows_per_slice: in
     events = sliced(events, width_s, rows_per_slice)
     if strict:
         events = in_order(events, width_s)
-    e = with_epochs(events, width_s, rows_per_slice).filter(F.col("epoch").isNotNull() & ~F.col("update_type").isin(*IGNORED))
-    u, sx = F.col("update_type"), F.col("entry_sx")
+    u, sx = F.upper("update_type"), F.col("entry_sx")
     status = F.upper(F.trim(F.coalesce(F.col("hl4_status"), F.lit(""))))
     live = ~F.coalesce(truthy(F.col("is_trigger")), F.lit(False)) & F.coalesce(F.lower(F.trim("order_type")) == "limit", F.lit(True)) & status.isin("", "OPEN")
-    keep = ~((u == "SNAPSHOT") & ~live)
-    r = e.filter(keep).select(
-        "market", "epoch", F.coalesce("order_id", F.lit("\0")).alias("_order"), "order_id", "time_exchange", "seq", "update_type", "entry_sx", SLICE, truthy(F.col("is_buy")).alias("_buy"), F.col("entry_px").alias("_px"),
+    keep = ~((u == "SNAPSHOT") & ~live) & ~u.isin(*IGNORED)
+    narrow = events.select(  # what a row does, before the feed is written with its epochs
+        "market", "time_exchange", "seq", SLICE, "update_type", F.coalesce("order_id", F.lit("\0")).alias("_order"), truthy(F.col("is_buy")).alias("_buy"), F.col("entry_px").alias("_px"), keep.alias("_keep"),
         F.when(u.isin(*SETS), F.when(live, F.greatest(sx, F.lit(0.0))).otherwise(F.lit(0.0))).when(u.isin(*DELETES) | ((u == "ADD") & ~live), F.lit(0.0)).alias("set_to"),
-        F.when((u == "ADD") & live, sx).when(u == "SUB", -sx).otherwise(F.lit(0.0)).alias("delta"),
+        F.when((u == "ADD") & live, sx).when(u == "SUB", -sx).otherwise(F.lit(0.0)).alias("delta"), *(["order_id", "entry_sx"] if strict else []),
     )
+    r = with_epochs(narrow, width_s, rows_per_slice).filter(F.col("epoch").isNotNull() & F.col("_keep")).drop("_keep")
     order, seq = ["market", "epoch", "_order"], [F.col("seq")]
     s = _reflected(r, order)
     places = F.col("update_type").isin(*SETS) | ((F.col("update_type") == "ADD") & (F.col("prior") <= 0))
     placed = F.when(places, F.struct("_buy", "_px"))
-    s = running(s, order, micros("time_exchange"), {"_at": Running("last", placed), "_was": Running("last", placed, exclusive=True)}, tie=seq)
+    s = s.withColumn("_placed", placed)
+    if not strict:  # columns that nobody reads later would run the walk twice
+        s = s.select("market", "epoch", "_order", "time_exchange", "seq", SLICE, "prior", "size", "_placed")
+    s = running(s, order, micros("time_exchange"), {"_at": Running("last", F.col("_placed")), "_was": Running("last", F.col("_placed"), exclusive=True)}, tie=seq, consume=["_placed"] if not strict else [])
     if strict:
         moves = (F.col("update_type") == "ADD") & (F.col("prior") > 0) & (F.struct("_buy", "_px") != F.struct("_was._buy", "_was._px"))
         s = _sound(s, "order").filter(_must(F.col("order_id").isNotNull(), "book row without an order id")).filter(_must(~moves, F.concat(F.lit("ADD moves order "), "order_id")))
     move = lambda at_, d: F.struct(F.col(f"{at_}._buy").alias("buy"), F.col(f"{at_}._px").alias("price"), d.alias("d"))
     moved = s.select("market", "epoch", "time_exchange", "seq", SLICE, F.explode(F.array(move("_was", -F.col("prior")), move("_at", F.col("size")))).alias("m"))
     lv = moved.filter("m.price is not null").groupBy("market", "epoch", "time_exchange", "seq", SLICE, F.when(F.col("m.buy"), "bid").otherwise("ask").alias("side"), F.col("m.price").alias("price")).agg(F.sum("m.d").alias("d"))
-    out = running(lv, LEVEL, micros("time_exchange"), {"size": Running("sum", F.col("d"))}, tie=seq)
-    return out.withColumn("size", F.when(F.col("size") <= TINY, F.lit(0.0)).otherwise(F.col("size"))).drop("d", SLICE)
+    out = running(lv, LEVEL, micros("time_exchange"), {"size": Running("sum", F.col("d"))}, tie=seq, consume=["d"])
+    return out.withColumn("size", F.when(F.col("size") <= TINY, F.lit(0.0)).otherwise(F.col("size"))).drop(SLICE)
 
 
 def top_levels(depth: DataFrame, n: int) -> DataFrame:
