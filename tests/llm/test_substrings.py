@@ -1,13 +1,15 @@
 """Decontamination, phrase and suffix dedup and the similarity join against brute force."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
 from tests.llm import fixtures as fx
-from tickloom.llm import components, fmindex, parity, phrases, stretches, suffixes
+from tickloom.llm import common, components, fmindex, parity, phrases, stretches, suffixes
 from tickloom.llm.common import WordNumbers
+from tickloom.session import shared_dir
 
 ITEMS = [(1, "w1 w2 w3"), (2, None), (3, ""), (None, "one"), (10, "Two words"), (4, "--- !!")]
 
@@ -93,6 +95,17 @@ def test_hot_passages_do_not_end_in_one_task(spark, operator, monkeypatch):
     same(rows(got, columns), fx.phrases(docs) if operator is phrases else fx.suffixes(docs))
 
 
+@pytest.mark.parametrize("operator", [phrases, suffixes])
+def test_texts_move_in_shares_and_tables_go(spark, docs, operator, monkeypatch):
+    monkeypatch.setattr(common, "SHARE_BYTES", 1)
+    before, moved, by_batch = set(os.listdir(shared_dir(spark))), [], stretches.by_batch
+    monkeypatch.setattr(stretches, "by_batch", lambda df, *a, **b: [moved.append(df.count()), by_batch(df, *a, **b)][1])
+    out = operator.report(fx.frame(spark, docs))
+    assert out.count() == len(docs)
+    assert max(moved) < len(docs) / 2
+    assert {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before} <= {"cleaned", "windows", "recurring"}
+
+
 def test_repeated_rows_of_one_document_do_not_remove_each_other(spark, docs):
     text = docs[0][1]
     got = rows(suffixes.report(fx.frame(spark, [(1, text, "en", "s", 1)] * 2 + [(2, text, "en", "s", 1)])), ("doc_id", "n_removed"))

@@ -15,7 +15,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.session import shared_dir
 
@@ -27,6 +27,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Bytes of a row group that a writer gathers before it writes; texts fill the usual 128 MB in every task.
 ROW_GROUP = 16 << 20
+#: Larger sets of texts are moved in so many shares of the documents, one after the other, so that no shuffle holds all texts at once.
+SHARES, SHARE_BYTES = 4, 256 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -47,9 +49,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
-    # Shuffle files of the finished job go once the JVM has dropped its plan; else they stay until some later collection.
+    swept(spark)
+    return out
+
+
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of a finished job go once the JVM has dropped its plan; else they stay until some later collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def written_by_shares(spark: SparkSession, part: Callable[[Column], DataFrame], volume: int, name: str) -> DataFrame:
+    """As ``written``, in jobs of their own for shares of the documents; ``part`` makes a share's rows, given its filter on doc_id.
+
+    ``volume``: bytes of all texts.
+    """
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    shares = min(SHARES, volume // SHARE_BYTES + 1)
+    for k in range(shares):
+        df = part(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == k)
+        df.write.mode("append").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
+        schema, df = df.schema, None
+        swept(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out.table_path = path
     return out
 
 

@@ -20,7 +20,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import WordNumbers, by_batch, grams, sha, table, utf8
+from tickloom.llm.common import WordNumbers, grams, released, sha, table, utf8, written
 from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans, windows
 
 PHRASE, GRAM = 35, 8
@@ -64,11 +64,14 @@ def located(rows: list[dict]) -> list[list[tuple[int, int]]]:
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of words to remove; they may overlap."""
     occ, distinct, pieces = candidates(SCHEME, rows)
-    marks = judged(pieces, located).select("anchor", "stretch", "a", "b")
+    found = judged(pieces, located)
+    marks = found.select("anchor", "stretch", "a", "b")
     crowded = windows(SCHEME, rows, distinct)
     if crowded is not None:
         marks = marks.union(crowded.select("anchor", "stretch", F.col("first").alias("a"), (F.col("first") + PHRASE).alias("b")))
-    return occ.join(marks, ["anchor", "stretch"]).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    out = written(occ.join(marks, ["anchor", "stretch"]).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")), "spans")
+    released(occ, distinct, found)
+    return out
 
 
 def kept(text: str | None, found: list | None) -> tuple[list[bytes], int, int]:
@@ -96,12 +99,12 @@ def cleaned(_, keys: list, texts: list, found: list):
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: texts without recurring phrases; texts without any are unchanged."""
     rows = numbered(docs)
-    return by_batch(with_spans(rows, spans(rows)), cleaned, "doc_id long, text string", "doc_id", "text", "spans")
+    return with_spans(rows, spans(rows), cleaned, "doc_id long, text string")
 
 
 def report(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
-    return by_batch(with_spans(rows, spans(rows)), digests, "doc_id long, n_words long, n_removed long, kept_sha256 string", "doc_id", "text", "spans")
+    return with_spans(rows, spans(rows), digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ mostly share theirs, so a document falls into stretches of consecutive windows w
     pieces    values of the distinct stretches alone        routed to tasks by anchor
     windows   the windows of crowded anchors                one row per different window after partial counts
 
+Texts meet their stretches, and later their ranges, in shares of the documents (``common.SHARES``), one after the other; tables
+are deleted after their last use. So no shuffle holds all texts.
+
 A task that judges pieces sees all windows that can equal one another together. An anchor with more than ``CROWD`` distinct
 stretches (a common passage in ever new surroundings) is judged window by window instead: equal windows, named by 128-bit
 hashes, are counted with partial aggregation, and the counts are joined back to the windows, a join that Spark can split at hot
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from tickloom.llm.common import BASE, by_batch, mix, pick, utf8, written
+from tickloom.llm.common import BASE, by_batch, mix, pick, released, text_bytes, utf8, written, written_by_shares
 
 CROWD = 2_000
 LAST = (1 << 63) - 1
@@ -119,9 +122,11 @@ def entries(scheme: Scheme, docs: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id (null as LAST), v, text."""
+    """doc_id (null as LAST), v, text; ``volume`` tells the bytes of the texts."""
     rows = pick(docs, "doc_id", "text")
-    return rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text")
+    out = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("v"), "text")
+    out.volume = text_bytes(rows)
+    return out
 
 
 def pieces_of(scheme: Scheme, _, keys: list, marks: list, texts: list, wanted: list):
@@ -165,31 +170,35 @@ def windows(scheme: Scheme, rows: DataFrame, distinct: DataFrame) -> DataFrame |
     crowded = distinct.filter("crowded")
     if crowded.isEmpty():
         return None
-    each = written(by_batch(texts_of(rows, crowded), partial(windows_of, scheme), WINDOW, "doc_id", "v", "text", "wanted", ready=window_hash), "windows")
+    own = lambda share: by_batch(texts_of(rows.filter(share), crowded.filter(share)), partial(windows_of, scheme), WINDOW, "doc_id", "v", "text", "wanted", ready=window_hash)
+    each = written_by_shares(rows.sparkSession, own, rows.volume, "windows")
     place = F.struct("doc_id", "v", (F.col("start") + F.col("first")).alias("start"))
     kinds = each.groupBy("h1", "h2").agg(F.sum("copies").alias("_n"), F.min(place).alias("least")).filter("_n > 1")
     return each.join(written(kinds.select("h1", "h2", "least"), "recurring"), ["h1", "h2"]).select("anchor", "stretch", "doc_id", "v", "start", "first", "least")
 
 
 def candidates(scheme: Scheme, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(occ, distinct, pieces); pieces, of anchors that are not crowded, lie together and sorted by anchor, then document order."""
+    """(occ, distinct, pieces), all of them tables; pieces are those of anchors that are not crowded."""
     from functools import partial
 
     # A table, so that both sides of the join are plain exchanges and Spark can split a hot anchor.
     repeated = written(entries(scheme, rows).groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor"), "anchors")
     occ = written(entries(scheme, rows).join(repeated, "anchor"), "occurrences")
+    released(repeated)
     kinds = occ.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "v", "start")).alias("first"), F.min("n").alias("n"))
     crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k"))
     distinct = written(kinds.join(crowds, "anchor").select("anchor", "stretch", "copies", "first.doc_id", "first.v", "first.start", "n", (F.col("_k") > CROWD).alias("crowded")), "stretches")
-    pieces = by_batch(texts_of(rows, distinct.filter("NOT crowded")), partial(pieces_of, scheme), PIECE, "doc_id", "v", "text", "wanted")
-    return occ, distinct, pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "v", "start")
+    common = distinct.filter("NOT crowded")
+    own = lambda share: by_batch(texts_of(rows.filter(share), common.filter(share)), partial(pieces_of, scheme), PIECE, "doc_id", "v", "text", "wanted")
+    return occ, distinct, written_by_shares(rows.sparkSession, own, rows.volume, "pieces")
 
 
 SPAN = "anchor long, stretch long, doc_id long, v long, start int, a int, b int"
 
 
 def judged(pieces: DataFrame, judge: Callable[[list[dict]], list[list[tuple[int, int]]]]) -> DataFrame:
-    """Values, relative to the stretch's start, that ``judge`` marks: it gets all pieces of an anchor and names ranges of each."""
+    """Values, relative to the stretch's start, that ``judge`` marks: it gets all pieces of an anchor, in document order, and names
+    ranges of each. The table of pieces goes."""
 
     def run(batches):
         def flush(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +223,10 @@ def judged(pieces: DataFrame, judge: Callable[[list[dict]], list[list[tuple[int,
             yield from flush(held)
 
     arrow = to_arrow_schema(_parse_datatype_string(SPAN))
-    return pieces.mapInArrow(run, SPAN)
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "v", "start")
+    marks = written(dealt.mapInArrow(run, SPAN), "marks")
+    released(pieces)
+    return marks
 
 
 def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -229,11 +241,17 @@ def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each document with the list of its removed ranges (doc_id, v, a, b), null where there is none."""
-    spans = written(spans, "spans")
-    per = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(per, ["doc_id", "v"], "left").withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+def with_spans(rows: DataFrame, spans: DataFrame, made: Callable, schema: str) -> DataFrame:
+    """What ``made`` gets out of each document's (doc_id, text, list of its removed ranges); the table of ranges (doc_id, v, a, b) goes."""
+
+    def own(share):
+        per = spans.filter(share).groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        each = rows.filter(share).join(per, ["doc_id", "v"], "left").withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+        return by_batch(each, made, schema, "doc_id", "text", "spans")
+
+    out = written_by_shares(rows.sparkSession, own, rows.volume, "cleaned")
+    released(spans)
+    return out
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:

@@ -17,8 +17,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import BASE, by_batch, mix, sha, table, utf8
-from tickloom.llm.stretches import Scheme, candidates, joined, judged, merged, numbered, with_spans, windows
+from tickloom.llm.common import BASE, mix, released, sha, table, utf8, written
+from tickloom.llm.stretches import Scheme, candidates, judged, merged, numbered, with_spans, windows
 
 DEPTH, GRAM = 100, 24
 #: Windows in a batch.
@@ -126,7 +126,7 @@ class Family:
 def repeated(rows: list[dict]) -> list[list[tuple[int, int]]]:
     """For each piece, the bytes inside windows that also occur in an earlier piece or further left."""
     place = lambda i: (rows[i]["doc_id"], rows[i]["v"], rows[i]["start"], rows[i]["anchor"])
-    out: list[list[int]] = [[] for _ in rows]
+    out: list[list[tuple[int, int]]] = [[] for _ in rows]
     first: dict[tuple, int] = {}
     for i in range(len(rows)):
         if first.setdefault(place(i), i) != i:  # of a row given twice
@@ -146,22 +146,28 @@ def repeated(rows: list[dict]) -> list[list[tuple[int, int]]]:
         of = np.repeat(np.arange(len(own)), counts)
         inside = np.arange(len(of)) - first[of]
         seen = family.add(b"".join(rows[i]["piece"] for i in own), begin[of] + inside)
-        for j, s in zip(of[seen].tolist(), inside[seen].tolist(), strict=True):
-            out[own[j]].append(s)
-    return [joined((s, s + DEPTH) for s in found) for found in out]
+        of, inside = of[seen], inside[seen]
+        cut = (of[1:] != of[:-1]) | (inside[1:] > inside[:-1] + DEPTH)  # windows that neither meet nor touch
+        heads, tails = np.flatnonzero(np.concatenate([[True], cut])[: len(of)]), np.flatnonzero(np.concatenate([cut, [True]])[: len(of)])
+        for j, a, b in zip(of[heads].tolist(), inside[heads].tolist(), inside[tails].tolist(), strict=True):
+            out[own[j]].append((a, b + DEPTH))
+    return out
 
 
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of bytes to remove; they may overlap."""
     occ, distinct, pieces = candidates(SCHEME, rows)
-    firsts = judged(pieces, repeated).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    found = judged(pieces, repeated)
+    firsts = found.select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     crowded = windows(SCHEME, rows, distinct)
     if crowded is not None:
         at = F.col("start") + F.col("first")
         firsts = firsts.union(crowded.filter("struct(doc_id, v, start + first) <> least").select("doc_id", "v", at.alias("a"), (at + DEPTH).alias("b")))
     first = distinct.filter("copies > 1").select("anchor", "stretch", F.col("doc_id").alias("d1"), F.col("v").alias("v1"), F.col("start").alias("s1"))
     later = occ.join(first, ["anchor", "stretch"]).filter("doc_id <> d1 OR v <> v1 OR start <> s1")
-    return firsts.union(later.select("doc_id", "v", F.col("start").alias("a"), (F.col("start") + F.col("n") + DEPTH - 1).alias("b")))
+    out = written(firsts.union(later.select("doc_id", "v", F.col("start").alias("a"), (F.col("start") + F.col("n") + DEPTH - 1).alias("b"))), "spans")
+    released(occ, distinct, found)
+    return out
 
 
 def kept(text: str | None, found: list | None) -> tuple[bytes, int, int, int]:
@@ -188,13 +194,13 @@ def cleaned(_, keys: list, texts: list, found: list):
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, data binary``: the remaining bytes of every text."""
     rows = numbered(docs)
-    return by_batch(with_spans(rows, spans(rows)), cleaned, "doc_id long, data binary", "doc_id", "text", "spans")
+    return with_spans(rows, spans(rows), cleaned, "doc_id long, data binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return by_batch(with_spans(rows, spans(rows)), digests, schema, "doc_id", "text", "spans")
+    return with_spans(rows, spans(rows), digests, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
