@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import fixtures as fx
@@ -138,6 +139,30 @@ def test_similarity_join(spark, docs, crowd, monkeypatch):
     same(rows(parity.join(fx.frame(spark, docs, crowd == 3)), ("doc_id", "n_shingles", "component_id")), fx.components(docs))
 
 
+def test_crowded_files_that_no_pair_needs_are_left(spark):
+    """Of two sets that share more crowded files than the smaller margin, one file at least stays common."""
+    rng = random.Random(5)
+    margins = {i: rng.randint(2, 6) for i in range(30)}
+    filed = {i: set(rng.sample(range(20), margins[i] + 1 + rng.randint(0, 9))) for i in margins}
+    members = spark.createDataFrame([(k, i, margins[i]) for i, own in filed.items() for k in own], "key long, id long, margin long")
+    left = {i: set() for i in margins}
+    for r in parity.needed(members).collect():
+        left[r["id"]].add(r["key"])
+    assert all(left[i] <= filed[i] for i in margins) and sum(map(len, left.values())) < sum(map(len, filed.values()))
+    for i in margins:
+        for j in range(i):
+            if len(filed[i] & filed[j]) > min(margins[i], margins[j]):
+                assert left[i] & left[j]
+
+
+def test_blocks_of_a_crowded_file_need_no_file_lists():
+    own = np.arange(1, 400, dtype=np.uint64)
+    sets = [own, own + np.uint64(7), np.arange(9000, 9399, dtype=np.uint64)]
+    rows_ = [{"key": 1, "p": 0, "q": 0, "block": 0, "id": i, "root": i, "size": len(x), "sketch": parity.dense(x).tobytes()} for i, x in enumerate(sets)]
+    found = parity.still_apart(pa.Table.from_pylist(rows_))
+    assert found.to_pylist() == [{"a": 0, "b": 1}]
+
+
 def test_survivors(spark, docs):
     out = parity.survivors(fx.frame(spark, docs)).collect()
     want = fx.components(docs)

@@ -15,8 +15,8 @@ raised, never a silent loss). Two linked sets then share at least 1 + m of the f
 A file of more than ``CROWD`` sets is crowded: a passage that many documents have, or a large family of copies. Sets with at
 most m crowded files share an uncrowded one with every partner, so crowded files are needed only between the few sets with
 more ("swamped": members of large families). There every set is compared with ``HEADS`` members of each crowded file, and
-then, in blocks of sketches, with those that are still in another component. So a family's pairs are not listed, and no link
-between different components is lost.
+then, in blocks of sketches, with those that are still in another component. For the latter a set leaves its largest crowded
+files, as many as its margin allows (see ``needed``). So a family's pairs are not listed, and no link between different components is lost.
 
 Equal texts and equal sets are one node throughout. Files travel packed, one row per (chunk of documents, bucket of files),
 and are matched in numpy inside tasks of bounded size; pairs, verification and components are DataFrame work.
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, tidy, utf8, written
+from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, text_bytes, tidy, utf8, written, written_by_shares
 from tickloom.llm.components import labels
 
 SHINGLE = 5
@@ -233,8 +233,10 @@ def promising(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
 def fetched(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     """Packed texts of all sets in the pairs, each from its first document."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = rows.join(wanted.join(kinds, "id").select("id", "doc_id"), "doc_id")
-    return written(by_batch(own, mine, "id long, packed binary", "id", "text", ready=WordNumbers), "texts")
+    # A table, so that Spark knows its size: a few sets are sent to the texts and not the texts to them.
+    wanted = written(wanted.join(kinds, "id").select("id", "doc_id"), "wanted")
+    own = lambda share: by_batch(rows.filter(share).join(wanted.filter(share), "doc_id"), mine, "id long, packed binary", "id", "text", ready=WordNumbers)
+    return written_by_shares(rows.sparkSession, own, rows.volume, "texts")
 
 
 def mine(memory: WordNumbers, names: list, texts: list):
@@ -251,29 +253,33 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def still_apart(part: pa.Table) -> pa.Table:
-    """Pairs out of two blocks of a crowded file that lie in different components and that sketches allow.
+    """Pairs out of two blocks of a crowded file that lie in different components and that sketches allow."""
+    block = part["block"].to_numpy()
+    left, right = (np.flatnonzero(block == part[side][0].as_py()) for side in ("p", "q"))
+    names, roots, sizes = (part[c].to_numpy() for c in ("id", "root", "size"))
+    raw = [np.frombuffer(x, np.uint64) for x in part["sketch"].to_pylist()]
+    words = min(map(len, raw))
+    folded = np.stack([fold(x, words) for x in raw])
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left.tolist():
+        own = right[roots[right] > roots[i] if part["p"][0] == part["q"][0] else roots[right] != roots[i]]
+        own = own[(3 * np.maximum(sizes[own], sizes[i]) <= 4 * np.minimum(sizes[own], sizes[i]))]
+        own = own[7 * np.bitwise_count(folded[own] ^ folded[i]).sum(1, dtype=np.int64) <= sizes[own] + sizes[i]]
+        first.append(np.full(len(own), names[i]))
+        second.append(names[own])
+    return pa.table({"a": pa.array(np.concatenate(first), pa.int64()), "b": pa.array(np.concatenate(second), pa.int64())})
+
+
+def needed(members: DataFrame) -> DataFrame:
+    """The members (key, id) of crowded files without those that no pair needs.
 
-    Of all the files that two sets share, the one of the smallest key names the pair.
+    Two linked sets that share no uncrowded file share more crowded ones than the smaller of their margins. A set may thus leave as many
+    files as the smallest margin found in any of its own: in one order of all files (by size, then key) it leaves its last ones,
+    and the first file that two linked sets share is kept by both.
     """
-    own = part.to_pylist()
-    left, right = ([r for r in own if r["block"] == own[0][side]] for side in ("p", "q"))
-    if not left or not right:  # a block that no member fell into
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    names, roots, sizes = (np.array([r[c] for r in right], np.int64) for c in ("id", "root", "size"))
-    raw = [np.frombuffer(r["sketch"], np.uint64) for r in right]
-    first, second = [], []
-    words = min(len(r["sketch"]) for r in own) // 8
-    folded = np.stack([fold(x, words) for x in raw])
-    files = [set(r["files"]) for r in right]
-    for r in left:
-        distance = np.bitwise_count(folded ^ fold(np.frombuffer(r["sketch"], np.uint64), words)).sum(1, dtype=np.int64)
-        near_ = 7 * distance <= sizes + r["size"]
-        other = roots > r["root"] if r["p"] == r["q"] else roots != r["root"]
-        for j in np.flatnonzero(near_ & other).tolist():
-            if min(files[j] & set(r["files"])) == r["key"]:
-                first.append(r["id"])
-                second.append(int(names[j]))
-    return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
+    files = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("margin").alias("_least"))
+    own = members.join(files, "key").groupBy("id").agg(F.min("_least").alias("_spare"), F.array_sort(F.collect_list(F.struct("_n", "key"))).alias("_files"))
+    return own.select("id", F.explode(F.slice("_files", F.lit(1), F.greatest(F.size("_files") - F.col("_spare").cast("int"), F.lit(0)))).alias("_f")).select("_f.key", "id")
 
 
 def remaining(members: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -281,13 +287,13 @@ def remaining(members: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataFra
 
     A file is compared in blocks of about ``BLOCK`` members, so neither a task nor a table holds its pairs.
     """
-    inside = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    inside = needed(members).join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = written(inside.join(mixed, "key"), "rest")
-    files = left.groupBy("id").agg(F.collect_set("key").alias("files"))
-    rows = left.join(files, "id").join(kinds.select("id", "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = left.join(kinds.select("id", "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_j")).withColumns({"p": F.least("block", "_j"), "q": F.greatest("block", "_j")})
-    return dealt.select("key", "p", "q", "block", "id", "root", "size", "sketch", "files").groupBy("key", "p", "q").applyInArrow(still_apart, "a long, b long")
+    found = dealt.select("key", "p", "q", "block", "id", "root", "size", "sketch").groupBy("key", "p", "q").applyInArrow(still_apart, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -301,8 +307,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, n_shingles, set_id; roots: id, root for the sets with links)."""
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
+    rows.volume = text_bytes(rows)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.volume // BUCKET_BYTES)
     packed = by_batch(rows, partial(filed, buckets), FILED, "doc_id", "text", ready=WordNumbers)
     found = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy(matched), PAIR), "files")
     sets = found.filter("kind = 'set'").select(F.col("key").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("a").alias("set_id"), "sketch")
@@ -321,7 +327,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = apart(pairs, labels(links))
     links = written(links.union(verified(more, texts)), "links")
     roots = written(labels(links), "roots")
-    rest = written(remaining(members.select("key", "id"), roots, kinds).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = written(remaining(members, roots, kinds).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         roots = written(labels(links.union(verified(rest, fetched(rest, kinds, rows)))), "roots")
     return sets.drop("sketch"), roots
@@ -350,9 +356,14 @@ def survivors(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     # Rows may share a doc_id, so the text must be the winner's; a row given twice stays once.
     schema = "doc_id long, lang string, source string, n_chars long, _set long, text string, _own long"
-    mine = by_batch(rows.join(winners, "doc_id"), named, schema, "text", "doc_id", "lang", "source", "n_chars", "_set", ready=WordNumbers)
+    winners = written(winners, "winners")
     once = Window.partitionBy("doc_id", "_set").orderBy("text", "lang", "source")
-    kept = mine.filter("_own = _set").withColumn("_row", F.row_number().over(once)).filter("_row = 1")
+
+    def own_texts(share):
+        mine = by_batch(rows.filter(share).join(winners.filter(share), "doc_id"), named, schema, "text", "doc_id", "lang", "source", "n_chars", "_set", ready=WordNumbers)
+        return mine.filter("_own = _set").withColumn("_row", F.row_number().over(once)).filter("_row = 1")
+
+    kept = written_by_shares(rows.sparkSession, own_texts, text_bytes(rows), "survivors")
     return kept.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "text", "lang", "source", "n_chars")
 
 
