@@ -107,6 +107,12 @@ def test_texts_move_in_shares_and_tables_go(spark, docs, operator, monkeypatch):
     assert {x.split("-")[0] for x in set(os.listdir(shared_dir(spark))) - before} <= {"cleaned", "windows", "recurring"}
 
 
+def test_texts_cross_to_python_once_when_cut(spark, docs):
+    bench = spark.createDataFrame([("a", fx.corpus()[9][1])], "item_id string, text string")
+    plan = fmindex.clean(fx.frame(spark, docs), bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_repeated_rows_of_one_document_do_not_remove_each_other(spark, docs):
     text = docs[0][1]
     got = rows(suffixes.report(fx.frame(spark, [(1, text, "en", "s", 1)] * 2 + [(2, text, "en", "s", 1)])), ("doc_id", "n_removed"))

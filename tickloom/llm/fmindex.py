@@ -15,15 +15,16 @@ Repeated documents are reported each; repeated items count once. Only the named
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm.common import ALNUM_LOWER, by_batch, mapped_text, pick, table, utf8, written
+from tickloom.llm.common import ALNUM_LOWER, DOCUMENT, by_batch, pick, table, utf8, written
 
 WINDOW = 10
-SHARD_WORDS, SHARD_BYTES, SAMPLE = 1 << 20, 8 << 20, 16
+SHARD_WORDS, SHARD_BYTES, SAMPLE = 1 << 19, 4 << 20, 16
 BLOCK_WINDOWS = 200_000
 
 
@@ -246,12 +247,16 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: str = "") -> DataFrame:
 
     ``carry`` declares further columns ("name type, ...") that come along unchanged.
     """
+    return passes(docs, benchmark, carry, scan, FOUND + (f", {carry}" if carry else ""))
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, carry: str, last: Callable, schema: str) -> DataFrame:
+    """The documents against all blocks of windows; ``last`` does the last pass in place of ``scan`` and makes rows of ``schema``."""
     spark = docs.sparkSession
     rows = pick(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("string"))
     tests = by_batch(rows, item_windows, "item string, window string", "item_id", "text").distinct()
     blocks = max(1, -(-tests.count() // BLOCK_WINDOWS))
     others = [c.split()[0] for c in carry.split(",") if c]
-    schema = FOUND + (f", {carry}" if carry else "")
     out = pick(docs, "doc_id", "text", *others)
     for b in range(blocks):
         own = tests.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()  # of bounded size
@@ -260,33 +265,38 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: str = "") -> DataFrame:
             of.setdefault(r["window"], []).extend([r["item"]] if r["item"] is not None else [])
         shipped = spark.sparkContext.broadcast(([tuple(w.encode("utf-8").split()) for w in of], list(of.values())))
         columns = ["doc_id", "text", *others] + (["spans", "items"] if b else [])
-        out = by_batch(out, partial(scan, len(others)), schema, *columns, ready=lambda shipped=shipped: shipped.value, chunk_bytes=SHARD_BYTES)
+        step, made = (last, schema) if b + 1 == blocks else (scan, FOUND + (f", {carry}" if carry else ""))
+        out = by_batch(out, partial(step, len(others)), made, *columns, ready=lambda shipped=shipped: shipped.value, chunk_bytes=SHARD_BYTES)
         if b + 1 < blocks:
             out = written(out, "decontaminated")
     return out
 
 
-def cut(_, keys: list, texts: list, spans: list):
-    """Texts without the bytes from the first to the last word of each span."""
-    for key, text, own in zip(keys, texts, spans, strict=True):
-        if own:
-            data = utf8(text)
-            word = np.concatenate([[False], np.frombuffer(data.translate(ALNUM_LOWER), np.uint8) != 32, [False]])
-            edges = np.flatnonzero(word[1:] != word[:-1])
-            starts, stops = edges[::2], edges[1::2]
-            left, done = [], 0
-            for s in own:
-                left.append(data[done : starts[s["start"]]])
-                done = int(stops[s["stop"] - 1])
-            text = b"".join([*left, data[done:]]).decode("utf-8")
-        yield key, text
+def cut(text: str, spans: list[dict]) -> str:
+    """The text without the bytes from the first to the last word of each span."""
+    data = utf8(text)
+    word = np.concatenate([[False], np.frombuffer(data.translate(ALNUM_LOWER), np.uint8) != 32, [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    left, done = [], 0
+    for s in spans:
+        left.append(data[done : starts[s["start"]]])
+        done = int(stops[s["stop"] - 1])
+    return b"".join([*left, data[done:]]).decode("utf-8")
+
+
+def cleaned(carried: int, block: tuple[list, list], *columns: list):
+    """As ``scan``, but yields documents: in the same worker, so that texts cross to Python once and a task has one worker."""
+    for key, text, n, spans, _, lang, source, size in scan(carried, block, *columns):
+        if n and sum(s["stop"] - s["start"] for s in spans) == n:
+            continue
+        new = cut(text, spans) if spans else text
+        yield key, new, lang, source, size if new == text or new is None else len(new)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without their spans; those of which no word is left go."""
-    found = find(docs, benchmark, "lang string, source string, n_chars long")
-    rest = F.aggregate("spans", F.col("n_words"), lambda n, s: n - s["stop"] + s["start"])
-    return mapped_text(found.filter((rest > 0) | (F.col("n_words") == 0)), cut, None, "spans")
+    return passes(docs, benchmark, "lang string, source string, n_chars long", cleaned, DOCUMENT)
 
 
 def report(found: DataFrame) -> DataFrame:
