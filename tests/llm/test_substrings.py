@@ -169,6 +169,24 @@ def test_blocks_of_a_crowded_file_need_no_file_lists():
     assert found.to_pylist() == [{"a": 0, "b": 1}]
 
 
+def test_a_pair_is_named_by_its_first_known_file_alone():
+    own = np.arange(1, 400, dtype=np.uint64)
+    sets = [own, own + np.uint64(7)]
+    named = []
+    for key in (-3, 1, 5, 9):  # 1, 5 and 9 hold both sets, of which one knows -3 as well
+        rows_ = [{"key": key, "p": 0, "q": 0, "block": 0, "id": i, "root": i, "size": len(x), "sketch": parity.dense(x).tobytes(), "known": [-3, 1, 5, 9][1 - i :]} for i, x in enumerate(sets) if key > 0 or i]
+        named += [key] * parity.still_apart(pa.Table.from_pylist(rows_)).num_rows
+    assert named == [1]
+
+
+def test_sketches_and_sets_of_buckets_are_small():
+    own = np.arange(1, 513, dtype=np.uint64)
+    assert len(parity.dense(own)) * 8 <= 2 * len(own)
+    text = " ".join(f"w{i}" for i in range(300))
+    info = [r[5] for r in parity.filed(4, common.WordNumbers(), [1], [text]) if r[5]]
+    assert info and max(map(len, info)) <= 2 * 14  # the set files in two bands
+
+
 def test_survivors(spark, docs):
     out = parity.survivors(fx.frame(spark, docs)).collect()
     want = fx.components(docs)

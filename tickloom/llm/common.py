@@ -80,6 +80,20 @@ def written_by_shares(spark: SparkSession, part: Callable[[Column], DataFrame],
     return out
 
 
+@contextlib.contextmanager
+def bloom_filtered(spark: SparkSession) -> Iterator[None]:
+    """Joins started inside it may drop rows by a Bloom filter of the other side's keys before they are shuffled, however small the tables."""
+    names = [f"spark.sql.optimizer.runtime.bloomFilter.{x}" for x in ("enabled", "applicationSideScanSizeThreshold", "creationSideThreshold")]
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for n, v in zip(names, ("true", "0", "256m"), strict=True):
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def released(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` once nothing reads them any more."""
     for df in tables:

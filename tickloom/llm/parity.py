@@ -4,7 +4,7 @@ A set's sketch is cut into blocks by a hash of the shingle; a block is the XOR o
 shingle that only one of two sets has disturbs a single block: the number of blocks in which two sketches differ is at most
 the symmetric difference. Two linked sets of sizes a and b differ in at most (a + b) / 7 shingles, so among enough blocks some
 must agree (pigeonhole): a set files the blocks it has under (size band, block, XOR), and only sets that share a file are
-compared. A second, dense parity sketch (each shingle flips one of at least four bits per shingle) has a Hamming distance that
+compared. A second, dense parity sketch (each shingle flips one of at least two bits per shingle) has a Hamming distance that
 bounds the difference from below and turns false candidates away before texts are fetched and shingles compared.
 
 Bands are octaves of the set size. A set files in its own band and, if it may have smaller partners there, in the one below.
@@ -16,7 +16,8 @@ A file of more than ``CROWD`` sets is crowded: a passage that many documents hav
 most m crowded files share an uncrowded one with every partner, so crowded files are needed only between the few sets with
 more ("swamped": members of large families). There every set is compared with ``HEADS`` members of each crowded file, and
 then, in blocks of sketches, with those that are still in another component. For the latter a set leaves its largest crowded
-files, as many as its margin allows (see ``needed``). So a family's pairs are not listed, and no link between different components is lost.
+files, as many as its margin allows (see ``needed``), and a pair is not named again where both know an earlier common file. So a
+family's pairs are not listed, and no link between different components is lost.
 
 Equal texts and equal sets are one node throughout. Files travel packed, one row per (chunk of documents, bucket of files),
 and are matched in numpy inside tasks of bounded size; pairs, verification and components are DataFrame work.
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tickloom.llm.common import LOWER, WordNumbers, by_batch, grams, mix, pick, table, text_bytes, tidy, utf8, written, written_by_shares
+from tickloom.llm.common import LOWER, WordNumbers, bloom_filtered, by_batch, grams, mix, pick, table, text_bytes, tidy, utf8, written, written_by_shares
 from tickloom.llm.components import labels
 
 SHINGLE = 5
@@ -45,6 +46,10 @@ BUCKET_BYTES = 8 << 20
 FIRST_BAND = 64
 #: Members of a crowded file that everyone in it is compared with first, and those compared in one block later.
 HEADS, BLOCK = 3, 1500
+#: A member of crowded files knows so many of them, the first by key.
+KNOWN = 8
+#: A set in a bucket of files; a margin too large for its field is cut, which only makes the set take part in more.
+INFO = np.dtype([("name", "<i8"), ("size", "<u4"), ("margin", "<u2")])
 #: Stands for a null doc_id, which counts as the largest.
 LAST = (1 << 63) - 1
 
@@ -100,8 +105,8 @@ def filings(own: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def dense(own: np.ndarray) -> np.ndarray:
-    """A parity sketch of a power of two bits, at least four per shingle."""
-    size = 1 << max(6, (4 * len(own) - 1).bit_length())
+    """A parity sketch of a power of two bits, at least two per shingle."""
+    size = 1 << max(6, (2 * len(own) - 1).bit_length())
     bits = np.bincount((mix(own) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little")
 
@@ -134,11 +139,11 @@ def filed(buckets: int, memory: WordNumbers, ids: list, texts: list):
         for key, margin in filings(own):
             keys.append(key)
             owners.append(np.full(len(key), len(names), np.uint32))
-            names.append((name, size, margin))
+            names.append((name, size, min(margin, 65535)))
     if not keys:
         return
     key, owner = np.concatenate(keys), np.concatenate(owners)
-    info = np.array(names, np.int64)
+    info = np.array(names, INFO)
     bucket = (key >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     key, owner, bucket = key[order], owner[order], bucket[order]
@@ -166,11 +171,11 @@ def matched(part: pa.Table) -> pa.Table:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :5] = np.frombuffer(key, np.uint8).reshape(n, 5)
         keys.append(wide.view(np.uint64).reshape(-1))
-        infos.append(np.frombuffer(info, np.int64).reshape(-1, 3))
+        infos.append(np.frombuffer(info, INFO))
         owners.append(np.frombuffer(owner, np.uint16 if len(owner) == 2 * n else np.uint32).astype(np.int64) + base)
         base += len(infos[-1])
     info, key, owner = np.concatenate(infos), np.concatenate(keys), np.concatenate(owners)
-    name = info[owner, 0]
+    name = info["name"][owner]
     order = np.lexsort((name, key))
     key, name, owner = key[order], name[order], owner[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
@@ -185,7 +190,8 @@ def matched(part: pa.Table) -> pa.Table:
         first.append((at[:, None] + i).reshape(-1))
         second.append((at[:, None] + j).reshape(-1))
     a, b = np.concatenate(first), np.concatenate(second)
-    near = 4 * np.minimum(info[owner[a], 1], info[owner[b], 1]) >= 3 * np.maximum(info[owner[a], 1], info[owner[b], 1])
+    size = info["size"].astype(np.int64)[owner]
+    near = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
     pairs = np.unique(np.stack([name[a[near]], name[b[near]]]), axis=1) if near.any() else np.zeros((2, 0), np.int64)
     crowded = np.repeat(sizes > CROWD, sizes)
     n, m = pairs.shape[1], int(crowded.sum())
@@ -193,7 +199,7 @@ def matched(part: pa.Table) -> pa.Table:
         "kind": pa.array(["pair"] * n + ["crowd"] * m, pa.string()),
         "key": pa.array(np.concatenate([np.zeros(n, np.int64), mix(key[crowded] ^ mix(np.full(m, bucket, np.uint64))).view(np.int64)])),
         "a": pa.array(np.concatenate([pairs[0], name[crowded]])), "b": pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)])),
-        "extra": pa.array(np.concatenate([np.zeros(n, np.int64), info[owner[crowded], 2]])), "sketch": pa.nulls(n + m, pa.binary()),
+        "extra": pa.array(np.concatenate([np.zeros(n, np.int64), info["margin"][owner[crowded]].astype(np.int64)])), "sketch": pa.nulls(n + m, pa.binary()),
     })
     return pa.concat_tables([found, through.cast(found.schema)])
 
@@ -236,7 +242,8 @@ def fetched(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     # A table, so that Spark knows its size: a few sets are sent to the texts and not the texts to them.
     wanted = written(wanted.join(kinds, "id").select("id", "doc_id"), "wanted")
     own = lambda share: by_batch(rows.filter(share).join(wanted.filter(share), "doc_id"), mine, "id long, packed binary", "id", "text", ready=WordNumbers)
-    return written_by_shares(rows.sparkSession, own, rows.volume, "texts")
+    with bloom_filtered(rows.sparkSession):
+        return written_by_shares(rows.sparkSession, own, rows.volume, "texts")
 
 
 def mine(memory: WordNumbers, names: list, texts: list):
@@ -253,7 +260,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def still_apart(part: pa.Table) -> pa.Table:
-    """Pairs out of two blocks of a crowded file that lie in different components and that sketches allow."""
+    """Pairs out of two blocks of a crowded file that lie in different components and that sketches allow.
+
+    A pair whose sets both know an earlier common file is left to that one; the first file that they share always names it.
+    """
+    key, known = part["key"][0].as_py(), np.full((len(part), KNOWN), LAST)
+    if "known" in part.column_names:
+        for i, own in enumerate(part["known"].to_pylist()):
+            known[i, : len(own)] = own
     block = part["block"].to_numpy()
     left, right = (np.flatnonzero(block == part[side][0].as_py()) for side in ("p", "q"))
     names, roots, sizes = (part[c].to_numpy() for c in ("id", "root", "size"))
@@ -265,6 +279,8 @@ def still_apart(part: pa.Table) -> pa.Table:
         own = right[roots[right] > roots[i] if part["p"][0] == part["q"][0] else roots[right] != roots[i]]
         own = own[(3 * np.maximum(sizes[own], sizes[i]) <= 4 * np.minimum(sizes[own], sizes[i]))]
         own = own[7 * np.bitwise_count(folded[own] ^ folded[i]).sum(1, dtype=np.int64) <= sizes[own] + sizes[i]]
+        if len(own):
+            own = own[~np.isin(known[own], known[i][known[i] < key]).any(1)]
         first.append(np.full(len(own), names[i]))
         second.append(names[own])
     return pa.table({"a": pa.array(np.concatenate(first), pa.int64()), "b": pa.array(np.concatenate(second), pa.int64())})
@@ -290,9 +306,10 @@ def remaining(members: DataFrame, roots: DataFrame, kinds: DataFrame) -> DataFra
     inside = needed(members).join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = written(inside.join(mixed, "key"), "rest")
-    rows = left.join(kinds.select("id", "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    known = left.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KNOWN).alias("known"))
+    rows = left.join(known, "id").join(kinds.select("id", "size", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_j")).withColumns({"p": F.least("block", "_j"), "q": F.greatest("block", "_j")})
-    found = dealt.select("key", "p", "q", "block", "id", "root", "size", "sketch").groupBy("key", "p", "q").applyInArrow(still_apart, "a long, b long")
+    found = dealt.select("key", "p", "q", "block", "id", "root", "size", "sketch", "known").groupBy("key", "p", "q").applyInArrow(still_apart, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
