@@ -113,6 +113,16 @@ def test_texts_cross_to_python_once_when_cut(spark, docs):
     assert plan.count("MapInArrow") == 1
 
 
+def test_a_task_scans_few_large_batches(monkeypatch):
+    rng, added, add = random.Random(3), [], suffixes.Family.add
+    monkeypatch.setattr(suffixes.Family, "add", lambda self, text, at: [added.append(len(at)), add(self, text, at)][1])
+    data = [bytes(rng.randrange(97, 123) for _ in range(1099)) for _ in range(39)]
+    data.append(data[4][100:] + b"z" * 100)
+    pieces = [{"anchor": 1, "stretch": i, "doc_id": i, "v": 0, "start": 0, "n": 1000, "piece": x} for i, x in enumerate(data)]
+    assert [(i, own) for i, own in enumerate(suffixes.repeated(pieces)) if own] == [(39, [(0, 999)])]
+    assert sum(added) == stretches.FLUSH and len(added) <= 2
+
+
 def test_repeated_rows_of_one_document_do_not_remove_each_other(spark, docs):
     text = docs[0][1]
     got = rows(suffixes.report(fx.frame(spark, [(1, text, "en", "s", 1)] * 2 + [(2, text, "en", "s", 1)])), ("doc_id", "n_removed"))
