@@ -259,6 +259,39 @@ def test_template_without_article(spark):
     assert "<div c>" in templates.skeleton(parsed) and "</p>" not in templates.skeleton(parsed)
 
 
+def test_pages_are_walked_once_for_each_question(monkeypatch):
+    walked, walk = [], templates.walk
+    monkeypatch.setattr(templates, "walk", lambda page, *a: [walked.append(page), walk(page, *a)][1])
+    pages = [f"<html><body><div id=top>menu</div><article><p>text {k}<p>more {k}<br></article></body></html>" for k in range(12)]
+    assert templates.extract_group(pages) == [f"text {k}\nmore {k}" for k in range(12)]
+    assert len(walked) <= 2 * len(pages)
+
+
+def test_states_of_a_walk_equal_the_plain_rule():
+    rng = random.Random(6)
+    names = ["div", "p", "ul", "li", "span", "nav", "br"]
+    for _ in range(200):
+        page = templates.tokens("".join(rng.choice((f"<{n} id={rng.randrange(3)}>", f"</{n}>", f"word{rng.randrange(9)}")) for n in rng.choices(names, k=40)))
+        template = {t[2] for t in page if t[0] == "open" and rng.random() < 0.5}
+        around = {k: tuple(rng.sample(sorted(template), min(len(template), 2))) for k in template if rng.random() < 0.5}
+        stack, want = [], []
+        for kind, name, key, aside in page:
+            if kind == "open":
+                gone = next((i for i, x in enumerate(stack) if key in around and x[1] in template and x[1] not in around[key]), len(stack))
+                stack = stack[:gone]
+                while name in templates.BLOCK:
+                    inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in templates.BLOCK), None)
+                    if inner is None or stack[inner][0] != "p":
+                        break
+                    stack = stack[:inner]
+            want.append((tuple(k for _, k, _ in stack if k in template), any(x for _, _, x in stack)))
+            if kind == "open" and name not in templates.VOID:
+                stack.append((name, key, aside))
+            elif kind == "close":
+                stack = stack[: next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), len(stack))]
+        assert templates.walk(page, template, around) == want
+
+
 def test_pages_of_one_host_built_in_different_ways(spark):
     page = "<html><body class={kind}><nav>menu</nav>{open}<h1>Head {n}</h1><p>" + "words of the page {n} " * 6 + "</p>{close}<footer>foot</footer></body></html>"
     want = lambda n: f"Head {n}\n" + " ".join([f"words of the page {n}"] * 6)

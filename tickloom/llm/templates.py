@@ -25,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,14 +73,14 @@ def tokens(page: str) -> list[Token]:
 
 def classes(pages: list[list[Token]]) -> list[list[str]]:
     """Token keys with equal occurrence vectors; words count with the tags."""
-    counts: dict[str, Counter] = defaultdict(Counter)
+    vectors: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for i, page in enumerate(pages):
-        for kind, _, key, _ in page:
-            for part in key.split() if kind == "text" else (key,):
-                counts[part][i] += 1
+        own = Counter(chain.from_iterable(key.split() if kind == "text" else (key,) for kind, _, key, _ in page))
+        for part, n in own.items():
+            vectors[part].append((i, n))
     by_vector: dict[tuple, list[str]] = defaultdict(list)
-    for key, vector in counts.items():
-        by_vector[tuple(sorted(vector.items()))].append(key)
+    for key, vector in vectors.items():
+        by_vector[tuple(vector)].append(key)
     return list(by_vector.values())
 
 
@@ -137,35 +138,40 @@ def walk(page: list[Token], template: set[str], around: dict[str, tuple[str, ...
 
     ``around`` gives the slot in which each skeleton element stands on most pages; elements left open before one are closed.
     """
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, State]] = []  # each element with the state around it
     out: list[State] = []
+    state: State = ((), False)
     for kind, name, key, aside in page:
         if kind == "open":
             if around and key in around:
-                for i, (_, own, _) in enumerate(stack):
+                for i, (_, own, _, before) in enumerate(stack):
                     if own in template and own not in around[key]:
+                        state = before
                         del stack[i:]
                         break
             if name in BLOCK:  # ends an open paragraph of the same block
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
+                        state = stack[i][3]
                         del stack[i:]
                     elif stack[i][0] in BLOCK:
                         break
-        slot = tuple(k for _, k, _ in stack if k in template)
-        out.append((slot, any(x for _, _, x in stack)))
+        out.append(state)
         if kind == "open" and name not in VOID:
-            stack.append((name, key, aside))
+            stack.append((name, key, aside, state))
+            if key in template or aside and not state[1]:
+                state = ((*state[0], key) if key in template else state[0], aside or state[1])
         elif kind == "close":
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
+                    state = stack[i][3]
                     del stack[i:]
                     break
     return out
 
 
-def main_element(pages: list[list[Token]], template: set[str]) -> tuple[str | None, dict[str, tuple[str, ...]]]:
-    """The key of the innermost skeleton element that holds most text, and where each skeleton element stands."""
+def main_element(pages: list[list[Token]], template: set[str]) -> tuple[str | None, list[list[State]]]:
+    """The key of the innermost skeleton element that holds most text, and the pages walked with the places of skeleton elements."""
     places: dict[str, Counter] = defaultdict(Counter)
     for page in pages:
         for t, (slot, _) in zip(page, walk(page, template), strict=True):
@@ -174,8 +180,9 @@ def main_element(pages: list[list[Token]], template: set[str]) -> tuple[str | No
     around = {k: min(c, key=lambda p: (-c[p], len(p), p)) for k, c in places.items()}
     weight: Counter = Counter()
     names = {}
-    for page in pages:
-        for t, (slot, aside) in zip(page, walk(page, template, around), strict=True):
+    walked = [walk(page, template, around) for page in pages]
+    for page, states in zip(pages, walked, strict=True):
+        for t, (slot, aside) in zip(page, states, strict=True):
             names[t[2]] = t[1]
             if t[0] == "text" and not aside:
                 weight[slot] += len(t[2].strip())
@@ -189,7 +196,7 @@ def main_element(pages: list[list[Token]], template: set[str]) -> tuple[str | No
         centre, name = best is not None and names[best] in CENTRE, names[key]
         if name in CENTRE and inside[key] and not centre or name in BLOCK and name not in LEAF and 2 * inside[key] > total and (not centre or name in CENTRE):
             best = key
-    return best, around
+    return best, walked
 
 
 def text_of(page: list[Token], states: list[State], best: str | None) -> str:
@@ -236,15 +243,14 @@ def extract_group(pages: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     parsed = spared([tokens(p) for p in pages])
     template = set(skeleton(parsed)) if len(pages) >= LEAST else set()
-    best, around = main_element(parsed, template) if template else (None, {})
+    best, walked = main_element(parsed, template) if template else (None, [[] for _ in parsed])
     out = []
-    for page in parsed:
-        text = text_of(page, walk(page, template, around), best) if any(t[2] in template for t in page) else ""
+    for page, states in zip(parsed, walked, strict=True):
+        text = text_of(page, states, best) if any(t[2] in template for t in page) else ""
         if not text:  # built otherwise, or nothing to compare with: the tags that the page has once
             counts = Counter(t[2] for t in page if t[0] != "text")
-            own = {k for k, n in counts.items() if n == 1}
-            key, places = main_element([page], own)
-            text = text_of(page, walk(page, own, places), key)
+            key, own = main_element([page], {k for k, n in counts.items() if n == 1})
+            text = text_of(page, own[0], key)
         out.append(text)
     return out
 
