@@ -55,6 +55,21 @@ def test_shuffle_floor_sorts_in_pieces_of_bounded_size(spark, lively, monkeypatc
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_shuffled_copies_are_never_broadcast(spark, lively):
+    """Whatever the planner takes for the copies' size, running sums over them stay out of the driver."""
+    got = entry.queries()["A33_shuffle_floor"](spark, str(lively))
+    before = got._jdf.queryExecution().executedPlan().toString()
+    assert len(got.collect()) == 60
+    for plan in (before, got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]):
+        depth = None  # of the broadcast whose inputs the lines tell
+        for line in plan.splitlines():
+            at = len(line) - len(line.lstrip(" :+-*"))
+            depth = None if depth is not None and at <= depth else depth
+            if depth is None and "BroadcastExchange" in line:
+                depth = at
+            assert depth is None or "Window" not in line, plan
+
+
 def windows(spark, tmp_path, spans):
     """A feed whose shocks start at the given seconds; the id's remainder by 13 gives the length in ten minutes."""
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i % 5, "click", 200.0, "{}") for i, s in spans]
