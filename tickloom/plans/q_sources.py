@@ -154,7 +154,7 @@ def _(t: Tables):
 
 @query("S9_dataset_listing", "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name, 'table' AS kind, 1::BIGINT AS files, true AS has_bytes")
 def _(t: Tables):
-    return tb.list_datasets(t.spark, t.dir).withColumn("has_bytes", F.col("size_bytes") > 0).drop("size_bytes")
+    return tb.list_datasets(t.spark, t.dir).select("name", "kind", "files", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
 @query("S15_partitioned_sink", "SELECT event_type AS market, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
