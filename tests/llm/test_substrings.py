@@ -96,6 +96,38 @@ def test_hot_passages_do_not_end_in_one_task(spark, operator, monkeypatch):
     same(rows(got, columns), fx.phrases(docs) if operator is phrases else fx.suffixes(docs))
 
 
+def test_stretches_alone_with_their_anchor_are_not_judged(spark):
+    """Copies of a whole text share every stretch: none is cut out and compared, and all but the first copy still go."""
+    rng = random.Random(5)
+    text, other = fx.prose(rng, 400, 10**6), fx.prose(rng, 60, 10**6)
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate([text, text, other, f"{other[:200]} ~ {other[200:]}", text])]
+    _, distinct, pieces = stretches.candidates(suffixes.SCHEME, stretches.numbered(fx.frame(spark, docs)))
+    judged, lone = {r["anchor"] for r in pieces.collect()}, {r["anchor"] for r in distinct.filter("lone").collect()}
+    assert judged and len(lone) > 20 and not judged & lone
+    assert all(r["count"] > 1 for r in pieces.groupBy("anchor").count().collect())
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    same(rows(suffixes.report(fx.frame(spark, docs)), columns), fx.suffixes(docs))
+
+
+def test_packed_ranges_merge_where_they_touch():
+    rng = random.Random(6)
+    assert stretches.merged(None) == stretches.merged([]) == []
+    for most in (12, 300):
+        found = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(most) for _ in range(20))] + [((1 << 31) - 9, (1 << 31) - 1)]
+        assert stretches.merged([a << 32 | b for a, b in found]) == stretches.joined(sorted(found))
+
+
+def test_chunks_gather_and_powers_last(spark, docs, monkeypatch):
+    """Rows of many chunks go to the JVM together, and later, longer texts get the powers they need."""
+    monkeypatch.setattr(stretches, "POWERS", {})
+    texts = ["short", *(d[1] for d in docs), "ab" * 300_000]
+    parts = [stretches.stretches(suffixes.SCHEME, None, [t]) for t in texts]
+    whole = stretches.stretches(suffixes.SCHEME, None, texts)
+    for k in range(1, 5):
+        assert np.array_equal(np.concatenate([p[k] for p in parts]), whole[k])
+    assert all(len(x) <= 1 << 20 for x in stretches.POWERS.values())
+
+
 @pytest.mark.parametrize("operator", [phrases, suffixes])
 def test_texts_move_in_shares_and_tables_go(spark, docs, operator, monkeypatch):
     monkeypatch.setattr(common, "SHARE_BYTES", 1)

@@ -44,7 +44,7 @@ def byte_grams(values: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-SCHEME = Scheme(DEPTH, GRAM, 1 << 20, lambda: None, byte_values, byte_grams, utf8, bytes)
+SCHEME = Scheme(DEPTH, GRAM, 1 << 16, lambda: None, byte_values, byte_grams, utf8, bytes, lone=False)
 
 
 class Family:
