@@ -99,6 +99,21 @@ def test_range_totals_and_rows_agree_with_scans(spark):
         assert got[i][2] == pytest.approx(sum(hit))
 
 
+@pytest.mark.parametrize("end", [True, False])
+def test_dense_windows_are_dealt_by_their_pairs(spark, end):
+    """Same rows as without counting; tasks grow with the pairs, not with the rows read, and a tick's windows lie together."""
+    rows = ticks(400)
+    t = spark.createDataFrame(rows, "market string, t timestamp, seq int, v double")
+    w = spark.createDataFrame([(f"w{i}", m, at(10 * i), at(10 * i + 900)) for i in range(200) for m in ("hot", "cold")], "id string, market string, a timestamp, z timestamp")
+    few, many, none = (rows_in_windows(x, t, ["market"], "a", "z", "t", bucket_s=200, include_end=end, pairs_per_task=n) for x, n in ((w, None), (w, 500), (w.limit(0), 500)))
+    assert few.columns == many.columns == none.columns and none.count() == 0
+    got = many.withColumn("_p", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:-1] for r in got) == sorted(map(tuple, few.collect())) and len(got) > 5_000
+    assert len({r["_p"] for r in got}) > 15 and many.rdd.getNumPartitions() > len(got) / 500
+    runs = sum(x["seq"] != y["seq"] for x, y in zip(got, got[1:], strict=False)) + 1
+    assert runs == len({r["seq"] for r in got})
+
+
 def test_interval_islands_merge_touching_and_contained(spark):
     iv = [("m", at(0), at(100)), ("m", at(10), at(20)), ("m", at(100), at(110)), ("m", at(171), at(180)), ("m", at(240), at(241))]
     df = spark.createDataFrame(iv, "market string, s timestamp, e timestamp")
