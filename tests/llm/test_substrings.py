@@ -92,8 +92,14 @@ def test_hot_passages_do_not_end_in_one_task(spark, operator, monkeypatch):
     _, distinct, pieces = stretches.candidates(operator.SCHEME, own)
     assert distinct.filter("crowded").count() > 40
     assert all(r["count"] <= 5 for r in pieces.groupBy("anchor").count().collect())
+    crowds = pieces.crowded.collect()
+    assert {r["anchor"] for r in crowds} == {r["anchor"] for r in distinct.filter("crowded").collect()}
+    assert stretches.windows(operator.SCHEME, pieces).count() >= len(crowds) // 2
+    read, texts_of = [], stretches.texts_of
+    monkeypatch.setattr(stretches, "texts_of", lambda *a: [read.append(1), texts_of(*a)][1])
     got, columns = operator.report(fx.frame(spark, docs)), ("doc_id", "n_words", "n_removed", "kept_sha256") if operator is phrases else ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     same(rows(got, columns), fx.phrases(docs) if operator is phrases else fx.suffixes(docs))
+    assert len(read) == 1  # crowded stretches are cut in the pass of the others
 
 
 def test_stretches_alone_with_their_anchor_are_not_judged(spark):

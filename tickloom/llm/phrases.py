@@ -30,7 +30,7 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).split()
 
 
-SCHEME = Scheme(PHRASE, GRAM, 4 << 20, WordNumbers, lambda memory, text: memory.hash(words(text)), grams, words, b" ".join)
+SCHEME = Scheme(PHRASE, GRAM, 4 << 20, WordNumbers, lambda memory, text: memory.hash(words(text)), grams, words, b" ".join, lambda piece: piece.split(b" "))
 
 
 def letters(rows: list[dict]) -> list[str]:
@@ -64,9 +64,9 @@ def located(rows: list[dict]) -> list[list[tuple[int, int]]]:
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of words to remove; they may overlap."""
     occ, distinct, pieces = candidates(SCHEME, rows)
+    crowded = windows(SCHEME, pieces)
     found = judged(pieces, located)
     marks = found.select("anchor", "stretch", "a", "b")
-    crowded = windows(SCHEME, rows, distinct)
     if crowded is not None:
         marks = marks.union(crowded.select("anchor", "stretch", F.col("first").alias("a"), (F.col("first") + PHRASE).alias("b")))
     out = written(occ.join(marks, ["anchor", "stretch"]).select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")), "spans")

@@ -44,7 +44,7 @@ def byte_grams(values: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-SCHEME = Scheme(DEPTH, GRAM, 1 << 16, lambda: None, byte_values, byte_grams, utf8, bytes, lone=False)
+SCHEME = Scheme(DEPTH, GRAM, 1 << 16, lambda: None, byte_values, byte_grams, utf8, bytes, bytes, lone=False)
 
 
 class Family:
@@ -157,9 +157,9 @@ def repeated(rows: list[dict]) -> list[list[tuple[int, int]]]:
 def spans(rows: DataFrame) -> DataFrame:
     """(doc_id, v, a, b): ranges of bytes to remove; they may overlap."""
     occ, distinct, pieces = candidates(SCHEME, rows)
+    crowded = windows(SCHEME, pieces)
     found = judged(pieces, repeated)
     firsts = found.select("doc_id", "v", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    crowded = windows(SCHEME, rows, distinct)
     if crowded is not None:
         at = F.col("start") + F.col("first")
         firsts = firsts.union(crowded.filter("struct(doc_id, v, start + first) <> least").select("doc_id", "v", at.alias("a"), (at + DEPTH).alias("b")))
